@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
-from .common import table
+from . import decontaminate, packing, token_files
+from .common import shared_dir, table
+from .tokens import default_tokenizer
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' token ids as files of shuffled planes and describes what is read back."""
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=0)
+    return token_files.read_token_files(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2, capacity=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_token_files": op7_token_files,
+    "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
 }
 
