@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_files
+from . import decontaminate, packing, simhash, token_files
 from .common import shared_dir, table
 from .tokens import default_tokenizer
 
@@ -27,6 +27,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and the components of links within 4 bits."""
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
+    return groups.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' token ids as files of shuffled planes and describes what is read back."""
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
@@ -40,6 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
