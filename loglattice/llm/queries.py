@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, token_files
+from . import decontaminate, packing, simhash, substrings, token_files
 from .common import shared_dir, table
 from .tokens import default_tokenizer
 
@@ -27,6 +27,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when runs of 13 words that an earlier document has are removed."""
+    found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=13)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles and the components of links within 4 bits."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
@@ -46,6 +52,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substrings": op2_substrings,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
