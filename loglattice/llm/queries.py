@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, substrings, token_files
-from .common import shared_dir, table
+from . import decontaminate, packing, simhash, substrings, token_files, toxicity
+from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
 
@@ -33,6 +33,13 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32(doc_id) mod 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, "toxic", crc_bucket("doc_id", 5) > 0)
+    return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles and the components of links within 4 bits."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
@@ -53,6 +60,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
+    "op3_toxicity": op3_toxicity,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
