@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, substrings, token_files, toxicity
+from . import decontaminate, language, packing, simhash, substrings, token_files, toxicity
 from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
@@ -40,6 +40,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_bucket("doc_id", 4)
+    found = language.identify(docs, language.sample(docs, (fold >= 0) & (fold != 2)))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 4-word shingles and the components of links within 4 bits."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=4, radius=4)
@@ -61,6 +69,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
+    "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
