@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, simhash, substrings, token_files, toxicity
+from . import decontaminate, language, packing, quality, simhash, substrings, token_files, toxicity
 from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
@@ -66,6 +66,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2, capacity=1024)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; learned where crc32(doc_id) mod 3 is not 1."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    fold = crc_bucket("doc_id", 3)
+    model = quality.train(docs, labels, "quality", (fold >= 0) & (fold != 1))
+    found = quality.score(docs, model).select("row.doc_id", "score")
+    return found.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL over the same tables.
