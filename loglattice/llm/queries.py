@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, simhash, substrings, token_files, toxicity
+from . import decontaminate, language, packing, quality, simhash, substrings, token_files, topk, toxicity
 from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
@@ -27,6 +27,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows by inner product for every vector whose vec_id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), query_step=50, k=5)
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stay when runs of 13 words that an earlier document has are removed."""
     found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=13)
@@ -76,6 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
     "op5_language": op5_language,
@@ -87,4 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL over the same tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w FROM embeddings
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        ) SELECT * FROM r WHERE rank <= 5
+    """,
+}
