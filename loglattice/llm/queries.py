@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, simhash, substrings, token_files, topk, toxicity
+from . import decontaminate, language, packing, quality, simhash, substrings, token_files, toolcalls, topk, toxicity
 from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
@@ -45,6 +45,34 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+_TURN = {"type": "object", "properties": {"turn": {"type": "integer"}, "limit": {"type": "integer"}, "text": {"type": "string"}}, "required": ["limit", "text", "turn"], "additionalProperties": False}
+TOOLS = {
+    "search": _TURN,
+    "lookup": {**_TURN, "properties": {**_TURN["properties"], "limit": {"type": "integer", "maximum": 5}}},
+}
+
+
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a call, every assistant turn as the result of the call one turn before. A call depends on
+    the one two turns before it; in conversations whose id ends in 3, every eighth turn on the one two turns after."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    turn = F.col("turn")
+    late = F.col("conv_id") % 10 == 3
+    limit = F.when(turn % 7 == 3, F.lit('"many"')).otherwise(turn.cast("string"))
+    call = lambda at: F.concat(F.lit("call-"), at.cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        call(turn).alias("call_id"),
+        turn.alias("position"),
+        F.when(turn % 3 == 0, "search").when(turn % 3 == 1, "lookup").otherwise("guess").alias("name"),
+        F.concat(F.lit('{"turn": '), turn.cast("string"), F.lit(', "limit": '), limit, F.lit(", "), F.expr("substring(to_json(struct(text)), 2)")).alias("arguments"),
+        F.when(late, F.when(turn % 8 == 0, F.array(call(turn + 2))).otherwise(F.array())).when(turn >= 2, F.array(call(turn - 2))).otherwise(F.array()).cast("array<string>").alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
+    linked = toolcalls.link_tool_calls(calls, results, TOOLS)
+    return linked.select("conv_id", "call_id", "position", "level", "status", "valid", "errors", F.sha2("canonical", 256).alias("canonical_sha256"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned where crc32(doc_id) mod 4 is not 2."""
     docs = table(spark, sf_dir, "documents")
@@ -84,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
     "op3_toxicity": op3_toxicity,
+    "op4_toolcalls": op4_toolcalls,
     "op5_language": op5_language,
     "op6_simhash": op6_simhash,
     "op7_token_files": op7_token_files,
@@ -104,4 +133,32 @@ ORACLES: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         ) SELECT * FROM r WHERE rank <= 5
     """,
+    "op4_toolcalls": """
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        c AS (
+            SELECT conv_id, turn, 'call-' || turn AS call_id, text,
+                CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'guess' END AS name,
+                CASE WHEN conv_id % 10 = 3 THEN CASE WHEN turn % 8 = 0 THEN turn + 2 END WHEN turn >= 2 THEN turn - 2 END AS needs
+            FROM t WHERE role = 'user'
+        ), d AS (SELECT c.*, p.turn AS needed FROM c LEFT JOIN c p ON c.conv_id = p.conv_id AND c.needs = p.turn),
+        r AS (SELECT conv_id, turn, 'call-' || (turn - 1) AS call_id, text FROM t WHERE role = 'assistant'),
+        l AS (
+            SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, coalesce(d.turn, r.turn) AS position,
+                d.turn, d.name, d.text, d.needs, d.needed, r.turn AS answered, r.text AS content
+            FROM d FULL OUTER JOIN r ON d.conv_id = r.conv_id AND d.call_id = r.call_id
+        ), e AS (
+            SELECT *, concat_ws('; ',
+                CASE WHEN name = 'guess' THEN 'name: unknown tool' WHEN turn % 7 = 3 THEN 'limit: not of type integer' WHEN name = 'lookup' AND turn > 5 THEN 'limit: above 5' END,
+                CASE WHEN needs IS NOT NULL AND needed IS NULL THEN 'depends_on: call-' || needs || ' is unknown' END) AS errors
+            FROM l
+        )
+        SELECT conv_id, call_id, position,
+            CASE WHEN turn IS NOT NULL THEN CAST(CASE WHEN conv_id % 10 = 3 AND needed IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) END AS level,
+            CASE WHEN turn IS NULL THEN 'no_call' WHEN answered IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+            turn IS NOT NULL AND errors = '' AS valid, errors,
+            sha256('{"arguments":' || CASE WHEN turn IS NULL THEN 'null' ELSE '{"limit":' || CASE WHEN turn % 7 = 3 THEN '"many"' ELSE CAST(turn AS VARCHAR) END
+                || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' END || ',"call_id":"' || call_id || '","name":'
+                || CASE WHEN turn IS NULL THEN 'null' ELSE '"' || name || '"' END || ',"result":' || CASE WHEN answered IS NULL THEN 'null' ELSE CAST(to_json(content) AS VARCHAR) END || '}') AS canonical_sha256
+        FROM e
+    """,
 }
