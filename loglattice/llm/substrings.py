@@ -31,6 +31,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,13 +140,24 @@ def _firsts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[new], place
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """An array with its bytes in planes, compressed: the high bytes of ids and places are mostly zero."""
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(packed: bytes, kind: np.dtype | str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _by_bucket(values: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     bucket = (_mixed(hashes * _ODD[1]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, values = bucket[order], values[order]
     edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
     for a, b in zip(edges, edges[1:], strict=False):
-        yield int(bucket[a]), values[a:b].tobytes()
+        yield int(bucket[a]), _pack(values[a:b])
 
 
 _PACKED = "bucket long, block long, packed binary"
@@ -164,12 +176,13 @@ def _block_of(part: pa.Table, min_words: int) -> tuple[_Block, list[bytes | None
     return _Block(docs, [t or b"" for t in texts], min_words), texts
 
 
-def _unpack(back: pa.Table, kind: int) -> bytes:
-    return b"".join([p for k, p in zip(back.column("kind").to_pylist(), back.column("packed").to_pylist(), strict=True) if k == kind])
+def _received(back: pa.Table, kind: int, dtype: np.dtype | str) -> np.ndarray:
+    parts = [_unpack(p, dtype) for k, p in zip(back.column("kind").to_pylist(), back.column("packed").to_pylist(), strict=True) if k == kind]
+    return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
 def _sorted_anchors(back: pa.Table) -> np.ndarray:
-    return np.unique(np.frombuffer(_unpack(back, 1), "<u8")) & ~np.uint64(1)
+    return np.unique(_received(back, 1, "<u8"))
 
 
 def _send_anchors(min_words: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -182,7 +195,7 @@ def _send_anchors(min_words: int, buckets: int) -> Callable[[tuple, pa.Table], p
 
 def _meet_anchors(part: pa.Table) -> pa.Table:
     """Sends each block those of its anchors that two documents hold."""
-    parts = [np.frombuffer(p, "<u8") for p in part.column("packed").to_pylist()]
+    parts = [_unpack(p, "<u8") for p in part.column("packed").to_pylist()]
     blocks = part.column("block").to_pylist()
     values = np.concatenate(parts)
     who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -196,7 +209,7 @@ def _meet_anchors(part: pa.Table) -> pa.Table:
         if len(shared):
             at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
             if (held := own[shared[at] == own]).size:
-                rows.append((1, block, held.tobytes()))
+                rows.append((1, block, _pack(held)))
     return _packed(rows)
 
 
@@ -214,14 +227,14 @@ def _send_windows(min_words: int, buckets: int) -> Callable[[pa.Table, pa.Table]
 
 def _meet_windows(part: pa.Table) -> pa.Table:
     """Sends each block the earliest holders of its windows where they are in other blocks."""
-    parts = [np.frombuffer(p, _FIRST) for p in part.column("packed").to_pylist()]
+    parts = [_unpack(p, _FIRST) for p in part.column("packed").to_pylist()]
     ranked, place = _firsts(np.concatenate(parts))
     rows, at = [], 0
     for block, own in zip(part.column("block").to_pylist(), parts, strict=True):
         first = ranked[place[at : at + len(own)]]
         at += len(own)
         if (earlier := first[first["doc"] < own["doc"]]).size:
-            rows.append((2, block, earlier.tobytes()))
+            rows.append((2, block, _pack(earlier)))
     return _packed(rows)
 
 
@@ -232,7 +245,7 @@ def _parse(min_words: int, layout: bool, fields: list[str]) -> Callable[[pa.Tabl
         block, texts = _block_of(part, min_words)
         chosen, found = block.candidates(_sorted_anchors(back))
         firsts, place = _firsts(found)
-        far = np.frombuffer(_unpack(back, 2), _FIRST)
+        far = _received(back, 2, _FIRST)
         merged = _firsts(np.concatenate([firsts, far]))
         first = merged[0][merged[1][: len(firsts)]][place]
         own = block.owner[chosen]
