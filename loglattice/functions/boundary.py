@@ -129,6 +129,11 @@ def token_classes(line: Column, max_scan_bytes: int = 60) -> Column:
 
 def timestamp_likeness(classes: Column) -> Column:
     """Score of the best stretch of neighbouring classes: known pairs give 1, others -1; 0 if it is too short."""
+    # as the argument of a lambda the classes are worked out once, not for every use
+    return F.get(F.transform(F.array(classes), _likeness), F.lit(0))
+
+
+def _likeness(classes: Column) -> Column:
     known = F.array(*[F.lit(p) for p in known_pairs()])
     size = F.size(classes)
     steps = F.transform(

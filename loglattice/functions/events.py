@@ -45,7 +45,6 @@ def parse_timestamp(text: Column) -> Column:
     """A full date and time, with a fraction and a zone or not; without a zone it is UTC. Others are null."""
     value = F.regexp_replace(trimmed(text), ",([0-9]+)", ".$1")
     zoned = F.when(value.rlike(r"(?:Z|[+-][0-9]{2}:[0-9]{2})\z"), value).otherwise(F.concat(value, F.lit("Z")))
-    # a zone goes with a T and with a space, a bare fraction only with a space or a T as well
     return F.when(value.rlike(rf"^{_STAMP}\z"), zoned.try_cast("timestamp"))
 
 
@@ -116,14 +115,14 @@ def _assigned(pairs: Column) -> tuple[Column, Column]:
 def _prefix(line: Column) -> tuple[Column, Column]:
     """Timestamp and level at the beginning of a line; both null if there is neither."""
     start = r"(?U)^\s*"
-    both = rf"{start}({_STAMP})\s+\[?([A-Za-z]+)\]?:?"
-    # the end of a word must follow: a letter or digit on exactly one side
-    both_end = rf"{start}({_STAMP})\s+\[?([A-Za-z]+)(?:\]?:?(?=[A-Za-z0-9_])|{_WORD_END})"
-    stamp = parse_timestamp(F.nullif(F.regexp_extract(line, both_end, 1), F.lit("")))
-    stamp_level = canonical_level(F.nullif(F.regexp_extract(line, both_end, 2), F.lit("")))
-    del both
+    # after the word and its brackets a word must end or begin
+    word_end = rf"(?:{_WORD_END}|(?:\]:?|:)(?=[A-Za-z0-9_]))"
+    both = rf"{start}({_STAMP})\s+\[?([A-Za-z]+){word_end}"
+    leading = rf"{start}\[?([A-Za-z]+){word_end}"
+    stamp = parse_timestamp(F.nullif(F.regexp_extract(line, both, 1), F.lit("")))
+    stamp_level = canonical_level(F.nullif(F.regexp_extract(line, both, 2), F.lit("")))
     alone = parse_timestamp(F.nullif(F.regexp_extract(line, rf"{start}({_STAMP}){_WORD_END}", 1), F.lit("")))
-    word = canonical_level(F.nullif(F.regexp_extract(line, rf"{start}\[?([A-Za-z]+)(?:\]?:?(?=[A-Za-z0-9_])|{_WORD_END})", 1), F.lit("")))
+    word = canonical_level(F.nullif(F.regexp_extract(line, leading, 1), F.lit("")))
     first = stamp.isNotNull() | stamp_level.isNotNull()
     ts = F.when(first, stamp).otherwise(alone)
     level = F.when(first, stamp_level).when(alone.isNull(), word)
