@@ -30,45 +30,76 @@ from pyspark.sql import functions as F
 _FOUND = "query_id long, vec_id long, score long"
 
 
+#: How far lists are read before bounds are compared: shares of their length.
+SHARES = (0.4, 0.7, 1.0)
+
+
+class _Read:
+    """The lists of a block, read down to a depth from the top and from the bottom: which rows each has shown, their
+    values there, and the next value."""
+
+    def __init__(self, values: np.ndarray, ranks: np.ndarray, ascending: np.ndarray, depth: int, kind: type):
+        n = values.shape[1]
+        self.whole = depth >= n
+        self.top, self.bottom = (ranks >= n - depth).astype(kind), (ranks < depth).astype(kind)
+        self.top_values, self.bottom_values = values * self.top, values * self.bottom
+        if not self.whole:
+            self.next_top, self.next_bottom = ascending[:, n - depth - 1], ascending[:, depth]
+
+
 class Lists:
-    """The sorted lists of a block of rows, one for each dimension."""
-
-    def __init__(self, rows: np.ndarray):
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()  # ascending
-        self.values = np.take_along_axis(rows.T, self.order, axis=1).astype(np.float64)
-
-    def candidates(self, query: np.ndarray, k: int, steps: int = 10, few: float = 0.06) -> np.ndarray:
-        """Rows that hold the k best and all that tie with the k-th. All sums are whole numbers, so exact."""
-        n = self.order.shape[1]
-        lists = np.flatnonzero(query)  # the others give nothing
-        if n <= k or not len(lists):
-            return np.arange(n)
-        weight = query[lists].astype(np.float64)
-        order, values = self.order[lists], self.values[lists]
-        down = weight[:, None] > 0
-        numbers = np.arange(len(lists))[:, None]
-        gained, seen = np.zeros(n), np.zeros((len(lists), n))
-        least = np.where(down[:, 0], values[:, 0], values[:, -1]) * weight
-        stride = max(1, -(-n // steps))
-        for depth in range(0, n, stride):
-            upto = min(n, depth + stride)
-            # read on from the top or the bottom of each list
-            rows = np.where(down, order[:, n - upto : n - depth], order[:, depth:upto])
-            gains = np.where(down, values[:, n - upto : n - depth], values[:, depth:upto]) * weight[:, None]
-            gained += np.bincount(rows.ravel(), gains.ravel(), n)
-            seen[numbers, rows] = 1
-            if upto == n:
+    """The sorted lists of a block of rows, one for each dimension, for many queries side by side.
+
+    A list is read from the end that the query's component favours. The gains so far, and what the unread entries
+    can add at most and at least, are products of the queries' components with what the lists have shown."""
+
+    def __init__(self, rows: np.ndarray, shares: tuple[float, ...] = SHARES):
+        self.rows = rows
+        n, d = rows.shape
+        # single precision while all sums of products are exact in it
+        self.small = d * float(np.abs(rows).max(initial=0)) ** 2 < 1 << 23
+        kind = np.float32 if self.small else np.float64
+        order = np.argsort(rows, axis=0, kind="stable").T
+        ranks = np.empty_like(order)
+        np.put_along_axis(ranks, order, np.arange(n)[None, :], axis=1)
+        values = rows.T.astype(kind)
+        ascending = np.take_along_axis(values, order, axis=1)
+        self.low, self.high = ascending[:, 0], ascending[:, -1]
+        self.kind = kind
+        self.reads = [_Read(values, ranks, ascending, min(n, max(1, int(n * share))), kind) for share in shares]
+
+    def candidates(self, queries: np.ndarray, k: np.ndarray, few: float = 0.3) -> list[np.ndarray]:
+        """For each query the rows that hold its k best and all that tie with the k-th."""
+        n = len(self.rows)
+        found: list[np.ndarray] = [np.arange(n)] * len(queries)
+        exact = self.small and len(self.low) * float(np.abs(queries).max(initial=0)) * max(abs(float(self.low.min(initial=0))), abs(float(self.high.max(initial=0)))) < 1 << 23
+        kind = self.kind if exact else np.float64
+        open_ones = np.flatnonzero(k < n)
+        for read in self.reads:
+            if not len(open_ones):
                 break
-            most = np.where(down[:, 0], values[:, n - upto - 1], values[:, upto]) * weight
-            known_most, known_least = np.stack([most, least]) @ seen
-            upper = gained + most.sum() - known_most
-            lower = gained + least.sum() - known_least
-            bar = np.partition(lower, n - k)[n - k]
-            viable = np.flatnonzero(upper >= bar)
-            # a row that no list has shown gains at most what all lists give next
-            if (most.sum() < bar or seen.any(axis=0)[viable].all()) and len(viable) <= max(k, few * n):
-                return viable
-        return np.flatnonzero(gained >= np.partition(gained, n - k)[n - k])
+            asked = queries[open_ones].astype(kind)
+            plus, minus = np.maximum(asked, 0), np.minimum(asked, 0)
+            gained = plus @ read.top_values + minus @ read.bottom_values
+            if read.whole:
+                upper = lower = gained
+                unseen = np.full(len(asked), -np.inf)
+            else:
+                most = (plus * read.next_top, minus * read.next_bottom)
+                least = (plus * self.low, minus * self.high)
+                unseen = most[0].sum(axis=1) + most[1].sum(axis=1)
+                upper = gained + unseen[:, None] - (most[0] @ read.top + most[1] @ read.bottom)
+                lower = gained + (least[0].sum(axis=1) + least[1].sum(axis=1))[:, None] - (least[0] @ read.top + least[1] @ read.bottom)
+            left = []
+            for j, q in enumerate(open_ones.tolist()):
+                bar = np.partition(lower[j], n - k[q])[n - k[q]]
+                viable = np.flatnonzero(upper[j] >= bar)
+                if unseen[j] < bar and (read.whole or len(viable) <= max(k[q], few * n)):
+                    found[q] = viable
+                else:
+                    left.append(q)
+            open_ones = np.array(left, np.int64)
+        return found
 
 
 def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -81,13 +112,15 @@ def _search(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             lists = Lists(vectors)
             ranked = np.sort(ids)
             query_ids, query_vectors = asked[length]
+            # a query's own rows may be among the best: so many more are asked for
             own = np.searchsorted(ranked, query_ids, "right") - np.searchsorted(ranked, query_ids, "left")
-            for query_id, query, of_own in zip(query_ids.tolist(), query_vectors, own.tolist(), strict=True):
-                viable = lists.candidates(query, k + of_own)
-                viable = viable[ids[viable] != query_id]
-                scores = vectors[viable] @ query
-                top = np.lexsort((ids[viable], -scores))[:k]
-                found.append((np.full(len(top), query_id), ids[viable[top]], scores[top]))
+            for at in range(0, len(query_ids), 128):
+                part = slice(at, at + 128)
+                for query_id, query, viable in zip(query_ids[part].tolist(), query_vectors[part], lists.candidates(query_vectors[part], k + own[part]), strict=True):
+                    viable = viable[ids[viable] != query_id]
+                    scores = vectors[viable] @ query
+                    top = np.lexsort((ids[viable], -scores))[:k]
+                    found.append((np.full(len(top), query_id), ids[viable[top]], scores[top]))
         columns = [np.concatenate([f[j] for f in found]) if found else np.empty(0, np.int64) for j in range(3)]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
