@@ -70,7 +70,7 @@ def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     results = turns.where("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
     linked = toolcalls.link_tool_calls(calls, results, TOOLS)
-    return linked.select("conv_id", "call_id", "position", "level", "status", "valid", "errors", F.sha2("canonical", 256).alias("canonical_sha256"))
+    return linked.select("conv_id", "call_id", "position", F.coalesce("level", F.lit(-1)).alias("level"), "status", "valid", "errors", F.sha2("canonical", 256).alias("canonical_sha256"))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ ORACLES: dict[str, str] = {
             FROM l
         )
         SELECT conv_id, call_id, position,
-            CASE WHEN turn IS NOT NULL THEN CAST(CASE WHEN conv_id % 10 = 3 AND needed IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) END AS level,
+            CAST(CASE WHEN turn IS NULL THEN -1 WHEN conv_id % 10 = 3 AND needed IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS level,
             CASE WHEN turn IS NULL THEN 'no_call' WHEN answered IS NULL THEN 'no_result' ELSE 'linked' END AS status,
             turn IS NOT NULL AND errors = '' AS valid, errors,
             sha256('{"arguments":' || CASE WHEN turn IS NULL THEN 'null' ELSE '{"limit":' || CASE WHEN turn % 7 = 3 THEN '"many"' ELSE CAST(turn AS VARCHAR) END
