@@ -25,7 +25,7 @@ from loglattice.streaming.multiline import stream_merge_multiline
 _LINE = """
     CASE event_id % 5
     WHEN 0 THEN concat('{"ts":"', day, 'T', clock, 'Z","level":"', level, '","service":"svc-', user_id % 5, '","n":', event_id, ',"ok":true,"message":"user ', user_id, ' ', event_type, '","gone":null}')
-    WHEN 1 THEN concat('ts=', day, 'T', clock, 'Z level=', level, ' service_name=svc-', user_id % 5, ' n=', event_id, ' msg="user ', user_id, ' did \\\\"', event_type, '\\\\""')
+    WHEN 1 THEN concat('ts=', day, 'T', clock, 'Z level=', level, ' service_name=svc-', user_id % 5, ' n=', event_id, ' msg="user ', user_id, ' did ~"', event_type, '~""')
     WHEN 2 THEN concat('timestamp=', day, 'T', clock, ' severity=', level, ' service_name=svc-', user_id % 5, ' environment=PROD n=', event_id, ' event=', event_type)
     WHEN 3 THEN concat(day, ' ', clock, CASE WHEN event_id % 2 = 0 THEN ' [' ELSE ',123 ' END, level, CASE WHEN event_id % 2 = 0 THEN ']' ELSE '' END, ' user ', user_id, ' did ', event_type, ' in ', event_id % 97, ' ms')
     ELSE CASE event_id % 3 WHEN 0 THEN concat(level, ': worker ', user_id, ' saw ', event_type) WHEN 1 THEN concat('a=1 user ', user_id, ' saw ', event_type, ' timeout') ELSE concat('note="', event_type, ' by ', user_id) END
@@ -39,12 +39,12 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
     named = rows.select("event_id", "user_id", "event_type", "ts", day.alias("day"), clock.alias("clock"), F.expr(_LEVEL).alias("level"))
-    return named.select(F.expr("concat('app-', user_id % 7, '.log')").alias("file_name"), (F.col("event_id") + 1).alias("line_no"), F.expr(_LINE.replace("\\\\", "\\\\\\\\")).alias("content"), "ts", "user_id", "event_id")
+    return named.select(F.expr("concat('app-', user_id % 7, '.log')").alias("file_name"), (F.col("event_id") + 1).alias("line_no"), F.expr(_LINE.replace("~", "\\\\")).alias("content"), "ts", "user_id", "event_id")
 
 
 _SQL_LINES = f"""
     WITH e AS (SELECT event_id, user_id, event_type, ts, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S') AS clock, {_LEVEL} AS level FROM events),
-    lines AS (SELECT concat('app-', user_id % 7, '.log') AS file_name, event_id + 1 AS line_no, {_LINE.replace(chr(92) * 2, chr(92))} AS content, ts, user_id, event_id, event_type, level FROM e)
+    lines AS (SELECT concat('app-', user_id % 7, '.log') AS file_name, event_id + 1 AS line_no, {_LINE.replace("~", chr(92))} AS content, ts, user_id, event_id, event_type, level FROM e)
 """
 
 
@@ -62,10 +62,10 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    # one template in ten has no label, so that its lines count as unmatched
+    # some templates have no label, so that their lines count as unmatched
     entries = materialise(_entries(spark, sf_dir).select("file_name", "start_line", "content"))
     found = materialise(templates.discover_templates(entries, absorb=False))
-    given = labels.default_labels(found).where("pattern_id not like '0%'")
+    given = labels.default_labels(found).where("semantic_id not like '%timeout%'")
     labelled = materialise(labels.apply_labels(found, given))
     return Workspace(entries, found, labelled, materialise(templates.match_templates(entries, found, KEYS)))
 
@@ -116,7 +116,7 @@ def _written_lines(spark: SparkSession, sf_dir: str, suffix: str = "") -> str:
     return path
 
 
-@query("o01_line_numbers", _SQL_LINES + " SELECT count(*) AS n_lines, sum(length(content)) AS chars, true AS dense FROM lines")
+@query("o01_line_numbers", _SQL_LINES + " SELECT count(*) AS n_lines, CAST(sum(length(content)) AS BIGINT) AS chars, true AS dense FROM lines")
 def o01_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_logs(spark, _written_lines(spark, sf_dir, "\r"))
     files = lines.groupBy("file_name").agg(F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high"), F.count_distinct("line_no").alias("different"), F.sum(F.length("content")).alias("chars"))
@@ -129,7 +129,7 @@ def o02_multi_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_logs(spark, _written_lines(spark, sf_dir)).groupBy("content").agg(F.count("*").alias("n"))
 
 
-@query("o03_list_inputs", _SQL_LINES + " SELECT sum(strlen(content) + 1) AS bytes FROM lines")
+@query("o03_list_inputs", _SQL_LINES + " SELECT CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM lines")
 def o03_list_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_inputs(spark, _written_lines(spark, sf_dir)).where("file_name like 'part-%'").agg(F.sum("bytes").alias("bytes"))
 
@@ -180,7 +180,7 @@ def _stored_tables(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query("o07_append", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS ids, sum(event_id % 1000 + 1) AS line_sum FROM events")
+@query("o07_append", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS first_id, count(*) AS last_id, count(*) AS ids, CAST(sum(event_id % 1000 + 1) AS BIGINT) AS line_sum FROM events")
 def o07_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store.read_entries(spark, _stored_tables(spark, sf_dir))
     return stored.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_distinct("id").alias("ids"), F.sum("line_number").alias("line_sum"))
@@ -256,8 +256,15 @@ def o18_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(lines.schema).parquet(f"{path}/in")
     merged = stream_merge_multiline(stream, idle_timeout=3_600_000, max_entry_bytes=1 << 30)
-    running = merged.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
-    running.awaitTermination()
+    # with batches for time-outs alone, a finite stream would never be through
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        running = merged.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
+        running.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(f"{path}/out").select("file_name", "start_line", "late", F.md5("content").alias("content_md5"))
 
 
@@ -268,7 +275,7 @@ _KNOWN = "CASE level WHEN 'ERROR' THEN 'error' WHEN 'info' THEN 'info' WHEN 'WAR
 
 @query("o19_events", _SQL_LINES + f"""
     SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'logfmt' WHEN 2 THEN 'key_value' ELSE 'plain_text' END AS source_format,
-        CASE WHEN event_id % 5 <> 4 THEN epoch_us(date_trunc('second', ts)) END AS ts_us,
+        CASE WHEN event_id % 5 <> 4 THEN epoch_us(date_trunc('second', ts)) ELSE -1 END AS ts_us,
         CASE WHEN event_id % 5 < 3 THEN coalesce({_KNOWN}, CASE WHEN event_id % 5 < 2 THEN 'notice' END) WHEN event_id % 5 = 3 THEN CASE WHEN event_id % 2 = 0 THEN {_KNOWN} END
             WHEN event_id % 3 = 0 THEN {_KNOWN} END AS level,
         CASE WHEN event_id % 5 = 2 AND level = 'notice' THEN 'notice' END AS severity,
@@ -279,7 +286,7 @@ _KNOWN = "CASE level WHEN 'ERROR' THEN 'error' WHEN 'info' THEN 'info' WHEN 'WAR
 def o19_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = events.parse_events(event_lines(spark, sf_dir).drop("ts"))
     attr = lambda k: F.col("attrs")[k].alias(k)
-    return parsed.select("event_id", "source_format", F.unix_micros("ts").alias("ts_us"), attr("level"), attr("severity"), attr("service"), attr("env"), attr("n"), attr("ok"), F.coalesce(F.col("attrs")["message"], F.col("attrs")["msg"]).alias("message"))
+    return parsed.select("event_id", "source_format", F.coalesce(F.unix_micros("ts"), F.lit(-1)).alias("ts_us"), attr("level"), attr("severity"), attr("service"), attr("env"), attr("n"), attr("ok"), F.coalesce(F.col("attrs")["message"], F.col("attrs")["msg"]).alias("message"))
 
 
 @query("o20_json_fields", "SELECT event_id, 'c' AS a, concat('{\"b\":[1,2],\"k\":', regexp_extract(props, '[0-9]+'), '}') AS o, CAST(event_id AS VARCHAR) AS n, CAST(NULL AS VARCHAR) AS gone FROM events")
@@ -291,13 +298,13 @@ def o20_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o26_timestamps", """
-    SELECT event_id, epoch_us(date_trunc('second', ts)) - CASE WHEN event_id % 3 = 0 THEN 7200000000 ELSE 0 END + CASE WHEN event_id % 3 = 1 THEN 250000 ELSE 0 END AS ts_us, CAST(NULL AS BIGINT) AS bad_us FROM events
+    SELECT event_id, epoch_us(date_trunc('second', ts)) - CASE WHEN event_id % 3 = 0 THEN 7200000000 ELSE 0 END + CASE WHEN event_id % 3 = 1 THEN 250000 ELSE 0 END AS ts_us, CAST(-1 AS BIGINT) AS bad_us FROM events
 """)
 def o26_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.col("event_id") % 3
     stamp = F.concat(F.lit(" "), F.date_format("ts", "yyyy-MM-dd"), F.when(k == 2, " ").otherwise("T"), F.date_format("ts", "HH:mm:ss"), F.when(k == 0, "+02:00").when(k == 1, ",25").otherwise("Z"))
-    return rows.select("event_id", F.unix_micros(events.parse_timestamp(stamp)).alias("ts_us"), F.unix_micros(events.parse_timestamp(F.concat(F.lit("2024-02-30 "), F.date_format("ts", "HH:mm:ss")))).alias("bad_us"))
+    return rows.select("event_id", F.unix_micros(events.parse_timestamp(stamp)).alias("ts_us"), F.coalesce(F.unix_micros(events.parse_timestamp(F.concat(F.lit("2024-02-30 "), F.date_format("ts", "HH:mm:ss")))), F.lit(-1)).alias("bad_us"))
 
 
 @query("o28_ingest", _SQL_LINES + " SELECT event_id, content AS raw, line_no AS line_number, CASE WHEN event_id % 7 = 0 THEN 'ValueError: no' END AS parse_error, CASE WHEN event_id % 7 = 1 THEN 'x' END AS label FROM lines")
@@ -318,16 +325,16 @@ def _seventh(raw: str) -> dict | None:
 _SQL_TOKENS = _SQL_LINES + """,
     t AS (SELECT *, string_split(trim(translate(content, '|=,', '   ')), ' ') AS tokens FROM lines),
     p AS (SELECT *, len(tokens) AS n, list_transform(tokens[1:greatest(least(len(tokens) - 1, 27), 0)], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS path FROM t),
-    u AS (SELECT n, path, at, min(tokens[at]) AS low, max(tokens[at]) AS high FROM (SELECT n, path, tokens, unnest(range(1, n + 1)) AS at FROM p) GROUP BY n, path, at),
-    w AS (SELECT n, path, string_agg(CASE WHEN low = high THEN low ELSE '<*>' END, ' ' ORDER BY at) AS raw_pattern FROM u GROUP BY n, path),
+    u AS (SELECT n, path, pos, min(tokens[pos]) AS low, max(tokens[pos]) AS high FROM (SELECT n, path, tokens, unnest(range(1, n + 1)) AS pos FROM p) GROUP BY n, path, pos),
+    w AS (SELECT n, path, string_agg(CASE WHEN low = high THEN low ELSE '<*>' END, ' ' ORDER BY pos) AS raw_pattern FROM u GROUP BY n, path),
     found AS (SELECT n, raw_pattern, sum(c) AS c FROM w JOIN (SELECT n, path, count(*) AS c FROM p GROUP BY n, path) USING (n, path) GROUP BY n, raw_pattern),
     templates AS (SELECT sha256(raw_pattern) AS pattern_id, raw_pattern, n, CAST(c AS BIGINT) AS count, string_split(raw_pattern, ' ') AS tt FROM found WHERE c >= 2),
     ranked AS (SELECT *, len(list_filter(tt, lambda x: x <> '<*>')) AS literals FROM templates),
     matches AS (SELECT t.file_name, t.line_no, t.content, r.pattern_id, r.raw_pattern, row_number() OVER (PARTITION BY t.file_name, t.line_no ORDER BY r.literals DESC, r.raw_pattern) AS k
         FROM t JOIN ranked r ON len(t.tokens) = r.n AND len(list_filter(list_zip(t.tokens, r.tt), lambda z: z[2] <> '<*>' AND z[1] <> z[2])) = 0),
     matched AS (SELECT t.file_name, t.line_no AS start_line, t.content, m.pattern_id, m.raw_pattern FROM t LEFT JOIN (SELECT * FROM matches WHERE k = 1) m USING (file_name, line_no)),
-    labelled AS (SELECT *, rtrim(left(array_to_string(list_filter(string_split(lower(regexp_replace(raw_pattern, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> ''), '-'), 30), '-') AS semantic_id
-        FROM templates WHERE pattern_id NOT LIKE '0%')
+    labelled AS (SELECT * FROM (SELECT *, rtrim(left(array_to_string(list_filter(string_split(lower(regexp_replace(raw_pattern, '[^A-Za-z]+', ' ', 'g')), ' '), lambda x: x <> ''), '-'), 30), '-') AS semantic_id
+        FROM templates) WHERE semantic_id NOT LIKE '%timeout%')
 """
 
 
@@ -448,10 +455,10 @@ _SQL_STATS = _SQL_TOKENS + """,
 """
 
 
-@query("o45_pattern_stats", _SQL_STATS + " SELECT pattern_id, semantic_id, c AS count, a.f AS first_file, a.l AS first_line, z.f AS last_file, z.l AS last_line FROM stats")
+@query("o45_pattern_stats", _SQL_STATS + " SELECT pattern_id, semantic_id, c AS count, a.f AS first_file, coalesce(a.l, -1) AS first_line, z.f AS last_file, coalesce(z.l, -1) AS last_line FROM stats")
 def o45_pattern_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _workspace(spark, sf_dir)
-    return reports.pattern_stats(w.matched, w.labelled).select("pattern_id", "semantic_id", "count", "first_file", "first_line", "last_file", "last_line")
+    return reports.pattern_stats(w.matched, w.labelled).select("pattern_id", "semantic_id", "count", "first_file", F.coalesce("first_line", F.lit(-1)).alias("first_line"), "last_file", F.coalesce("last_line", F.lit(-1)).alias("last_line"))
 
 
 @query("o46_line_refs", _SQL_STATS + " SELECT pattern_id, file_name, start_line FROM known")
