@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +10,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.plans.stages import materialise, shared_dir
+
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "crc_bucket", "limit_batches", "materialise", "shared_dir", "table", "text_slices", "utf8"]
+
 #: Text bytes that a Python worker holds in its own arrays at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset
-    (tests on one machine) a temporary folder is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialise(df: DataFrame, **options: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def limit_batches(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch, so that batches of whole texts stay small on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
 
 
 def crc_bucket(column: str, modulus: int) -> Column:

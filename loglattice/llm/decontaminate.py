@@ -15,6 +15,7 @@ struct column `row`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, utf8
+from .common import limit_batches, text_slices, utf8
 
 #: Lower-cases A-Z and turns all bytes outside 0-9, a-z and 0x80-0xFF into spaces.
 _NORMAL = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -177,14 +178,19 @@ class _Block:
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_words: int = 200_000) -> DataFrame:
     """`docs` (doc_id, text, ...) as columns row (struct of all columns), n_words, spans (array of
     struct<start, end>: hit words), items (array of string: items whose windows occur)."""
-    import uuid
+    return _scanned(docs, items, window, block_words).drop("kept")
 
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int, block_words: int, cut: bool = False) -> DataFrame:
+    """find_contamination, with the column kept: the text without its spans if `cut`, else null."""
     spark = docs.sparkSession
+    limit_batches(spark)
     out = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
+        F.lit(None).cast("string").alias("kept"),
     )
     schema = out.schema
     for block in _item_blocks(items, block_words):
@@ -194,8 +200,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
             automaton = _automaton(shared, window)
             for batch in batches:
                 texts = batch.column("row").field("text")
-                parts = text_slices(iter([pa.RecordBatch.from_arrays([texts, *batch.columns[2:]], ["text", "spans", "items"])]))
-                counts, spans, found = [], [], []
+                parts = text_slices(iter([pa.RecordBatch.from_arrays([texts, *batch.columns[2:4]], ["text", "spans", "items"])]))
+                counts, spans, found, kept = [], [], [], []
                 for part in parts:
                     for text, old_spans, old_items in zip(utf8(part.column("text")), part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True):
                         words = words_of(text)
@@ -203,8 +209,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, bloc
                         counts.append(len(words))
                         spans.append(merged([(s["start"], s["end"]) for s in old_spans or ()], new))
                         found.append(sorted({*(old_items or ()), *(automaton.names[k] for k in got)}))
-                fields = [batch.schema.field(k) for k in range(4)]
-                arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], fields[2].type), pa.array(found, fields[3].type)]
+                        kept.append(cut_words(text, spans[-1]) if cut else None)
+                fields = [batch.schema.field(k) for k in range(5)]
+                arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], fields[2].type), pa.array(found, fields[3].type), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
         out = out.mapInArrow(scan, schema)
@@ -231,27 +238,19 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, ma
     """`docs` without the spans of words that occur in test items: a window's words and what lies between
     them go; a document of which more than `max_coverage` of the words are hit goes as a whole.
     Untouched documents keep their text byte for byte; n_chars, where there, follows the text."""
-    found = find_contamination(docs, items, window)
-    kept = found.where(n_hit(F.col("spans")) <= max_coverage * F.col("n_words"))
-
-    def cut(batches):
-        for batch in batches:
-            texts = [
-                text.decode() if text is not None and not spans else None if text is None else cut_words(text, [(s["start"], s["end"]) for s in spans])
-                for text, spans in zip(batch.column("row").field("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-    row = found.schema["row"].dataType.simpleString()
-    out = kept.select("row", "spans").mapInArrow(cut, f"row {row}, text string")
-    return out.select(*[
-        F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
+    found = _scanned(docs, items, window, 200_000, cut=True)
+    stay = found.where(n_hit(F.col("spans")) <= max_coverage * F.col("n_words"))
+    text = F.when(F.col("row.text").isNotNull(), F.col("kept"))
+    return stay.select(*[
+        text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)
         for c in docs.columns
     ])
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and the bytes between them."""
+    if not spans:
+        return text.decode()
     plain = np.frombuffer(text.translate(_NORMAL), np.uint8) != 32
     edges = np.flatnonzero(np.diff(np.concatenate(([0], plain.view(np.int8), [0]))))
     starts, ends = edges[::2], edges[1::2]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import limit_batches, text_slices
 
 SEGMENT = 512
 UNKNOWN = "und"
@@ -183,6 +183,7 @@ _PARSERS: dict[str, Parser] = {}
 
 def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """doc_id, lang_pred and score of each row of `docs` (doc_id, text)."""
+    limit_batches(docs.sparkSession)
     shared, name = docs.sparkSession.sparkContext.broadcast(samples), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import limit_batches
+
 STATISTICS = (
     "log_words",
     "mean_word_bytes",
@@ -199,6 +201,7 @@ def _lasso(design: np.ndarray, labels: np.ndarray, penalty: float, steps: int =
 
 def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows: int = 8000) -> RuleModel:
     """A model from the rows of `docs` (doc_id, text) for which `fold` holds and `labels` has a label of 0 or 1."""
+    limit_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", text_statistics("text").alias("stats"))
@@ -209,6 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """`docs` with the columns of the input in the struct `row`, and score (0 to 1)."""
+    limit_batches(docs.sparkSession)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return held.withColumn("stats", text_statistics("row.text")).select("row", model.score("stats").alias("score"))
 

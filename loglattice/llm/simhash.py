@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices, utf8
+from .common import limit_batches, materialise, text_slices, utf8
 from .components import connected_components
 
 SEED = 42
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             prints = b"".join([fingerprint(shingle_hashes(t, words)) for t in utf8(batch.column("text"))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.frombuffer(prints, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
+    limit_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, fp long")
 
@@ -265,6 +266,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
             fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array(totals, pa.int64()), pa.array(sizes, pa.int32()), pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "fp", "total", "n", "minima"])
 
+    limit_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, total long, n int, minima array<long>")
 
 

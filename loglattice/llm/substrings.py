@@ -35,6 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import limit_batches
+
 MIN_WORDS = 13
 _ANCHOR_WORDS = 7
 _LAST_DOC = (1 << 63) - 1
@@ -300,6 +302,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, layout: bool = Fal
     `layout` the text as it is without the words of factors and what lies between them."""
     if min_words < _ANCHOR_WORDS:
         raise ValueError(f"min_words must be {_ANCHOR_WORDS} at least")
+    limit_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     buckets = max(8, math.ceil(total / (4 * block_bytes)))

@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import limit_batches
 from .tokens import encoder
 
 BLOCK_IDS = 1 << 16
@@ -130,6 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if out:
             yield rows()
 
+    limit_batches(docs.sparkSession)
     order = F.xxhash64(F.coalesce("text", F.lit("")))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", order).sortWithinPartitions("doc_id", order)
     ranged.mapInArrow(blocks, _SCHEMA).write.option("compression", "none").option("parquet.block.size", 1 << 30).parquet(path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import limit_batches, utf8
 from .decontaminate import _NORMAL
 
 LENGTHS = (4, 6, 8)
@@ -169,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], lengths: tuple[int, ...] = LENGTHS, bits: int = BITS) -> DataFrame:
     """doc_id and score (0 to 1) of each row of `docs`."""
+    limit_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
