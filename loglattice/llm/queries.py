@@ -35,7 +35,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stay when runs of 13 words that an earlier document has are removed."""
     found = substrings.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=13)
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").alias("n_factors"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +161,24 @@ ORACLES: dict[str, str] = {
                 || CASE WHEN turn IS NULL THEN 'null' ELSE '"' || name || '"' END || ',"result":' || CASE WHEN answered IS NULL THEN 'null' ELSE CAST(to_json(content) AS VARCHAR) END || '}') AS canonical_sha256
         FROM e
     """,
+    "op2_substrings": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(x[i:i + 12], ' ') AS k FROM (SELECT doc_id, x, unnest(range(1, len(x) - 11)) AS i FROM w)),
+        f AS (SELECT k, min(doc_id) AS first_doc FROM g GROUP BY k),
+        d AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM g JOIN f USING (k) WHERE first_doc < doc_id)),
+        s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS pos FROM w) ANTI JOIN d USING (doc_id, pos) GROUP BY doc_id)
+        SELECT w.doc_id, len(x) AS n_words, len(x) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+    """,
+    "op9_decontaminate": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM benchmark WHERE item_id IS NOT NULL),
+        i AS (SELECT DISTINCT item_id, m, array_to_string(x[p:p + m - 1], ' ') AS k FROM (SELECT item_id, x, least(len(x), 10) AS m, unnest(range(1, len(x) - least(len(x), 10) + 2)) AS p FROM b WHERE len(x) > 0)),
+        l AS (SELECT DISTINCT m FROM i),
+        g AS (SELECT doc_id, m, p, array_to_string(x[p:p + m - 1], ' ') AS k FROM (SELECT doc_id, x, m, unnest(range(1, len(x) - m + 2)) AS p FROM w, l WHERE len(x) >= m)),
+        h AS (SELECT doc_id, item_id, m, p FROM g JOIN i USING (m, k)),
+        n AS (SELECT doc_id, count(DISTINCT p + j) AS n_hit FROM (SELECT doc_id, p, unnest(range(0, m)) AS j FROM h) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        SELECT w.doc_id, len(x) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
 }
