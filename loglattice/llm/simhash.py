@@ -297,10 +297,11 @@ def _slices(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _in_groups(keyed: DataFrame, columns: list[str], tile: int) -> DataFrame:
+def _in_groups(keyed: DataFrame, columns: list[str], weight: Column, tile: int) -> DataFrame:
     """Rows (part, key, doc_id, columns) dealt into groups that fit a task, sorted by group: buckets of two rows or more,
-    those of more than `tile` as all pairs of tiles."""
-    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("rows")).where("rows > 1").select("part", "key", F.ceil(F.col("rows") / tile).cast("int").alias("tiles"))
+    those whose weights add up to more than `tile` as all pairs of tiles."""
+    total = keyed.groupBy("part", "key").agg(F.count("*").alias("rows"), F.sum(weight).alias("weight")).where("rows > 1")
+    sizes = total.select("part", "key", F.ceil(F.col("weight") / tile).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
     paired = keyed.join(sizes, ["part", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     grouped = paired.select("part", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", *columns)
@@ -343,57 +344,74 @@ def _verified(radius: int, similarity: float):
         for table in _slices(batches, _GROUP):
             docs, prints = table.column("doc_id").to_numpy(), table.column("fp").to_numpy()
             sets = [np.frombuffer(s, np.uint32) for s in table.column("shingles").to_pylist()]
-            pairs = [(a[a < b], b[a < b]) for a, b in close_pairs(prints, prints, radius)]
-            one, two = (np.concatenate([p[k] for p in pairs]) if pairs else np.empty(0, np.int64) for k in (0, 1))
-            apart = np.bitwise_count(prints[one] ^ prints[two])
-            order = np.argsort(apart, kind="stable")
-            one, two = one[order], two[order]
-            root = np.arange(len(docs))
-            edges = []
-            # each time, the closest pair of every set that is not yet joined
-            while len(one):
-                _, first = np.unique(one, return_index=True)
-                for k in first.tolist():
-                    a, b = int(one[k]), int(two[k])
-                    if root[a] != root[b] and _similar(sets[a], sets[b], similarity):
-                        edges.append((a, b))
-                        root[root == max(root[a], root[b])] = min(root[a], root[b])
-                stay = np.ones(len(one), bool)
-                stay[first] = False
-                stay &= root[one] != root[two]
-                one, two = one[stay], two[stay]
-            if edges:
-                a, b = (docs[list(x)] for x in zip(*edges, strict=True))
+            roots = _forest_of_similar(sets, close_pairs(prints, prints, radius), similarity)
+            moved = np.flatnonzero(roots != np.arange(len(docs)))
+            if len(moved):
+                a, b = docs[roots[moved]], docs[moved]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return scan
 
 
-def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have at least this Jaccard similarity."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(b):
-        return True
-    if len(a) < similarity * len(b):
-        return False
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int(np.count_nonzero(b[at] == a))
-    return both >= similarity * (len(a) + len(b) - both)
+class _Sets:
+    """The sets of a group as bits, one column for each element that two sets have (others are in no intersection);
+    as they are where that would take more than `most` bytes."""
+
+    def __init__(self, sets: list[np.ndarray], most: int = 64 << 20):
+        self.sets, self.sizes = sets, np.array([len(x) for x in sets], np.int64)
+        self.bits = None
+        if self.sizes.sum() > most // 16:
+            return
+        _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        place = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[number]
+        width = int(np.count_nonzero(count > 1))
+        if len(sets) * width > 8 * most:
+            return
+        owner = np.repeat(np.arange(len(sets)), self.sizes)[place >= 0]
+        place = place[place >= 0]
+        bits = np.zeros((len(sets), max(1, -(-width // 64)) * 8), np.uint8)
+        np.bitwise_or.at(bits, (owner, place >> 3), np.left_shift(1, place & 7).astype(np.uint8))
+        self.bits = bits.view(np.uint64)
+
+    def similar(self, a: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the others have at least this Jaccard similarity with set a."""
+        if self.bits is None:
+            both = np.array([len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True)) for b in others.tolist()], np.int64)
+        else:
+            both = np.concatenate([np.bitwise_count(self.bits[others[k : k + 2048]] & self.bits[a]).sum(axis=1, dtype=np.int64) for k in range(0, len(others), 2048)])
+        return both >= similarity * (self.sizes[a] + self.sizes[others] - both)
+
+
+def _forest_of_similar(sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
+    """For each set the smallest one that it is joined to by pairs of that similarity. Pairs whose ends are joined
+    already are not looked at."""
+    held = _Sets(sets)
+    root = np.arange(len(sets))
+    for one, two in pairs:
+        order = np.argsort(one, kind="stable")
+        one, two = one[order], two[order]
+        edges = [*np.flatnonzero(np.diff(one, prepend=-1)).tolist(), len(one)]
+        for at, to in itertools.pairwise(edges):
+            a, others = int(one[at]), two[at:to]
+            others = others[root[others] != root[a]]
+            if len(others) and len(others := others[held.similar(a, others, similarity)]):
+                joined = np.unique(np.append(root[others], root[a]))
+                root[np.isin(root, joined)] = joined[0]
+    return root
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, tile: int = 1024) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, tile: int = 16_384, tile_bytes: int = 32 << 20) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable) of each row of `docs` with a doc_id, where documents are
     linked whose sets of shingles of `words` words have at least this Jaccard similarity.
 
     Documents with equal sets fall together. The others meet where one of five minima over their shingles
     agrees (a pair at 0.8 is missed by all five once in 3,000 times); groups compare fingerprints bit-sliced,
-    and pairs within `radius` bits are decided by the sets themselves, the closest pairs first and none whose
-    ends are joined already. Sets are built only for documents that have such a partner."""
+    and pairs within `radius` bits are decided by the sets themselves unless their ends are joined already. Sets
+    are built only for documents that have such a partner. Large buckets are cut by rows, then by bytes."""
     found = materialise(_sketches(docs, words).where("doc_id is not null"))
     nodes = materialise(found.groupBy("total", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("minima", "doc_id").alias("minima")))
     keyed = nodes.where("n > 0").select("doc_id", "fp", "n", F.posexplode("minima").alias("part", "key"))
-    near = _in_groups(keyed, ["fp", "n"], tile).mapInArrow(_alive(radius, similarity), "part int, key long, doc_id long")
+    near = _in_groups(keyed, ["fp", "n"], F.lit(1), tile).mapInArrow(_alive(radius, similarity), "part int, key long, doc_id long")
     near = materialise(near.distinct())
     chosen = near.select("doc_id").distinct()
 
@@ -404,7 +422,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select("doc_id", "fp").join(chosen, "doc_id"), "doc_id")
     sets = materialise(texts.select("doc_id", "fp", "text").mapInArrow(shingles, "doc_id long, fp long, shingles binary").dropDuplicates(["doc_id"]))
-    edges = _in_groups(near.join(sets, "doc_id"), ["fp", "shingles"], tile).mapInArrow(_verified(radius, similarity), "a long, b long")
+    edges = _in_groups(near.join(sets, "doc_id"), ["fp", "shingles"], F.octet_length("shingles"), tile_bytes).mapInArrow(_verified(radius, similarity), "a long, b long")
     joined = connected_components(edges)
     grouped = nodes.join(joined, nodes.doc_id == joined.node, "left").select("total", "n", F.coalesce("component", "doc_id").alias("component_id"))
     return found.select("doc_id", "total", "n").join(grouped, ["total", "n"]).select("doc_id", "component_id")
