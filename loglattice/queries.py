@@ -565,3 +565,74 @@ def o56_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps from the lines on, with absorption and rule-based labels: the flagship."""
     w = analyse_entries(_entries(spark, sf_dir).select("file_name", "start_line", "content"))
     return reports.pattern_stats(w.matched, w.labelled).select("pattern_id", "semantic_id", "dir_name", "raw_pattern", "count", "first_file", "first_line", "last_file", "last_line")
+
+
+# The single steps of event extraction, and the tables' set-up.
+
+
+def _from_events(spark: SparkSession, sf_dir: str, line) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", "event_type", F.expr(line).alias("content") if isinstance(line, str) else line.alias("content"))
+
+
+@query("o08_init_tables", _SQL_STORED + " SELECT (SELECT count(*) FROM entries) AS n_entries, (SELECT count(*) FROM patterns) AS n_patterns")
+def o08_init_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Making the tables again leaves what is in them."""
+    path = _stored_tables(spark, sf_dir)
+    store.init_tables(spark, path)
+    entries = store.read_entries(spark, path).agg(F.count("*").alias("n_entries"))
+    return entries.join(store.read_patterns(spark, path).agg(F.count("*").alias("n_patterns")))
+
+
+@query("o21_json_values", "SELECT event_id, concat(event_id, '.5') AS half, concat(event_id, '000') AS big, 'false' AS flag, '1.0' AS quoted, concat('[', event_id, ',\"x\"]') AS list FROM events WHERE event_id > 0")
+def o21_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = """concat('{"half":', event_id, '.50,"big":', event_id, 'e3,"flag":false,"quoted":"1.0","list":[', event_id, ', "x"]}')"""
+    parsed = events.parse_events(_from_events(spark, sf_dir, line).where("event_id > 0"))
+    return parsed.select("event_id", *[F.col("attrs")[k].alias(k) for k in ("half", "big", "flag", "quoted", "list")])
+
+
+@query("o22_assignments", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'logfmt' WHEN 1 THEN 'key_value' ELSE 'plain_text' END AS source_format, CASE WHEN event_id % 3 < 2 THEN CAST(event_id AS VARCHAR) END AS k, CASE WHEN event_id % 3 = 0 THEN concat('a \"', event_type) END AS q FROM events")
+def o22_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quote = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(' q="a \\"'), "event_type", F.lit('"'))).when(F.col("event_id") % 3 == 1, "").otherwise(F.concat(F.lit(" "), "event_type"))
+    parsed = events.parse_events(_from_events(spark, sf_dir, F.concat(F.lit("k="), F.col("event_id").cast("string"), quote, F.lit(" e="))))
+    return parsed.select("event_id", "source_format", F.col("attrs")["k"].alias("k"), F.col("attrs")["q"].alias("q"))
+
+
+@query("o23_prefixes", _SQL_LINES + f" SELECT event_id, epoch_us(date_trunc('second', ts)) AS ts_us, CASE WHEN event_id % 2 = 0 THEN {_KNOWN} END AS level FROM lines WHERE event_id % 5 = 3")
+def o23_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = events.parse_events(event_lines(spark, sf_dir).where("event_id % 5 = 3").drop("ts"))
+    return parsed.select("event_id", F.unix_micros("ts").alias("ts_us"), F.col("attrs")["level"].alias("level"))
+
+
+@query("o24_canonical_fields", "SELECT event_id, 'error' AS level, 'loud' AS lvl, event_type AS service, 'qa' AS env, 4 AS n_attrs FROM events")
+def o24_canonical_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = """concat('{" Severity ":"[ERR]","Lvl":"loud","service_name":"old","service.name":" ', event_type, ' ","Environment":" QA ","x":""," ":"y","time":"never"}')"""
+    parsed = events.parse_events(_from_events(spark, sf_dir, line))
+    return parsed.select("event_id", F.col("attrs")["level"].alias("level"), F.col("attrs")["Lvl"].alias("lvl"), F.col("attrs")["service"].alias("service"), F.col("attrs")["env"].alias("env"), F.size("attrs").alias("n_attrs"))
+
+
+@query("o25_validation", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'source_format is not supported' ELSE 'name is required|event.text is required' END AS violations FROM events")
+def o25_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    text_of = F.when(k == 2, F.lit("  ")).otherwise(F.col("event_type"))
+    event = F.struct(F.lit(None).cast("timestamp").alias("ts"), text_of.alias("text"), F.create_map(F.lit("a"), F.lit("b")).alias("attrs"), F.struct(F.lit("").alias("pattern"), F.lit("").alias("entity")).alias("inferred"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.when(k == 2, " ").otherwise("n").alias("name"), F.when(k == 1, "grok").otherwise("json").alias("source_format"), F.lit("d").alias("description"), event.alias("event"))
+    return events.validate_events(rows).select("event_id", F.array_join("violations", "|").alias("violations"))
+
+
+@query("o27_levels", _SQL_LINES + f" SELECT event_id, {_KNOWN} AS level FROM lines")
+def o27_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", events.canonical_level(F.concat(F.lit(" ["), F.upper(F.expr(_LEVEL)), F.lit("] "))).alias("level"))
+
+
+@query("o29_own_parser", _SQL_LINES + " SELECT event_id, content AS raw, upper(left(content, 5)) AS head FROM lines")
+def o29_own_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser given as a function of the column."""
+
+    def head(line):
+        empty = F.lit(None).cast("struct<pattern:string,entity:string>")
+        return F.struct(F.lit(None).cast("timestamp").alias("ts"), F.create_map(F.lit("head"), F.upper(F.substring(line, 1, 5))).alias("attrs"), empty.alias("inferred"), F.lit(None).cast("map<string,string>").alias("labels"))
+
+    got = events.ingest_lines(event_lines(spark, sf_dir).drop("ts"), head, native=True)
+    return got.select("event_id", "raw", F.col("attrs")["head"].alias("head"))
