@@ -39,9 +39,9 @@ class Encoder:
     two other characters always begins a word. So the text is split there, and the ids of each part come
     from a table, or else from the library's model. Texts with other runs of white space are cut by the
     full pattern, and those that hold added tokens are encoded whole, as are all texts of tokenizers of
-    another kind. `words` bounds the table of parts, and half of it that of words within parts."""
+    another kind. `words` bounds each of the tables."""
 
-    def __init__(self, path: str, words: int = 200_000):
+    def __init__(self, path: str, words: int = 300_000):
         import regex
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,7 +62,7 @@ class Encoder:
         ids = self.pieces.get(piece)
         if ids is None:
             ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.pieces) < self.words // 2 and len(piece) < 64:
+            if len(self.pieces) < self.words and len(piece) < 64:
                 self.pieces[piece] = ids
         return ids
 
