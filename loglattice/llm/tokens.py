@@ -39,9 +39,10 @@ class Encoder:
     two other characters always begins a word. So the text is split there, and the ids of each part come
     from a table, or else from the library's model. Texts with other runs of white space are cut by the
     full pattern, and those that hold added tokens are encoded whole, as are all texts of tokenizers of
-    another kind. `words` bounds each of the tables."""
+    another kind. `words` bounds the table of
+    words, and a tenth of it that of parts (a word with the marks after it), which holds the frequent ones."""
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 600_000):
         import regex
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,13 +70,24 @@ class Encoder:
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self._piece, self.find(text)))
 
+    def _word(self, lead: str, body: str) -> bytes:
+        """Letters, and letters before a comma or full stop, are cut without the pattern."""
+        if body.isalpha():
+            return self._piece(lead + body)
+        if body[-1] in ".," and body[:-1].isalpha():
+            return self._piece(lead + body[:-1]) + self._piece(body[-1])
+        return self._cut(lead + body)
+
     def _part(self, part: str) -> bytes | None:
         """Ids of a part with the white space before it; None if its place in the text matters."""
         body = part[1:] if part[:1] == "\n" else part
         if not body or body[0].isspace() or body[-1].isspace():
             return None
-        ids = self._cut(part if body is not part else " " + part)
-        if len(self.parts) < self.words and len(part) < 64:
+        if body is part:
+            ids = self._word(" ", body)
+        else:
+            ids = self._piece("\n") + self._word("", body)
+        if len(self.parts) < self.words // 10 and len(part) < 64:
             self.parts[part] = ids
         return ids
 
