@@ -95,6 +95,20 @@ def test_more_fingerprints_take_longer_keys():
     assert sizes == sorted(sizes) and sizes[0] < sizes[-1]
 
 
+@pytest.mark.parametrize("shared", [8, 160])
+def test_minima_are_independent(shared):
+    """Isolated pairs at Jaccard 0.8: any k of the orders all miss as often as 0.2 ** k says."""
+    random = np.random.default_rng(11)
+    own, pairs = shared // 8, 20_000
+    missed = np.zeros((pairs, simhash._MINIMA), bool)
+    for k in range(pairs):
+        x = random.integers(0, 1 << 64, shared + 2 * own, np.uint64)
+        missed[k] = np.not_equal(simhash._minima(x[: shared + own]), simhash._minima(np.concatenate([x[:shared], x[shared + own :]])))
+    for k, most in ((1, 1.05), (2, 1.1), (3, 1.3), (5, 2.5)):
+        assert missed[:, :k].all(axis=1).mean() < most * 0.2**k
+    assert missed.all(axis=1).sum() <= 1
+
+
 @pytest.mark.parametrize("tile", [16_384, 4])
 def test_near_duplicates_by_brute_force(spark, tile):
     random.seed(8)
