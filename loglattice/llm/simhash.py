@@ -235,7 +235,7 @@ def hex_print(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# Near-duplicates by similarity: fingerprints find the pairs, shingles decide.
+# Near-duplicates by similarity: fingerprints find most pairs soon, shingles decide all.
 
 _MINIMA = 8
 _SEEDS = np.array([[xxhash.xxh64_intdigest(k.to_bytes(8, "big"), SEED)] for k in range(_MINIMA)], np.uint64)
@@ -255,24 +255,33 @@ def _minima(hashes: np.ndarray) -> list[int]:
     return least.astype(np.int64).tolist()
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' last bits: whether an odd number of them has it. Two sets differ in at least as
+    many elements as these differ in bits. 512 bits, doubled until there are as many bits as hashes."""
+    size = 1 << max(9, (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Of each row: fingerprint, number and sum of its different shingles (equal for equal sets) and minima."""
+    """Of each row, from its different shingles: fingerprint, parities, number and sum (equal for equal sets) and minima."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            prints, totals, sizes, minima = [], [], [], []
+            prints, parities, totals, sizes, minima = [], [], [], [], []
             for text in utf8(batch.column("text")):
-                hashes = shingle_hashes(text, words)
-                prints.append(fingerprint(hashes))
-                different = np.unique(hashes.astype(np.uint64))
+                different = np.unique(shingle_hashes(text, words).astype(np.uint64))
+                prints.append(fingerprint(different.astype(">u8")))
+                parities.append(_parities(different))
                 sizes.append(len(different))
                 totals.append(int(different.sum(dtype=np.uint64).astype(np.int64)))
                 minima.append(_minima(different))
             fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array(totals, pa.int64()), pa.array(sizes, pa.int32()), pa.array(minima, pa.list_(pa.int64()))], ["doc_id", "fp", "total", "n", "minima"])
+            columns = [fp, pa.array(parities, pa.binary()), pa.array(totals, pa.int64()), pa.array(sizes, pa.int32()), pa.array(minima, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "fp", "parities", "total", "n", "minima"])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, total long, n int, minima array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, parities binary, total long, n int, minima array<long>")
 
 
 _GROUP = ["part", "key", "low", "high"]
@@ -313,8 +322,47 @@ def _in_groups(keyed: DataFrame, columns: list[str], weight: Column, tile: int)
     return grouped.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
 
-def _alive(radius: int, similarity: float):
-    """Of each group the rows with a partner within the radius whose number of shingles allows the similarity."""
+def _possible(parities: list[bytes], n: np.ndarray, similarity: float, mine: np.ndarray | None = None, block: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (into mine, or else all; into all) of the pairs whose numbers of shingles and parities allow the similarity.
+    It is a bound: no pair that has the similarity is left out."""
+    sizes = np.array([len(p) for p in parities], np.int64)
+    wanted = np.ones(len(n), bool)
+    if mine is not None:
+        wanted[:] = False
+        wanted[mine] = True
+    share = (1 - similarity) / (1 + similarity)
+    for size in np.unique(sizes).tolist():
+        reach = [size]
+        while (8 * reach[-1] + 1) * similarity <= 8 * size:  # longer parities whose sets may still be near enough in number
+            reach.append(2 * reach[-1])
+        at = np.flatnonzero(np.isin(sizes, reach))
+        rows = np.empty((len(at), size // 8), np.uint64)
+        for length in reach:
+            own = np.flatnonzero(sizes[at] == length)
+            if len(own):
+                bits = np.frombuffer(b"".join([parities[k] for k in at[own].tolist()]), np.uint64).reshape(len(own), -1, size // 8)
+                rows[own] = np.bitwise_xor.reduce(bits, axis=1)
+        planes, count = np.ascontiguousarray(rows.T), n[at]
+        # pairs of which one has this length, and of which one is wanted
+        for first, second in ((sizes[at] == size, np.ones(len(at), bool)), (sizes[at] > size, sizes[at] == size)):
+            left, right = np.flatnonzero(first & wanted[at]), np.flatnonzero(second)
+            if not len(left) or not len(right):
+                continue
+            others = planes[:, right]
+            for row in range(0, len(left), block):
+                part = left[row : row + block]
+                apart = np.zeros((len(part), len(right)), np.uint32)
+                for plane, other in zip(planes[:, part], others, strict=True):
+                    apart += np.bitwise_count(plane[:, None] ^ other)
+                both = count[part][:, None] + count[right]
+                near = (apart <= share * both + 1e-6) & (np.minimum(count[part][:, None], count[right]) >= similarity * np.maximum(count[part][:, None], count[right]))
+                one, two = np.nonzero(near)
+                if len(one):
+                    yield at[part[one]], at[right[two]]
+
+
+def _alive(similarity: float):
+    """Of each group the rows with a partner that may have the similarity."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[pa.Table] = []
@@ -323,10 +371,10 @@ def _alive(radius: int, similarity: float):
         def compared() -> pa.RecordBatch:
             table = pa.concat_tables(pool).combine_chunks()
             group = np.repeat(np.arange(len(pool)), [p.num_rows for p in pool])
-            prints, n = table.column("fp").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-            close = np.zeros(len(prints), bool)
-            for a, b in close_pairs(prints, prints, radius):
-                real = (a != b) & (group[a] == group[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+            n = table.column("n").to_numpy().astype(np.int64)
+            close = np.zeros(len(n), bool)
+            for a, b in _possible(table.column("parities").to_pylist(), n, similarity):
+                real = (a != b) & (group[a] == group[b])
                 close[a[real]] = True
             return table.select(["part", "key", "doc_id"]).filter(pa.array(close)).combine_chunks().to_batches()
 
@@ -343,13 +391,20 @@ def _alive(radius: int, similarity: float):
 
 
 def _verified(radius: int, similarity: float):
-    """Of each group a forest of the pairs within the radius that have the similarity by their sets of shingles."""
+    """Of each group a forest of the pairs that have the similarity by their sets of shingles. Pairs within the radius come
+    first; then all others that may have it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _slices(batches, _GROUP):
             docs, prints = table.column("doc_id").to_numpy(), table.column("fp").to_numpy()
             sets = [np.frombuffer(s, np.uint32) for s in table.column("shingles").to_pylist()]
-            roots = _forest_of_similar(sets, close_pairs(prints, prints, radius), similarity)
+            held = _Sets(sets)
+            roots = _forest_of_similar(held, close_pairs(prints, prints, radius), similarity, np.arange(len(docs)))
+            kinds, sizes = np.unique(roots, return_counts=True)
+            if len(kinds) > 1:
+                # of two rows that are not joined, one at least is outside the largest tree
+                rest = np.flatnonzero(roots != kinds[sizes.argmax()])
+                roots = _forest_of_similar(held, _possible(table.column("parities").to_pylist(), held.sizes, similarity, rest), similarity, roots)
             moved = np.flatnonzero(roots != np.arange(len(docs)))
             if len(moved):
                 a, b = docs[roots[moved]], docs[moved]
@@ -387,11 +442,9 @@ class _Sets:
         return both >= similarity * (self.sizes[a] + self.sizes[others] - both)
 
 
-def _forest_of_similar(sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> np.ndarray:
-    """For each set the smallest one that it is joined to by pairs of that similarity. Pairs whose ends are joined
-    already are not looked at."""
-    held = _Sets(sets)
-    root = np.arange(len(sets))
+def _forest_of_similar(held: _Sets, pairs: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float, root: np.ndarray) -> np.ndarray:
+    """`root`, for each set the smallest one that it is joined to, carried on by pairs of that similarity. Pairs whose
+    ends are joined already are not looked at."""
     for one, two in pairs:
         order = np.argsort(one, kind="stable")
         one, two = one[order], two[order]
@@ -410,24 +463,25 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     linked whose sets of shingles of `words` words have at least this Jaccard similarity.
 
     Documents with equal sets fall together. The others meet where one of eight minima over their shingles
-    agrees (all eight miss a pair at 0.8 once in 390,000 times); groups compare fingerprints bit-sliced,
-    and pairs within `radius` bits are decided by the sets themselves unless their ends are joined already. Sets
-    are built only for documents that have such a partner. Large buckets are cut by rows, then by bytes."""
+    agrees (all eight miss a pair at 0.8 once in 390,000 times); the sets themselves decide all
+    pairs there whose ends are not joined already: first those whose fingerprints, compared bit-sliced, are within
+    `radius` bits, then all that sizes and parities allow (a bound that no pair at the similarity fails). Sets are
+    built only for documents that have such a partner. Large buckets are cut by rows, then by bytes."""
     found = materialise(_sketches(docs, words).where("doc_id is not null"))
-    nodes = materialise(found.groupBy("total", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("minima", "doc_id").alias("minima")))
-    keyed = nodes.where("n > 0").select("doc_id", "fp", "n", F.posexplode("minima").alias("part", "key"))
-    near = _in_groups(keyed, ["fp", "n"], F.lit(1), tile).mapInArrow(_alive(radius, similarity), "part int, key long, doc_id long")
+    nodes = materialise(found.groupBy("total", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("parities", "doc_id").alias("parities"), F.min_by("minima", "doc_id").alias("minima")))
+    keyed = nodes.where("n > 0").select("doc_id", "parities", "n", F.posexplode("minima").alias("part", "key"))
+    near = _in_groups(keyed, ["parities", "n"], F.expr("octet_length(parities) div 64"), tile).mapInArrow(_alive(similarity), "part int, key long, doc_id long")
     near = materialise(near.distinct())
     chosen = near.select("doc_id").distinct()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             sets = [np.unique((shingle_hashes(t, words).astype(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(sets, pa.binary())], ["doc_id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), batch.column("parities"), pa.array(sets, pa.binary())], ["doc_id", "fp", "parities", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select("doc_id", "fp").join(chosen, "doc_id"), "doc_id")
-    sets = materialise(texts.select("doc_id", "fp", "text").mapInArrow(shingles, "doc_id long, fp long, shingles binary").dropDuplicates(["doc_id"]))
-    edges = _in_groups(near.join(sets, "doc_id"), ["fp", "shingles"], F.octet_length("shingles"), tile_bytes).mapInArrow(_verified(radius, similarity), "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select("doc_id", "fp", "parities").join(chosen, "doc_id"), "doc_id")
+    sets = materialise(texts.select("doc_id", "fp", "parities", "text").mapInArrow(shingles, "doc_id long, fp long, parities binary, shingles binary").dropDuplicates(["doc_id"]))
+    edges = _in_groups(near.join(sets, "doc_id"), ["fp", "parities", "shingles"], F.octet_length("shingles") + F.octet_length("parities"), tile_bytes).mapInArrow(_verified(radius, similarity), "a long, b long")
     joined = connected_components(edges)
     grouped = nodes.join(joined, nodes.doc_id == joined.node, "left").select("total", "n", F.coalesce("component", "doc_id").alias("component_id"))
     return found.select("doc_id", "total", "n").join(grouped, ["total", "n"]).select("doc_id", "component_id")

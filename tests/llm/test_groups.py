@@ -136,6 +136,37 @@ def test_near_duplicates_by_brute_force(spark, tile):
     assert {r.doc_id for r in kept.collect()} == {smallest[g] for g in smallest}
 
 
+def test_near_duplicates_far_apart_in_bits(spark):
+    """Pairs over 0.8 by sets, of which one repeats a passage or both are small: fingerprints say little there."""
+    rows = []
+    for k in range(20):
+        base = words(150, 900 + k, 10**6).split()
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + base[-16:] * 60))]
+    for k in range(20, 220):
+        base = words(9, 900 + k, 10**6).split()
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base[:8]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert got == {d: d - d % 10 for d, _ in rows}
+
+
+def test_no_similar_pair_is_ruled_out():
+    random = np.random.default_rng(12)
+    sets = []
+    for size in (1, 4, 5, 40, 300, 500, 512, 600, 640, 1100, 1300):
+        base = random.integers(0, 1 << 64, size, np.uint64)
+        for _ in range(12):
+            kept = base[random.random(size) > random.choice([0, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, random.integers(0, 1 << 64, random.integers(0, size // 8 + 1), np.uint64)])))
+    n, parities = np.array([len(x) for x in sets]), [simhash._parities(x) for x in sets]
+    held = [set(x.tolist()) for x in sets]
+    want = {(a, b) for a, x in enumerate(held) for b, y in enumerate(held) if x and y and len(x & y) >= 0.8 * len(x | y)}
+    assert len({len(p) for p in parities}) > 2 and len(want) > 2 * len(sets)
+    for mine in (None, np.arange(0, len(sets), 3)):
+        got = {pair for a, b in simhash._possible(parities, n, 0.8, mine) for pair in zip(a.tolist(), b.tolist(), strict=True)}
+        assert {p for p in want if mine is None or p[0] % 3 == 0} <= got
+        assert len(got) < 0.2 * len(sets) ** 2 and (mine is None or all(a % 3 == 0 for a, _ in got))
+
+
 @pytest.mark.parametrize("blocks", [(8192, 4096), (16, 2)])
 def test_top_k_by_brute_force(spark, blocks):
     random.seed(9)
