@@ -8,7 +8,9 @@ share of phrases that the winner saves against the second.
 Texts are lower-cased; what is not a letter becomes one space. They are parsed in segments of `SEGMENT`
 letters side by side (a phrase doesn't cross a segment's end), all of them, so a task's arrays stay small and
 long texts are no special case. Training: up to `max_docs` labelled documents of each language (the smallest
-hashes of doc_id), cut where they add up to `max_chars`; up to `max_languages` languages, the most frequent.
+hashes of doc_id), cut where they add up to `max_chars`, of every language. All letters of the samples count: arcs of the
+most frequent ones are a dense table of bounded size, the others sorted keys, as many as the samples have arcs.
+Languages are parsed `PASS` at a time; where there are more, each pass hands its best and second counts to the next.
 
 Defined results: null texts and texts without a letter, and all texts if nothing was learned, are `und` with
 score 0; a single language wins with score 1; documents without a language don't train; repeated rows are
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import limit_batches, text_slices
+from .common import limit_batches, materialise, text_slices
 
 SEGMENT = 512
 UNKNOWN = "und"
+#: Languages whose automata a Python worker holds at a time.
+PASS = 64
 
 
 def letters_of(text: str) -> np.ndarray:
@@ -86,41 +90,52 @@ class SuffixAutomaton:
 class Parser:
     """Counts phrases against the automata of all languages at once."""
 
-    def __init__(self, samples: dict[str, list[str]], alphabet: int = 63):
+    def __init__(self, samples: dict[str, list[str]], dense: int = 63, dense_bytes: int = 128 << 20):
         self.names = sorted(samples)
         parts = {name: [letters_of(t) for t in samples[name]] for name in self.names}
         seen = Counter()
         for texts in parts.values():
             for t in texts:
-                seen.update(dict(zip(*np.unique(t, return_counts=True), strict=True)))
-        known = sorted(p for p, _ in seen.most_common(alphabet))
-        self.width = len(known) + 1  # the last code: a letter that no arc has
-        self.code = np.full(0x3000, self.width - 1, np.int32)
+                seen.update(dict(zip(*(x.tolist() for x in np.unique(t, return_counts=True)), strict=True)))
+        known = sorted(seen, key=lambda p: (-seen[p], p))
+        self.unknown = len(known)  # the last code: a letter that no arc has
+        self.code = np.full(0x3000, self.unknown, np.int32)
         self.rare = {}
         for k, p in enumerate(known):
             if p < 0x3000:
                 self.code[p] = k
             self.rare[p] = k
-        tables, self.roots = [], []
+        found, self.roots = [], []
         base = 0
         for name in self.names:
             sequence: list[int] = []
             for t in parts[name]:
-                sequence += [*self.codes(t).tolist(), self.width]  # no phrase crosses a text's end
+                sequence += [*self.codes(t).tolist(), self.unknown]  # no phrase crosses a text's end
             automaton = SuffixAutomaton(sequence)
-            arcs = np.full((len(automaton.arcs), self.width), -1, np.int32)
-            for state, out in enumerate(automaton.arcs):
-                for letter, to in out.items():
-                    if letter < self.width - 1:
-                        arcs[state, letter] = base + to
-            tables.append(arcs)
+            arcs = [(base + state, letter, base + to) for state, out in enumerate(automaton.arcs) for letter, to in out.items() if letter < self.unknown]
+            found.append(np.array(arcs, np.int32).reshape(-1, 3))
             self.roots.append(base)
-            base += len(arcs)
-        self.arcs = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+            base += len(automaton.arcs)
+        # codes under `dense` have a column; the last column is of all others
+        self.dense = min(dense, self.unknown, max(0, dense_bytes // (4 * max(1, base)) - 1))
+        state, letter, to = np.concatenate(found).T if found else np.empty((3, 0), np.int32)
+        table = np.full((base, self.dense + 1), -1, np.int32)
+        often = letter < self.dense
+        table[state[often], letter[often]] = to[often]
+        self.arcs = table.ravel()
+        keys = state[~often].astype(np.int64) * self.unknown + letter[~often]
+        order = np.argsort(keys)
+        self.keys, self.ends = keys[order], to[~often][order]
+
+    def _sparse(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Where arcs of letters without a column lead; -1 where there is none."""
+        key = state.astype(np.int64) * self.unknown + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ends[at], -1)
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         if len(points) and points.max() >= 0x3000:
-            return np.array([self.rare.get(p, self.width - 1) for p in points.tolist()], np.int32)
+            return np.array([self.rare.get(p, self.unknown) for p in points.tolist()], np.int32)
         return self.code[points]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -131,7 +146,7 @@ class Parser:
         for at in range(0, len(cuts), 2048):
             group = cuts[at : at + 2048]
             sizes = np.array([len(c) for _, c in group])
-            grid = np.full((sizes[0], len(group)), self.width - 1, np.int32)
+            grid = np.full((sizes[0], len(group)), self.unknown, np.int32)
             for column, (_, c) in enumerate(group):
                 grid[: len(c), column] = c
             np.add.at(out, [k for k, _ in group], self._parse(grid, sizes).T)
@@ -142,6 +157,7 @@ class Parser:
         state = np.repeat(root, grid.shape[1], axis=1)
         count = np.zeros(state.shape, np.int32)
         active = grid.shape[1]
+        width, some_rare = self.dense + 1, len(self.keys) > 0
         live = np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right")
         for letters, n in zip(grid, live.tolist(), strict=True):
             if n < active:
@@ -149,9 +165,13 @@ class Parser:
                 active = n
             letter = letters[:active]
             here = state[:, :active]
-            to = self.arcs[here * self.width + letter]
+            column = np.minimum(letter, self.dense)
+            to = self.arcs[here * width + column]
+            fresh = self.arcs[root * width + column]
+            if some_rare and len(rare := np.flatnonzero((letter >= self.dense) & (letter < self.unknown))):
+                to[:, rare] = self._sparse(here[:, rare], letter[rare])
+                fresh[:, rare] = self._sparse(root, letter[rare])
             end = to < 0
-            fresh = self.arcs[root * self.width + letter]
             lost = fresh < 0  # not a letter of this language: a phrase of its own
             tally = count[:, :active]
             tally += end & (here != root)
@@ -161,18 +181,18 @@ class Parser:
         return count
 
 
-def sample(docs: DataFrame, fold: Column, max_docs: int = 24, max_chars: int = 40_000, max_languages: int = 64) -> dict[str, list[str]]:
+def sample(docs: DataFrame, fold: Column, max_docs: int = 24, max_chars: int = 40_000) -> dict[str, list[str]]:
     """Text of each language from the rows of `docs` (doc_id, text, lang) for which `fold` holds."""
     known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & fold)
-    frequent = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(F.col("lang").isin(frequent)).withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id", "rank")
-    texts = docs.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.col("lang").isin(frequent) & fold)
+    chosen = known.withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id", "rank")
+    texts = docs.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.col("lang").isNotNull() & fold)
     found: dict[str, list[str]] = {}
-    room = dict.fromkeys(frequent, max_chars)
+    room: dict[str, int] = {}
     for row in sorted(texts.collect(), key=lambda r: (r.lang, r.rank, r.text or "")):
-        if row.text and room[row.lang] > 0:
-            found.setdefault(row.lang, []).append(row.text[: room[row.lang]])
+        left = room.setdefault(row.lang, max_chars)
+        if row.text and left > 0:
+            found.setdefault(row.lang, []).append(row.text[:left])
             room[row.lang] -= len(row.text)
     return found
 
@@ -181,10 +201,21 @@ def sample(docs: DataFrame, fold: Column, max_docs: int = 24, max_chars: int = 4
 _PARSERS: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
+def identify(docs: DataFrame, samples: dict[str, list[str]], per_pass: int = PASS) -> DataFrame:
     """doc_id, lang_pred and score of each row of `docs` (doc_id, text)."""
     limit_batches(docs.sparkSession)
-    shared, name = docs.sparkSession.sparkContext.broadcast(samples), uuid.uuid4().hex
+    names = sorted(samples)
+    rows = docs.select("doc_id", "text")
+    for at in range(0, max(1, len(names)), per_pass):
+        last = at + per_pass >= len(names)
+        rows = _passed(rows, {name: samples[name] for name in names[at : at + per_pass]}, at == 0, last)
+        rows = rows if last else materialise(rows)
+    return rows
+
+
+def _passed(rows: DataFrame, samples: dict[str, list[str]], first: bool, last: bool) -> DataFrame:
+    """`rows` with the best language so far, its phrases and those of the second; after the last pass, the result."""
+    shared, name = rows.sparkSession.sparkContext.broadcast(samples), uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _PARSERS:
@@ -193,19 +224,28 @@ def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
         parser = _PARSERS[name]
         for batch in text_slices(batches, limit=1 << 20):
             points = [letters_of(t or "") for t in batch.column("text").to_pylist()]
-            coded = [parser.codes(p) for p in points]
-            counts = parser.phrases(coded) if parser.names else np.zeros((len(points), 0), np.int64)
-            names: list[str] = []
-            scores: list[float] = []
-            for p, row in zip(points, counts.tolist(), strict=True):
+            counts = parser.phrases([parser.codes(p) for p in points]) if parser.names else np.zeros((len(points), 0), np.int64)
+            before = [(None, None, None)] * len(points) if first else zip(*(batch.column(c).to_pylist() for c in ("best", "least", "second")), strict=True)
+            found: list[tuple] = []
+            for p, row, (best, least, second) in zip(points, counts.tolist(), before, strict=True):
                 if not len(p[p != 0x20]) or not row:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
+                    found.append((UNKNOWN, 0.0) if last else (None, None, None))
                     continue
-                best = min(range(len(row)), key=row.__getitem__)
-                second = min(row[:best] + row[best + 1 :], default=None)
-                names.append(parser.names[best])
-                scores.append(1.0 if second is None else 1.0 - row[best] / second)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+                k = min(range(len(row)), key=row.__getitem__)
+                rest = [*row[:k], *row[k + 1 :], *([] if second is None else [second])]
+                # ties go to the first by name, and earlier passes have those
+                if least is None or row[k] < least:
+                    best, least, rest = parser.names[k], row[k], rest + ([] if least is None else [least])
+                else:
+                    rest.append(row[k])
+                second = min(rest, default=None)
+                found.append((best, 1.0 if second is None else 1.0 - least / second) if last else (best, least, second))
+            columns = [[f[k] for f in found] for k in range(2 if last else 3)]
+            if last:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64())], ["doc_id", "lang_pred", "score"])
+            else:
+                held = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *held], ["doc_id", "text", "best", "least", "second"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(scan, f"doc_id {kind}, lang_pred string, score double" if last else f"doc_id {kind}, text string, best string, least long, second long")

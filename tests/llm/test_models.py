@@ -116,6 +116,40 @@ def test_phrases_by_brute_force():
         assert parser.phrases([parser.codes(language.letters_of(t)) for t in held]).tolist() == want
 
 
+def test_phrases_with_many_letters():
+    random.seed(3)
+    letters = [chr(p) for start in (0x61, 0x3B1, 0x430, 0x5D0, 0x4E00) for p in range(start, start + 24)]
+    samples = {name: ["".join(random.choice(letters[at : at + 60]) for _ in range(300))] for name, at in (("x", 0), ("y", 40), ("z", 60))}
+    held = [samples["x"][0][20:40] + samples["z"][0][90:120] + samples["y"][0][5:9], "".join(random.choice(letters) for _ in range(40))]
+    want = []
+    for text in held:
+        want.append([])
+        for name in "xyz":
+            at = count = 0
+            while at < len(text):
+                size = 1
+                while at + size < len(text) and text[at : at + size + 1] in samples[name][0]:
+                    size += 1
+                at, count = at + size, count + 1
+            want[-1].append(count)
+    for parser in (language.Parser(samples), language.Parser(samples, dense_bytes=0)):
+        assert parser.phrases([parser.codes(language.letters_of(t)) for t in held]).tolist() == want
+
+
+def test_more_languages_than_a_pass(spark):
+    random.seed(4)
+    alphabets = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(70)}
+    text = lambda name: "".join("".join(alphabets[name][at : at + 5]) for at in random.choices(range(0, 40, 5), k=16))
+    rows = [(k, text(name), name) for k, name in enumerate(sorted(alphabets) * 2)] + [(500, " ", None), (501, None, "l00")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.sample(docs, F.col("doc_id") < 70)
+    assert set(samples) == set(alphabets)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, samples).collect()}
+    assert all(got[d][0] == lang for d, _, lang in rows[:140]) and got[500] == got[501] == ("und", 0.0)
+    assert got == {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, samples, per_pass=30).collect()}
+    assert got == {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, samples, per_pass=100).collect()}
+
+
 def test_tool_calls(spark):
     schema = {"type": "object", "properties": {"a": {"type": "integer", "minimum": 1}, "b": {"type": "array", "items": {"type": "string"}}, "c": {"enum": ["x"]}}, "required": ["a"], "additionalProperties": False}
     good = '{"b": ["é"], "a": 1}'
