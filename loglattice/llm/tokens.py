@@ -32,17 +32,34 @@ def _byte_letters() -> dict[int, str]:
     return letters
 
 
+class _Table(dict):
+    """Ids of what was met before; others are worked out by `found` and kept while there is room."""
+
+    def __init__(self, found: Callable[[str], bytes], room: int):
+        super().__init__()
+        self.found, self.room = found, room
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.found(key)
+        if len(self) < self.room and len(key) < 64:
+            self[key] = ids
+        return ids
+
+
+class _Placed(Exception):
+    """A part whose ids depend on its place in the text."""
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit integers.
 
     A byte-level BPE cuts a text into words before it merges anything, and a space or line feed between
-    two other characters always begins a word. So the text is split there, and the ids of each part come
-    from a table, or else from the library's model. Texts with other runs of white space are cut by the
-    full pattern, and those that hold added tokens are encoded whole, as are all texts of tokenizers of
-    another kind. `words` bounds the table of
-    words, and a tenth of it that of parts (a word with the marks after it), which holds the frequent ones."""
+    two other characters always begins a word. So the text is split there, and the ids of each part (a word
+    with the marks after it) come from a table, or else from the library's model. Texts with other runs of
+    white space are cut by the full pattern, and those that hold added tokens are encoded whole, as are all
+    texts of tokenizers of another kind. `parts` and `pieces` bound the tables; both only save work."""
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, parts: int = 600_000, pieces: int = 100_000):
         import regex
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,46 +67,39 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer") and spec["model"].get("type", "BPE") == "BPE"
+        plain = not pre.get("add_prefix_space", True) and not spec.get("normalizer") and spec["model"].get("type", "BPE") == "BPE"
+        self.byte_level = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.find, self.letters, self.words = regex.compile(_WORD).findall, _byte_letters(), words
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.find, self.letters = regex.compile(_WORD).findall, _byte_letters()
+        self.space = self.letters[0x20]
+        self.pieces, self.parts = _Table(self._model, pieces), _Table(self._part, parts)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.pieces) < self.words and len(piece) < 64:
-                self.pieces[piece] = ids
-        return ids
+    def _model(self, piece: str) -> bytes:
+        return self._letters(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _letters(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _cut(self, text: str) -> bytes:
-        return b"".join(map(self._piece, self.find(text)))
-
-    def _word(self, lead: str, body: str) -> bytes:
-        """Letters, and letters before a comma or full stop, are cut without the pattern."""
-        if body.isalpha():
-            return self._piece(lead + body)
-        if body[-1] in ".," and body[:-1].isalpha():
-            return self._piece(lead + body[:-1]) + self._piece(body[-1])
-        return self._cut(lead + body)
-
-    def _part(self, part: str) -> bytes | None:
-        """Ids of a part with the white space before it; None if its place in the text matters."""
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def _word(self, body: str) -> bytes:
+        """Ids of a word of letters with a space before it."""
+        return self._letters(self.space + body) if body.isascii() else self._model(" " + body)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a part with the white space before it. Letters, and letters before one mark, are cut without the pattern."""
+        if part.isalpha():
+            return self._word(part)
+        if part[-1:] in (".", ",") and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.pieces[part[-1]]
         body = part[1:] if part[:1] == "\n" else part
         if not body or body[0].isspace() or body[-1].isspace():
-            return None
-        if body is part:
-            ids = self._word(" ", body)
-        else:
-            ids = self._piece("\n") + self._word("", body)
-        if len(self.parts) < self.words // 10 and len(part) < 64:
-            self.parts[part] = ids
-        return ids
+            raise _Placed
+        return self._cut(" " + body) if body is part else self.pieces["\n"] + self._cut(body)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -99,14 +109,10 @@ class Encoder:
         head, *parts = text.replace("\n", " \n").split(" ")
         if not head or head[0].isspace() or head[-1].isspace():
             return self._cut(text)
-        found = list(map(self.parts.get, parts))
-        if None in found:
-            for k, part in enumerate(parts):
-                if found[k] is None and (new := self._part(part)) is not None:
-                    found[k] = new
-            if None in found:
-                return self._cut(text)
-        return self._cut(head) + b"".join(found)
+        try:
+            return self._cut(head) + b"".join(map(self.parts.__getitem__, parts))
+        except _Placed:
+            return self._cut(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
