@@ -167,33 +167,42 @@ def test_no_similar_pair_is_ruled_out():
         assert len(got) < 0.2 * len(sets) ** 2 and (mine is None or all(a % 3 == 0 for a, _ in got))
 
 
-@pytest.mark.parametrize("blocks", [(8192, 4096), (16, 2)])
-def test_top_k_by_brute_force(spark, blocks):
+def _best_by_brute_force(rows, step, k):
+    whole = lambda v: [math.floor(x * 256) if abs(x) < 1e300 else int(x) * 256 for x in v]
+    good = [(i, whole(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for query, q in {(i, tuple(v)) for i, v in good if i % step == 0}:
+        scores = sorted((-sum(map(int.__mul__, q, v)), i) for i, v in good if i != query and len(v) == len(q))
+        want += [(query, rank, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("sizes", [(8 << 20, 16 << 20), (1200, 600)])
+@pytest.mark.parametrize("large", [1.0, 1e7, 3e9, 1e300])
+def test_top_k_by_brute_force(spark, sizes, large):
     random.seed(9)
-    rows = [(k, [random.choice([-1.5, -0.25, 0.0, 0.1, 0.5, 1.0]) for _ in range(6)]) for k in range(120)]
-    rows += [(3, rows[3][1]), (200, None), (201, [0.1, None, 1.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (204, [0.5, 0.5]), (205, []), (None, rows[0][1]), (250, [0.0] * 6)]
-    whole = {}
-    for name, v in rows:
-        if name is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole[name] = [math.floor(256 * x) for x in v]
-    want = set()
-    for q in (n for n in whole if n % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), n) for n, v in whole.items() if n != q and len(v) == len(whole[q]))
-        want |= {(q, rank, n, -s) for rank, (s, n) in enumerate(scores[:5], 1)}
-    df = spark.createDataFrame([(n, v, "x") for n, v in rows], "vec_id long, embedding array<double>, rank string")
-    got = [tuple(r) for r in topk.top_k(df, row_block=blocks[0], query_block=blocks[1]).collect()]
-    assert set(got) == want and len(got) == len(want)
-    assert topk.top_k(df.limit(0)).count() == 0
-
-
-def test_lists_stop_early_and_miss_nothing():
+    rows = [(k, [random.gauss(0, 1) for _ in range(6)]) for k in range(300)]
+    rows += [(k, list(rows[7][1])) for k in range(300, 340)]  # one vector many times
+    rows += [(50, list(rows[3][1])), (12, list(rows[12][1])), (12, list(rows[12][1]))]  # an id twice, a row three times
+    rows += [(400, None), (401, [1.0, None, 0, 0, 0, 0]), (402, [float("nan")] * 6), (403, [float("inf")] + [0.0] * 5), (404, []), (None, [1.0] * 6)]
+    rows += [(450, [1.0, 2.0]), (451, [2.0, 1.0]), (500, [0.0] * 6), (501, [large, 0.0, 0, 0, 0, 0]), (550, [-large, large, 1, 0, 0, 0])]
+    table = spark.createDataFrame([(i, v and [x if x is None else float(x) for x in v], 1, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, score string")
+    got = topk.top_k(table, row_bytes=sizes[0], query_bytes=sizes[1])
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(r) for r in got.collect()) == _best_by_brute_force(rows, 50, 5)
+    assert topk.top_k(table.limit(0)).count() == 0
+
+
+def test_lists_are_not_read_to_their_ends():
+    """Vectors as those of the tables: unit length, 64 components."""
     random = np.random.default_rng(3)
-    rows = random.integers(-40, 41, (3000, 24))
-    rows[1500:] //= 8
-    lists = topk.Lists(rows)
-    queries = rows[:60]
-    found = lists.candidates(queries, np.full(60, 6))
-    for query, viable in zip(queries, found, strict=True):
-        scores = rows @ query
-        assert set(np.flatnonzero(scores >= np.sort(scores)[-6])) <= set(viable.tolist())
-    assert min(map(len, found)) < 3000
+    raw = random.normal(size=(6000, 64))
+    raw /= np.linalg.norm(raw, axis=1, keepdims=True)
+    ids = np.arange(6000)
+    rows, queries = topk.Vectors(ids, raw, 8), topk.Vectors(ids[::50], raw[::50], 8)
+    of, found, scores, read = topk.best_rows(rows, queries, 5)
+    assert read < 0.8 * len(rows.ids) * len(queries.ids) * 64
+    exact = rows.whole @ queries.whole.T
+    for k, query in enumerate(queries.ids.tolist()):
+        order = [i for i in np.lexsort((ids, -exact[:, k])).tolist() if i != query][:5]
+        assert found[of == k].tolist() == order and scores[of == k].tolist() == exact[order, k].tolist()
