@@ -1,30 +1,37 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Documents are dealt into blocks of about `block_bytes`, and every block is a reference block with an index of
-its word windows. A document is factored against the indexes of all blocks at once: at each word, the window
-of `min_words` words that starts there is looked up, and if a document with a smaller doc_id holds it, a
-factor begins that points to the earliest holder's (doc_id, word); the factor grows while the next window
-points to the next word of the same document. Where a factor ends, the windows that cross its end are looked
-up one by one in the same way, so nothing that starts inside a factor is missed. All words of factors are
-duplicates: exactly those inside some window that also starts in a document with a smaller doc_id.
+Documents are dealt into blocks of about `block_bytes`. Every block is a reference block: its documents that
+others may repeat are indexed by a suffix array over their words. A document is parsed greedily against the
+index of every block with which it shares a window of `min_words` words: a factor is the longest run of words
+from where the last factor ended that occurs in a document of the block with a smaller doc_id. Factors of
+`min_words` words or more are duplicate spans; windows that cross a factor's end are parsed one by one in the
+same way, so nothing that starts inside a factor is missed. Words are compared, not hashes.
 
-The lookup is two exchanges of packed arrays between blocks and hash buckets, each of which sends a window
-once for each block at most, however many documents hold it:
+Which stretches of a document meet which blocks comes from a filter, two exchanges of packed arrays between
+blocks and hash buckets, each of which sends a window once for each block at most:
 
 1. Anchors. A window's anchor is the least hash of its 7-word runs; equal windows have equal anchors. Only
    anchors that two documents hold come back.
-2. Windows with such anchors, with the earliest holder in the block. Those with an earlier one come back.
+2. Hashes of windows with such anchors, with the earliest document of the block. Back come, for those with an
+   earlier holder elsewhere, that document and its block; holders learn that they are wanted.
 
-The text is shuffled once; its exchange is used by all three steps.
+Each block then sends every different stretch (the union of windows with the same block of earliest holders)
+to that block, and its wanted documents to its own index. A block that gets more stretches than it has
+documents in its index is split into parts, each with a copy of the index. The spans found are sent back to
+the documents. The text itself is shuffled once; its exchange is used by all steps.
+
+Removed are exactly the words inside some window that also starts in a document with a smaller doc_id: the
+earliest holder of each such window is in a block that the stretch meets, and what is found there is a repeat.
 
 Defined results: null texts count as having no words and stay null; repeated rows of one doc_id never
 duplicate each other; a null doc_id counts as larger than all others; other columns are carried along
-unread in the struct `row`; an empty table gives no rows.
+unread in the struct `row`; an empty table gives no rows; very long texts are a block of their own.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import compress
 
@@ -35,14 +42,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches
+from .common import limit_batches, materialise
 
 MIN_WORDS = 13
 _ANCHOR_WORDS = 7
 _LAST_DOC = (1 << 63) - 1
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_FIRST = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("pos", "<i8")])
+#: What a block tells a bucket of a window; what it hears of one; and a span of a row.
+_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8")])
+_EARLIER = np.dtype([("step", "<u4"), ("doc", "<i8"), ("block", "<i8")])
+_SPAN = np.dtype([("row", "<i4"), ("start", "<i4"), ("words", "<i4"), ("doc", "<i8"), ("pos", "<i4")])
+_ANCHORS, _FIRSTS, _WANTED, _SPANS = range(4)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -73,24 +84,25 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Block:
-    """The words of a block's documents, one after the other, and their windows."""
+    """The words of a block's documents, in the order of doc_id and text, one after the other, and their windows."""
 
-    def __init__(self, docs: np.ndarray, texts: list[bytes], min_words: int):
+    def __init__(self, docs: np.ndarray, texts: list[bytes], min_words: int, buckets: int):
         digest = xxhash.xxh3_64_digest
         parts = [b"".join(map(digest, text.split())) for text in texts]
         self.hashes = np.frombuffer(b"".join(parts), "<u8").astype(np.uint64)
         self.sizes = np.array([len(p) // 8 for p in parts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.docs, self.min_words = docs, min_words
+        self.docs, self.min_words, self.buckets = docs, min_words, np.uint64(buckets)
         n = np.maximum(self.sizes - min_words + 1, 0)
         self.owner = np.repeat(np.arange(len(texts)), n)  # of each window
         self.window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts, n)
+        self.anchor = np.empty(0, np.uint64)
         if len(self.window):
-            grams = _runs(self.hashes, _ANCHOR_WORDS, _ODD[0])
-            self.anchor = _least(grams, min_words - _ANCHOR_WORDS + 1)[self.window] & ~np.uint64(1)
-        else:
-            self.anchor = np.empty(0, np.uint64)
+            least = _least(_runs(self.hashes, _ANCHOR_WORDS, _ODD[0]), min_words - _ANCHOR_WORDS + 1)[self.window]
+            # the bucket and 31 bits; the lowest bit is free
+            least = _mixed(least * _ODD[1])
+            self.anchor = (least >> np.uint64(32)) % self.buckets << np.uint64(32) | least & np.uint64(0xFFFFFFFE)
 
     def anchors(self) -> np.ndarray:
         """The different anchors; the lowest bit is set if two documents of the block hold one."""
@@ -102,24 +114,38 @@ class _Block:
         order = np.argsort(anchor, kind="stable")
         return _shared(anchor[order], doc[order])
 
-    def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows whose anchor is shared, and for each (h1, h2) of theirs the index of its group."""
+    def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows whose anchor is shared; of different ones the first (so that of the smallest doc_id), in order;
+        and for each window the number of its first."""
         if not len(shared) or not len(self.anchor):
-            return np.empty(0, np.int64), np.empty(0, _FIRST)
+            return np.empty(0, np.int64), np.empty(0, _WINDOW), np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(shared, self.anchor), len(shared) - 1)
         chosen = np.flatnonzero(shared[at] == self.anchor)
-        found = np.empty(len(chosen), _FIRST)
+        found = np.empty(len(chosen), _WINDOW)
         place = self.window[chosen]
         for name, odd in zip(("h1", "h2"), _ODD, strict=True):
             hashed = self.hashes[place]
             for k in range(1, self.min_words):
                 hashed *= odd
                 hashed += self.hashes[place + k]
-            found[name] = _mixed(hashed)
-        owner = self.owner[chosen]
-        found["doc"] = self.docs[owner]
-        found["pos"] = place - self.starts[owner]
-        return chosen, found
+            found[name] = _mixed(hashed) >> np.uint64(0 if name == "h1" else 32)
+        found["doc"] = self.docs[self.owner[chosen]]
+        order = np.lexsort((found["h2"], found["h1"]))
+        new = _changes(found[order])
+        first = order[np.flatnonzero(new)]
+        group = np.empty(len(chosen), np.int64)
+        group[order] = np.cumsum(new) - 1
+        place_of = np.empty(len(first), np.int64)
+        ranked = np.argsort(first)
+        place_of[ranked] = np.arange(len(first))
+        return chosen, found[first[ranked]], place_of[group]
+
+
+def _changes(ranked: np.ndarray) -> np.ndarray:
+    """Where sorted windows differ from the one before."""
+    new = np.ones(len(ranked), bool)
+    new[1:] = (ranked["h1"][1:] != ranked["h1"][:-1]) | (ranked["h2"][1:] != ranked["h2"][:-1])
+    return new
 
 
 def _shared(anchor: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -131,17 +157,6 @@ def _shared(anchor: np.ndarray, who: np.ndarray) -> np.ndarray:
     return anchor[first] | np.logical_or.reduceat(differ, np.flatnonzero(first)).astype(np.uint64)
 
 
-def _firsts(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The earliest of each window, sorted by (h1, h2), and for every entry of `found` its place there."""
-    order = np.lexsort((found["pos"], found["doc"], found["h2"], found["h1"]))
-    ranked = found[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = (ranked["h1"][1:] != ranked["h1"][:-1]) | (ranked["h2"][1:] != ranked["h2"][:-1])
-    place = np.empty(len(found), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return ranked[new], place
-
-
 def _pack(values: np.ndarray) -> bytes:
     """An array with its bytes in planes, compressed: the high bytes of ids and places are mostly zero."""
     planes = values.view(np.uint8).reshape(len(values), -1).T
@@ -153,44 +168,55 @@ def _unpack(packed: bytes, kind: np.dtype | str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _by_bucket(values: np.ndarray, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = (_mixed(hashes * _ODD[1]) % np.uint64(buckets)).astype(np.int64)
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket and the indices of its entries, in their order."""
     order = np.argsort(bucket, kind="stable")
-    bucket, values = bucket[order], values[order]
-    edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
     for a, b in zip(edges, edges[1:], strict=False):
-        yield int(bucket[a]), _pack(values[a:b])
+        yield int(bucket[order[a]]), order[a:b]
 
 
-_PACKED = "bucket long, block long, packed binary"
+def _bucket_of(windows: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(windows["h1"] * _ODD[1]) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    types = [pa.int64(), pa.int64(), pa.binary()]
-    names = ["bucket", "block", "packed"]
+_PACKED = "bucket long, block long, kind int, packed binary"
+
+
+def _packed(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["bucket", "block", "kind", "packed"]
     return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def _block_of(part: pa.Table, min_words: int) -> tuple[_Block, list[bytes | None]]:
+def _documents(part: pa.Table) -> tuple[pa.Array, np.ndarray, list[bytes | None]]:
+    """The rows of a block in the order of doc_id (null last) and text, which is the same in all steps."""
     row = part.column("row").combine_chunks()
     docs = row.field("doc_id").cast(pa.int64()).fill_null(_LAST_DOC).to_numpy(zero_copy_only=False)
     texts = row.field("text").cast(pa.binary()).to_pylist()
-    return _Block(docs, [t or b"" for t in texts], min_words), texts
+    order = sorted(range(len(texts)), key=lambda k: (docs[k], texts[k] or b""))
+    return row.take(pa.array(order, pa.int64())), docs[order], [texts[k] for k in order]
+
+
+def _block_of(part: pa.Table, min_words: int, buckets: int) -> tuple[_Block, list[bytes]]:
+    _, docs, texts = _documents(part)
+    plain = [t or b"" for t in texts]
+    return _Block(docs, plain, min_words, buckets), plain
 
 
-def _received(back: pa.Table, kind: int, dtype: np.dtype | str) -> np.ndarray:
-    parts = [_unpack(p, dtype) for k, p in zip(back.column("kind").to_pylist(), back.column("packed").to_pylist(), strict=True) if k == kind]
-    return np.concatenate(parts) if parts else np.empty(0, dtype)
+def _received(back: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    return [(b, p) for b, k, p in zip(back.column("bucket").to_pylist(), back.column("kind").to_pylist(), back.column("packed").to_pylist(), strict=True) if k == kind]
 
 
 def _sorted_anchors(back: pa.Table) -> np.ndarray:
-    return np.unique(_received(back, 1, "<u8"))
+    found = [_unpack(p, "<u8") for _, p in _received(back, _ANCHORS)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
 
 def _send_anchors(min_words: int, buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def send(key: tuple[pa.Scalar], part: pa.Table) -> pa.Table:
-        found = _block_of(part, min_words)[0].anchors()
-        return _packed([(b, key[0].as_py(), p) for b, p in _by_bucket(found, found & ~np.uint64(1), buckets)])
+        found = _block_of(part, min_words, buckets)[0].anchors()
+        return _packed([(b, key[0].as_py(), _ANCHORS, _pack(found[at])) for b, at in _by_bucket((found >> np.uint64(32)).astype(np.int64))])
 
     return send
 
@@ -198,7 +224,6 @@ def _send_anchors(min_words: int, buckets: int) -> Callable[[tuple, pa.Table], p
 def _meet_anchors(part: pa.Table) -> pa.Table:
     """Sends each block those of its anchors that two documents hold."""
     parts = [_unpack(p, "<u8") for p in part.column("packed").to_pylist()]
-    blocks = part.column("block").to_pylist()
     values = np.concatenate(parts)
     who = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     anchor, marked = values & ~np.uint64(1), values[(values & np.uint64(1)) == 1]
@@ -206,78 +231,242 @@ def _meet_anchors(part: pa.Table) -> pa.Table:
     both = _shared(anchor[order], who[order])
     shared = np.union1d(both[(both & np.uint64(1)) == 1], marked) & ~np.uint64(1)
     rows = []
-    for block, own in zip(blocks, parts, strict=True):
+    for block, own in zip(part.column("block").to_pylist(), parts, strict=True):
         own = own & ~np.uint64(1)
         if len(shared):
             at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
             if (held := own[shared[at] == own]).size:
-                rows.append((1, block, _pack(held)))
+                rows.append((0, block, _ANCHORS, _pack(held)))
     return _packed(rows)
 
 
 def _send_windows(min_words: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def send(part: pa.Table, back: pa.Table) -> pa.Table:
-        if not part.num_rows:
+        if not part.num_rows or not back.num_rows:
             return _packed([])
-        block = _block_of(part, min_words)[0]
-        found = _firsts(block.candidates(_sorted_anchors(back))[1])[0]
+        block = _block_of(part, min_words, buckets)[0]
+        firsts = block.candidates(_sorted_anchors(back))[1]
         name = part.column("block")[0].as_py()
-        return _packed([(b, name, p) for b, p in _by_bucket(found, found["h1"], buckets)])
+        return _packed([(b, name, _FIRSTS, _pack(firsts[at])) for b, at in _by_bucket(_bucket_of(firsts, buckets))])
 
     return send
 
 
 def _meet_windows(part: pa.Table) -> pa.Table:
-    """Sends each block the earliest holders of its windows where they are in other blocks."""
-    parts = [_unpack(p, _FIRST) for p in part.column("packed").to_pylist()]
-    ranked, place = _firsts(np.concatenate(parts))
+    """Tells each block which of its windows have an earlier holder in another block, and which of its documents are
+    the earliest holders for other blocks."""
+    parts = [_unpack(p, _WINDOW) for p in part.column("packed").to_pylist()]
+    blocks = np.array(part.column("block").to_pylist(), np.int64)
+    bucket = part.column("bucket")[0].as_py()
+    every = np.concatenate(parts)
+    who = np.repeat(blocks, [len(p) for p in parts])
+    order = np.lexsort((who, every["doc"], every["h2"], every["h1"]))
+    begins = np.flatnonzero(_changes(every[order]))
+    first = np.empty(len(every), np.int64)
+    first[order] = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
     rows, at = [], 0
-    for block, own in zip(part.column("block").to_pylist(), parts, strict=True):
-        first = ranked[place[at : at + len(own)]]
+    for block, own in zip(blocks.tolist(), parts, strict=True):
+        mine = first[at : at + len(own)]
         at += len(own)
-        if (earlier := first[first["doc"] < own["doc"]]).size:
-            rows.append((2, block, _pack(earlier)))
+        later = np.flatnonzero(every["doc"][mine] < own["doc"])
+        if len(later):
+            told = np.empty(len(later), _EARLIER)
+            told["step"], told["doc"], told["block"] = np.diff(later, prepend=0), every["doc"][mine[later]], who[mine[later]]
+            rows.append((bucket, block, _FIRSTS, _pack(told)))
+    wanted = np.unique(first[every["doc"][first] < every["doc"]])
+    for block, index in _by_bucket(who[wanted]):
+        rows.append((bucket, block, _WANTED, _pack(np.unique(every["doc"][wanted[index]]))))
     return _packed(rows)
 
 
-def _parse(min_words: int, layout: bool, fields: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def parse(part: pa.Table, back: pa.Table) -> pa.Table:
+_STRETCHES = "block long, home long, doc long, words binary, places array<struct<row:int,start:int>>"
+
+
+def _send_stretches(min_words: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Stretches of the block's documents for the blocks that hold their windows earlier (with their places), and the
+    block's wanted documents for its own index (without)."""
+
+    def send(part: pa.Table, back: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if part.num_rows and back.num_rows:
+            block, texts = _block_of(part, min_words, buckets)
+            home = part.column("block")[0].as_py()
+            chosen, firsts, place = block.candidates(_sorted_anchors(back))
+            holder, where = firsts["doc"].copy(), np.full(len(firsts), home)
+            sent = dict(_by_bucket(_bucket_of(firsts, buckets)))
+            for bucket, packed in _received(back, _FIRSTS):
+                told = _unpack(packed, _EARLIER)
+                at = sent[bucket][np.cumsum(told["step"], dtype=np.int64)]
+                holder[at], where[at] = told["doc"], told["block"]
+            own = block.owner[chosen]
+            hit = np.flatnonzero(holder[place] < block.docs[own])
+            wanted = [_unpack(p, "<i8") for _, p in _received(back, _WANTED)]
+            wanted = np.unique(np.concatenate([*wanted, holder[place[hit]][where[place[hit]] == home]]))
+            words: dict[int, list[bytes]] = {}
+            for k in np.flatnonzero(np.isin(block.docs, wanted)).tolist():
+                words[k] = texts[k].split()
+                rows.append((home, home, int(block.docs[k]), b" ".join(words[k]), None))
+            # by block of the holder, then by place
+            target, window, who = where[place[hit]], block.window[chosen[hit]], own[hit]
+            order = np.lexsort((window, target))
+            target, window, who = target[order], window[order], who[order]
+            begins = np.ones(len(order), bool)
+            begins[1:] = (np.diff(target) != 0) | (np.diff(who) != 0) | (np.diff(window) >= min_words)
+            edges = np.flatnonzero(begins)
+            lasts = np.append(edges[1:], len(order)) - 1 if len(edges) else edges
+            places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            for to, k, a, b in zip(target[edges].tolist(), who[edges].tolist(), window[edges].tolist(), window[lasts].tolist(), strict=True):
+                if k not in words:
+                    words[k] = texts[k].split()
+                a -= int(block.starts[k])
+                b -= int(block.starts[k])
+                places.setdefault((to, b" ".join(words[k][a : b + min_words])), []).append((k, a))
+            # equal stretches are parsed once, for the smallest doc_id: all their windows have earlier holders than that
+            rows += [(to, home, int(block.docs[min(k for k, _ in at)]), stretch, [{"row": k, "start": a} for k, a in at]) for (to, stretch), at in places.items()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("row", pa.int32()), ("start", pa.int32())]))]
+        names = ["block", "home", "doc", "words", "places"]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+    return send
+
+
+def suffix_array(letters: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes in their order, by doubling; only what is not yet told apart is sorted again."""
+    n = len(letters)
+    order = np.argsort(letters, kind="stable")
+    ranked = letters[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.diff(ranked, prepend=-1) != 0, np.arange(n), 0))
+    reach = 1
+    while True:
+        sorted_rank = rank[order]
+        same = sorted_rank[1:] == sorted_rank[:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(tied):
+            return order
+        at = order[tied]
+        beyond = np.where(at + reach < n, rank[np.minimum(at + reach, n - 1)] + 1, 0)
+        keys = rank[at] * (n + 1) + beyond
+        again = np.argsort(keys, kind="stable")
+        at, keys = at[again], keys[again]
+        order[tied] = at
+        rank[at] = tied[np.maximum.accumulate(np.where(np.diff(keys, prepend=-1) != 0, np.arange(len(keys)), 0))]
+        reach *= 2
+
+
+class ReferenceIndex:
+    """The documents of a reference block with the suffix array of their words."""
+
+    def __init__(self, docs: list[int], texts: list[bytes]):
+        lists = [t.split(b" ") for t in texts]
+        flat = [w for words in lists for w in (*words, b"")]  # b"" ends a document
+        self.number = {w: k for k, w in enumerate(dict.fromkeys([b"", *flat]))}
+        letters = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        sizes = [len(words) + 1 for words in lists]
+        self.starts = np.cumsum(sizes) - sizes
+        self.docs = docs
+        order = suffix_array(letters)
+        owner = np.repeat(np.arange(len(docs)), sizes)[order]
+        self.order, self.owner, self.doc_at = order.tolist(), owner.tolist(), np.array(docs, np.int64)[owner].tolist()
+        self.letters = letters.astype(">u4").tobytes()
+
+    def coded(self, stretch: bytes) -> bytes:
+        missing = len(self.number)
+        words = stretch.split(b" ")
+        return np.fromiter((self.number.get(w, missing) for w in words), ">u4", len(words)).tobytes()
+
+    def longest(self, coded: bytes, at: int, below: int) -> tuple[int, int]:
+        """The most words from `at` on that a document under `below` holds, and where in the order it does. In the order
+        of suffixes its neighbours share the most with it: the nearest of such documents on either side are compared."""
+        probe = coded[4 * at :]
+        size, letters, order, docs = len(probe), self.letters, self.order, self.doc_at
+        here = bisect_left(order, probe, key=lambda p: letters[4 * p : 4 * p + size])
+        best, where = 0, -1
+        for k, step, stop in ((here, 1, len(order)), (here - 1, -1, -1)):
+            while k != stop and docs[k] >= below:
+                k += step
+            if k != stop and (n := _common(probe, letters[4 * order[k] : 4 * order[k] + size])) > best:
+                best, where = n, k
+        return best, where
+
+    def factors(self, stretch: bytes, below: int, min_words: int) -> list[tuple[int, int, int, int]]:
+        """start, words, doc and pos of all factors of the stretch of `min_words` words or more."""
+        coded = self.coded(stretch)
+        n, at = len(coded) // 4, 0
+        found = []
+
+        def parsed(start: int) -> int:
+            words, k = self.longest(coded, start, below)
+            if words >= min_words:
+                found.append((start, words, self.doc_at[k], self.order[k] - int(self.starts[self.owner[k]])))
+            return words
+
+        while at <= n - min_words:
+            end = at + max(1, parsed(at))
+            # the windows that cross the factor's end
+            cross = max(at + 1, end - min_words + 1)
+            while cross < min(end, n - min_words + 1):
+                cross += max(1, parsed(cross) - min_words + 1)
+            at = end
+        return found
+
+
+def _common(one: bytes, two: bytes) -> int:
+    """How many letters of four bytes both begin with."""
+    if one == two:
+        return len(one) // 4
+    n = min(len(one), len(two)) // 4
+    differ = np.frombuffer(one, "<u4", n) != np.frombuffer(two, "<u4", n)
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _factor(min_words: int) -> Callable[[pa.Table], pa.Table]:
+    def factor(part: pa.Table) -> pa.Table:
+        homes, docs, texts, places = (part.column(c).to_pylist() for c in ("home", "doc", "words", "places"))
+        if part.column("places").null_count == len(docs):
+            return _packed([])
+        index = sorted((docs[k], texts[k]) for k in range(len(docs)) if places[k] is None)
+        index = ReferenceIndex([d for d, _ in index], [t for _, t in index])
+        found: dict[int, list[tuple]] = {}
+        for home, doc, stretch, at in zip(homes, docs, texts, places, strict=True):
+            if at is not None:
+                spans = index.factors(stretch, doc, min_words)
+                found.setdefault(home, []).extend((p["row"], p["start"] + a, n, d, pos) for p in at for a, n, d, pos in spans)
+        return _packed([(0, home, _SPANS, _pack(np.array(spans, _SPAN))) for home, spans in found.items() if spans])
+
+    return factor
+
+
+def _remove(layout: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The documents of a block without the words of their factors."""
+
+    def remove(part: pa.Table, back: pa.Table) -> pa.Table:
         if not part.num_rows:
             return part.select(["row"]).append_column("n_words", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("factors", pa.array([], _FACTORS)).append_column("kept", pa.array([], pa.string()))
-        block, texts = _block_of(part, min_words)
-        chosen, found = block.candidates(_sorted_anchors(back))
-        firsts, place = _firsts(found)
-        far = _received(back, 2, _FIRST)
-        merged = _firsts(np.concatenate([firsts, far]))
-        first = merged[0][merged[1][: len(firsts)]][place]
-        own = block.owner[chosen]
-        hit = first["doc"] < block.docs[own]
-        window, first, own = block.window[chosen[hit]], first[hit], own[hit]
-        change = np.zeros(len(block.hashes) + 1, np.int32)
-        np.add.at(change, window, 1)
-        np.add.at(change, window + min_words, -1)
-        keep = np.cumsum(change[:-1]) == 0
-        # a factor goes on while the next window points to the next word of the same document
-        begins = np.ones(len(window), bool)
-        begins[1:] = (np.diff(window) != 1) | (first["doc"][1:] != first["doc"][:-1]) | (np.diff(first["pos"]) != 1) | (own[1:] != own[:-1])
-        edges = np.flatnonzero(begins)
-        lengths = np.diff(np.append(edges, len(window))) + min_words - 1
-        factors: list[list[dict]] = [[] for _ in texts]
-        for e, n in zip(edges.tolist(), lengths.tolist(), strict=True):
-            factors[own[e]].append({"start": int(window[e] - block.starts[own[e]]), "words": n, "doc": int(first["doc"][e]), "pos": int(first["pos"][e])})
-        removed, kept = [], []
+        row, _, texts = _documents(part)
+        got = [_unpack(p, _SPAN) for _, p in _received(back, _SPANS)]
+        spans = np.concatenate(got) if got else np.empty(0, _SPAN)
+        spans = spans[np.lexsort((spans["words"], spans["start"], spans["row"]))]
+        first = np.searchsorted(spans["row"], np.arange(len(texts) + 1))
+        counts, removed, factors, kept = [], [], [], []
         for k, text in enumerate(texts):
-            mask = keep[block.starts[k] : block.ends[k]]
-            removed.append(len(mask) - int(np.count_nonzero(mask)))
-            if layout:
-                kept.append(text if text is None or not removed[-1] else _cut(text, mask))
-            else:
-                words = (text or b"").split()
-                kept.append(b" ".join(compress(words, mask.tolist()) if removed[-1] else words))
-        columns = [part.column("row").combine_chunks(), pa.array(block.sizes), pa.array(removed, pa.int64()), pa.array(factors, _FACTORS), pa.array([None if x is None else x.decode() for x in kept], pa.string())]
+            words, mine = (text or b"").split(), spans[first[k] : first[k + 1]]
+            counts.append(len(words))
+            factors.append([{"start": a, "words": n, "doc": d, "pos": p} for _, a, n, d, p in mine.tolist()])
+            if not len(mine):
+                removed.append(0)
+                kept.append(text if layout else b" ".join(words))
+                continue
+            change = np.zeros(len(words) + 1, np.int32)
+            np.add.at(change, mine["start"], 1)
+            np.add.at(change, mine["start"] + mine["words"], -1)
+            keep = np.cumsum(change[:-1]) == 0
+            removed.append(len(words) - int(np.count_nonzero(keep)))
+            kept.append(_cut(text, keep) if layout else b" ".join(compress(words, keep.tolist())))
+        columns = [row, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(factors, _FACTORS), pa.array([None if x is None else x.decode() for x in kept], pa.string())]
         return pa.table(columns, ["row", "n_words", "n_removed", "factors", "kept"])
 
-    return parse
+    return remove
 
 
 _FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("doc", pa.int64()), ("pos", pa.int32())]))
@@ -309,14 +498,21 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, layout: bool = Fal
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     dealt = docs.select(row, F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block"))
     by_block = dealt.groupBy("block")
-    back_columns = [F.col("bucket").alias("kind"), "block", "packed"]
     anchors = by_block.applyInArrow(_send_anchors(min_words, buckets), _PACKED)
-    shared = anchors.groupBy("bucket").applyInArrow(_meet_anchors, _PACKED).select(*back_columns)
+    shared = anchors.groupBy("bucket").applyInArrow(_meet_anchors, _PACKED)
     windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(min_words, buckets), _PACKED)
-    earlier = windows.groupBy("bucket").applyInArrow(_meet_windows, _PACKED).select(*back_columns)
+    earlier = windows.groupBy("bucket").applyInArrow(_meet_windows, _PACKED)
     back = shared.unionByName(earlier).groupBy("block")
+    stretches = materialise(by_block.cogroup(back).applyInArrow(_send_stretches(min_words, buckets), _STRETCHES))
+    # a block's index is copied only for as many bytes of stretches as it has itself, or a part's least
+    size = F.octet_length("words")
+    sizes = stretches.groupBy("block").agg(F.sum(F.when(F.col("places").isNull(), size)).alias("index"), F.sum(F.when(F.col("places").isNotNull(), size)).alias("asked")).where("asked > 0")
+    parts = sizes.select("block", F.ceil(F.col("asked") / F.greatest(F.col("index"), F.lit(block_bytes // 8))).cast("int").alias("parts"))
+    own = F.array(F.pmod(F.xxhash64("home", "words"), F.col("parts")).cast("int"))
+    split = stretches.join(parts, "block").withColumn("part", F.explode(F.when(F.col("places").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    spans = split.drop("parts").groupBy("block", "part").applyInArrow(_factor(min_words), _PACKED)
     schema = f"row {dealt.schema['row'].dataType.simpleString()}, n_words long, n_removed long, factors array<struct<start:int,words:int,doc:long,pos:int>>, kept string"
-    return dealt.groupBy("block").cogroup(back).applyInArrow(_parse(min_words, layout, docs.columns), schema)
+    return by_block.cogroup(spans.groupBy("block")).applyInArrow(_remove(layout), schema)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -1,5 +1,6 @@
 """Decontamination, substrings, tokens, files and packing against brute force over odd documents."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -171,3 +172,19 @@ def test_bounds_never_pass_the_optimum():
     assert packing.lower_bound(np.array([4] * 9), 10) == 5
 
 
+
+
+@pytest.mark.parametrize("vocabulary", [2, 5, 300])
+def test_factors_cover_every_repeat(vocabulary):
+    random.seed(vocabulary)
+    texts = [(doc, [b"w%d" % random.randrange(vocabulary) for _ in range(random.choice([3, 40, 200]))]) for doc in range(12)]
+    texts += [(20, texts[3][1] + texts[7][1]), (21, texts[5][1]), (5, texts[2][1])]
+    index = substrings.ReferenceIndex([d for d, _ in texts], [b" ".join(w) for _, w in texts])
+    letters = np.frombuffer(index.letters, ">u4").tolist()
+    assert index.order == sorted(range(len(letters)), key=lambda k: letters[k:])
+    for below, words in [(21, texts[5][1][10:] + [b"new"] + texts[8][1]), *texts]:
+        held = {tuple(w[k : k + 6]) for d, w in texts if d < below for k in range(len(w) - 5)}
+        want = {k + j for k in range(len(words) - 5) if tuple(words[k : k + 6]) in held for j in range(6)}
+        found = index.factors(b" ".join(words), below, 6)
+        assert {k for a, n, _, _ in found for k in range(a, a + n)} == want
+        assert all(any(d == doc and w[pos : pos + n] == words[a : a + n] for d, w in texts) and doc < below for a, n, doc, pos in found)
