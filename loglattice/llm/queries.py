@@ -134,7 +134,7 @@ ORACLES: dict[str, str] = {
         ) SELECT * FROM r WHERE rank <= 5
     """,
     "op4_toolcalls": """
-        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+        WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
         c AS (
             SELECT conv_id, turn, 'call-' || turn AS call_id, text,
                 CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'guess' END AS name,
@@ -146,14 +146,16 @@ ORACLES: dict[str, str] = {
             SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, coalesce(d.turn, r.turn) AS position,
                 d.turn, d.name, d.text, d.needs, d.needed, r.turn AS answered, r.text AS content
             FROM d FULL OUTER JOIN r ON d.conv_id = r.conv_id AND d.call_id = r.call_id
+        ), v AS (
+            SELECT conv_id, turn, 0 AS level FROM d WHERE needed IS NULL
+            UNION ALL SELECT d.conv_id, d.turn, v.level + 1 FROM d JOIN v ON d.conv_id = v.conv_id AND d.needed = v.turn
         ), e AS (
             SELECT *, concat_ws('; ',
                 CASE WHEN name = 'guess' THEN 'name: unknown tool' WHEN turn % 7 = 3 THEN 'limit: not of type integer' WHEN name = 'lookup' AND turn > 5 THEN 'limit: above 5' END,
                 CASE WHEN needs IS NOT NULL AND needed IS NULL THEN 'depends_on: call-' || needs || ' is unknown' END) AS errors
-            FROM l
+            FROM l LEFT JOIN v USING (conv_id, turn)
         )
-        SELECT conv_id, call_id, position,
-            CAST(CASE WHEN turn IS NULL THEN -1 WHEN conv_id % 10 = 3 AND needed IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS level,
+        SELECT conv_id, call_id, position, CAST(coalesce(level, -1) AS INTEGER) AS level,
             CASE WHEN turn IS NULL THEN 'no_call' WHEN answered IS NULL THEN 'no_result' ELSE 'linked' END AS status,
             turn IS NOT NULL AND errors = '' AS valid, errors,
             sha256('{"arguments":' || CASE WHEN turn IS NULL THEN 'null' ELSE '{"limit":' || CASE WHEN turn % 7 = 3 THEN '"many"' ELSE CAST(turn AS VARCHAR) END

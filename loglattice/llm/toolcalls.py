@@ -1,10 +1,11 @@
 """Tool-call linking: calls and results joined by identifier, put in topological order, checked and serialised.
 
-Calls are hash-joined to results on (conv_id, call_id), unmatched rows of both sides kept. A call may depend on
-others of its conversation. Where no call depends on a later one, as is usual, the order of positions is
-already topological and every level is 0. Only the ids of other conversations go through rounds: a round
-settles the calls whose dependencies are all settled, one level above the highest of them; calls on or behind
-a cycle are never settled. Sorting by (level, position) is topological, and needs no conversation in one task.
+Calls are joined to results by the hash of (conv_id, call_id), unmatched rows of both sides kept. A call may depend
+on others of its conversation; its level is 0 without such, else one above the highest level it depends on, and
+sorting by (level, position) is topological. Calls are cut into chunks of bounded size in the order of
+conversation and position, so that most conversations are whole in one; a task settles what it can of a chunk, and
+levels that other chunks wait for are joined to them before the next round. There are as many rounds as the longest
+chain crosses from chunk to chunk, and no conversation needs to fit a task; calls on or behind a cycle are never settled.
 
 Arguments are parsed and checked against the tool's schema (type, properties, required, additionalProperties,
 enum, items, minimum, maximum); every linked row becomes canonical JSON: keys sorted, no white space, other
@@ -12,13 +13,18 @@ letters than ASCII as they are.
 
 Defined results: rows with a null conv_id or call_id are left out; of repeated call or result ids in a
 conversation the one with the smallest position (then text) counts; dependencies on unknown ids are ignored
-for the order and reported; null or malformed arguments are errors, and `arguments` is null in the JSON; empty
+for the order and reported; null or malformed arguments, numbers beyond a double or of over 4,300 digits and values
+nested deeper than 100 levels are errors, and `arguments` is null in the JSON; surrogates without their partner stay
+escaped (\\ud800); of repeated names in an object the last counts; very long arguments are no special case; empty
 tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -68,50 +74,109 @@ def violations(value: Any, schema: dict[str, Any], path: str = "") -> list[str]:
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
-def _parsed(text: str | None) -> tuple[Any, bool]:
+def _escaped(text: str) -> str:
+    """Surrogates without their partner, which UTF-8 has no bytes for, as JSON escapes."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+_DEEPEST = 100
+_NESTING = re.compile(r'"(?:[^"\\]|\\.)*"|[\[{]|[\]}]', re.DOTALL)
+
+
+def _too_deep(text: str) -> bool:
+    if text.count("[") + text.count("{") <= _DEEPEST:
+        return False
+    depth = 0
+    for m in _NESTING.finditer(text):
+        depth += (m[0] in "[{") - (m[0] in "]}")
+        if depth > _DEEPEST:
+            return True
+    return False
+
+
+def _parsed(text: str | None) -> tuple[Any, str | None]:
+    """The value of a JSON text, and what is wrong with it."""
+
     def refuse(name: str) -> None:
         raise ValueError(name)
 
-    try:
-        return json.loads(text or "", parse_constant=refuse), True
-    except ValueError:
-        return None, False
+    def double(digits: str) -> float:
+        if math.isinf(value := float(digits)):
+            raise OverflowError
+        return value
 
+    def whole(digits: str) -> int:
+        if len(digits) > 4300:
+            raise OverflowError
+        return int(digits)
 
-def topological_levels(calls: DataFrame) -> DataFrame:
+    if _too_deep(text or ""):
+        return None, f"arguments: nested deeper than {_DEEPEST} levels"
+    try:
+        return json.loads(text or "", parse_constant=refuse, parse_float=double, parse_int=whole), None
+    except OverflowError:
+        return None, "arguments: number out of range"
+    except ValueError:
+        return None, "arguments: not JSON"
+
+
+def _settle(part: pa.Table) -> pa.Table:
+    """Levels of the calls of a chunk that wait for no other chunk; the others keep what they still wait for."""
+    rows = part.to_pylist()
+    at = {(r["conv_id"], r["call_id"]): k for k, r in enumerate(rows)}
+    waiting = [len(r["inner"]) + len(r["outer"]) for r in rows]
+    level = [r["base"] for r in rows]
+    needed_by: dict[int, list[int]] = defaultdict(list)
+    for k, r in enumerate(rows):
+        for name in r["inner"]:
+            needed_by[at[r["conv_id"], name]].append(k)
+    ready = [k for k, n in enumerate(waiting) if not n]
+    for k in ready:  # grows as it is read
+        for other in needed_by[k]:
+            level[other] = max(level[other], level[k] + 1)
+            waiting[other] -= 1
+            if not waiting[other]:
+                ready.append(other)
+    done = set(ready)
+    for k, r in enumerate(rows):
+        r["level"], r["base"] = (level[k] if k in done else None), level[k]
+        r["inner"] = [name for name in r["inner"] if at[r["conv_id"], name] not in done]
+    return pa.Table.from_pylist(rows, part.schema.append(pa.field("level", pa.int32())))
+
+
+def topological_levels(calls: DataFrame, chunk_rows: int = 20_000) -> DataFrame:
     """conv_id, call_id and level of each call (conv_id, call_id, position, depends_on; ids unique); level null: on or
     behind a cycle."""
-    named = calls.select("conv_id", "call_id", "position")
-    needs = calls.select("conv_id", "call_id", "position", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    known = named.select("conv_id", F.col("call_id").alias("needs"), F.col("position").alias("at"))
-    edges = materialise(needs.join(known, ["conv_id", "needs"]))
-    mixed = edges.where(F.col("at") >= F.col("position")).select("conv_id").distinct()
-    # the conversations in which some call depends on a later one
-    pending = materialise(edges.join(mixed, "conv_id", "left_semi").select("conv_id", "call_id", "needs"))
-    waiting = pending.select("conv_id", "call_id").distinct()
-    settled = named.join(waiting, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    fresh = settled.join(mixed, "conv_id", "left_semi")
-    parts = [settled]
-    highest = None  # of the settled dependencies of each waiting call, so far
-    while not pending.isEmpty():
-        done = fresh.select("conv_id", F.col("call_id").alias("needs"), "level")
-        marked = materialise(pending.join(done, ["conv_id", "needs"], "left"))
-        seen = marked.where("level is not null").select("conv_id", "call_id", "level")
-        highest = seen if highest is None else highest.unionByName(seen)
-        highest = materialise(highest.groupBy("conv_id", "call_id").agg(F.max("level").alias("level")))
-        pending = marked.where("level is null").select("conv_id", "call_id", "needs")
-        fresh = materialise(highest.join(pending, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", (F.col("level") + 1).alias("level")))
-        highest = highest.join(fresh, ["conv_id", "call_id"], "left_anti")
-        if fresh.isEmpty():
+    chunks = max(1, math.ceil(calls.count() / chunk_rows))
+    ranged = calls.repartitionByRange(chunks, "conv_id", "position", "call_id").withColumn("chunk", F.spark_partition_id())
+    ranged = materialise(ranged.select("chunk", "conv_id", "call_id", F.array_distinct("depends_on").alias("needs")))
+    known = ranged.select("conv_id", F.col("call_id").alias("need"), F.col("chunk").alias("where"))
+    edges = ranged.select("chunk", "conv_id", "call_id", F.explode("needs").alias("need")).join(known, ["conv_id", "need"])
+    inside = F.col("where") == F.col("chunk")
+    some = lambda c: F.collect_list(F.when(c, F.col("need")))
+    needs = edges.groupBy("conv_id", "call_id").agg(some(inside).alias("inner"), some(~inside).alias("outer"))
+    none = F.array().cast("array<string>")
+    nodes = ranged.join(needs, ["conv_id", "call_id"], "left").select("chunk", "conv_id", "call_id", F.lit(0).alias("base"), F.coalesce("inner", none).alias("inner"), F.coalesce("outer", none).alias("outer"))
+    kind = calls.schema["conv_id"].dataType.simpleString()
+    settled: list[DataFrame] = []
+    schema = f"chunk int, conv_id {kind}, call_id string, base int, inner array<string>, outer array<string>, level int"
+    while True:
+        seen = materialise(nodes.groupBy("chunk").applyInArrow(_settle, schema))
+        fresh, rest = seen.where("level is not null"), seen.where("level is null")
+        settled.append(fresh.select("conv_id", "call_id", "level"))
+        if rest.isEmpty() or fresh.isEmpty():
             break
-        parts.append(fresh)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return named.select("conv_id", "call_id").join(out, ["conv_id", "call_id"], "left")
+        done = fresh.select("conv_id", F.col("call_id").alias("need"), "level")
+        asked = rest.select("conv_id", "call_id", F.explode("outer").alias("need")).join(done, ["conv_id", "need"], "left")
+        told = asked.groupBy("conv_id", "call_id").agg((F.max("level") + 1).alias("above"), some(F.col("level").isNull()).alias("open"))
+        nodes = rest.join(told, ["conv_id", "call_id"], "left").select("chunk", "conv_id", "call_id", F.greatest("base", "above").alias("base"), "inner", F.coalesce("open", none).alias("outer"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return ranged.select("conv_id", "call_id").join(out, ["conv_id", "call_id"], "left")
 
 
 def _first_of(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -131,7 +196,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     ids = calls.select("conv_id", F.col("call_id").alias("needs"))
     lost = lost.join(ids, ["conv_id", "needs"], "left_anti").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("needs")).alias("lost"))
     ordered = calls.join(levels, ["conv_id", "call_id"]).join(lost, ["conv_id", "call_id"], "left")
-    linked = ordered.withColumn("called", F.lit(True)).hint("shuffle_hash").join(results, ["conv_id", "call_id"], "full_outer")
+    linked = ordered.withColumn("called", F.lit(True)).join(results, ["conv_id", "call_id"], "full_outer")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,9 +205,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
             for row in (dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)):
                 errors, arguments = [], None
                 if row["called"]:
-                    arguments, good = _parsed(row["arguments"])
-                    if not good:
-                        errors.append("arguments: not JSON")
+                    arguments, wrong = _parsed(row["arguments"])
+                    if wrong:
+                        errors.append(wrong)
                     elif row["name"] not in schemas:
                         errors.append("name: unknown tool")
                     else:
@@ -152,7 +217,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                         errors.append("depends_on: cycle")
                 out["status"].append("no_call" if not row["called"] else "linked" if row["answered"] is not None else "no_result")
                 out["valid"].append(bool(row["called"]) and not errors)
-                out["errors"].append("; ".join(errors))
+                out["errors"].append(_escaped("; ".join(errors)))
                 out["canonical"].append(canonical({"arguments": arguments, "call_id": row["call_id"], "name": row["name"], "result": row["content"]}))
             arrays = [pa.array(out["status"], pa.string()), pa.array(out["valid"], pa.bool_()), pa.array(out["errors"], pa.string()), pa.array(out["canonical"], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("call_id"), batch.column("at"), batch.column("level"), *arrays], ["conv_id", "call_id", "position", "level", *out])

@@ -171,3 +171,51 @@ def test_tool_calls(spark):
     assert got[3, "x"].status == "linked"
     empty = toolcalls.link_tool_calls(df.limit(0), spark.createDataFrame([], "conv_id long, call_id string, position int, content string"), {})
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize(
+    ("arguments", "error", "kept"),
+    [
+        ('{"a": 1e400}', "arguments: number out of range", "null"), ('{"a": -1e400}', "arguments: number out of range", "null"), ('{"a": NaN}', "arguments: not JSON", "null"),
+        ('{"a": ' + "9" * 5000 + "}", "arguments: number out of range", "null"), ("[" * 5000 + "]" * 5000, "arguments: nested deeper than 100 levels", "null"), ("[" * 100_000, "arguments: nested deeper than 100 levels", "null"),
+        ('{"a": "' + "[" * 500 + '"}', None, '{"a":"' + "[" * 500 + '"}'), ('{"b": "\\ud800"}', None, '{"b":"\\ud800"}'), ('{"\\udfff": 1}', None, '{"\\udfff":1}'), ('{"a": "\\ud83d\\ude00"}', None, '{"a":"😀"}'),
+        ('{"a": 1, "a": 2}', None, '{"a":2}'), ("", "arguments: not JSON", "null"), ("x" * 200_000, "arguments: not JSON", "null"), ('{"a": "' + "x" * 200_000 + '"}', None, '{"a":"' + "x" * 200_000 + '"}'),
+    ],
+)
+def test_odd_arguments(spark, arguments, error, kept):
+    value, wrong = toolcalls._parsed(arguments)
+    assert wrong == error and toolcalls.canonical(value) == kept
+    toolcalls.canonical(value).encode()
+    assert toolcalls.violations(value, {"type": "object"}) == [] or error or isinstance(value, list)
+
+
+def test_odd_arguments_in_rows(spark):
+    texts = ['{"a": 1e400}', '{"\\ud800": "\\ud800"}', "[" * 3000, None, ""]
+    calls = spark.createDataFrame([(1, f"c{k}", k, "t", t, None, "x") for k, t in enumerate(texts)], "conv_id long, call_id string, position int, name string, arguments string, depends_on array<string>, level string")
+    results = spark.createDataFrame([(1, "c1", 9, None, 5)], "conv_id long, call_id string, position int, content string, status int")
+    got = {r.call_id: r for r in toolcalls.link_tool_calls(calls, results, {"t": {"type": "object", "additionalProperties": False}}).collect()}
+    assert [got[f"c{k}"].errors.split(": ", 1)[1] for k in range(5)] == ["number out of range", "\\ud800 is unknown", "nested deeper than 100 levels", "not JSON", "not JSON"]
+    assert got["c1"].status == "linked" and '"\\ud800":"\\ud800"' in got["c1"].canonical
+
+
+@pytest.mark.parametrize("chunk_rows", [20_000, 7])
+def test_levels_by_brute_force(spark, chunk_rows):
+    random.seed(chunk_rows)
+    needs = {}
+    for conv in range(4):
+        for k in range(40):
+            back, ahead = [random.randrange(k) for _ in range(random.choice([0, 1, 1, 2]) if k else 0)], [k + 1] if k % 9 == 4 else []
+            needs[conv, f"c{k}"] = [f"c{x}" for x in (back if not ahead else ahead)]
+        for k in range(1, 30):  # a chain
+            needs[conv, f"d{k}"] = [f"d{k - 1}"] if k > 1 else []
+        needs[conv, "e"], needs[conv, "f"], needs[conv, "g"], needs[conv, "h"] = ["f"], ["e"], ["f", "c1"], ["h"]
+    levels = dict.fromkeys(needs)
+    for _ in range(len(needs)):
+        for (conv, name), wanted in needs.items():
+            below = [levels[conv, w] for w in wanted]
+            if None not in below:
+                levels[conv, name] = max([0, *(b + 1 for b in below)])
+    rows = [(conv, name, k, [*wanted, "unknown"] if k % 5 == 0 else wanted or None) for k, ((conv, name), wanted) in enumerate(needs.items())]
+    got = toolcalls.topological_levels(spark.createDataFrame(rows, "conv_id long, call_id string, position int, depends_on array<string>"), chunk_rows).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == levels and max(x for x in levels.values() if x is not None) >= 28
+    assert sum(x is None for x in levels.values()) >= 16
