@@ -4,17 +4,20 @@ The automaton is built over word numbers. A document's words are streamed throug
 gives the longest suffix of the words read that occurs in an item. A window is `window` consecutive item
 words, or a whole item of fewer words; a document word inside an occurrence of a window is hit.
 
-Items are read in blocks of bounded size (`block_words`); every block is one broadcast and one narrow pass
-over the documents, so the memory of a task does not grow with the benchmark.
+Items are dealt into blocks of about `block_words` words; every block is one broadcast and one narrow pass over
+the documents, and between two passes what was found is written to a table, so neither a task nor the driver
+holds more than one block however large the benchmark is.
 
 Defined results: null and empty texts have no words and no hits; items without words have no windows;
 repeated items count by their item_id once; repeated documents give one row each; other columns of the
 documents are carried along untouched, also when they bear the names of results (they are kept in the
-struct column `row`).
+struct column `row`); items without an item_id are left out; an empty documents table gives no rows, an empty
+benchmark no hits; very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import repeat
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, text_slices, utf8
+from .common import limit_batches, materialise, text_slices, utf8
 
 #: Lower-cases A-Z and turns all bytes outside 0-9, a-z and 0x80-0xFF into spaces.
 _NORMAL = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -144,18 +147,15 @@ class ItemAutomaton:
                 spans.append((start, i))
 
 
-def _item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block: list[tuple[str, list[bytes]]] = []
-    held = 0
+def _item_blocks(items: DataFrame, block_words: int) -> Iterator[tuple[list[tuple[str, list[bytes]]], bool]]:
+    """The items of each block with their words, and whether it is the last. Six bytes count as a word."""
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
-    for row in rows.toLocalIterator():
-        words = words_of(row.text.encode())
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row.item_id, words))
-        held += len(words)
-    yield block
+    blocks = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (6 * block_words)))
+    if blocks > 1:
+        rows = materialise(rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
+    for k in range(blocks):
+        block = rows.where(F.col("block") == k) if blocks > 1 else rows
+        yield [(row.item_id, words_of(row.text.encode())) for row in block.select("item_id", "text").collect()], k == blocks - 1
 
 
 _BUILT: dict[object, ItemAutomaton] = {}
@@ -193,7 +193,7 @@ def _scanned(docs: DataFrame, items: DataFrame, window: int, block_words: int, c
         F.lit(None).cast("string").alias("kept"),
     )
     schema = out.schema
-    for block in _item_blocks(items, block_words):
+    for block, last in _item_blocks(items, block_words):
         shared = _Block(spark.sparkContext.broadcast(block), uuid.uuid4().hex)
 
         def scan(batches, shared=shared):
@@ -215,6 +215,7 @@ def _scanned(docs: DataFrame, items: DataFrame, window: int, block_words: int, c
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields])
 
         out = out.mapInArrow(scan, schema)
+        out = out if last else materialise(out)
     return out
 
 

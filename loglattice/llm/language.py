@@ -5,11 +5,13 @@ a phrase is the longest run of its letters that occurs in the sample (or one let
 the language with the fewest phrases for each letter wins; ties go to the first by name. The score is the
 share of phrases that the winner saves against the second.
 
-Texts are lower-cased; what is not a letter becomes one space. They are parsed in segments of `SEGMENT`
-letters side by side (a phrase doesn't cross a segment's end), all of them, so a task's arrays stay small and
-long texts are no special case. Training: up to `max_docs` labelled documents of each language (the smallest
-hashes of doc_id), cut where they add up to `max_chars`, of every language. All letters of the samples count: arcs of the
-most frequent ones are a dense table of bounded size, the others sorted keys, as many as the samples have arcs.
+Texts are lower-cased; what is not a letter becomes one space. They are parsed in segments of `SEGMENT` letters
+side by side, so a task's arrays stay small and long texts are no special case; where a phrase runs on into the
+next segment, that one is parsed again from there until both parses begin a phrase at the same letter, so the
+phrases are those of the whole text. Training: up to `max_docs` labelled documents of each language (the smallest
+hashes of doc_id), whole ones, as long as they add up to `max_chars` at most (the shortest alone if none is so
+short), of every language. All letters of the samples count: arcs of the most frequent ones are a dense table of
+bounded size, the others sorted keys, as many as the samples have arcs.
 Languages are parsed `PASS` at a time; where there are more, each pass hands its best and second counts to the next.
 
 Defined results: null texts and texts without a letter, and all texts if nothing was learned, are `und` with
@@ -141,59 +143,94 @@ class Parser:
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """For each coded text and each language the number of phrases."""
         cuts = [(k, t[a : a + SEGMENT]) for k, t in enumerate(texts) for a in range(0, len(t), SEGMENT)]
-        cuts.sort(key=lambda c: -len(c[1]))
+        owner = np.array([k for k, _ in cuts], np.int64)
+        counts, ends = self._parsed([c for _, c in cuts], np.repeat(np.array(self.roots, np.int32)[:, None], len(cuts), axis=1))
+        # each later segment begins in the state in which the one before ends
+        todo = np.flatnonzero(owner[1:] == owner[:-1]) + 1 if len(cuts) else np.empty(0, np.int64)
+        used = np.repeat(np.array(self.roots, np.int32)[:, None], len(cuts), axis=1)
+        alone, real = ends.copy(), ends
+        corrected = counts.copy()
+        while len(todo):
+            used[:, todo] = real[:, todo - 1]
+            more, ends, together = self._carried([cuts[k][1] for k in todo.tolist()], used[:, todo])
+            corrected[:, todo] = counts[:, todo] + more
+            real[:, todo] = np.where(together, alone[:, todo], ends)
+            following = todo[todo + 1 < len(cuts)] + 1
+            following = following[owner[following] == owner[following - 1]]
+            todo = following[(real[:, following - 1] != used[:, following]).any(axis=0)]
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        for at in range(0, len(cuts), 2048):
-            group = cuts[at : at + 2048]
-            sizes = np.array([len(c) for _, c in group])
-            grid = np.full((sizes[0], len(group)), self.unknown, np.int32)
-            for column, (_, c) in enumerate(group):
-                grid[: len(c), column] = c
-            np.add.at(out, [k for k, _ in group], self._parse(grid, sizes).T)
+        np.add.at(out, owner, corrected.T)
         return out
 
-    def _parse(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        root = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(root, grid.shape[1], axis=1)
-        count = np.zeros(state.shape, np.int32)
-        active = grid.shape[1]
-        width, some_rare = self.dense + 1, len(self.keys) > 0
-        live = np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right")
-        for letters, n in zip(grid, live.tolist(), strict=True):
-            if n < active:
-                count[:, n:active] += state[:, n:active] != root
-                active = n
-            letter = letters[:active]
-            here = state[:, :active]
-            column = np.minimum(letter, self.dense)
-            to = self.arcs[here * width + column]
-            fresh = self.arcs[root * width + column]
-            if some_rare and len(rare := np.flatnonzero((letter >= self.dense) & (letter < self.unknown))):
-                to[:, rare] = self._sparse(here[:, rare], letter[rare])
-                fresh[:, rare] = self._sparse(root, letter[rare])
-            end = to < 0
-            lost = fresh < 0  # not a letter of this language: a phrase of its own
-            tally = count[:, :active]
-            tally += end & (here != root)
-            tally += lost
-            state[:, :active] = np.where(end, np.where(lost, root, fresh), to)
-        count[:, :active] += state[:, :active] != root
-        return count
+    def _step(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a letter, and where a phrase begins with it."""
+        root, width = np.array(self.roots, np.int32)[:, None], self.dense + 1
+        column = np.minimum(letters, self.dense)
+        to, fresh = self.arcs[state * width + column], self.arcs[root * width + column]
+        if len(self.keys) and len(rare := np.flatnonzero((letters >= self.dense) & (letters < self.unknown))):
+            to[:, rare] = self._sparse(state[:, rare], letters[rare])
+            fresh[:, rare] = self._sparse(root, letters[rare])
+        end = to < 0
+        # a letter that the language never has is a phrase of its own
+        return np.where(end, np.where(fresh < 0, root, fresh), to), end | (state == root)
+
+    def _parsed(self, cuts: list[np.ndarray], states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each cut, and the states at its end."""
+        counts, ends = np.zeros(states.shape, np.int64), states.copy()
+        order = sorted(range(len(cuts)), key=lambda k: -len(cuts[k]))
+        for at in range(0, len(order), 2048):
+            group = np.array(order[at : at + 2048])
+            grid, live = self._grid([cuts[k] for k in group.tolist()])
+            for letters, n in zip(grid, live, strict=True):
+                now = group[:n]
+                ends[:, now], begins = self._step(ends[:, now], letters[:n])
+                counts[:, now] += begins
+        return counts, ends
+
+    def _carried(self, cuts: list[np.ndarray], states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of cuts that begin in these states: how many phrases more begin there than in a parse from the root, the
+        states at the end, and whether both parses begin a phrase at the same letter (then the states are the other's)."""
+        more, ends, together = np.zeros(states.shape, np.int64), states.copy(), states == np.array(self.roots, np.int32)[:, None]
+        alone = np.repeat(np.array(self.roots, np.int32)[:, None], len(cuts), axis=1)
+        order = sorted(range(len(cuts)), key=lambda k: -len(cuts[k]))
+        for at in range(0, len(order), 2048):
+            group = np.array(order[at : at + 2048])
+            grid, live = self._grid([cuts[k] for k in group.tolist()])
+            column = np.arange(len(group))
+            for letters, n in zip(grid, live, strict=True):
+                column = column[: np.searchsorted(column, n)]
+                column = column[~together[:, group[column]].all(axis=0)]
+                if not len(column):
+                    break
+                now = group[column]
+                ends[:, now], real = self._step(ends[:, now], letters[column])
+                alone[:, now], other = self._step(alone[:, now], letters[column])
+                together[:, now] |= real & other
+                more[:, now] += np.where(together[:, now], 0, real.astype(np.int64) - other)
+        return more, ends, together
+
+    def _grid(self, cuts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """Cuts of falling length as columns, and how many of them each row has."""
+        sizes = np.array([len(c) for c in cuts])
+        grid = np.full((sizes[0], len(cuts)), self.unknown, np.int32)
+        for column, c in enumerate(cuts):
+            grid[: len(c), column] = c
+        return grid, np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right").tolist()
 
 
 def sample(docs: DataFrame, fold: Column, max_docs: int = 24, max_chars: int = 40_000) -> dict[str, list[str]]:
-    """Text of each language from the rows of `docs` (doc_id, text, lang) for which `fold` holds."""
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & fold)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("rank", rank).where(F.col("rank") <= max_docs).select("doc_id", "rank")
-    texts = docs.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.col("lang").isNotNull() & fold)
+    """Texts of each language from the rows of `docs` (doc_id, text, lang) for which `fold` holds."""
+    known = docs.select("doc_id", "lang", F.length("text").alias("size")).where(F.col("lang").isNotNull() & fold & (F.col("size") > 0))
+    long = F.when(F.col("size") > max_chars, F.col("size"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(long.asc_nulls_first(), F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.withColumn("rank", rank).where(F.col("rank") <= max_docs).where((F.col("rank") == 1) | (F.col("size") <= max_chars))
+    texts = docs.select("doc_id", "lang", "text", F.length("text").alias("size")).join(F.broadcast(chosen.select("doc_id", "lang", "size", "rank")), ["doc_id", "lang", "size"])
     found: dict[str, list[str]] = {}
     room: dict[str, int] = {}
-    for row in sorted(texts.collect(), key=lambda r: (r.lang, r.rank, r.text or "")):
-        left = room.setdefault(row.lang, max_chars)
-        if row.text and left > 0:
-            found.setdefault(row.lang, []).append(row.text[:left])
-            room[row.lang] -= len(row.text)
+    for row in sorted(texts.where(fold).collect(), key=lambda r: (r.lang, r.rank, r.text)):
+        if row.lang not in found or row.size <= room[row.lang]:
+            found.setdefault(row.lang, []).append(row.text)
+            room[row.lang] = room.get(row.lang, max_chars) - row.size
     return found
 
 

@@ -8,7 +8,8 @@ bins that are not nearly full. What is given up is dealt over fewer partitions a
 last round, which is one partition or keeps what it has.
 
 Defined results: null texts count as empty and have the end id alone; repeated documents are packed once for
-each row; an empty table gives no rows; other columns are not read.
+each row; very long texts are pieces of one document, encoded as one text; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations

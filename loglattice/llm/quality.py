@@ -8,8 +8,9 @@ statistics: a sum of weights of those rules that hold, through the logistic func
 Training: labelled rows, at most `max_rows` of them (the smallest hashes of doc_id), of which only the
 statistics reach the driver. Statistics are of whole texts.
 
-Defined results: null and empty texts have statistics of zero and are scored like others; rows without a
-label (or null) don't train; without training rows, or with one label only, all scores are the share of
+Defined results: null and empty texts have statistics of zero and are scored like others; very long texts are no
+special case; an empty table gives no rows; rows without a label (or null) don't train; of several labels of a
+doc_id the largest counts, and of its rows that with the least statistics; without training rows, or with one label only, all scores are the share of
 label 1 (0.5 without rows); repeated rows are scored one by one; other columns are carried along unread.
 """
 

@@ -14,7 +14,8 @@ counters have passed the radius is abandoned. A group reports a forest of its li
 the smallest one that it is joined to within the group), never all pairs.
 
 Defined results: texts without words (null, empty, white space) have fingerprint zero and link like any
-other; repeated rows give one row each; other columns are carried along by `near_duplicates` only.
+other; repeated rows give one row each; an empty table gives no rows; very long texts are a slice of their own;
+other columns are carried along by `remove_near_duplicates` only.
 """
 
 from __future__ import annotations

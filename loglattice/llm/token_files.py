@@ -16,8 +16,8 @@ Bit plane k holds bit k of every id (packed, the first id in the lowest bit); by
 Planes above the highest set bit or byte are left out. Files are written by Spark's committer, so a lost
 executor leaves no half file behind.
 
-Defined results: null texts count as empty and have the end id alone; an empty table gives no rows; ties of
-doc_id are ordered by text; a null doc_id comes first; other columns are not read.
+Defined results: null texts count as empty and have the end id alone; an empty table gives no rows; very long texts
+run on over as many blocks as they fill; ties of doc_id are ordered by text; a null doc_id comes first; other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,12 +7,14 @@ get none. A logistic regression with an L2 penalty is fitted on the vectors of r
 of its number of features so that long texts don't drown in chance. Margins of rows that took part in no fit (three folds)
 set the scale and the bias of the final scores, since those of training rows are too sure.
 
-Training: labelled rows, at most `max_rows` of them (the smallest hashes of doc_id), read by tasks and fitted
-in one task of bounded size; the weights, `2^bits` floats, are broadcast. Scoring reads whole texts.
+Training: labelled rows, at most `max_rows` of them (the smallest hashes of doc_id) and whole texts of at most
+`max_bytes` together (those that would pass it are left out), read by tasks and fitted in one task of that bounded
+size; the weights, `2^bits` floats, are broadcast. Scoring reads whole texts, however long.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; rows without a
-label (or null) don't train; without training rows, or with one label only, all scores are the share of
-label 1 (0.5 without rows); repeated rows are scored one by one; other columns are not read.
+label (or null) don't train; of several labels of a doc_id the largest counts; without training rows, or with one
+label only, all scores are the share of label 1 (0.5 without rows); repeated rows are scored one by one, and of
+the rows of one doc_id that with the least features trains; other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,11 +143,23 @@ def _platt(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows: int = 8000, lengths: tuple[int, ...] = LENGTHS, bits: int = BITS) -> tuple[np.ndarray, float]:
+def _chosen(docs: DataFrame, known: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """doc_id and label of the rows that train."""
+    first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.sum("size").alias("size"), F.max("label").alias("label"))
+    room, kept = max_bytes, []
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if (row["size"] or 0) <= room:
+            room -= row["size"] or 0
+            kept.append((row.doc_id, row.label))
+    return docs.sparkSession.createDataFrame(kept, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows: int = 8000, max_bytes: int = 32 << 20, lengths: tuple[int, ...] = LENGTHS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Weights and bias from the rows of `docs` (doc_id, text) for which `fold` holds and `labels` (doc_id,
     `label` 0 or 1) has a label."""
     known = labels.where(F.col(label).isin(0, 1) & fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = _chosen(docs, known, max_rows, max_bytes)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lengths, bits)
@@ -159,10 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows
         weights, bias = fit_calibrated(rows, part.column("label").to_numpy().astype(np.int64), bits)
         return pa.table([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
+    limit_batches(docs.sparkSession)
     read = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     rows = read.mapInArrow(featurise, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, features binary")
-    # repeated rows of a document train once, so max_rows bounds the task that fits
-    rows = rows.dropDuplicates(["doc_id"])
+    # repeated rows of a document train once
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "features")).alias("row")).select("doc_id", "row.*")
     model = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fit_all, "weights binary, bias double").first()
     return (np.frombuffer(model.weights, np.float32), model.bias) if model else (np.zeros(1 << bits, np.float32), 0.0)
 

@@ -136,6 +136,45 @@ def test_phrases_with_many_letters():
         assert parser.phrases([parser.codes(language.letters_of(t)) for t in held]).tolist() == want
 
 
+def _phrases(text, sample):
+    at = count = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
+@pytest.mark.parametrize("segment", [1, 3, 16, 512])
+def test_phrases_run_on_over_segments(monkeypatch, segment):
+    random.seed(segment)
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    samples = {name: ["".join(random.choice("abcde") for _ in range(400))] for name in "xy"}
+    copied = samples["x"][0]
+    held = [copied, copied[100:] + copied[:100], copied[:390] + "q" + copied, "".join(random.choice("abcdeq") for _ in range(900)), "a", "", copied[:2] * 40]
+    parser = language.Parser(samples)
+    assert parser.phrases([parser.codes(language.letters_of(t)) for t in held]).tolist() == [[_phrases(t, samples[name][0]) for name in "xy"] for t in held]
+
+
+def test_texts_of_many_scripts(spark):
+    random.seed(6)
+    ranges = {"el": (0x3B1, 0x3C9), "ja": (0x3042, 0x3093), "ru": (0x430, 0x44F), "zh": (0x4E00, 0x5500), "ko": (0xAC00, 0xAC80)}
+    text = lambda name, n: "".join(chr(random.randint(*ranges[name])) for _ in range(n))
+    samples = {name: [text(name, 3000)] for name in ranges}
+    rows = [(k, samples[name][0][500:700]) for k, name in enumerate(sorted(ranges))] + [(10 + k, text(name, 80)) for k, name in enumerate(sorted(ranges))]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), samples).collect()}
+    assert [got[k][0] for k in range(5)] == sorted(ranges) and all(got[k][1] > 0.9 for k in range(5))
+    assert [got[10 + k][0] for k in range(3)] == ["el", "ja", "ko"]
+
+
+def test_samples_are_whole_texts(spark):
+    rows = [(1, "a" * 50, "x"), (2, "b" * 60, "x"), (3, "c" * 5000, "x"), (4, "d" * 3000, "y"), (5, "e" * 2000, "y"), (6, "", "z"), (7, None, "z"), (8, "f", None)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), max_chars=100)
+    assert {k: sorted(map(len, v)) for k, v in got.items()} in ({"x": [50], "y": [2000]}, {"x": [60], "y": [2000]})
+    assert language.identify(spark.createDataFrame([], "doc_id long, text string"), got).count() == 0
+
+
 def test_more_languages_than_a_pass(spark):
     random.seed(4)
     alphabets = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) for j in range(40)] for k in range(70)}
