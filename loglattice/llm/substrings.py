@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches, materialise
+from .common import limit_batches
 
 MIN_WORDS = 13
 _ANCHOR_WORDS = 7
@@ -50,7 +50,7 @@ _LAST_DOC = (1 << 63) - 1
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: What a block tells a bucket of a window; what it hears of one; and a span of a row.
-_WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8")])
+_WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8")])
 _EARLIER = np.dtype([("step", "<u4"), ("doc", "<i8"), ("block", "<i8")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i4"), ("words", "<i4"), ("doc", "<i8"), ("pos", "<i4")])
 _ANCHORS, _FIRSTS, _WANTED, _SPANS = range(4)
@@ -114,38 +114,34 @@ class _Block:
         order = np.argsort(anchor, kind="stable")
         return _shared(anchor[order], doc[order])
 
-    def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The windows whose anchor is shared; of different ones the first (so that of the smallest doc_id), in order;
-        and for each window the number of its first."""
+    def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows whose anchor is shared; of different ones the first (so that of the smallest doc_id), in order,
+        and its bucket, which comes from a second hash; and for each window the number of its first."""
         if not len(shared) or not len(self.anchor):
-            return np.empty(0, np.int64), np.empty(0, _WINDOW), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, _WINDOW), np.empty(0, np.int64), np.empty(0, np.int64)
         at = np.minimum(np.searchsorted(shared, self.anchor), len(shared) - 1)
         chosen = np.flatnonzero(shared[at] == self.anchor)
-        found = np.empty(len(chosen), _WINDOW)
         place = self.window[chosen]
-        for name, odd in zip(("h1", "h2"), _ODD, strict=True):
+        hashes = []
+        for odd in _ODD:
             hashed = self.hashes[place]
             for k in range(1, self.min_words):
                 hashed *= odd
                 hashed += self.hashes[place + k]
-            found[name] = _mixed(hashed) >> np.uint64(0 if name == "h1" else 32)
-        found["doc"] = self.docs[self.owner[chosen]]
-        order = np.lexsort((found["h2"], found["h1"]))
-        new = _changes(found[order])
+            hashes.append(_mixed(hashed))
+        order = np.lexsort(hashes[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([h[order[1:]] != h[order[:-1]] for h in hashes], axis=0)
         first = order[np.flatnonzero(new)]
         group = np.empty(len(chosen), np.int64)
         group[order] = np.cumsum(new) - 1
         place_of = np.empty(len(first), np.int64)
         ranked = np.argsort(first)
         place_of[ranked] = np.arange(len(first))
-        return chosen, found[first[ranked]], place_of[group]
-
-
-def _changes(ranked: np.ndarray) -> np.ndarray:
-    """Where sorted windows differ from the one before."""
-    new = np.ones(len(ranked), bool)
-    new[1:] = (ranked["h1"][1:] != ranked["h1"][:-1]) | (ranked["h2"][1:] != ranked["h2"][:-1])
-    return new
+        first = first[ranked]
+        found = np.empty(len(first), _WINDOW)
+        found["hash"], found["doc"] = hashes[0][first], self.docs[self.owner[chosen[first]]]
+        return chosen, found, (hashes[1][first] % self.buckets).astype(np.int64), place_of[group]
 
 
 def _shared(anchor: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -176,10 +172,6 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _bucket_of(windows: np.ndarray, buckets: int) -> np.ndarray:
-    return (_mixed(windows["h1"] * _ODD[1]) % np.uint64(buckets)).astype(np.int64)
-
-
 _PACKED = "bucket long, block long, kind int, packed binary"
 
 
@@ -245,9 +237,9 @@ def _send_windows(min_words: int, buckets: int) -> Callable[[pa.Table, pa.Table]
         if not part.num_rows or not back.num_rows:
             return _packed([])
         block = _block_of(part, min_words, buckets)[0]
-        firsts = block.candidates(_sorted_anchors(back))[1]
+        _, firsts, bucket, _ = block.candidates(_sorted_anchors(back))
         name = part.column("block")[0].as_py()
-        return _packed([(b, name, _FIRSTS, _pack(firsts[at])) for b, at in _by_bucket(_bucket_of(firsts, buckets))])
+        return _packed([(b, name, _FIRSTS, _pack(firsts[at])) for b, at in _by_bucket(bucket)])
 
     return send
 
@@ -260,8 +252,8 @@ def _meet_windows(part: pa.Table) -> pa.Table:
     bucket = part.column("bucket")[0].as_py()
     every = np.concatenate(parts)
     who = np.repeat(blocks, [len(p) for p in parts])
-    order = np.lexsort((who, every["doc"], every["h2"], every["h1"]))
-    begins = np.flatnonzero(_changes(every[order]))
+    order = np.lexsort((who, every["doc"], every["hash"]))
+    begins = np.flatnonzero(np.append(True, np.diff(every["hash"][order]) != 0))
     first = np.empty(len(every), np.int64)
     first[order] = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
     rows, at = [], 0
@@ -291,9 +283,9 @@ def _send_stretches(min_words: int, buckets: int) -> Callable[[pa.Table, pa.Tabl
         if part.num_rows and back.num_rows:
             block, texts = _block_of(part, min_words, buckets)
             home = part.column("block")[0].as_py()
-            chosen, firsts, place = block.candidates(_sorted_anchors(back))
+            chosen, firsts, buckets_of, place = block.candidates(_sorted_anchors(back))
             holder, where = firsts["doc"].copy(), np.full(len(firsts), home)
-            sent = dict(_by_bucket(_bucket_of(firsts, buckets)))
+            sent = dict(_by_bucket(buckets_of))
             for bucket, packed in _received(back, _FIRSTS):
                 told = _unpack(packed, _EARLIER)
                 at = sent[bucket][np.cumsum(told["step"], dtype=np.int64)]
@@ -503,10 +495,12 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS, layout: bool = Fal
     windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(min_words, buckets), _PACKED)
     earlier = windows.groupBy("bucket").applyInArrow(_meet_windows, _PACKED)
     back = shared.unionByName(earlier).groupBy("block")
-    stretches = materialise(by_block.cogroup(back).applyInArrow(_send_stretches(min_words, buckets), _STRETCHES))
-    # a block's index is copied only for as many bytes of stretches as it has itself, or a part's least
-    size = F.octet_length("words")
-    sizes = stretches.groupBy("block").agg(F.sum(F.when(F.col("places").isNull(), size)).alias("index"), F.sum(F.when(F.col("places").isNotNull(), size)).alias("asked")).where("asked > 0")
+    stretches = by_block.cogroup(back).applyInArrow(_send_stretches(min_words, buckets), _STRETCHES).repartition("block", "home")
+    # a block's index is copied only for as many bytes of stretches as it has itself, or a part's least; all columns
+    # are read here, so that this and the parse share one exchange of the stretches
+    size, index = F.octet_length("words"), F.col("places").isNull()
+    used = F.max(F.xxhash64(*stretches.columns)).alias("used")
+    sizes = stretches.groupBy("block").agg(F.sum(F.when(index, size)).alias("index"), F.sum(F.when(~index, size)).alias("asked"), used).where("asked > 0 and used is not null")
     parts = sizes.select("block", F.ceil(F.col("asked") / F.greatest(F.col("index"), F.lit(block_bytes // 8))).cast("int").alias("parts"))
     own = F.array(F.pmod(F.xxhash64("home", "words"), F.col("parts")).cast("int"))
     split = stretches.join(parts, "block").withColumn("part", F.explode(F.when(F.col("places").isNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
