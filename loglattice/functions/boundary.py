@@ -88,6 +88,14 @@ _OTHER = f"[^ \\t\\n\\r0-9{''.join(_MARKS)}]"
 _RUN = "|".join(f"{one}++" for one in (_SPACE, "[0-9]", *_MARKS, _OTHER))
 
 
+#: First bytes of runs with a class of their own, and the names of all classes; a class is its place among them.
+_FIRST = " \t\n\r" + PUNCTUATION + "0123456789"
+CLASSES = (" ", *PUNCTUATION, *(f"D{n}" for n in range(1, LONGEST_RUN + 1)), *WORD_CLASSES, *(f"C{n}" for n in range(1, LONGEST_RUN + 1)))
+_CODE = {name: k for k, name in enumerate(CLASSES)}
+#: Without a digit or one of these words no stretch scores more than half: the known pairs of other classes are too few.
+_GATE_SCORE = 0.5
+
+
 def _class_of(run: str) -> str:
     """The class of a run; the Python twin of token_classes for the known formats."""
     if run[0] in " \t\n\r":
@@ -100,6 +108,9 @@ def _class_of(run: str) -> str:
     return next(named, f"C{min(len(run), LONGEST_RUN)}")
 
 
+_GATE = f"[0-9]|T'|'T|(?i)(?<!{_OTHER})(?:{'|'.join(WORD_CLASSES['MTH'] + WORD_CLASSES['DAY'] + WORD_CLASSES['APM'])})(?!{_OTHER})"
+
+
 def known_pairs() -> list[str]:
     """Pairs of neighbouring classes in the known formats."""
     pairs = set()
@@ -109,36 +120,46 @@ def known_pairs() -> list[str]:
     return sorted(pairs)
 
 
-def token_classes(line: Column, max_scan_bytes: int = 60) -> Column:
-    """The classes of the runs in the first bytes of a line."""
+def _prefix(line: Column, max_scan_bytes: int) -> Column:
     # one character for each byte, so that lengths are lengths in bytes
-    prefix = F.decode(F.substring(F.encode(line, "UTF-8"), 1, max_scan_bytes), "ISO-8859-1")
-    runs = F.regexp_extract_all(prefix, F.lit(f"({_RUN})"), F.lit(1))
+    return F.decode(F.substring(F.encode(line, "UTF-8"), 1, max_scan_bytes), "ISO-8859-1")
+
+
+def token_codes(line: Column, max_scan_bytes: int = 60) -> Column:
+    """The classes of the runs in the first bytes of a line, as places in CLASSES."""
+    runs = F.regexp_extract_all(_prefix(line, max_scan_bytes), F.lit(f"({_RUN})"), F.lit(1))
+    words = F.create_map(*[F.lit(x) for name, members in WORD_CLASSES.items() for word in members for x in (word, _CODE[name])])
+    # by place in _FIRST: a class, -1 for digits, -2 for all else
+    codes = F.array(*[F.lit(k) for k in (-2, *[0] * 4, *range(1, 1 + len(PUNCTUATION)), *[-1] * 10)])
 
     def classify(run: Column) -> Column:
-        size = F.least(F.length(run), F.lit(LONGEST_RUN)).cast("string")
-        upper = F.upper(run)
-        out = F.when(run.rlike(f"^{_SPACE}"), F.lit(" ")).when(run.rlike("^[0-9]"), F.concat(F.lit("D"), size))
-        out = out.when(run.rlike(f"^[{''.join(_MARKS)}]"), F.substring(run, 1, 1))
-        for name, words in WORD_CLASSES.items():
-            out = out.when(upper.isin(*words), F.lit(name))
-        return out.otherwise(F.concat(F.lit("C"), size))
+        code = F.get(codes, F.position(F.substring(run, 1, 1), F.lit(_FIRST)))
+        size = F.least(F.length(run), F.lit(LONGEST_RUN)) - 1
+        word = F.when(F.length(run) <= 4, F.try_element_at(words, F.upper(run)))
+        return F.when(code >= 0, code).when(code == -1, size + _CODE["D1"]).otherwise(F.coalesce(word, size + _CODE["C1"]))
 
     return F.transform(runs, classify)
 
 
-def timestamp_likeness(classes: Column) -> Column:
+def token_classes(line: Column, max_scan_bytes: int = 60) -> Column:
+    """The names of the classes of the runs in the first bytes of a line."""
+    names = F.array(*[F.lit(name) for name in CLASSES])
+    return F.transform(token_codes(line, max_scan_bytes), lambda code: F.get(names, code))
+
+
+def timestamp_likeness(codes: Column) -> Column:
     """Score of the best stretch of neighbouring classes: known pairs give 1, others -1; 0 if it is too short."""
     # as the argument of a lambda the classes are worked out once, not for every use
-    return F.get(F.transform(F.array(classes), _likeness), F.lit(0))
+    return F.get(F.transform(F.array(codes), _likeness), F.lit(0))
 
 
 def _likeness(classes: Column) -> Column:
-    known = F.array(*[F.lit(p) for p in known_pairs()])
+    pairs = set(known_pairs())
+    known = F.array(*[F.lit(f"{a}>{b}" in pairs) for a in CLASSES for b in CLASSES])
     size = F.size(classes)
     steps = F.transform(
         F.slice(classes, 2, F.greatest(size - 1, F.lit(0))),
-        lambda x, k: F.when(F.array_contains(known, F.concat(F.get(classes, k), F.lit(">"), x)), 1).otherwise(-1),
+        lambda x, k: F.when(F.get(known, F.get(classes, k) * len(CLASSES) + x), 1).otherwise(-1),
     )
     zero = F.lit(0)
     start = F.struct(zero.alias("k"), zero.alias("sum"), zero.alias("from"), F.lit(-100).alias("best"), zero.alias("best_from"), zero.alias("best_to"))
@@ -166,4 +187,7 @@ def is_new_entry(line: Column, first_line_regex: str | None = None, max_scan_byt
     """Whether a line begins an entry: by the regular expression if there is one, else by its timestamp."""
     if first_line_regex is not None:
         return F.coalesce(line.rlike(first_line_regex), F.lit(False))
-    return F.coalesce(timestamp_likeness(token_classes(line, max_scan_bytes)) > threshold, F.lit(False))
+    new = timestamp_likeness(token_codes(line, max_scan_bytes)) > threshold
+    if threshold >= _GATE_SCORE:
+        new = _prefix(line, max_scan_bytes).rlike(_GATE) & new
+    return F.coalesce(new, F.lit(False))

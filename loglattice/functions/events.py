@@ -21,7 +21,8 @@ ENV_KEYS = ("env", "environment")
 LEVELS = {"trace": "trace", "debug": "debug", "info": "info", "warn": "warn", "warning": "warn", "error": "error", "err": "error", "fatal": "fatal"}
 FORMATS = ("json", "logfmt", "key_value", "plain_text")
 
-_SPACES = r"(?U)^\s+|\s+\z"
+#: All characters of white space.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _DATE_TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}"
 _STAMP = rf"{_DATE_TIME}(?:\.[0-9]+)?(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})?"
 _WORD_END = "(?![A-Za-z0-9_])"
@@ -38,23 +39,33 @@ EVENT_SCHEMA = T.StructType([
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, _SPACES, "")
+    return F.btrim(text, F.lit(_SPACES))
+
+
+def _looked_up(table: dict[str, str], key: Column) -> Column:
+    """The value of a key in a fixed table, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once and not for every use: it is the argument of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def parse_timestamp(text: Column) -> Column:
     """A full date and time, with a fraction and a zone or not; without a zone it is UTC. Others are null."""
     value = F.regexp_replace(trimmed(text), ",([0-9]+)", ".$1")
-    zoned = F.when(value.rlike(r"(?:Z|[+-][0-9]{2}:[0-9]{2})\z"), value).otherwise(F.concat(value, F.lit("Z")))
-    return F.when(value.rlike(rf"^{_STAMP}\z"), zoned.try_cast("timestamp"))
+
+    def read(value: Column) -> Column:
+        zoned = F.when(value.rlike(r"(?:Z|[+-][0-9]{2}:[0-9]{2})\z"), value).otherwise(F.concat(value, F.lit("Z")))
+        return F.when(value.rlike(rf"^{_STAMP}\z"), zoned.try_cast("timestamp"))
+
+    return _bound(value, read)
 
 
 def canonical_level(text: Column) -> Column:
     """One of the known levels, or null."""
-    word = F.lower(F.regexp_replace(trimmed(text), r"^[\[\]]+|[\[\]]+\z", ""))
-    out = F.when(F.lit(False), F.lit(""))
-    for name, level in LEVELS.items():
-        out = out.when(word == name, level)
-    return out
+    return _looked_up(LEVELS, F.lower(F.btrim(trimmed(text), F.lit("[]"))))
 
 
 _PAIRS = "array<struct<key:string,value:string>>"
@@ -92,59 +103,69 @@ def _unquoted(value: Column) -> Column:
     return F.when(value.startswith('"'), F.regexp_replace(inner, r"(?s)\\(.)", "$1")).otherwise(value)
 
 
-def _assigned(pairs: Column) -> tuple[Column, Column]:
-    """Timestamp and attributes of fields: canonical keys, later fields over earlier ones."""
-    lower = lambda e: F.lower(trimmed(e["key"]))
-    used = F.filter(pairs, lambda e: (trimmed(e["key"]) != "") & e["value"].isNotNull() & (e["value"] != ""))
-    stamps = F.transform(F.filter(used, lambda e: lower(e).isin(*TIMESTAMP_KEYS)), lambda e: parse_timestamp(e["value"]))
-    ts = F.get(F.filter(stamps, lambda t: t.isNotNull()), F.lit(0))
+_KINDS = {key: kind for kind, keys in (("ts", TIMESTAMP_KEYS), ("level", LEVEL_KEYS), ("service", SERVICE_KEYS), ("env", ENV_KEYS)) for key in keys}
+
+
+def _assigned(pairs: Column) -> Column:
+    """Timestamp and attributes of fields, as a struct: canonical keys, later fields over earlier ones."""
+
+    def named(e: Column) -> Column:
+        key = trimmed(e["key"])
+        return F.struct(key.alias("key"), _looked_up(_KINDS, F.lower(key)).alias("kind"), trimmed(e["value"]).alias("value"))
 
     def entry(e: Column) -> Column:
-        level = canonical_level(e["value"])
-        is_level = lower(e).isin(*LEVEL_KEYS) & level.isNotNull()
-        value = trimmed(e["value"])
-        key = F.when(is_level, "level").when(lower(e).isin(*SERVICE_KEYS), "service").when(lower(e).isin(*ENV_KEYS), "env").otherwise(trimmed(e["key"]))
-        return F.struct(key.alias("key"), F.when(is_level, level).when(lower(e).isin(*ENV_KEYS), F.lower(value)).otherwise(value).alias("value"))
+        level = F.when(e["kind"] == "level", canonical_level(e["value"]))
+        return _bound(level, lambda level: F.struct(
+            F.when(e["kind"] == "level", F.when(level.isNotNull(), F.lit("level")).otherwise(e["key"])).otherwise(F.coalesce(e["kind"], e["key"])).alias("key"),
+            F.when(e["kind"] == "env", F.lower(e["value"])).otherwise(F.coalesce(level, e["value"])).alias("value"),
+        ))
+
+    def gathered(fields: Column) -> Column:
+        stamps = F.transform(F.filter(fields, lambda e: e["kind"] == "ts"), lambda e: parse_timestamp(e["value"]))
+        entries = F.transform(F.filter(fields, lambda e: F.coalesce(e["kind"], F.lit("")) != "ts"), entry)
+        # the last of each key, without a session setting
+        last = _bound(entries, lambda es: F.filter(es, lambda e, k: ~F.exists(F.slice(es, k + 2, F.size(es)), lambda later: later["key"] == e["key"])))
+        return F.struct(F.get(F.filter(stamps, lambda t: t.isNotNull()), F.lit(0)).alias("ts"), F.map_from_entries(last).alias("attrs"))
 
-    entries = F.transform(F.filter(used, lambda e: ~lower(e).isin(*TIMESTAMP_KEYS)), entry)
-    # the last of each key, without a session setting
-    last = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return ts, F.map_from_entries(last)
+    used = F.transform(F.filter(pairs, lambda e: e["value"] != ""), named)
+    return _bound(F.filter(used, lambda e: e["key"] != ""), gathered)
 
 
-def _prefix(line: Column) -> tuple[Column, Column]:
-    """Timestamp and level at the beginning of a line; both null if there is neither."""
-    start = r"(?U)^\s*"
+def _prefix(line: Column) -> Column:
+    """Timestamp and level at the beginning of a line, as a struct; both null if there is neither."""
     # after the word and its brackets a word must end or begin
     word_end = rf"(?:{_WORD_END}|(?:\]:?|:)(?=[A-Za-z0-9_]))"
-    both = rf"{start}({_STAMP})\s+\[?([A-Za-z]+){word_end}"
-    leading = rf"{start}\[?([A-Za-z]+){word_end}"
-    stamp = parse_timestamp(F.nullif(F.regexp_extract(line, both, 1), F.lit("")))
-    stamp_level = canonical_level(F.nullif(F.regexp_extract(line, both, 2), F.lit("")))
-    alone = parse_timestamp(F.nullif(F.regexp_extract(line, rf"{start}({_STAMP}){_WORD_END}", 1), F.lit("")))
-    word = canonical_level(F.nullif(F.regexp_extract(line, leading, 1), F.lit("")))
-    first = stamp.isNotNull() | stamp_level.isNotNull()
-    ts = F.when(first, stamp).otherwise(alone)
-    level = F.when(first, stamp_level).when(alone.isNull(), word)
-    return ts, level
+    both = rf"^({_STAMP})(?U:\s)+\[?([A-Za-z]+){word_end}"
+    leading = rf"^\[?([A-Za-z]+){word_end}"
+
+    def dated(head: Column) -> Column:
+        level = canonical_level(F.regexp_extract(head, both, 2))
+        alone = F.regexp_extract(head, rf"^({_STAMP}){_WORD_END}", 1)
+        return _bound(F.struct(parse_timestamp(F.regexp_extract(head, both, 1)).alias("ts"), level.alias("level")), lambda x: F.when(
+            x["ts"].isNotNull() | x["level"].isNotNull(), x).otherwise(F.struct(parse_timestamp(alone).alias("ts"), F.lit(None).cast("string").alias("level")))
+        )
+
+    def found(head: Column) -> Column:
+        word = F.struct(F.lit(None).cast("timestamp").alias("ts"), canonical_level(F.regexp_extract(head, leading, 1)).alias("level"))
+        return F.when(F.substring(head, 1, 1).between("0", "9"), dated(head)).otherwise(word)
+
+    return _bound(F.ltrim(line, F.lit(_SPACES)), found)
 
 
 def parse_events(df: DataFrame, text_col: str = "content") -> DataFrame:
-    """Adds source_format, ts, attrs and inferred to lines; works on tables and streams."""
-    line = F.col(text_col)
-    staged = df.withColumn("__json", _json_pairs(line)).withColumn("__pairs", F.when(F.col("__json").isNull(), _assignment_pairs(line)))
+    """Adds source_format, ts, attrs and inferred to lines, in place of input columns of these names; works on tables
+    and streams."""
+    line = F.col("__line")
+    held = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("source_format", "ts", "attrs", "inferred")], F.col(text_col).alias("__line"))
+    staged = held.withColumn("__json", _json_pairs(line)).withColumn("__pairs", F.when(F.col("__json").isNull(), _assignment_pairs(line)))
     quoted = F.exists("__pairs", lambda e: e["value"].startswith('"'))
     staged = staged.withColumn("source_format", F.when(F.col("__json").isNotNull(), "json").when(F.col("__pairs").isNotNull(), F.when(quoted, "logfmt").otherwise("key_value")).otherwise("plain_text"))
     fields = F.coalesce("__json", F.transform("__pairs", lambda e: F.struct(e["key"].alias("key"), _unquoted(e["value"]).alias("value"))))
-    staged = staged.withColumn("__fields", fields)
-    ts, attrs = _assigned(F.col("__fields"))
-    prefix_ts, prefix_level = _prefix(line)
-    no_attrs = F.create_map().cast("map<string,string>")
-    plain_attrs = F.when(prefix_level.isNotNull(), F.create_map(F.lit("level"), prefix_level)).otherwise(no_attrs)
-    plain = F.col("source_format") == "plain_text"
-    out = staged.withColumn("ts", F.when(plain, prefix_ts).otherwise(ts)).withColumn("attrs", F.coalesce(F.when(plain, plain_attrs).otherwise(attrs), no_attrs))
+    prefix = _bound(_prefix(line), lambda x: F.struct(x["ts"].alias("ts"), F.when(x["level"].isNotNull(), F.create_map(F.lit("level"), x["level"])).alias("attrs")))
+    found = F.when(F.col("source_format") == "plain_text", prefix).otherwise(_assigned(fields))
+    out = staged.withColumn("__found", found).withColumn("ts", F.col("__found.ts")).withColumn("attrs", F.coalesce("__found.attrs", F.create_map().cast("map<string,string>")))
     inferred = F.struct(F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("entity"))
-    return out.withColumn("inferred", inferred).drop("__json", "__pairs", "__fields")
+    return out.withColumn("inferred", inferred).drop("__json", "__pairs", "__found", "__line")
 
 
 def validate_events(df: DataFrame) -> DataFrame:

@@ -93,17 +93,26 @@ def match_templates(df: DataFrame, templates: DataFrame, keys: list[str], mode:
     """Lines (content, and `keys` that name each line) with pattern_id and raw_pattern, null where none matches.
 
     mode "first": one template a line, the first by `order_col` of `templates`, or else the one with the most
-    literal tokens, ties by text. mode "all": a row for every template that matches; other lines are left out."""
+    literal tokens, ties by text. mode "all": a row for every template that matches; other lines are left out.
+
+    A line meets the masks of its number of tokens, which Spark broadcasts while they are few, and the templates by
+    an equi join; its tries are combined before they leave the task, so its text moves once."""
     tokens = F.split("raw_pattern", " ", -1)
     ready = _keyed(templates.withColumn("tokens", tokens).withColumn("n", F.size("tokens")))
     literals = F.size("tokens") - F.size("mask")
     rank = F.struct(F.col(order_col).alias("rank"), "raw_pattern") if order_col else F.struct((-literals).alias("rank"), "raw_pattern")
     chosen = ready.select("n", "tokens", "mask", "key", "pattern_id", "raw_pattern", rank.alias("rank"))
-    found = _covering(with_tokens(df.select(*keys, "content"), delimiters), chosen)
     if mode == "all":
+        found = _covering(with_tokens(df.select(*keys, "content"), delimiters), chosen)
         return found.select(*keys, "content", "pattern_id", "raw_pattern")
-    best = found.groupBy(*keys).agg(F.min_by(F.struct("pattern_id", "raw_pattern"), "rank").alias("best"))
-    return df.join(best, keys, "left").select(*df.columns, "best.pattern_id", "best.raw_pattern")
+    masks = chosen.groupBy("n").agg(F.collect_set("mask").alias("masks"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    lines = df.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keys)], row, template_tokens(F.col("content"), delimiters).alias("tokens"))
+    named = [f"__{i}" for i in range(len(keys))]
+    tried = lines.withColumn("n", F.size("tokens")).join(masks, "n", "left").select(*named, "row", "n", F.explode_outer(F.transform("masks", lambda m: F.struct(m.alias("mask"), _key(F.col("tokens"), m).alias("key")))).alias("try"))
+    found = tried.select(*named, "row", "n", "try.*").join(chosen.drop("tokens"), ["n", "mask", "key"], "left")
+    best = found.groupBy(*named).agg(F.first("row").alias("row"), F.min_by(F.struct("pattern_id", "raw_pattern"), "rank").alias("best"))
+    return best.select("row.*", "best.pattern_id", "best.raw_pattern")
 
 
 def with_labels(matched: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import boundary, events, text
 from loglattice.operators import labels, multiline, reports, search, templates
-from loglattice.plans.stages import materialise, shared_dir
+from loglattice.plans.stages import materialise, shared_dir, spread
 from loglattice.plans.workspace import KEYS, Workspace, analyse_entries
 from loglattice.sources import store
 from loglattice.sources.logs import FIXTURE_SCHEMA, list_inputs, read_ground_truth, read_logs
@@ -36,7 +36,7 @@ _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'info' WH
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_name, line_no, content, and the event's ts as timestamp."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
     named = rows.select("event_id", "user_id", "event_type", "ts", day.alias("day"), clock.alias("clock"), F.expr(_LEVEL).alias("level"))
     return named.select(F.expr("concat('app-', user_id % 7, '.log')").alias("file_name"), (F.col("event_id") + 1).alias("line_no"), F.expr(_LINE.replace("~", "\\\\")).alias("content"), "ts", "user_id", "event_id")
@@ -51,7 +51,7 @@ _SQL_LINES = f"""
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents after a header each: file_name (the source), line_no, content, doc_id. A document owns a
     stretch of 1,000,000 line numbers, which is more lines than a document has; its text ends at no blank line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("text is not null")
     header = F.concat(F.lit("2024-01-01 00:00:00 INFO doc "), F.col("doc_id").cast("string"))
     lines = docs.select("doc_id", "source", F.posexplode(F.concat(F.array(header), F.split("text", "\n", -1))).alias("k", "content"))
     return lines.select(F.col("source").alias("file_name"), (F.col("doc_id") * 1_000_000 + F.col("k") + 1).alias("line_no"), "content", "doc_id")
@@ -218,7 +218,7 @@ def o15_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o14_likeness", _SQL_LINES + " SELECT file_name, line_no, CAST(0 AS DOUBLE) AS likeness FROM lines WHERE event_id % 5 = 4")
 def o14_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = event_lines(spark, sf_dir).where("event_id % 5 = 4")
-    return plain.select("file_name", "line_no", boundary.timestamp_likeness(boundary.token_classes(F.col("content"))).alias("likeness"))
+    return plain.select("file_name", "line_no", boundary.timestamp_likeness(boundary.token_codes(F.col("content"))).alias("likeness"))
 
 
 @query("o16_merge", """
