@@ -192,14 +192,16 @@ def ingest_lines(df: DataFrame, parser: Callable[[str], dict | None] | Callable[
 
     `parser` is a Python function of the raw line that gives a dict of ts, attrs, inferred and labels (or None, or
     raises), or with `native` a function of the column that gives a struct of those. Without a parser, or where it
-    gives nothing, the text is kept with empty fields; an error is kept as parse_error and so is the row."""
+    gives nothing, the text is kept with empty fields; an error is kept as parse_error and so is the row. Input columns
+    that bear the names of results are replaced."""
     text = F.col("content")
+    kept = [c for c in df.columns if c not in ("ts", "text", "attrs", "inferred", "labels", "parse_error", "line_number", "end_line_number", "raw")]
     if parser is None or native:
         got = parser(text) if parser is not None else F.lit(None).cast("struct<ts:timestamp,attrs:map<string,string>,inferred:struct<pattern:string,entity:string>,labels:map<string,string>>")
         held = df.withColumn("__got", got)
         empty = F.create_map().cast("map<string,string>")
         out = held.select(
-            *df.columns, F.col("__got.ts").alias("ts"), text.alias("text"), F.coalesce("__got.attrs", empty).alias("attrs"),
+            *[F.col(f"`{c}`") for c in kept], F.col("__got.ts").alias("ts"), text.alias("text"), F.coalesce("__got.attrs", empty).alias("attrs"),
             F.coalesce("__got.inferred", F.struct(F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("entity"))).alias("inferred"),
             F.coalesce("__got.labels", empty).alias("labels"), F.lit(None).cast("string").alias("parse_error"),
         )
@@ -209,6 +211,7 @@ def ingest_lines(df: DataFrame, parser: Callable[[str], dict | None] | Callable[
             for frame in frames:
                 yield pd.concat([frame.reset_index(drop=True), pd.DataFrame([_outcome(parser, raw) for raw in frame["content"]], columns=["ts", "text", "attrs", "inferred", "labels", "parse_error"])], axis=1)
 
+        df = df.select(*[F.col(f"`{c}`") for c in kept])
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         out = df.mapInPandas(run, f"{schema}, {OUTCOME}")
     return out.withColumn("line_number", F.col("line_no")).withColumn("end_line_number", F.col("line_no")).withColumn("raw", text)

@@ -19,7 +19,7 @@ from loglattice.operators import labels, multiline, reports, search, templates
 from loglattice.plans.stages import materialise, shared_dir, spread
 from loglattice.plans.workspace import KEYS, Workspace, analyse_entries
 from loglattice.sources import store
-from loglattice.sources.logs import FIXTURE_SCHEMA, list_inputs, read_ground_truth, read_logs
+from loglattice.sources.logs import list_inputs, read_fixtures, read_ground_truth, read_logs
 from loglattice.streaming.multiline import stream_merge_multiline
 
 _LINE = """
@@ -51,7 +51,7 @@ _SQL_LINES = f"""
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents after a header each: file_name (the source), line_no, content, doc_id. A document owns a
     stretch of 1,000,000 line numbers, which is more lines than a document has; its text ends at no blank line."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("text is not null")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("text", F.coalesce("text", F.lit("")))
     header = F.concat(F.lit("2024-01-01 00:00:00 INFO doc "), F.col("doc_id").cast("string"))
     lines = docs.select("doc_id", "source", F.posexplode(F.concat(F.array(header), F.split("text", "\n", -1))).alias("k", "content"))
     return lines.select(F.col("source").alias("file_name"), (F.col("doc_id") * 1_000_000 + F.col("k") + 1).alias("line_no"), "content", "doc_id")
@@ -110,26 +110,30 @@ def query(name: str, sql: str | None = None):
 
 
 def _written_lines(spark: SparkSession, sf_dir: str, suffix: str = "") -> str:
-    """The event lines as text files in the shared folder, one file a task; their folder."""
+    """The event lines, each after its event_id and a tab, as text files in the shared folder, one file a task, in the
+    order of event_id; their folder."""
     path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    event_lines(spark, sf_dir).select(F.concat("content", F.lit(suffix)).alias("value")).write.text(path)
+    lines = event_lines(spark, sf_dir).sortWithinPartitions("event_id")
+    lines.select(F.concat(F.col("event_id").cast("string"), F.lit("\t"), "content", F.lit(suffix)).alias("value")).write.text(path)
     return path
 
 
-@query("o01_line_numbers", _SQL_LINES + " SELECT count(*) AS n_lines, CAST(sum(length(content)) AS BIGINT) AS chars, true AS dense FROM lines")
+@query("o01_line_numbers", _SQL_LINES + " SELECT event_id, content, true AS numbered FROM lines")
 def o01_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line, and whether its number is its place in its file, which the ids that the lines begin with tell."""
     lines = read_logs(spark, _written_lines(spark, sf_dir, "\r"))
-    files = lines.groupBy("file_name").agg(F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high"), F.count_distinct("line_no").alias("different"), F.sum(F.length("content")).alias("chars"))
-    dense = F.bool_and((F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("different") == F.col("n")))
-    return files.agg(F.sum("n").alias("n_lines"), F.sum("chars").alias("chars"), dense.alias("dense"))
+    event_id = F.split("content", "\t", 2)[0].cast("long")
+    place = F.row_number().over(Window.partitionBy("file_name").orderBy("event_id"))
+    held = lines.select("file_name", "line_no", event_id.alias("event_id"), F.split("content", "\t", 2)[1].alias("content"))
+    return held.select("event_id", "content", (F.col("line_no") == place).alias("numbered"))
 
 
-@query("o02_multi_file_scan", _SQL_LINES + " SELECT content, count(*) AS n FROM lines GROUP BY content")
+@query("o02_multi_file_scan", _SQL_LINES + " SELECT concat(event_id, chr(9), content) AS content, count(*) AS n FROM lines GROUP BY ALL")
 def o02_multi_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_logs(spark, _written_lines(spark, sf_dir)).groupBy("content").agg(F.count("*").alias("n"))
 
 
-@query("o03_list_inputs", _SQL_LINES + " SELECT CAST(sum(strlen(content) + 1) AS BIGINT) AS bytes FROM lines")
+@query("o03_list_inputs", _SQL_LINES + " SELECT CAST(sum(strlen(content) + strlen(CAST(event_id AS VARCHAR)) + 2) AS BIGINT) AS bytes FROM lines")
 def o03_list_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_inputs(spark, _written_lines(spark, sf_dir)).where("file_name like 'part-%'").agg(F.sum("bytes").alias("bytes"))
 
@@ -150,19 +154,16 @@ def o05_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ground_truth(spark, path)
 
 
-@query(
-    "o06_fixtures",
-    "SELECT count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS bad, CAST(CASE WHEN count(*) FILTER (event_id % 4 = 0) > 0 THEN 'source_format is not supported' END AS VARCHAR) AS rule FROM events",
-)
+@query("o06_fixtures", "SELECT concat('f-', event_id) AS name, CASE WHEN event_id % 4 = 0 THEN 'source_format is not supported' ELSE '' END AS violations, event_type AS text, epoch_us(ts) AS ts_us FROM events")
 def o06_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/fixtures-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    event = F.struct(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attrs"), F.struct(F.lit("").alias("pattern"), F.lit("").alias("entity")).alias("inferred"))
+    # JSON takes time stamps of microseconds as text
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    event = F.struct(stamp.alias("ts"), F.col("event_type").alias("text"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attrs"), F.struct(F.lit("").alias("pattern"), F.lit("").alias("entity")).alias("inferred"))
     rows.select(F.concat(F.lit("f-"), "event_id").alias("name"), F.when(F.col("event_id") % 4 == 0, "grok").otherwise("json").alias("source_format"), F.lit("made").alias("description"), event.alias("event")).write.json(path)
-    # one object a line here; read_fixtures reads whole files
-    checked = events.validate_events(spark.read.schema(FIXTURE_SCHEMA).json(path))
-    bad = F.size("violations") > 0
-    return checked.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.max(F.get("violations", F.lit(0))).alias("rule"))
+    checked = read_fixtures(spark, path, whole_files=False)
+    return checked.select("name", F.array_join("violations", "|").alias("violations"), F.col("event.text").alias("text"), F.unix_micros("event.ts").alias("ts_us"))
 
 
 def _stored_tables(spark: SparkSession, sf_dir: str) -> str:
@@ -200,13 +201,18 @@ def o12_store_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Multi-line entries.
 
 
-@query("o13_boundary_tokens", """
-    WITH s AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events)
-    SELECT event_id, 'D4 - D2 - D2   D2 : D2 : D2' AS classes FROM s
-""")
+# Notations, and the classes that their runs have.
+_NOTATIONS = (
+    ("yyyy-MM-dd HH:mm:ss", "D4|-|D2|-|D2| |D2|:|D2|:|D2"), ("dd/MMM/yyyy:HH:mm:ss", "D2|/|MTH|/|D4|:|D2|:|D2|:|D2"), ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "D4|-|D2|-|D2|T|D2|:|D2|:|D2|.|D6|ZONE"),
+    ("EEE, dd MMM yyyy HH:mm:ss", "DAY|,| |D2| |MTH| |D4| |D2|:|D2|:|D2"), ("yyyy/MM/dd'*'HH:mm:ss", "D4|/|D2|/|D2|*|D2|:|D2|:|D2"), ("yyyy-MM-dd hh:mm:ss a 'seen by' ", "D4|-|D2|-|D2| |D2|:|D2|:|D2| |APM| |C4| |C2| "),
+)
+
+
+@query("o13_boundary_tokens", "SELECT event_id, CASE event_id % 6 " + " ".join(f"WHEN {k} THEN '{classes}'" for k, (_, classes) in enumerate(_NOTATIONS)) + " END AS classes FROM events")
 def o13_boundary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select("event_id", F.array_join(boundary.token_classes(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), " ").alias("classes"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    written = F.coalesce(*[F.when(F.col("event_id") % 6 == k, F.date_format("ts", notation)) for k, (notation, _) in enumerate(_NOTATIONS)])
+    return rows.select("event_id", F.array_join(boundary.token_classes(written), "|").alias("classes"))
 
 
 # JSON lines have their timestamp behind a key; plain lines have none; the others begin with one or show one early.
@@ -215,15 +221,15 @@ def o15_new_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiline.with_new_entry(event_lines(spark, sf_dir)).select("file_name", "line_no", "is_new")
 
 
-@query("o14_likeness", _SQL_LINES + " SELECT file_name, line_no, CAST(0 AS DOUBLE) AS likeness FROM lines WHERE event_id % 5 = 4")
+# Every neighbouring pair of a timestamp is known, so its stretch scores 1; plain lines have none of eight runs.
+@query("o14_likeness", _SQL_LINES + " SELECT file_name, line_no, CAST(CASE WHEN event_id % 5 = 4 THEN 0 ELSE 1 END AS DOUBLE) AS likeness FROM lines")
 def o14_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = event_lines(spark, sf_dir).where("event_id % 5 = 4")
-    return plain.select("file_name", "line_no", boundary.timestamp_likeness(boundary.token_codes(F.col("content"))).alias("likeness"))
+    return event_lines(spark, sf_dir).select("file_name", "line_no", boundary.timestamp_likeness(boundary.token_codes(F.col("content"))).alias("likeness"))
 
 
 @query("o16_merge", """
     SELECT source AS file_name, doc_id * 1000000 + 1 AS start_line, doc_id * 1000000 + 1 + len(string_split(text, chr(10))) AS end_line,
-        md5(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), text)) AS content_md5 FROM documents WHERE text IS NOT NULL
+        md5(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), text)) AS content_md5 FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)
 """)
 def o16_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = multiline.merge_multiline(document_lines(spark, sf_dir), max_entry_bytes=1 << 30)
@@ -232,7 +238,7 @@ def o16_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o17_entry_cap", """
     WITH RECURSIVE l AS (
-        SELECT doc_id, source, string_split(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), text), chr(10)) AS x FROM documents WHERE text IS NOT NULL
+        SELECT doc_id, source, string_split(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), coalesce(text, '')), chr(10)) AS x FROM documents
     ), f AS (
         SELECT doc_id, source, x, 1 AS k, 1 AS piece, strlen(x[1]) AS held FROM l
         UNION ALL
@@ -246,8 +252,8 @@ def o17_entry_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o18_stream_merge", """
-    SELECT source AS file_name, doc_id * 1000000 + 1 AS start_line, false AS late, md5(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), text)) AS content_md5
-    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS back FROM documents WHERE text IS NOT NULL) WHERE back > 1
+    SELECT source AS file_name, doc_id * 1000000 + 1 AS start_line, false AS late, md5(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), coalesce(text, ''))) AS content_md5
+    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS back FROM documents) WHERE back > 1
 """)
 def o18_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the document lines; each file's last entry is still open when it ends."""
@@ -584,10 +590,10 @@ def o08_init_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(store.read_patterns(spark, path).agg(F.count("*").alias("n_patterns")))
 
 
-@query("o21_json_values", "SELECT event_id, concat(event_id, '.5') AS half, concat(event_id, '000') AS big, 'false' AS flag, '1.0' AS quoted, concat('[', event_id, ',\"x\"]') AS list FROM events WHERE event_id > 0")
+@query("o21_json_values", "SELECT event_id, concat(event_id, '.5') AS half, concat(event_id + 1, '000') AS big, 'false' AS flag, '1.0' AS quoted, concat('[', event_id, ',\"x\"]') AS list FROM events")
 def o21_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = """concat('{"half":', event_id, '.50,"big":', event_id, 'e3,"flag":false,"quoted":"1.0","list":[', event_id, ', "x"]}')"""
-    parsed = events.parse_events(_from_events(spark, sf_dir, line).where("event_id > 0"))
+    line = """concat('{"half":', event_id, '.50,"big":', event_id + 1, 'e3,"flag":false,"quoted":"1.0","list":[', event_id, ', "x"]}')"""
+    parsed = events.parse_events(_from_events(spark, sf_dir, line))
     return parsed.select("event_id", *[F.col("attrs")[k].alias(k) for k in ("half", "big", "flag", "quoted", "list")])
 
 
@@ -598,9 +604,13 @@ def o22_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", "source_format", F.col("attrs")["k"].alias("k"), F.col("attrs")["q"].alias("q"))
 
 
-@query("o23_prefixes", _SQL_LINES + f" SELECT event_id, epoch_us(date_trunc('second', ts)) AS ts_us, CASE WHEN event_id % 2 = 0 THEN {_KNOWN} END AS level FROM lines WHERE event_id % 5 = 3")
+@query("o23_prefixes", _SQL_LINES + f" SELECT event_id, CASE WHEN event_id % 3 < 2 THEN epoch_us(date_trunc('second', ts)) END AS ts_us, CASE WHEN event_id % 3 = 1 THEN NULL ELSE {_KNOWN} END AS level FROM lines")
 def o23_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = events.parse_events(event_lines(spark, sf_dir).where("event_id % 5 = 3").drop("ts"))
+    """A timestamp and a level, a timestamp alone, or a level alone before a text."""
+    rows = spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("level", F.expr(_LEVEL))
+    stamp, k = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.col("event_id") % 3
+    line = F.when(k == 0, F.concat(F.lit(" "), stamp, F.lit(" ["), "level", F.lit("] up"))).when(k == 1, F.concat(stamp, F.lit(" "), "user_id")).otherwise(F.concat("level", F.lit(": down")))
+    parsed = events.parse_events(rows.select("event_id", line.alias("content")))
     return parsed.select("event_id", F.unix_micros("ts").alias("ts_us"), F.col("attrs")["level"].alias("level"))
 
 

@@ -48,7 +48,8 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 FIXTURE_SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("source_format", T.StringType()), T.StructField("description", T.StringType()), T.StructField("event", EVENT_SCHEMA)])
 
 
-def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """Event fixtures of the *.json files in a folder, one object each, with their violations."""
-    rows = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").schema(FIXTURE_SCHEMA).json(path)
+def read_fixtures(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Event fixtures of the *.json files in a folder with their violations: one object a file, or without `whole_files`
+    one a line."""
+    rows = spark.read.option("multiLine", whole_files).option("pathGlobFilter", "*.json").schema(FIXTURE_SCHEMA).json(path)
     return validate_events(rows)
