@@ -6,7 +6,7 @@ raw_pattern, semantic_id, description, dir_name). Entries are ordered by (file_n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value: what makes an error.
@@ -65,45 +65,67 @@ def unmatched_errors(matched: DataFrame, labelled: DataFrame, k: int = 50) -> Da
     return unmatched_lines(matched, labelled).where(F.col("content").rlike(ERROR_PATTERN)).orderBy(*ORDER).limit(k)
 
 
-def report_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The report files as rows (report, dir_name, part, line_no, value): sort by the last two for a file's text."""
-    stats = pattern_stats(matched, labelled)
-    line = lambda report, part, value, at=F.lit(0): (F.lit(report).alias("report"), "dir_name", F.lit(part).alias("part"), at.alias("line_no"), value.alias("value"))
-    where = lambda f, n: F.concat(F.lit("`"), F.coalesce(F.col(f), F.lit("")), F.lit("` line "), F.coalesce(F.col(n), F.lit(0)).cast("string"))
-    head = F.concat(
+#: What orders the lines of a report file: its parts, a number (of templates: their counts, the largest first), then a
+#: name and a line.
+_FILE_ORDER = ("part", "rank", "name", "line")
+
+
+def _where(name: str, line: str) -> Column:
+    return F.concat(F.lit("`"), F.coalesce(F.col(name), F.lit("")), F.lit("` line "), F.coalesce(F.col(line), F.lit(0)).cast("string"))
+
+
+def _lines(df: DataFrame, report: str, part: int, value: Column, rank: str | None = None, name: str | None = None, line: str | None = None, dir_name: str | None = None) -> DataFrame:
+    """Rows of `df` as lines of a report."""
+    zero = F.lit(0).cast("long")
+    return df.select(
+        F.lit(report).alias("report"), F.lit(dir_name).alias("dir_name") if dir_name else F.col("dir_name"), F.lit(part).alias("part"),
+        (F.col(rank).cast("long") if rank else zero).alias("rank"), (F.col(name) if name else F.lit("")).alias("name"), (F.col(line).cast("long") if line else zero).alias("line"), value.alias("value"),
+    )
+
+
+# The headings of the report files.
+
+
+def _pattern_head() -> Column:
+    return F.concat(
         F.lit("# "), "semantic_id", F.lit("\n\n"), "description", F.lit("\n\n## Template\n\n```\n"), "raw_pattern", F.lit("\n```\n\n## Statistics\n\n- **Matches:** "), F.col("count").cast("string"),
-        F.lit("\n- **First seen:** "), where("first_file", "first_line"), F.lit("\n- **Last seen:** "), where("last_file", "last_line"), F.lit("\n\n## Line References\n"),
+        F.lit("\n- **First seen:** "), _where("first_file", "first_line"), F.lit("\n- **Last seen:** "), _where("last_file", "last_line"), F.lit("\n\n## Line References\n"),
     )
-    named = labelled.select("pattern_id", "dir_name")
-    at = F.row_number().over(Window.partitionBy("dir_name").orderBy(*ORDER))
-    refs = line_refs(matched, labelled).join(named, "pattern_id").withColumn("at", at)
-    parts = [
-        stats.select(*line("pattern", 0, head)),
-        refs.select(*line("pattern", 1, F.concat(F.lit("- `"), "file_name", F.lit("`:"), F.col("start_line").cast("string")), F.col("at"))),
-        pattern_samples(matched, labelled).join(named, "pattern_id").select(*line("samples", 0, F.col("content"), F.col("rank"))),
-    ]
-    rest = unmatched_lines(matched, labelled).withColumn("dir_name", F.lit("unmatched"))
-    parts.append(rest.select(*line("samples", 0, F.col("content"), F.monotonically_increasing_id())))
-    by_count = F.row_number().over(Window.orderBy(F.desc("count"), "pattern_id"))
-    notes = stats.withColumn("at", by_count).withColumn("dir_name", F.lit("notes"))
-    entry = F.concat(F.lit("### "), "semantic_id", F.lit(" ("), F.col("count").cast("string"), F.lit(" matches)\n\n"), "description", F.lit("\n\nTemplate: `"), "raw_pattern", F.lit("`\n"))
-    summary = corpus_summary(matched, labelled).withColumn("dir_name", F.lit("notes"))
+
+
+def _summary_head() -> Column:
     files = F.array_join(F.transform("log_files", lambda f: F.concat(F.lit("\n  - `"), f, F.lit("`"))), "")
-    title = F.concat(
+    none = F.when(F.col("pattern_count") == 0, "\nNo patterns discovered.").otherwise("")
+    return F.concat(
         F.lit("# Log Summary\n\n- **Log files:** "), F.col("file_count").cast("string"), files, F.lit("\n- **Total lines:** "), F.col("total_lines").cast("string"), F.lit("\n- **Patterns discovered:** "),
-        F.col("pattern_count").cast("string"), F.lit("\n- **Unmatched lines:** "), F.col("unmatched_count").cast("string"), F.lit("\n\n## Patterns by Frequency\n"), F.when(F.col("pattern_count") == 0, "\nNo patterns discovered.").otherwise(""),
+        F.col("pattern_count").cast("string"), F.lit("\n- **Unmatched lines:** "), F.col("unmatched_count").cast("string"), F.lit("\n\n## Patterns by Frequency\n"), none,
     )
-    parts += [summary.select(*line("summary", 0, title)), notes.select(*line("summary", 1, entry, F.col("at")))]
-    bad = F.concat(F.lit("## "), F.substring(entry, F.lit(5), F.length(entry)), F.lit("\nFirst seen: "), where("first_file", "first_line"), F.lit("\n"))
-    lost = unmatched_errors(matched, labelled).withColumn("dir_name", F.lit("notes"))
-    lost = lost.withColumn("at", F.row_number().over(Window.orderBy(*ORDER)))
-    any_bad = error_patterns(notes).select(F.lit(1).alias("x")).unionByName(lost.select(F.lit(1).alias("x"))).agg(F.count("*").alias("n")).withColumn("dir_name", F.lit("notes"))
-    parts += [
-        any_bad.select(*line("errors", 0, F.concat(F.lit("# Error and Warning Patterns\n"), F.when(F.col("n") == 0, "\nNo error or warning patterns detected.").otherwise("")))),
-        error_patterns(notes).select(*line("errors", 1, bad, F.col("at"))),
-        lost.agg(F.count("*").alias("n")).where("n > 0").withColumn("dir_name", F.lit("notes")).select(*line("errors", 2, F.lit("## Unmatched Error Lines\n\n```"))),
-        lost.select(*line("errors", 3, F.col("content"), F.col("at"))),
-        lost.agg(F.count("*").alias("n")).where("n > 0").withColumn("dir_name", F.lit("notes")).select(*line("errors", 4, F.lit("```"))),
+
+
+def report_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The report files as rows (report, dir_name, part, rank, name, line, value): sorted by all but the last, the
+    values of a (report, dir_name) are its text."""
+    stats = pattern_stats(matched, labelled).withColumn("rank", -F.col("count"))
+    named = labelled.select("pattern_id", "dir_name")
+    refs = line_refs(matched, labelled).join(named, "pattern_id")
+    entry = F.concat(F.lit("### "), "semantic_id", F.lit(" ("), F.col("count").cast("string"), F.lit(" matches)\n\n"), "description", F.lit("\n\nTemplate: `"), "raw_pattern", F.lit("`\n"))
+    bad = F.concat(F.lit("## "), F.substring(entry, F.lit(5), F.length(entry)), F.lit("\nFirst seen: "), _where("first_file", "first_line"), F.lit("\n"))
+    lost = unmatched_errors(matched, labelled)
+    some = lost.agg(F.count("*").alias("n")).where("n > 0")
+    any_bad = error_patterns(stats).select(F.lit(1).alias("x")).unionByName(lost.select(F.lit(1).alias("x"))).agg(F.count("*").alias("n"))
+    none_bad = F.concat(F.lit("# Error and Warning Patterns\n"), F.when(F.col("n") == 0, "\nNo error or warning patterns detected.").otherwise(""))
+    parts = [
+        _lines(stats, "pattern", 0, _pattern_head()),
+        _lines(refs, "pattern", 1, F.concat(F.lit("- `"), "file_name", F.lit("`:"), F.col("start_line").cast("string")), name="file_name", line="start_line"),
+        _lines(pattern_samples(matched, labelled).join(named, "pattern_id"), "samples", 0, F.col("content"), rank="rank"),
+        _lines(unmatched_lines(matched, labelled), "samples", 0, F.col("content"), name="file_name", line="start_line", dir_name="unmatched"),
+        _lines(corpus_summary(matched, labelled), "summary", 0, _summary_head(), dir_name="notes"),
+        _lines(stats, "summary", 1, entry, rank="rank", name="pattern_id", dir_name="notes"),
+        _lines(any_bad, "errors", 0, none_bad, dir_name="notes"),
+        _lines(error_patterns(stats), "errors", 1, bad, rank="rank", name="pattern_id", dir_name="notes"),
+        _lines(some, "errors", 2, F.lit("## Unmatched Error Lines\n\n```"), dir_name="notes"),
+        _lines(lost, "errors", 3, F.col("content"), name="file_name", line="start_line", dir_name="notes"),
+        _lines(some, "errors", 4, F.lit("```"), dir_name="notes"),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -112,11 +134,19 @@ def report_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def write_reports(matched: DataFrame, labelled: DataFrame, path: str, workspace: str) -> None:
-    """Report texts, one folder for each (report, dir_name), in place of those of an earlier run of the workspace."""
-    rows = report_lines(matched, labelled).repartition("report", "dir_name").sortWithinPartitions("report", "dir_name", "part", "line_no")
+    """Report texts, one folder for each (report, dir_name), in place of those of an earlier run of the workspace. A long
+    report is cut into several files, in the order of their names: rows are ranged by their place, not by report."""
+    order = ["report", "dir_name", *_FILE_ORDER]
+    rows = report_lines(matched, labelled).repartitionByRange(*order).sortWithinPartitions(*order)
     rows.select("report", "dir_name", "value").write.mode("overwrite").partitionBy("report", "dir_name").text(f"{path}/workspace={workspace}")
 
 
+def read_reports(spark: SparkSession, path: str, workspace: str) -> DataFrame:
+    """The lines of written reports: report, dir_name, file (in the order of a report's files), place (in a file), value."""
+    back = spark.read.text(f"{path}/workspace={workspace}")
+    return back.select("report", "dir_name", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"), "value")
+
+
 def template_results(templates: DataFrame, dataset: str = "dataset", test_path: str = "test_path") -> DataFrame:
     """One row for each dataset: total_entries, template_count and templates (pattern_id, pattern, count)."""
     one = F.struct((-F.col("count")).alias("o"), "pattern_id", F.col("raw_pattern").alias("pattern"), "count")

@@ -35,11 +35,12 @@ def analyse_entries(entries: DataFrame, given_labels: DataFrame | None = None, *
     return Workspace(entries, found, labelled, materialise(templates.match_templates(entries, found, KEYS)))
 
 
-def build_workspace(lines: DataFrame, path: str, topic: str, given_labels: DataFrame | None = None) -> Workspace:
-    """analyse_lines, and its reports written for the topic in place of an earlier run's."""
+def build_workspace(lines: DataFrame, path: str, topic: str, given_labels: DataFrame | None = None, merge: bool = True) -> Workspace:
+    """analyse_lines, and its reports written for the topic in place of an earlier run's. Without `merge` every line is an
+    entry of its own."""
     slug = re.sub("[^a-z0-9]+", "-", topic.lower()).strip("-")
     if not slug:
         raise ValueError(f"{topic!r} leaves no name for a workspace")
-    done = analyse_lines(lines, given_labels)
+    done = analyse_lines(lines, given_labels) if merge else analyse_entries(lines.withColumnRenamed("line_no", "start_line"), given_labels)
     reports.write_reports(done.matched, done.labelled, path, slug)
     return done

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loglattice.functions import boundary, events, text
 from loglattice.operators import labels, multiline, reports, search, templates
 from loglattice.plans.stages import materialise, shared_dir, spread
-from loglattice.plans.workspace import KEYS, Workspace, analyse_entries
+from loglattice.plans.workspace import KEYS, Workspace, build_workspace
 from loglattice.sources import store
 from loglattice.sources.logs import list_inputs, read_fixtures, read_ground_truth, read_logs
 from loglattice.streaming.multiline import stream_merge_multiline
@@ -552,24 +552,43 @@ def o11_template_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("dataset", "test_path", "total_entries", "template_count", (F.size("templates") == F.col("template_count")).alias("filled"))
 
 
-@query("o10_report_files", _SQL_STATS + """
-    SELECT 'samples' AS report, 'unmatched' AS dir_name, count(*) AS n_lines FROM lost HAVING count(*) > 0
+@query("o10_report_files", _SQL_STATS + f"""
+    , named AS (SELECT *, trim(regexp_replace(lower(semantic_id), '[^a-z0-9-]', '-', 'g'), '-') AS base FROM stats),
+    placed AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN base ELSE concat(base, '-', row_number() OVER w) END AS dir_name FROM named WINDOW w AS (PARTITION BY base ORDER BY c DESC, raw_pattern)),
+    refs AS (SELECT p.dir_name, k.file_name, k.start_line, k.content, row_number() OVER (PARTITION BY p.pattern_id ORDER BY k.file_name, k.start_line) AS r FROM known k JOIN placed p USING (pattern_id)),
+    errors AS (SELECT * FROM lost WHERE regexp_matches(content, {_SQL_ERROR}) ORDER BY file_name, start_line LIMIT 50)
+    SELECT 'pattern' AS report, dir_name, count(*) AS n, md5(string_agg(concat('- `', file_name, '`:', start_line), chr(10) ORDER BY r)) AS listed FROM refs GROUP BY dir_name
+    UNION ALL SELECT 'samples', dir_name, count(*), md5(string_agg(content, chr(10) ORDER BY r)) FROM refs WHERE r <= 20 GROUP BY dir_name
+    UNION ALL SELECT 'samples', 'unmatched', count(*), md5(string_agg(content, chr(10) ORDER BY file_name, start_line)) FROM lost HAVING count(*) > 0
+    UNION ALL SELECT 'errors', 'notes', count(*), md5(string_agg(content, chr(10) ORDER BY file_name, start_line)) FROM errors HAVING count(*) > 0
+    UNION ALL SELECT 'summary', 'notes', count(*), md5(string_agg(concat('### ', semantic_id, ' (', c, ' matches)'), chr(10) ORDER BY c DESC, pattern_id)) FROM stats HAVING count(*) > 0
 """)
 def o10_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports written twice over the same workspace, and read back."""
-
+    """Reports written twice over the same workspace, and read back: the lists of every report in their order."""
     path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
     w = _workspace(spark, sf_dir)
     for _ in range(2):
         reports.write_reports(w.matched, w.labelled, path, "events")
-    back = spark.read.text(f"{path}/workspace=events")
-    return back.where("report = 'samples' and dir_name = 'unmatched'").groupBy("report", "dir_name").agg(F.count("*").alias("n_lines"))
+    back = reports.read_reports(spark, path, "events")
+    # of the errors, what stands between the fences
+    fence = F.sum(F.when((F.col("report") == "errors") & (F.col("value") == "```"), 1).otherwise(0)).over(Window.partitionBy("report", "dir_name").orderBy("file", "place"))
+    listed = back.withColumn("fence", fence).where(
+        ((F.col("report") == "pattern") & F.col("value").startswith("- `")) | (F.col("report") == "samples") | ((F.col("report") == "errors") & (F.col("fence") == 1) & (F.col("value") != "```")) | ((F.col("report") == "summary") & F.col("value").startswith("### "))
+    )
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("file", "place", "value"))), lambda x: x["value"])
+    return listed.groupBy("report", "dir_name").agg(F.count("*").alias("n"), F.md5(F.array_join(lines, "\n")).alias("listed"))
 
 
-@query("o56_rebuild")
+@query("o56_rebuild", _SQL_TOKENS.replace(" WHERE semantic_id NOT LIKE '%timeout%'", "") + _SQL_STATS[len(_SQL_TOKENS):] + """
+    , named AS (SELECT *, trim(regexp_replace(lower(semantic_id), '[^a-z0-9-]', '-', 'g'), '-') AS base FROM stats)
+    SELECT pattern_id, semantic_id, CASE WHEN row_number() OVER w = 1 THEN base ELSE concat(base, '-', row_number() OVER w) END AS dir_name, raw_pattern, c AS count,
+        a.f AS first_file, a.l AS first_line, z.f AS last_file, z.l AS last_line FROM named WINDOW w AS (PARTITION BY base ORDER BY c DESC, raw_pattern)
+""")
 def o56_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps from the lines on, with absorption and rule-based labels: the flagship."""
-    w = analyse_entries(_entries(spark, sf_dir).select("file_name", "start_line", "content"))
+    """All steps from the lines on, with absorption and rule-based labels, and the reports of the workspace put in place of
+    an earlier run's: the flagship."""
+    path = f"{shared_dir(spark)}/workspaces-{uuid.uuid4().hex}"
+    w = build_workspace(event_lines(spark, sf_dir).select("file_name", "line_no", "content"), path, "Events", merge=False)
     return reports.pattern_stats(w.matched, w.labelled).select("pattern_id", "semantic_id", "dir_name", "raw_pattern", "count", "first_file", "first_line", "last_file", "last_line")
 
 

@@ -1,8 +1,9 @@
-"""The stored tables: log entries (append) and patterns (upsert), as Parquet under one folder."""
+"""The stored tables: log entries (append) and patterns (upsert), as Parquet under one folder.
 
-from __future__ import annotations
+The patterns are kept in versions, patterns/v0, v1 and so on; the last one that was written to its end counts, so an
+upsert that is broken off leaves the version before it in place."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,27 @@ PATTERN_COLUMNS = ("pattern_id", "pattern_type", "raw_pattern", "semantic_id", "
 PATTERNS = T.StructType([T.StructField(c, T.StringType()) for c in PATTERN_COLUMNS])
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The whole versions of the patterns, in order."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/patterns")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [x.getPath() for x in files.listStatus(folder)]
+    whole = [x.getName()[1:] for x in found if files.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return sorted(int(v) for v in whole if v.isdigit())
+
+
+def _patterns(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PATTERNS).parquet(f"{path}/patterns/v{_versions(spark, path)[-1]}")
+
+
 def init_tables(spark: SparkSession, path: str) -> None:
     """Makes both tables where they are missing; what is there stays."""
-    for name, schema in (("log_entries", ENTRIES), ("patterns", PATTERNS)):
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+    spark.createDataFrame([], ENTRIES).write.mode("append").parquet(f"{path}/log_entries")
+    if not _versions(spark, path):
+        spark.createDataFrame([], PATTERNS).write.mode("overwrite").parquet(f"{path}/patterns/v0")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -55,20 +73,18 @@ def upserted(patterns: DataFrame, batch: DataFrame, order_col: str) -> DataFrame
 
 
 def upsert_patterns(spark: SparkSession, path: str, batch: DataFrame, order_col: str) -> None:
-    """Writes the merged table beside the old one and then puts it in its place."""
-    table, fresh = f"{path}/patterns", f"{path}/patterns-{uuid.uuid4().hex}"
-    upserted(spark.read.schema(PATTERNS).parquet(table), batch, order_col).write.parquet(fresh)
+    """Writes the merged table as the next version; all but the last two go."""
+    versions = _versions(spark, path)
+    upserted(_patterns(spark, path), batch, order_col).write.mode("overwrite").parquet(f"{path}/patterns/v{versions[-1] + 1}")
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(table), jvm.org.apache.hadoop.fs.Path(fresh)
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    files.rename(new, old)
-    spark.catalog.refreshByPath(table)
+    for old in versions[:-1]:
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/patterns/v{old}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     """All patterns in the order of their ids; missing names and descriptions are empty texts."""
-    return patterns_in_order(spark.read.schema(PATTERNS).parquet(f"{path}/patterns"))
+    return patterns_in_order(_patterns(spark, path))
 
 
 def patterns_in_order(patterns: DataFrame) -> DataFrame:
@@ -79,4 +95,4 @@ def patterns_in_order(patterns: DataFrame) -> DataFrame:
 def register_views(spark: SparkSession, path: str) -> None:
     """log_entries and patterns for SQL."""
     read_entries(spark, path).createOrReplaceTempView("log_entries")
-    spark.read.schema(PATTERNS).parquet(f"{path}/patterns").createOrReplaceTempView("patterns")
+    _patterns(spark, path).createOrReplaceTempView("patterns")
