@@ -125,6 +125,8 @@ class Parser:
         often = letter < self.dense
         table[state[often], letter[often]] = to[often]
         self.arcs = table.ravel()
+        self.root = np.array(self.roots, np.int32)[:, None]
+        self.first = table[self.roots] if self.roots else table[:0]
         keys = state[~often].astype(np.int64) * self.unknown + letter[~often]
         order = np.argsort(keys)
         self.keys, self.ends = keys[order], to[~often][order]
@@ -144,10 +146,10 @@ class Parser:
         """For each coded text and each language the number of phrases."""
         cuts = [(k, t[a : a + SEGMENT]) for k, t in enumerate(texts) for a in range(0, len(t), SEGMENT)]
         owner = np.array([k for k, _ in cuts], np.int64)
-        counts, ends = self._parsed([c for _, c in cuts], np.repeat(np.array(self.roots, np.int32)[:, None], len(cuts), axis=1))
+        counts, ends = self._parsed([c for _, c in cuts], np.repeat(self.root, len(cuts), axis=1))
         # each later segment begins in the state in which the one before ends
         todo = np.flatnonzero(owner[1:] == owner[:-1]) + 1 if len(cuts) else np.empty(0, np.int64)
-        used = np.repeat(np.array(self.roots, np.int32)[:, None], len(cuts), axis=1)
+        used = np.repeat(self.root, len(cuts), axis=1)
         alone, real = ends.copy(), ends
         corrected = counts.copy()
         while len(todo):
@@ -164,9 +166,9 @@ class Parser:
 
     def _step(self, state: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after a letter, and where a phrase begins with it."""
-        root, width = np.array(self.roots, np.int32)[:, None], self.dense + 1
+        root = self.root
         column = np.minimum(letters, self.dense)
-        to, fresh = self.arcs[state * width + column], self.arcs[root * width + column]
+        to, fresh = self.arcs[state * (self.dense + 1) + column], np.take(self.first, column, axis=1)
         if len(self.keys) and len(rare := np.flatnonzero((letters >= self.dense) & (letters < self.unknown))):
             to[:, rare] = self._sparse(state[:, rare], letters[rare])
             fresh[:, rare] = self._sparse(root, letters[rare])
@@ -179,34 +181,47 @@ class Parser:
         counts, ends = np.zeros(states.shape, np.int64), states.copy()
         order = sorted(range(len(cuts)), key=lambda k: -len(cuts[k]))
         for at in range(0, len(order), 2048):
-            group = np.array(order[at : at + 2048])
-            grid, live = self._grid([cuts[k] for k in group.tolist()])
+            group = order[at : at + 2048]
+            grid, live = self._grid([cuts[k] for k in group])
+            state, count = np.ascontiguousarray(states[:, group]), np.zeros((len(states), len(group)), np.int32)
             for letters, n in zip(grid, live, strict=True):
-                now = group[:n]
-                ends[:, now], begins = self._step(ends[:, now], letters[:n])
-                counts[:, now] += begins
+                state[:, :n], begins = self._step(state[:, :n], letters[:n])
+                count[:, :n] += begins
+            counts[:, group], ends[:, group] = count, state
         return counts, ends
 
+    def _step_each(self, state: np.ndarray, letters: np.ndarray, language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_step for single states, each with its letter and the number of its language."""
+        root, column = self.root[language, 0], np.minimum(letters, self.dense)
+        to, fresh = self.arcs[state * (self.dense + 1) + column], self.first[language, column]
+        if len(self.keys) and len(rare := np.flatnonzero((letters >= self.dense) & (letters < self.unknown))):
+            to[rare], fresh[rare] = self._sparse(state[rare], letters[rare]), self._sparse(root[rare], letters[rare])
+        end = to < 0
+        return np.where(end, np.where(fresh < 0, root, fresh), to), end | (state == root)
+
     def _carried(self, cuts: list[np.ndarray], states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of cuts that begin in these states: how many phrases more begin there than in a parse from the root, the
         states at the end, and whether both parses begin a phrase at the same letter (then the states are the other's)."""
-        more, ends, together = np.zeros(states.shape, np.int64), states.copy(), states == np.array(self.roots, np.int32)[:, None]
-        alone = np.repeat(np.array(self.roots, np.int32)[:, None], len(cuts), axis=1)
-        order = sorted(range(len(cuts)), key=lambda k: -len(cuts[k]))
-        for at in range(0, len(order), 2048):
-            group = np.array(order[at : at + 2048])
-            grid, live = self._grid([cuts[k] for k in group.tolist()])
-            column = np.arange(len(group))
-            for letters, n in zip(grid, live, strict=True):
-                column = column[: np.searchsorted(column, n)]
-                column = column[~together[:, group[column]].all(axis=0)]
-                if not len(column):
-                    break
-                now = group[column]
-                ends[:, now], real = self._step(ends[:, now], letters[column])
-                alone[:, now], other = self._step(alone[:, now], letters[column])
-                together[:, now] |= real & other
-                more[:, now] += np.where(together[:, now], 0, real.astype(np.int64) - other)
+        more, ends, together = np.zeros(states.shape, np.int64), states.copy(), states == self.root
+        flat, starts = np.concatenate(cuts), np.cumsum([len(c) for c in cuts]) - [len(c) for c in cuts]
+        sizes = np.array([len(c) for c in cuts])
+        language, cut = np.nonzero(~together)
+        real, alone, extra = states[language, cut], self.root[language, 0], np.zeros(len(cut), np.int64)
+        at = 0
+        while len(cut):
+            letters = flat[starts[cut] + at]
+            state, begins = self._step_each(np.concatenate([real, alone]), np.concatenate([letters, letters]), np.concatenate([language, language]))
+            real, alone = state[: len(cut)], state[len(cut) :]
+            one, other = begins[: len(cut)], begins[len(cut) :]
+            met = one & other
+            extra += np.where(met, 0, one.astype(np.int64) - other)
+            at += 1
+            stay = ~met & (sizes[cut] > at)
+            if not stay.all():
+                gone = np.flatnonzero(~stay)
+                place = language[gone], cut[gone]
+                more[place], ends[place], together[place] = extra[gone], real[gone], met[gone]
+                language, cut, real, alone, extra = (x[stay] for x in (language, cut, real, alone, extra))
         return more, ends, together
 
     def _grid(self, cuts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:

@@ -85,24 +85,42 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, power: flo
         return np.zeros(1 << bits, np.float32), math.log(share / (1 - share))
     ratios = log_ratios(rows, labels, bits)
     used = np.flatnonzero(ratios)
-    place = np.full(1 << bits, -1, np.int64)
+    place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    sizes = np.array([max(1, len(r)) for r in rows])
     index = [p[p >= 0] for p in (place[r] for r in rows)]
     counts = np.array([len(i) for i in index])
     flat = np.concatenate(index)
-    scale = sizes.astype(float) ** -power
-    value = ratios[used][flat] * np.repeat(scale, counts)
-    owner = np.repeat(np.arange(len(rows)), counts)
+    del index
+    ends = np.cumsum(counts)
+    value = ratios[used].astype(np.float32)
+    scale = np.array([max(1, len(r)) for r in rows], float) ** -power
+    # the products of a few rows at a time
+    parts = [(a, min(len(rows), a + 256)) for a in range(0, len(rows), 256)]
+
+    def by_feature(of_row: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each feature the sum of of_row over the rows that have it, times its value."""
+        out = np.zeros(len(used))
+        for a, b in parts:
+            out += np.bincount(flat[ends[a] - counts[a] : ends[b - 1]], np.repeat(of_row[a:b], counts[a:b]), len(used))
+        return out * values
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        """For each row the sum of its features' values."""
+        out = np.zeros(len(rows))
+        for a, b in parts:
+            low, high = ends[a] - counts[a], ends[b - 1]
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), counts[a:b]), values[flat[low:high]], b - a)
+        return out
+
     weight, bias = np.zeros(len(used)), math.log(labels.mean() / (1 - labels.mean()))
     # gradient steps, each coordinate by its own curvature and with momentum
-    curve = np.bincount(flat, value * value, len(used)) / (4 * len(rows)) + penalty
-    step = 1.0 / (curve * (1 + np.bincount(owner, minlength=len(rows)).max() ** 0.5))
+    curve = by_feature(scale * scale, value.astype(float) ** 2) / (4 * len(rows)) + penalty
+    step = 1.0 / (curve * (1 + counts.max(initial=1) ** 0.5))
     ahead, ahead_bias = weight.copy(), bias
     for turn in range(steps):
-        margin = np.bincount(owner, value * ahead[flat], len(rows)) + ahead_bias
+        margin = scale * by_row(value * ahead) + ahead_bias
         error = (1 / (1 + np.exp(-margin)) - labels) / len(rows)
-        fresh = ahead - step * (np.bincount(flat, value * error[owner], len(used)) + penalty * ahead)
+        fresh = ahead - step * (by_feature(scale * error, value) + penalty * ahead)
         fresh_bias = ahead_bias - 2 * error.sum()
         speed = turn / (turn + 3)
         ahead, ahead_bias = fresh + speed * (fresh - weight), fresh_bias + speed * (fresh_bias - bias)
@@ -143,6 +161,17 @@ def _platt(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(at[0]), float(at[1])
 
 
+def _views(features: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows' feature numbers where Arrow holds them, without a copy."""
+    found = []
+    for chunk in features.chunks:
+        _, offsets, data = chunk.buffers()
+        edges = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        every = np.frombuffer(data or b"", np.int32)
+        found += [every[a // 4 : b // 4] for a, b in zip(edges, edges[1:], strict=False)]
+    return found
+
+
 def _chosen(docs: DataFrame, known: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
     """doc_id and label of the rows that train."""
     first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -168,9 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "features"])
 
     def fit_all(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("doc_id", "ascending"), ("features", "ascending")])
-        rows = [np.frombuffer(f, np.int32) for f in part.column("features").to_pylist()]
-        weights, bias = fit_calibrated(rows, part.column("label").to_numpy().astype(np.int64), bits)
+        order = np.argsort(part.column("doc_id").to_numpy(), kind="stable")
+        rows = _views(part.column("features"))
+        rows, labels = [rows[k] for k in order.tolist()], part.column("label").to_numpy().astype(np.int64)[order]
+        weights, bias = fit_calibrated(rows, labels, bits)
         return pa.table([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
     limit_batches(docs.sparkSession)
