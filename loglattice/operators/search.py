@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 
 def query_by_pattern(entries: DataFrame, pattern: str) -> DataFrame:
-    return entries.where(F.col("labels")["pattern"] == pattern)
+    """Entries whose label `pattern` it is; stored entries have it as a column, which the scan can filter by."""
+    return entries.where((F.col("pattern") if "pattern" in entries.columns else F.col("labels")["pattern"]) == pattern)
 
 
 def query_logs(entries: DataFrame, pattern: str | None = None, from_ts=None, to_ts=None, limit: int = 0) -> DataFrame:
     """Entries by pattern and time (both ends belong), in the order of lines; a limit of 0 is none."""
     if pattern:
         entries = query_by_pattern(entries, pattern)
+    by_day = "day" in entries.columns  # of stored entries: whole folders are left out
     if from_ts is not None:
         entries = entries.where(F.col("timestamp") >= F.lit(from_ts))
+        entries = entries.where(F.col("day") >= F.to_date(F.lit(from_ts))) if by_day else entries
     if to_ts is not None:
         entries = entries.where(F.col("timestamp") <= F.lit(to_ts))
+        entries = entries.where(F.col("day") <= F.to_date(F.lit(to_ts))) if by_day else entries
     ties = [c for c in ("file_name", "id") if c in entries.columns]
     ordered = entries.orderBy("line_number", *ties)
     return ordered.limit(limit) if limit > 0 else ordered

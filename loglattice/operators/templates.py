@@ -2,8 +2,10 @@
 
 Discovery does not depend on the order of lines. Lines with the same number of tokens and the same leading
 tokens (those with a digit count as wildcards) have one shape; within a shape a position is literal if all its
-lines agree there. A shape that another one covers, by wildcards in place of literals, joins it if they share
-enough tokens.
+lines agree there. Lines of a shape with too few literals are told apart by twice as many leading tokens, until
+their shapes are similar enough or all tokens are used. Where more than a bounded number of tokens follow the same
+leading ones, that position is a wildcard. A shape that another one covers, by wildcards in place of literals,
+joins it if they share enough tokens.
 
 Matching turns "same number of tokens, each equal or a wildcard" into an equi join: templates with wildcards at
 the same positions share a mask, and a line matches one of them if its other tokens, as one key, are the
@@ -28,19 +30,65 @@ def with_tokens(df: DataFrame, delimiters: str = "|=,", content: str = "content"
     return df.withColumn("tokens", template_tokens(F.col(content), delimiters)).withColumn("n", F.size("tokens"))
 
 
-def shapes(df: DataFrame, depth: int = 30, delimiters: str = "|=,") -> DataFrame:
-    """template tokens, n and count of each shape of lines (content), in one reading of the lines."""
+def _with_path(df: DataFrame, depth: int, delimiters: str) -> DataFrame:
     tokens = with_tokens(df.select("content"), delimiters)
-    path = F.transform(F.slice("tokens", 1, _depth(depth, F.col("n"))), lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
+    return tokens.withColumn("path", F.transform(F.slice("tokens", 1, _depth(depth, F.col("n"))), lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t)))
+
+
+def shapes(df: DataFrame, depth: int = 30, delimiters: str = "|=,") -> DataFrame:
+    """n, path, tokens and count of each shape of lines (content), in one reading of the lines."""
+    return _by_path(_with_path(df, depth, delimiters))
+
+
+def _by_path(tokens: DataFrame) -> DataFrame:
     # place 0 stands for the line itself; else only places that can differ within a shape: wildcards of the path
     # and what is beyond it
     open_at = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: (i == 0) | (i > F.size("path")) | (F.get("path", i - 1) == WILDCARD))
-    opened = tokens.withColumn("path", path).select("n", "path", F.explode(F.transform(open_at, lambda i: F.struct(i.alias("at"), F.get("tokens", i - 1).alias("token")))).alias("x"))
+    opened = tokens.select("n", "path", F.explode(F.transform(open_at, lambda i: F.struct(i.alias("at"), F.get("tokens", i - 1).alias("token")))).alias("x"))
     same = opened.groupBy("n", "path", "x.at").agg(F.min("x.token").alias("low"), F.max("x.token").alias("high"), F.count("*").alias("lines"))
     spot = F.struct("at", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILDCARD).alias("token"))
     filled = same.groupBy("n", "path").agg(F.max(F.when(F.col("at") == 0, F.col("lines"))).alias("count"), F.map_from_entries(F.collect_list(F.when(F.col("at") > 0, spot))).alias("spots"))
     template = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.coalesce(F.element_at("spots", i), F.get("path", i - 1)))
-    return filled.select("n", template.alias("tokens"), "count").groupBy("n", "tokens").agg(F.sum("count").alias("count"))
+    return filled.select("n", "path", template.alias("tokens"), "count")
+
+
+def _unlike(sim_th: float) -> Column:
+    return F.size(F.filter("tokens", lambda t: t != WILDCARD)) < sim_th * F.col("n")
+
+
+def _told_apart(df: DataFrame, sim_th: float, depth: int, delimiters: str) -> DataFrame:
+    """Shapes of which those with too few literals are cut by longer paths; only their lines are read again."""
+    found = materialise(shapes(df, depth, delimiters))
+    kept = []
+    lines = df
+    while True:
+        low = found.where(_unlike(sim_th) & (F.size("path") < F.col("n") - 1))
+        if low.isEmpty():
+            break
+        kept.append(found.join(low.select("n", "path"), ["n", "path"], "left_anti").select(*found.columns))
+        lines = materialise(_with_path(lines, depth, delimiters).join(low.select("n", "path"), ["n", "path"], "left_semi").select(F.array_join("tokens", " ").alias("content")))
+        depth *= 2
+        found = materialise(shapes(lines, depth, delimiters))
+    for part in kept:
+        found = found.unionByName(part)
+    return found
+
+
+def _narrowed(found: DataFrame, max_children: int) -> DataFrame:
+    """Shapes in which at most `max_children` tokens follow the same leading ones: where there are more, the place is a
+    wildcard, and shapes that are then alike are one."""
+    while (found.groupBy("n").count().agg(F.max("count")).first()[0] or 0) > max_children:
+        places = found.select("n", "path", F.posexplode("path").alias("at", "token")).withColumn("before", F.slice("path", F.lit(1), F.col("at")))
+        crowded = places.where(F.col("token") != WILDCARD).groupBy("n", "at", "before").agg(F.count_distinct("token").alias("children")).where(F.col("children") > max_children)
+        first = materialise(places.where(F.col("token") != WILDCARD).join(crowded, ["n", "at", "before"], "left_semi").groupBy("n", "path").agg(F.min("at").alias("at")))
+        if first.isEmpty():
+            break
+        widened = lambda column: F.transform(column, lambda t, i: F.when(i == F.col("at"), WILDCARD).otherwise(t))
+        moved = found.join(first, ["n", "path"], "left").select("n", F.when(F.col("at").isNull(), F.col("path")).otherwise(widened("path")).alias("path"), F.when(F.col("at").isNull(), F.col("tokens")).otherwise(widened("tokens")).alias("tokens"), "count")
+        moved = materialise(moved)
+        counts = moved.groupBy("n", "path").agg(F.sum("count").alias("count"))
+        found = materialise(_by_path(moved).drop("count").join(counts, ["n", "path"]))
+    return found
 
 
 def _keyed(templates: DataFrame) -> DataFrame:
@@ -76,17 +124,17 @@ def _absorbed(found: DataFrame, sim_th: float) -> DataFrame:
     return moved.groupBy("n", "tokens").agg(F.sum("count").alias("count"))
 
 
-def discover_templates(df: DataFrame, sim_th: float = 0.4, depth: int = 30, delimiters: str = "|=,", absorb: bool = True, min_count: int = 2) -> DataFrame:
+def discover_templates(
+    df: DataFrame, sim_th: float = 0.4, depth: int = 30, delimiters: str = "|=,", absorb: bool = True, min_count: int = 2, max_children: int = 100
+) -> DataFrame:
     """Templates of lines (content): pattern_id (a hash of the template), raw_pattern, tokens, n, count, low_similarity.
     Those of fewer than min_count lines are left out; min_count 1 keeps all."""
-    found = shapes(df, depth, delimiters)
+    found = _narrowed(_told_apart(df.select("content"), sim_th, depth, delimiters), max_children)
+    found = found.groupBy("n", "tokens").agg(F.sum("count").alias("count"))
     if absorb:
         found = _absorbed(found, sim_th)
     text = F.array_join("tokens", " ")
-    literals = F.size(F.filter("tokens", lambda t: t != WILDCARD))
-    return found.where(F.col("count") >= min_count).select(
-        F.sha2(text, 256).alias("pattern_id"), text.alias("raw_pattern"), "tokens", "n", "count", (literals < sim_th * F.col("n")).alias("low_similarity")
-    )
+    return found.where(F.col("count") >= min_count).select(F.sha2(text, 256).alias("pattern_id"), text.alias("raw_pattern"), "tokens", "n", "count", _unlike(sim_th).alias("low_similarity"))
 
 
 def match_templates(df: DataFrame, templates: DataFrame, keys: list[str], mode: str = "first", order_col: str | None = None, delimiters: str = "|=,") -> DataFrame:
@@ -133,3 +181,13 @@ def template_quality(entries: DataFrame, templates: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("entries")).join(found).select(
         "entries", "templates", "covered", (F.col("templates") / F.col("entries")).alias("ratio"), ((F.col("templates") >= 1) & (F.col("templates") < F.col("entries"))).alias("good")
     )
+
+
+def template_accuracy(matched: DataFrame, truth: str = "EventTemplate") -> DataFrame:
+    """One row: entries, correct and accuracy. An entry is correct if the entries of its template (pattern_id) are just
+    those of its true one (the column `truth`)."""
+    both = matched.groupBy("pattern_id", truth).agg(F.count("*").alias("n"))
+    found, real = (both.groupBy(c).agg(F.sum("n").alias(f"of_{c}")) for c in ("pattern_id", truth))
+    joined = both.where("pattern_id is not null").join(found, "pattern_id").join(real, truth)
+    correct = joined.where((F.col("n") == F.col("of_pattern_id")) & (F.col("n") == F.col(f"of_{truth}"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("correct"))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries")).join(correct).select("entries", "correct", (F.col("correct") / F.col("entries")).alias("accuracy"))

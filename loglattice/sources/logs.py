@@ -28,6 +28,15 @@ def read_logs(spark: SparkSession, path: str, trim_trailing_blank: bool = True)
     return numbered.join(last, "file_name").where(F.col("line_no") <= F.col("last")).drop("last")
 
 
+def stream_logs(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """A stream of lines (file_name, line_no, content) of the files that come into a folder, numbered from 1 in each file.
+    A file is one record here, so this is for files that are rotated while they are small; it is read once, whole."""
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
+    text = F.regexp_replace("value", r"(?U)\n\s*\z", "")
+    lines = files.where(text.rlike(r"(?U)\S")).select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split(text, "\n", -1)).alias("at", "content"))
+    return lines.select("file_name", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("content", "\r\\z", "").alias("content"))
+
+
 def list_inputs(spark: SparkSession, path: str) -> DataFrame:
     """Names and sizes of the files in a folder; sub-folders don't count."""
     files = spark.read.format("binaryFile").load(path)

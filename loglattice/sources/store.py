@@ -1,6 +1,7 @@
 """The stored tables: log entries (append) and patterns (upsert), as Parquet under one folder.
 
-The patterns are kept in versions, patterns/v0, v1 and so on; the last one that was written to its end counts, so an
+Entries are stored by day, and their pattern is a column too, so a search reads the days it asks for and the scan
+filters by pattern. The patterns are kept in versions, patterns/v0, v1 and so on; the last one that was written to its end counts, so an
 upsert that is broken off leaves the version before it in place."""
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ ENTRIES = T.StructType([
     T.StructField("raw", T.StringType()),
     T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
 ])
+#: Worked out from the entry, for searches: what its label `pattern` is, and the day (the folder it is in).
+_SEARCHED = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("day", T.DateType())])
 PATTERN_COLUMNS = ("pattern_id", "pattern_type", "raw_pattern", "semantic_id", "description")
 PATTERNS = T.StructType([T.StructField(c, T.StringType()) for c in PATTERN_COLUMNS])
 
@@ -45,7 +48,8 @@ def init_tables(spark: SparkSession, path: str) -> None:
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ENTRIES).parquet(f"{path}/log_entries")
+    """Stored entries, with pattern and day."""
+    return spark.read.schema(T.StructType(ENTRIES.fields + _SEARCHED.fields)).parquet(f"{path}/log_entries")
 
 
 def with_ids(rows: DataFrame, first: int) -> DataFrame:
@@ -62,7 +66,10 @@ def append_logs(spark: SparkSession, path: str, rows: DataFrame) -> None:
     `rows` must give the same rows each time it is read, as a table does."""
     highest = read_entries(spark, path).agg(F.max("id")).first()[0] or 0
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
-    with_ids(rows, highest + 1).select(*[labels.alias("labels") if f.name == "labels" else F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRIES]).write.mode("append").parquet(f"{path}/log_entries")
+    named = with_ids(rows, highest + 1).select(*[labels.alias("labels") if f.name == "labels" else F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRIES])
+    stored = named.withColumn("pattern", F.col("labels")["pattern"]).withColumn("day", F.to_date("timestamp"))
+    # each file holds few days and patterns
+    stored.repartitionByRange("day", "pattern", "id").write.mode("append").partitionBy("day").parquet(f"{path}/log_entries")
 
 
 def upserted(patterns: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:

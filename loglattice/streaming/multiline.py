@@ -18,21 +18,23 @@ def stream_merge_multiline(stream: DataFrame, idle_timeout: int = 10_000, max_en
     """Entries of a stream of lines (file_name, line_no, content), as merge_multiline gives them, with `late`.
 
     A file's last entry stays open until a new line closes it or the file is idle for `idle_timeout` ms. Lines of a
-    micro-batch are put in order; a line at or below the last one seen of its file comes out alone, with late true."""
+    micro-batch are put in order; a line at or below the last one seen of its file comes out alone, with late true.
+    A task holds the lines that a file has in a micro-batch: bound these by the source (maxFilesPerTrigger)."""
 
     def merge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, end, content, size, ever = state.get if state.exists else (-1, -1, "", 0, False)
+        held = [content]  # the lines of the open entry
         out: list[tuple] = []
 
         def close() -> None:
             nonlocal start
             if start >= 0:
-                out.append((key[0], start, end, content, False))
+                out.append((key[0], start, end, "\n".join(held), False))
             start = -1
 
         if state.hasTimedOut:
             close()
-            content, size = "", 0
+            held, size = [""], 0
         else:
             lines = pd.concat(list(frames)).sort_values("line_no", kind="stable")
             for number, text, is_new in zip(lines["line_no"].tolist(), lines["content"].tolist(), lines["is_new"].tolist(), strict=True):
@@ -44,11 +46,12 @@ def stream_merge_multiline(stream: DataFrame, idle_timeout: int = 10_000, max_en
                 if start >= 0 and (is_new or not ever or size + 1 + length > max_entry_bytes):
                     close()
                 if start < 0:
-                    start, content, size = number, text, length
+                    start, held, size = number, [text], length
                 else:
-                    content, size = f"{content}\n{text}", size + 1 + length
+                    held.append(text)
+                    size += 1 + length
                 end = number
-        state.update((start, end, content, size, ever))
+        state.update((start, end, "\n".join(held), size, ever))
         if start >= 0:
             state.setTimeoutDuration(idle_timeout)
         yield pd.DataFrame(out, columns=["file_name", "start_line", "end_line", "content", "late"])

@@ -63,3 +63,13 @@ def test_no_line_is_lost(spark):
     assert rows[2].labels == {"k": "good"} and rows[0].attrs == {}
     native = events.ingest_lines(df, lambda c: F.struct(F.lit(None).cast("timestamp").alias("ts"), F.create_map(F.lit("t"), c).alias("attrs"), F.lit(None).cast("struct<pattern:string,entity:string>").alias("inferred"), F.lit(None).cast("map<string,string>").alias("labels")), native=True)
     assert [r.attrs["t"] for r in native.orderBy("line_no").collect()] == [" edge ", "bad", "good"]
+
+
+def test_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, '{"level":"WARN","a":"b"}', "old", "old", "old", "old", "old")], "line_no long, content string, ts string, attrs string, inferred string, source_format string, labels string")
+    row = events.parse_events(df).first()
+    assert (row.source_format, row.ts, row.attrs, row.labels) == ("json", None, {"level": "warn", "a": "b"}, "old")
+    for parser in (None, lambda raw: {"labels": {"n": str(len(raw))}}):
+        got = events.ingest_lines(df, parser)
+        assert len(set(got.columns)) == len(got.columns)
+        assert (got.first().ts, got.first().source_format, got.first().labels) == (None, "old", {} if parser is None else {"n": "24"})

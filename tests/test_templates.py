@@ -91,3 +91,40 @@ def test_store(spark, tmp_path):
     assert [(r.pattern_id, r.raw_pattern, r.description) for r in store.read_patterns(spark, path).collect()] == [("i", "p2", ""), ("k", "q", "")]
     assert [r["count"] for r in search.pattern_summaries(entries, store.read_patterns(spark, path)).collect()] == [5]
     assert [r["count"] for r in search.pattern_counts(entries).collect()] == [5]
+
+
+def test_unlike_lines_are_told_apart(spark):
+    """Lines that share 27 tokens of 100 and nothing else."""
+    head = " ".join(f"h{chr(97 + k)}" for k in range(27))
+    texts = [f"{head} {' '.join(f'{kind}{chr(97 + k % 26)}{chr(97 + k // 26)}' for k in range(73))}" for kind in ("x", "y", "z") for _ in range(2)]
+    got = {r.raw_pattern: (r["count"], r.low_similarity) for r in templates.discover_templates(lines(spark, texts)).collect()}
+    assert got == {t: (2, False) for t in texts}
+    # digits leave nothing to tell apart: one template, marked
+    got = templates.discover_templates(lines(spark, ["1 2 3 4 a", "5 6 7 8 b"])).collect()
+    assert [(r.raw_pattern, r["count"], r.low_similarity) for r in got] == [("<*> <*> <*> <*> <*>", 2, True)]
+
+
+def test_crowded_places_are_wildcards(spark):
+    letters = "abcdefghijklmnop"
+    texts = [f"user {a}{b} logged in from {c} now" for a in letters for b in letters[:4] for c in "xyz"] + ["host up for us all day long"] * 3
+    got = {r.raw_pattern: r["count"] for r in templates.discover_templates(lines(spark, texts), max_children=10).collect()}
+    assert got == {"user <*> logged in from x now": 64, "user <*> logged in from y now": 64, "user <*> logged in from z now": 64, "host up for us all day long": 3}
+    assert len(templates.discover_templates(lines(spark, texts), min_count=1).collect()) == 193
+
+
+def test_accuracy(spark):
+    rows = [("p", "A"), ("p", "A"), ("q", "B"), ("r", "B"), ("s", "C"), ("s", "D"), (None, "E")]
+    got = templates.template_accuracy(spark.createDataFrame(rows, "pattern_id string, EventTemplate string")).first()
+    assert (got.entries, got.correct) == (7, 2)
+
+
+def test_stream_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_bytes(b"2024-03-28 13:45:30 one\r\n  more\n\n2024-03-28 13:45:31 two  \n")
+    (tmp_path / "in" / "b.log").write_bytes(b"x\n \n\n")
+    (tmp_path / "in" / "c.log").write_bytes(b" \n")
+    query = logs.stream_logs(spark, str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("file_name", "line_no", "content").collect())
+    assert got == [("a.log", 1, "2024-03-28 13:45:30 one"), ("a.log", 2, "  more"), ("a.log", 3, ""), ("a.log", 4, "2024-03-28 13:45:31 two  "), ("b.log", 1, "x")]
+    assert got == sorted(tuple(r) for r in logs.read_logs(spark, str(tmp_path / "in")).collect())
