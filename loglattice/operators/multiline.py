@@ -62,10 +62,12 @@ def _cut_long(lines: DataFrame, max_entry_bytes: int) -> DataFrame:
 def merge_multiline(df: DataFrame, max_entry_bytes: int = MAX_ENTRY_BYTES, **detector) -> DataFrame:
     """Entries (file_name, start_line, end_line, content) of lines (file_name, line_no, content).
 
-    Where entries begin is found on a table of numbers, without the text; the text is then joined to it and grouped."""
+    Where entries begin is found on a table of numbers, without the text. The text is dealt by bucket of lines once, and
+    grouped where it then is; only entries that reach into another bucket are gathered from several."""
     lines = df.select("file_name", F.col("line_no").cast("long").alias("line_no"), "content")
     marked = with_new_entry(lines, **detector).select("file_name", "line_no", "is_new", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes"))
-    return _joined(lines.join(piece_starts(materialise(marked), max_entry_bytes), ["file_name", "line_no"]))
+    pieces = piece_starts(materialise(marked), max_entry_bytes).groupBy("file_name", F.col("piece_start").alias("start")).agg(F.max("line_no").alias("end"))
+    return _joined(lines, materialise(pieces))
 
 
 def piece_starts(marked: DataFrame, max_entry_bytes: int = MAX_ENTRY_BYTES) -> DataFrame:
@@ -80,7 +82,23 @@ def piece_starts(marked: DataFrame, max_entry_bytes: int = MAX_ENTRY_BYTES) -> D
     return short.unionByName(long).select("file_name", "line_no", "piece_start")
 
 
-def _joined(pieces: DataFrame) -> DataFrame:
-    lines = F.array_sort(F.collect_list(F.struct("line_no", "content")))
-    grouped = pieces.groupBy("file_name", F.col("piece_start").alias("start_line")).agg(F.max("line_no").alias("end_line"), lines.alias("lines"))
-    return grouped.select("file_name", "start_line", "end_line", F.array_join(F.transform("lines", lambda x: x["content"]), "\n").alias("content"))
+def _joined(lines: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The lines of each piece (file_name, start, end) as one row."""
+    bucket = lambda c: F.expr(f"{c} div {BUCKET_LINES}")
+    # a piece is announced in every bucket that it has lines in, before the first of them
+    told = pieces.withColumn("bucket", F.explode(F.sequence(bucket("start"), bucket("end"))))
+    at = F.greatest(F.col("start"), F.col("bucket") * BUCKET_LINES - 1)
+    piece = F.struct("start", "end", (bucket("start") != bucket("end")).alias("crosses"))
+    told = told.select("file_name", "bucket", at.alias("line_no"), F.lit(None).cast("string").alias("content"), piece.alias("piece"))
+    rows = lines.select("file_name", bucket("line_no").alias("bucket"), "line_no", "content", F.lit(None).cast(told.schema["piece"].dataType).alias("piece")).unionByName(told)
+    before = Window.partitionBy("file_name", "bucket").orderBy("line_no", F.col("piece").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.withColumn("of", F.last("piece", ignorenulls=True).over(before)).where("piece is null").select("file_name", "bucket", "line_no", "content", "of.*")
+
+    def grouped(part: DataFrame, *keys: str) -> DataFrame:
+        texts = F.array_sort(F.collect_list(F.struct("line_no", "content")))
+        found = part.groupBy("file_name", *keys, "start", "end").agg(texts.alias("lines"))
+        text = F.array_join(F.transform("lines", lambda x: x["content"]), "\n")
+        return found.select("file_name", F.col("start").alias("start_line"), F.col("end").alias("end_line"), text.alias("content"))
+
+    whole = grouped(held.where("not crosses"), "bucket")
+    return whole if pieces.where(bucket("start") != bucket("end")).isEmpty() else whole.unionByName(grouped(held.where("crosses")))
