@@ -154,12 +154,12 @@ def timestamp_likeness(codes: Column) -> Column:
 
 
 def _likeness(classes: Column) -> Column:
-    pairs = set(known_pairs())
-    known = F.array(*[F.lit(f"{a}>{b}" in pairs) for a in CLASSES for b in CLASSES])
+    pairs = [p.split(">") for p in known_pairs()]
+    known = F.array(*[F.lit(_CODE[a] * len(CLASSES) + _CODE[b]) for a, b in pairs])
     size = F.size(classes)
     steps = F.transform(
         F.slice(classes, 2, F.greatest(size - 1, F.lit(0))),
-        lambda x, k: F.when(F.get(known, F.get(classes, k) * len(CLASSES) + x), 1).otherwise(-1),
+        lambda x, k: F.when(F.array_contains(known, F.get(classes, k) * len(CLASSES) + x), 1).otherwise(-1),
     )
     zero = F.lit(0)
     start = F.struct(zero.alias("k"), zero.alias("sum"), zero.alias("from"), F.lit(-100).alias("best"), zero.alias("best_from"), zero.alias("best_to"))
