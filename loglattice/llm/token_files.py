@@ -22,6 +22,7 @@ run on over as many blocks as they fill; ties of doc_id are ordered by text; a n
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -78,8 +79,9 @@ def unshuffle_planes(blob: bytes, n_ids: int) -> bytes:
     return np.packbits(rows.T, axis=1, bitorder="little").tobytes()
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS, bits: bool = False) -> None:
-    """Encodes `docs` (doc_id, text) and writes the shards to `path`, which Spark can write."""
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS, bits: bool = False, shard_bytes: int = 32 << 20) -> None:
+    """Encodes `docs` (doc_id, text) and writes the shards to `path`, which Spark can write. There is a shard for about
+    each `shard_bytes` of text, and one for each core at least, so a shard stays one row group however large the table."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
@@ -133,7 +135,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     limit_batches(docs.sparkSession)
     order = F.xxhash64(F.coalesce("text", F.lit("")))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", order).sortWithinPartitions("doc_id", order)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(math.ceil(total / shard_bytes), docs.sparkSession.sparkContext.defaultParallelism)
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", order).sortWithinPartitions("doc_id", order)
     ranged.mapInArrow(blocks, _SCHEMA).write.option("compression", "none").option("parquet.block.size", 1 << 30).parquet(path)
 
 

@@ -128,7 +128,7 @@ def test_planes_round_trip(bits):
 def test_files_read_back(spark, tmp_path, ids, block_ids):
     rows = [r for r in texts() if r[0] is not None]
     path = f"{tmp_path}/files"
-    token_files.write_token_files(frame(spark, rows), path, default_tokenizer(), block_ids=block_ids, bits=block_ids == 64)
+    token_files.write_token_files(frame(spark, rows), path, default_tokenizer(), block_ids=block_ids, bits=block_ids == 64, shard_bytes=4000 if block_ids == 64 else 1 << 30)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
     want, at = [], 0
     for doc, text in sorted(rows, key=lambda r: r[0]):
