@@ -76,7 +76,9 @@ def piece_starts(marked: DataFrame, max_entry_bytes: int = MAX_ENTRY_BYTES) -> D
     columns = ["file_name", "entry_start", "line_no", "bytes"]
     started = materialise(entry_starts(marked).select(*columns))
     sizes = started.groupBy("file_name", "entry_start").agg((F.sum(F.col("bytes") + 1) - 1).alias("total"))
-    over = sizes.where(F.col("total") > max_entry_bytes).select("file_name", "entry_start")
+    over = materialise(sizes.where(F.col("total") > max_entry_bytes).select("file_name", "entry_start"))
+    if over.isEmpty():
+        return started.select("file_name", "line_no", F.col("entry_start").alias("piece_start"))
     long = _cut_long(started.join(over, ["file_name", "entry_start"], "left_semi").select(*columns), max_entry_bytes)
     short = started.join(over, ["file_name", "entry_start"], "left_anti").select(*columns, F.col("entry_start").alias("piece_start"))
     return short.unionByName(long).select("file_name", "line_no", "piece_start")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions import boundary, events, text
@@ -174,16 +174,22 @@ def o06_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("name", F.array_join("violations", "|").alias("violations"), F.col("event.text").alias("text"), F.unix_micros("event.ts").alias("ts_us"))
 
 
-def _stored_tables(spark: SparkSession, sf_dir: str) -> str:
-    """Tables made, filled by two appends and two upserts; their folder. The text of an entry ends in its event's id, as
+def _stored_entries(spark: SparkSession, sf_dir: str, *parts: Column) -> str:
+    """The folder of tables with the entries, one append for each part. The text of an entry ends in its event's id, as
     the store gives ids of its own."""
-
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    entries, patterns = _stored(spark, sf_dir)
+    entries, _ = _stored(spark, sf_dir)
     store.init_tables(spark, path)
-    half = F.col("id") % 2 == 0
-    for part in (half, ~half):
+    for part in parts or (F.lit(True),):
         store.append_logs(spark, path, entries.where(part).withColumn("raw", F.concat("raw", F.lit(" #"), "id")).drop("id"))
+    return path
+
+
+def _stored_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Tables made, filled by two appends and two upserts; their folder."""
+    half = F.col("id") % 2 == 0
+    path = _stored_entries(spark, sf_dir, half, ~half)
+    patterns = _stored(spark, sf_dir)[1]
     store.upsert_patterns(spark, path, patterns.withColumn("semantic_id", F.lit("old")).withColumn("at", F.lit(1)), "at")
     twice = patterns.withColumn("raw_pattern", F.lit("early")).withColumn("at", F.lit(1)).unionByName(patterns.withColumn("at", F.lit(2)))
     store.upsert_patterns(spark, path, twice, "at")
@@ -436,14 +442,14 @@ def o31_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o40_by_pattern", _SQL_STORED + " SELECT line_number, concat(raw, ' #', id) AS raw FROM entries WHERE pattern = 'user <*> did click'")
 def o40_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store.read_entries(spark, _stored_tables(spark, sf_dir))
+    stored = store.read_entries(spark, _stored_entries(spark, sf_dir))
     return search.query_by_pattern(stored, "user <*> did click").select("line_number", "raw")
 
 
 @query("o41_search", _SQL_STORED + " SELECT line_number, concat(raw, ' #', id) AS raw FROM entries WHERE pattern = 'user <*> did view' AND ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-05 12:00:00'")
 def o41_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days outside the range are not listed, and the pattern is a filter of the scan."""
-    stored = store.read_entries(spark, _stored_tables(spark, sf_dir))
+    stored = store.read_entries(spark, _stored_entries(spark, sf_dir))
     found = search.query_logs(stored, "user <*> did view", F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-05 12:00:00").cast("timestamp_ntz"))
     return found.select("line_number", "raw")
 
