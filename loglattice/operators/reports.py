@@ -46,13 +46,20 @@ def unmatched_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
     return matched.join(labelled.select("pattern_id"), "pattern_id", "left_anti").select(*ORDER, "content")
 
 
+def log_files(matched: DataFrame) -> DataFrame:
+    """file_name of every log file."""
+    return matched.select("file_name").distinct()
+
+
 def corpus_summary(matched: DataFrame, labelled: DataFrame) -> DataFrame:
-    """One row: file_count, log_files, total_lines, pattern_count, unmatched_count."""
+    """One row: file_count, total_lines, pattern_count, unmatched_count. The names of the files are a table, log_files."""
     marked = matched.join(labelled.select("pattern_id", F.lit(True).alias("known")), "pattern_id", "left")
-    files = F.sort_array(F.collect_set("file_name"))
-    totals = marked.agg(files.alias("log_files"), F.count("*").alias("total_lines"), F.count_if(F.col("known").isNull()).alias("unmatched_count"))
+    # entries are counted by file first, so the count of different names is that of rows
+    by_file = marked.groupBy("file_name").agg(F.count("*").alias("lines"), F.count_if(F.col("known").isNull()).alias("lost"))
+    none = F.lit(0).cast("long")
+    totals = by_file.agg(F.count("*").cast("int").alias("file_count"), F.coalesce(F.sum("lines"), none).alias("total_lines"), F.coalesce(F.sum("lost"), none).alias("unmatched_count"))
     patterns = labelled.agg(F.count("*").alias("pattern_count"))
-    return totals.join(patterns).select(F.size("log_files").alias("file_count"), "log_files", "total_lines", "pattern_count", "unmatched_count")
+    return totals.join(patterns).select("file_count", "total_lines", "pattern_count", "unmatched_count")
 
 
 def error_patterns(stats: DataFrame) -> DataFrame:
@@ -94,11 +101,14 @@ def _pattern_head() -> Column:
 
 
 def _summary_head() -> Column:
-    files = F.array_join(F.transform("log_files", lambda f: F.concat(F.lit("\n  - `"), f, F.lit("`"))), "")
+    return F.concat(F.lit("# Log Summary\n\n- **Log files:** "), F.col("file_count").cast("string"))
+
+
+def _summary_counts() -> Column:
     none = F.when(F.col("pattern_count") == 0, "\nNo patterns discovered.").otherwise("")
     return F.concat(
-        F.lit("# Log Summary\n\n- **Log files:** "), F.col("file_count").cast("string"), files, F.lit("\n- **Total lines:** "), F.col("total_lines").cast("string"), F.lit("\n- **Patterns discovered:** "),
-        F.col("pattern_count").cast("string"), F.lit("\n- **Unmatched lines:** "), F.col("unmatched_count").cast("string"), F.lit("\n\n## Patterns by Frequency\n"), none,
+        F.lit("- **Total lines:** "), F.col("total_lines").cast("string"), F.lit("\n- **Patterns discovered:** "), F.col("pattern_count").cast("string"),
+        F.lit("\n- **Unmatched lines:** "), F.col("unmatched_count").cast("string"), F.lit("\n\n## Patterns by Frequency\n"), none,
     )
 
 
@@ -110,6 +120,7 @@ def report_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
     refs = line_refs(matched, labelled).join(named, "pattern_id")
     entry = F.concat(F.lit("### "), "semantic_id", F.lit(" ("), F.col("count").cast("string"), F.lit(" matches)\n\n"), "description", F.lit("\n\nTemplate: `"), "raw_pattern", F.lit("`\n"))
     bad = F.concat(F.lit("## "), F.substring(entry, F.lit(5), F.length(entry)), F.lit("\nFirst seen: "), _where("first_file", "first_line"), F.lit("\n"))
+    summary = corpus_summary(matched, labelled)
     lost = unmatched_errors(matched, labelled)
     some = lost.agg(F.count("*").alias("n")).where("n > 0")
     any_bad = error_patterns(stats).select(F.lit(1).alias("x")).unionByName(lost.select(F.lit(1).alias("x"))).agg(F.count("*").alias("n"))
@@ -119,8 +130,10 @@ def report_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
         _lines(refs, "pattern", 1, F.concat(F.lit("- `"), "file_name", F.lit("`:"), F.col("start_line").cast("string")), name="file_name", line="start_line"),
         _lines(pattern_samples(matched, labelled).join(named, "pattern_id"), "samples", 0, F.col("content"), rank="rank"),
         _lines(unmatched_lines(matched, labelled), "samples", 0, F.col("content"), name="file_name", line="start_line", dir_name="unmatched"),
-        _lines(corpus_summary(matched, labelled), "summary", 0, _summary_head(), dir_name="notes"),
-        _lines(stats, "summary", 1, entry, rank="rank", name="pattern_id", dir_name="notes"),
+        _lines(summary, "summary", 0, _summary_head(), dir_name="notes"),
+        _lines(log_files(matched), "summary", 1, F.concat(F.lit("  - `"), "file_name", F.lit("`")), name="file_name", dir_name="notes"),
+        _lines(summary, "summary", 2, _summary_counts(), dir_name="notes"),
+        _lines(stats, "summary", 3, entry, rank="rank", name="pattern_id", dir_name="notes"),
         _lines(any_bad, "errors", 0, none_bad, dir_name="notes"),
         _lines(error_patterns(stats), "errors", 1, bad, rank="rank", name="pattern_id", dir_name="notes"),
         _lines(some, "errors", 2, F.lit("## Unmatched Error Lines\n\n```"), dir_name="notes"),

@@ -512,7 +512,8 @@ def o49_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o50_summary", _SQL_STATS + " SELECT CAST(count(DISTINCT file_name) AS INTEGER) AS file_count, string_agg(DISTINCT file_name, ',' ORDER BY file_name) AS files, count(*) AS total_lines, (SELECT count(*) FROM labelled) AS pattern_count, (SELECT count(*) FROM lost) AS unmatched_count FROM matched")
 def o50_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _workspace(spark, sf_dir)
-    return reports.corpus_summary(w.matched, w.labelled).select("file_count", F.array_join("log_files", ",").alias("files"), "total_lines", "pattern_count", "unmatched_count")
+    files = reports.log_files(w.matched).agg(F.array_join(F.sort_array(F.collect_list("file_name")), ",").alias("files"))
+    return reports.corpus_summary(w.matched, w.labelled).join(files).select("file_count", "files", "total_lines", "pattern_count", "unmatched_count")
 
 
 _SQL_ERROR = "'(?i)(error|warn|fatal|panic|exception|failed|timeout)'"
