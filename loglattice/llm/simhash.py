@@ -264,6 +264,10 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _total(hashes: np.ndarray) -> int:
+    return int(hashes.sum(dtype=np.uint64).astype(np.int64))
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """Of each row, from its different shingles: fingerprint, parities, number and sum (equal for equal sets) and minima."""
 
@@ -275,7 +279,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 prints.append(fingerprint(different.astype(">u8")))
                 parities.append(_parities(different))
                 sizes.append(len(different))
-                totals.append(int(different.sum(dtype=np.uint64).astype(np.int64)))
+                totals.append(_total(different))
                 minima.append(_minima(different))
             fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
             columns = [fp, pa.array(parities, pa.binary()), pa.array(totals, pa.int64()), pa.array(sizes, pa.int32()), pa.array(minima, pa.list_(pa.int64()))]
@@ -463,7 +467,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     """doc_id and component_id (the smallest doc_id reachable) of each row of `docs` with a doc_id, where documents are
     linked whose sets of shingles of `words` words have at least this Jaccard similarity.
 
-    Documents with equal sets fall together. The others meet where one of eight minima over their shingles
+    Documents with equal sets fall together, also all those without words; rows of one doc_id with different texts are one
+    node with the links of each. The others meet where one of eight minima over their shingles
     agrees (all eight miss a pair at 0.8 once in 390,000 times); the sets themselves decide all
     pairs there whose ends are not joined already: first those whose fingerprints, compared bit-sliced, are within
     `radius` bits, then all that sizes and parities allow (a bound that no pair at the similarity fails). Sets are
@@ -477,11 +482,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sets = [np.unique((shingle_hashes(t, words).astype(np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), batch.column("parities"), pa.array(sets, pa.binary())], ["doc_id", "fp", "parities", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select("doc_id", "fp", "parities").join(chosen, "doc_id"), "doc_id")
-    sets = materialise(texts.select("doc_id", "fp", "parities", "text").mapInArrow(shingles, "doc_id long, fp long, parities binary, shingles binary").dropDuplicates(["doc_id"]))
+            found = [np.unique(shingle_hashes(t, words).astype(np.uint64)) for t in utf8(batch.column("text"))]
+            # of the rows of a doc_id those whose set it is
+            own = [len(x) == n and _total(x) == total for x, n, total in zip(found, batch.column("n").to_pylist(), batch.column("total").to_pylist(), strict=True)]
+            sets = pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], [*kept, "shingles"]).filter(pa.array(own, pa.bool_()))
+
+    kept = ["doc_id", "fp", "parities", "total", "n"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(*kept).join(chosen, "doc_id"), "doc_id").select(*kept, "text")
+    sets = texts.mapInArrow(shingles, "doc_id long, fp long, parities binary, total long, n int, shingles binary")
+    sets = materialise(sets.dropDuplicates(["doc_id", "total", "n"]).drop("total", "n"))
     edges = _in_groups(near.join(sets, "doc_id"), ["fp", "parities", "shingles"], F.octet_length("shingles") + F.octet_length("parities"), tile_bytes).mapInArrow(_verified(radius, similarity), "a long, b long")
     joined = connected_components(edges)
     grouped = nodes.join(joined, nodes.doc_id == joined.node, "left").select("total", "n", F.coalesce("component", "doc_id").alias("component_id"))
@@ -489,7 +499,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
 
 
 def remove_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: that with the smallest doc_id. Rows without a
-    doc_id stay; rows that repeat a doc_id stay or go together."""
+    """`docs` with one document of each group of near-duplicates: that with the smallest doc_id. Texts
+    without words (null, empty, white space) are one group. Rows without a doc_id stay; rows that repeat a doc_id stay or
+    go together."""
     gone = near_duplicate_groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti").select(*docs.columns)

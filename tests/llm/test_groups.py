@@ -167,6 +167,16 @@ def test_no_similar_pair_is_ruled_out():
         assert len(got) < 0.2 * len(sets) ** 2 and (mine is None or all(a % 3 == 0 for a, _ in got))
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    one, two = words(150, 71), words(150, 72)
+    near = lambda t: t.replace(t.split()[70], "changed", 1)
+    rows = [(1, one), (1, two), (2, near(one)), (3, near(two)), (4, words(150, 73)), (5, None), (6, " "), (1, one)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    kept = sorted(r.doc_id for r in simhash.remove_near_duplicates(frame(spark, rows)).collect())
+    assert kept == [1, 1, 1, 4, 5]
+
+
 def _best_by_brute_force(rows, step, k):
     whole = lambda v: [math.floor(x * 256) if abs(x) < 1e300 else int(x) * 256 for x in v]
     good = [(i, whole(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
