@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, simhash, substrings, token_files, toolcalls, topk, toxicity
+from . import decontaminate, exact, language, packing, quality, simhash, substrings, token_files, toolcalls, topk, toxicity
 from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
@@ -108,6 +108,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts."""
+    found = exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
@@ -119,10 +125,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
+    "op11_exact": op11_exact,
 }
 
 #: DuckDB SQL over the same tables.
 ORACLES: dict[str, str] = {
+    "op11_exact": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)
+    """,
     "op1_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w FROM embeddings
