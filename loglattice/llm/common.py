@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.plans.stages import materialise, shared_dir
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "crc_bucket", "limit_batches", "materialise", "shared_dir", "table", "text_slices", "utf8"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "crc_bucket", "limit_batches", "materialise", "pack_array", "shared_dir", "table", "text_slices", "unpack_array", "utf8"]
 
 #: Text bytes that a Python worker holds in its own arrays at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -49,3 +50,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8; null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def pack_array(values: np.ndarray) -> bytes:
+    """An array with its bytes in planes, compressed: high bytes of small numbers are zero."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_array(packed: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

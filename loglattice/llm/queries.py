@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language, packing, quality, simhash, substrings, token_files, toolcalls, topk, toxicity
+from . import collocations, decontaminate, exact, language, packing, periodic, quality, simhash, substrings, token_files, toolcalls, topk, toxicity
 from .common import crc_bucket, shared_dir, table
 from .tokens import default_tokenizer
 
@@ -114,6 +114,41 @@ def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """In every tenth document by crc32(doc_id) the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    n, g = F.size("words"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int")
+    periodic = F.array_join(F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(w)), " ")
+    placed = docs.select("doc_id", "text", words.alias("words")).withColumn("a", F.when(n > 0, a)).withColumn("p", p)
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of 12 words or more in every document, a tenth of which is made periodic."""
+    found = periodic.find_runs(_with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256)
+    return found.withColumn("best", best).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        digest.alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of 2 to 5 words that occur 100 times."""
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_substrings": op2_substrings,
@@ -126,10 +161,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_quality": op10_quality,
     "op11_exact": op11_exact,
+    "op12_periodic": op12_periodic,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL over the same tables.
 ORACLES: dict[str, str] = {
+    "op13_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+        s AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+        g AS (SELECT lang, w, i, unnest(range(1, least(len(w) - i + 1, 5) + 1)) AS k FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p)),
+        f AS (SELECT lang, list_slice(w, i, i + k - 1) AS x, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+        d AS (SELECT DISTINCT lang, x, f FROM (SELECT lang, list_slice(x, 1, len(x) - 1) AS x, f FROM f UNION ALL SELECT lang, list_slice(x, 2, len(x)) AS x, f FROM f)),
+        c AS (SELECT lang, x, f AS a, unnest(range(1, len(x))) AS cut FROM f ANTI JOIN d USING (lang, x, f) WHERE len(x) > 1),
+        e AS (
+            SELECT c.lang, array_to_string(c.x, ' ') AS phrase, a, cut, l.f AS l, r.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+            FROM c JOIN f l ON l.lang = c.lang AND l.x = list_slice(c.x, 1, cut) JOIN f r ON r.lang = c.lang AND r.x = list_slice(c.x, cut + 1, len(c.x)) JOIN s ON s.lang = c.lang
+        ),
+        b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM b
+        QUALIFY rank <= 2000
+    """,
     "op11_exact": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)
