@@ -9,8 +9,11 @@ expected result is known from them.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from loglattice.plans.stages import materialise, shared_dir, spread
 from loglattice.plans.workspace import KEYS, Workspace, build_workspace
 from loglattice.sources import store
 from loglattice.sources.logs import list_inputs, read_fixtures, read_ground_truth, read_logs
+from loglattice.sources.tail import tail_logs
 from loglattice.streaming.multiline import stream_merge_multiline
 
 _LINE = """
@@ -128,6 +132,43 @@ def o01_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("event_id", "content", (F.col("line_no") == place).alias("numbered"))
 
 
+def _streamed(spark: SparkSession, stream: DataFrame, path: str) -> DataFrame:
+    """What a query has written when it has gone on from its checkpoint through all that is there."""
+    running = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
+    running.awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+def _write_growing(lines: DataFrame, path: str, share: float, order: str) -> None:
+    """The first `share` of the bytes of each partition's lines as one file, in any line's middle; a larger share makes the
+    files longer, as if lines were appended."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = b"".join(x + b"\n" for batch in batches for x in batch.column("content").cast(pa.binary()).to_pylist())
+        files, folder = pafs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/app-{TaskContext.get().partitionId()}.log") as file:
+            # the last line has no end
+            file.write(text[: int(len(text) * share)] if share < 1 else text[:-1])
+        yield pa.RecordBatch.from_pydict({"n": [len(text)]})
+
+    lines.repartition(8, order).sortWithinPartitions(order).select("content").mapInArrow(write, "n long").collect()
+
+
+@query("o01_tail", _SQL_LINES + " SELECT event_id, content, true AS numbered FROM lines")
+def o01_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event lines in files that grow between the runs of a stream, which goes on from its checkpoint each time; whether
+    each line came with its place in its file as its number."""
+    path = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
+    lines = materialise(event_lines(spark, sf_dir).select("event_id", F.concat(F.col("event_id").cast("string"), F.lit("\t"), "content").alias("content")))
+    for share in (0.4, 0.8, 1.0):
+        _write_growing(lines, f"{path}/in", share, "event_id")
+        read = _streamed(spark, tail_logs(spark, f"{path}/in", f"{path}/log", final=share == 1.0), path)
+    held = read.where("not ended").select("file_name", "line_no", F.split("content", "\t", 2).alias("x")).select("file_name", "line_no", F.col("x")[0].cast("long").alias("event_id"), F.col("x")[1].alias("content"))
+    place = F.row_number().over(Window.partitionBy("file_name").orderBy("event_id"))
+    return held.select("event_id", "content", (F.col("line_no") == place).alias("numbered"))
+
+
 @query("o02_multi_file_scan", _SQL_LINES + " SELECT concat(event_id, chr(9), content) AS content, count(*) AS n FROM lines GROUP BY ALL")
 def o02_multi_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_logs(spark, _written_lines(spark, sf_dir)).groupBy("content").agg(F.count("*").alias("n"))
@@ -267,26 +308,22 @@ def o17_entry_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("o18_stream_merge", """
-    SELECT source AS file_name, doc_id * 1000000 + 1 AS start_line, false AS late, md5(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), coalesce(text, ''))) AS content_md5
-    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS back FROM documents) WHERE back > 1
+    SELECT source AS file_name, doc_id * 1000000 + 1 AS start_line, false AS late, md5(concat('2024-01-01 00:00:00 INFO doc ', doc_id, chr(10), coalesce(text, ''))) AS content_md5 FROM documents
 """)
 def o18_stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of the document lines; each file's last entry is still open when it ends."""
+    """A stream of the document lines with an end for each file, in several micro-batches."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    lines = document_lines(spark, sf_dir).select("file_name", "line_no", "content")
-    lines.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(lines.schema).parquet(f"{path}/in")
-    merged = stream_merge_multiline(stream, idle_timeout=3_600_000, max_entry_bytes=1 << 30)
-    # with batches for time-outs alone, a finite stream would never be through
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        running = merged.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start(f"{path}/out")
-        running.awaitTermination()
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.parquet(f"{path}/out").select("file_name", "start_line", "late", F.md5("content").alias("content_md5"))
+    lines = document_lines(spark, sf_dir).select("file_name", "line_no", "content", F.lit(False).alias("ended"))
+    ends = lines.groupBy("file_name").agg(F.max("line_no").alias("last")).select("file_name", (F.col("last") + 1).alias("line_no"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("ended"))
+    # one after the other, as a stream takes files by their time
+    thirds = F.ntile(3).over(Window.orderBy("doc_id"))
+    cuts = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", thirds.alias("part")).groupBy("part").agg(F.max("doc_id").alias("doc_id")).orderBy("part").collect()]
+    for k, top in enumerate(cuts):
+        low = F.lit(True) if k == 0 else F.col("line_no") >= (cuts[k - 1] + 1) * 1_000_000
+        lines.where(low & (F.col("line_no") < (top + 1) * 1_000_000)).write.mode("append").parquet(f"{path}/in")
+    ends.write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    return _streamed(spark, stream_merge_multiline(stream, idle_timeout=None, max_entry_bytes=1 << 30), path).select("file_name", "start_line", "late", F.md5("content").alias("content_md5"))
 
 
 # Events. The expected fields are written down from the table, not from the lines.
