@@ -316,8 +316,11 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, max_words: int = 5, bud
             levels[-1].append(phrase)
         if not longer:
             break
-    send = _send(hot, _packed_groups(large, budget), math.ceil(small / max(1, budget // 2)), max_words)
-    trees = encoded.mapInArrow(send, _SENT).groupBy("group").applyInArrow(_subtrees(max_words, min_count), _PHRASES)
+    placed, hashed = _packed_groups(large, budget), math.ceil(small / max(1, budget // 2))
+    groups = len(set(placed.values())) + max(1, hashed)
+    # a task for each group, however many there are
+    sent = encoded.mapInArrow(_send(hot, placed, hashed, max_words), _SENT).repartition(groups, "group")
+    trees = sent.groupBy("group").applyInArrow(_subtrees(max_words, min_count), _PHRASES)
     for rows in counted:
         trees = trees.unionByName(rows)
     return materialise(trees), sizes
