@@ -1,6 +1,6 @@
 """Phrase counts and collocations by vertical partitioning of word suffixes.
 
-1. Texts are cut into pieces and words once. What is written is, for each language and some million words, the list
+1. Texts are cut into pieces and words once. What is written is, for each language and half a million words, the list
    of different words and their numbers in the order of the text (0 ends a piece).
 2. Vertical partitioning: occurrences of every word are counted. A prefix that begins more suffixes than `budget` is
    extended by one word, counted again and so on, until every prefix fits or has `max_words` words. Prefixes of a
@@ -16,7 +16,7 @@ Counts of at least `min_count` are kept: all parts of such a phrase are among th
 
 Defined results: null texts are empty and have no words; a null lang is the language `und`; repeated rows count
 as often as they are there; phrases never cross pieces or documents; an empty table gives no rows; a very long text is
-cut into stretches of some million words that overlap by a phrase. No other column is read, whatever its name. Ties in
+cut into stretches of half a million words that overlap by a phrase. No other column is read, whatever its name. Ties in
 score go to the larger count, then to the smaller phrase by UTF-8 bytes.
 """
 
@@ -35,7 +35,7 @@ from .common import limit_batches, materialise, pack_array, text_slices, unpack_
 
 #: The budget is never less than this share of all words, so that prefixes over it are few.
 MOST_GROUPS = 50_000
-_STRETCH = (1 << 20) - 16
+_STRETCH = (1 << 19) - 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Every mark that ends a piece becomes a full stop; A-Z become a-z.
 _MARKS = b".,;:!?\n\x0b\x0c\r"
@@ -97,7 +97,7 @@ class _Stretch:
         self.words = [b".", *words.split()]
         self.own = own
         # behind the end there are breaks
-        self.ids = np.append(unpack_array(ids, "<i4"), np.zeros(max_words, np.int32)).astype(np.int64)
+        self.ids = np.append(unpack_array(ids, "<i4"), np.zeros(max_words, np.int32))
         #: Of places that begin a word: those whose first k words (k = levels) are extended ones all, with the number of
         #: that prefix, and the word behind it.
         self.at = np.flatnonzero(self.ids[:own])
@@ -213,7 +213,7 @@ def _keys(columns: list[np.ndarray], size: int) -> list[np.ndarray]:
     fit = max(1, 62 // max(1, size).bit_length())
     keys = []
     for k in range(0, len(columns), fit):
-        key = columns[k]
+        key = columns[k].astype(np.int64)
         for c in columns[k + 1 : k + fit]:
             key = key * (size + 1) + c
         keys.append(key)
@@ -255,7 +255,7 @@ def _subtrees(max_words: int, min_count: int) -> Callable[[pa.Table], pa.Table]:
             number: dict[bytes, int] = {b"": 0}
             parts = []
             for words, packed in own:
-                local = np.array([0, *[number.setdefault(w, len(number)) for w in words.split()]], np.int64)
+                local = np.array([0, *[number.setdefault(w, len(number)) for w in words.split()]], np.int32)
                 columns = [unpack_array(c, "<i4") for c in packed]
                 parts.append([*[local[c] for c in columns[:max_words]], *columns[max_words:]])
             *suffixes, lengths, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -288,7 +288,7 @@ def _packed_groups(prefixes: list[tuple[str, bytes, int]], budget: int) -> dict[
     return groups
 
 
-def phrase_counts(docs: DataFrame, min_count: int = 100, max_words: int = 5, budget: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, min_count: int = 100, max_words: int = 5, budget: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) for every phrase of up to `max_words` words that is in the pieces of `docs` (lang, text, ...)
     `min_count` times or more, and (lang, n) with the number of all words."""
     limit_batches(docs.sparkSession)
@@ -326,7 +326,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 100, max_words: int = 5, bud
     return materialise(trees), sizes
 
 
-def mine_collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top: int = 2000, budget: int = 1 << 21) -> DataFrame:
+def mine_collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, top: int = 2000, budget: int = 1 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's `top` phrases of 2 to `max_words` words with a >= `min_count`
     occurrences, by the least score of their cuts. A cut's score is floor(1000 a n / (l r)) with the counts l and r of its
     parts and n words in all. A phrase inside a longer one that is as frequent is left out."""
