@@ -1,6 +1,8 @@
 """Tool-call linking: calls and results joined by identifier, put in topological order, checked and serialised.
 
-Calls are joined to results by the hash of (conv_id, call_id), unmatched rows of both sides kept. A call may depend
+Calls and results are dealt to partitions by the hash of (conv_id, call_id); in each, the results are a hash table that
+the calls look into, and unmatched rows of both sides are kept. An identifier has one row on each side by then, so no
+partition can be hot, and there are as many as keep the results of one at about `JOIN_BYTES`. A call may depend
 on others of its conversation; its level is 0 without such, else one above the highest level it depends on, and
 sorting by (level, position) is topological. Calls are cut into chunks of bounded size in the order of
 conversation and position, so that most conversations are whole in one; a task settles what it can of a chunk, and
@@ -13,7 +15,8 @@ letters than ASCII as they are.
 
 Defined results: rows with a null conv_id or call_id are left out; of repeated call or result ids in a
 conversation the one with the smallest position (then text) counts; dependencies on unknown ids are ignored
-for the order and reported; null or malformed arguments, numbers beyond a double or of over 4,300 digits and values
+for the order and reported; a null position is smaller than all others and stays null, its call or result
+is linked like any other; a schema with an unknown type is an error before any task runs; null or malformed arguments, numbers beyond a double or of over 4,300 digits and values
 nested deeper than 100 levels are errors, and `arguments` is null in the JSON; surrogates without their partner stay
 escaped (\\ud800); of repeated names in an object the last counts; very long arguments are no special case; empty
 tables give no rows; other columns are not read.
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Bytes of results in a partition of the join, and rows.
+JOIN_BYTES, _JOIN_ROWS = 16 << 20, 100_000
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
@@ -44,6 +49,18 @@ def _is(value: Any, kind: str) -> bool:
     return isinstance(value, _TYPES[kind])
 
 
+def check_schema(schema: dict[str, Any], at: str) -> None:
+    """Raises ValueError where a schema, or one inside it, names a type that JSON doesn't have."""
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in (*_TYPES, "integer", "number"):
+            raise ValueError(f"{at}: {kind!r} is no type")
+    for name, field in schema.get("properties", {}).items():
+        check_schema(field, f"{at}.{name}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def violations(value: Any, schema: dict[str, Any], path: str = "") -> list[str]:
     """What of `schema` doesn't hold, each with the path of the value it is about."""
     at = path or "arguments"
@@ -189,18 +206,24 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     """conv_id, call_id, position, level, status (linked, no_result, no_call), valid, errors (joined by "; ") and
     canonical (JSON) for each call of `calls` (conv_id, call_id, position, name, arguments, depends_on) and each
     result of `results` (conv_id, call_id, position, content) without one."""
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     calls = materialise(_first_of(calls, ["name", "arguments", "depends_on"]))
-    results = _first_of(results, ["content"]).select("conv_id", "call_id", F.col("position").alias("answered"), "content")
+    results = materialise(_first_of(results, ["content"]).select("conv_id", "call_id", F.col("position").alias("answered"), "content", F.lit(True).alias("replied")))
     levels = topological_levels(calls)
     lost = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
     ids = calls.select("conv_id", F.col("call_id").alias("needs"))
     lost = lost.join(ids, ["conv_id", "needs"], "left_anti").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("needs")).alias("lost"))
     ordered = calls.join(levels, ["conv_id", "call_id"]).join(lost, ["conv_id", "call_id"], "left")
-    linked = ordered.withColumn("called", F.lit(True)).join(results, ["conv_id", "call_id"], "full_outer")
+    size, count = results.agg(F.sum(F.octet_length("content")), F.count("*")).first()
+    partitions = max(1, math.ceil((size or 0) / JOIN_BYTES), math.ceil(count / _JOIN_ROWS))
+    keys = ["conv_id", "call_id"]
+    table = results.repartition(partitions, *keys).hint("shuffle_hash")
+    linked = ordered.withColumn("called", F.lit(True)).repartition(partitions, *keys).join(table, keys, "full_outer")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {name: batch.column(name).to_pylist() for name in ("call_id", "called", "answered", "name", "arguments", "content", "level", "lost")}
+            columns = {name: batch.column(name).to_pylist() for name in ("call_id", "called", "replied", "name", "arguments", "content", "level", "lost")}
             out: dict[str, list] = {"status": [], "valid": [], "errors": [], "canonical": []}
             for row in (dict(zip(columns, values, strict=True)) for values in zip(*columns.values(), strict=True)):
                 errors, arguments = [], None
@@ -215,7 +238,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                     errors += [f"depends_on: {x} is unknown" for x in row["lost"] or ()]
                     if row["level"] is None:
                         errors.append("depends_on: cycle")
-                out["status"].append("no_call" if not row["called"] else "linked" if row["answered"] is not None else "no_result")
+                out["status"].append("no_call" if not row["called"] else "linked" if row["replied"] else "no_result")
                 out["valid"].append(bool(row["called"]) and not errors)
                 out["errors"].append(_escaped("; ".join(errors)))
                 out["canonical"].append(canonical({"arguments": arguments, "call_id": row["call_id"], "name": row["name"], "result": row["content"]}))
