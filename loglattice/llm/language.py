@@ -16,7 +16,7 @@ Languages are parsed `PASS` at a time; where there are more, each pass hands its
 
 Defined results: null texts and texts without a letter, and all texts if nothing was learned, are `und` with
 score 0; a single language wins with score 1; documents without a language don't train; repeated rows are
-predicted one by one; other columns are not read.
+predicted one by one and learned from once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -234,15 +234,18 @@ class Parser:
 
 
 def sample(docs: DataFrame, fold: Column, max_docs: int = 24, max_chars: int = 40_000) -> dict[str, list[str]]:
-    """Texts of each language from the rows of `docs` (doc_id, text, lang) for which `fold` holds."""
-    known = docs.select("doc_id", "lang", F.length("text").alias("size")).where(F.col("lang").isNotNull() & fold & (F.col("size") > 0))
+    """Texts of each language from the rows of `docs` (doc_id, text, lang) for which `fold` holds: at most `max_docs` of a
+    language come to the driver, of repeated rows one."""
+    keyed = docs.where(F.col("lang").isNotNull() & fold & (F.length("text") > 0)).select("lang", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("own"), F.length("text").alias("size"), "text")
+    # repeated rows are learned from once
+    known = keyed.groupBy("lang", "order", "own", "size").agg(F.count("*").alias("rows"))
     long = F.when(F.col("size") > max_chars, F.col("size"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(long.asc_nulls_first(), F.xxhash64("doc_id"), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(long.asc_nulls_first(), "order", "own"))
     chosen = known.withColumn("rank", rank).where(F.col("rank") <= max_docs).where((F.col("rank") == 1) | (F.col("size") <= max_chars))
-    texts = docs.select("doc_id", "lang", "text", F.length("text").alias("size")).join(F.broadcast(chosen.select("doc_id", "lang", "size", "rank")), ["doc_id", "lang", "size"])
+    texts = keyed.join(F.broadcast(chosen.drop("rows")), ["lang", "order", "own", "size"]).groupBy("lang", "rank").agg(F.min("text").alias("text"), F.min("size").alias("size"))
     found: dict[str, list[str]] = {}
     room: dict[str, int] = {}
-    for row in sorted(texts.where(fold).collect(), key=lambda r: (r.lang, r.rank, r.text)):
+    for row in sorted(texts.collect(), key=lambda r: (r.lang, r.rank)):
         if row.lang not in found or row.size <= room[row.lang]:
             found.setdefault(row.lang, []).append(row.text)
             room[row.lang] = room.get(row.lang, max_chars) - row.size
