@@ -258,3 +258,41 @@ def test_levels_by_brute_force(spark, chunk_rows):
     got = toolcalls.topological_levels(spark.createDataFrame(rows, "conv_id long, call_id string, position int, depends_on array<string>"), chunk_rows).collect()
     assert {(r.conv_id, r.call_id): r.level for r in got} == levels and max(x for x in levels.values() if x is not None) >= 28
     assert sum(x is None for x in levels.values()) >= 16
+
+
+_CALLS = "conv_id long, call_id string, position int, name string, arguments string, depends_on array<string>"
+_RESULTS = "conv_id long, call_id string, position int, content string"
+
+
+def test_calls_without_a_position(spark):
+    calls = spark.createDataFrame([(1, "a", None, "t", "{}", None), (1, "b", 3, "t", "{}", ["a"]), (1, "b", None, "t", "[]", None)], _CALLS)
+    results = spark.createDataFrame([(1, "a", None, "one"), (1, "c", None, "alone"), (1, "b", 7, "two")], _RESULTS)
+    got = {r.call_id: r for r in toolcalls.link_tool_calls(calls, results, {"t": {"type": "object"}}).collect()}
+    assert {k: r.status for k, r in got.items()} == {"a": "linked", "b": "linked", "c": "no_call"}
+    assert {k: r.position for k, r in got.items()} == {"a": None, "b": 7, "c": None}
+    assert got["b"].errors == "arguments: not of type object" and json.loads(got["a"].canonical)["result"] == "one"
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"type": "object", "properties": {"a": {"type": ["string", "float"]}}}, {"type": "array", "items": {"type": "date"}}])
+def test_unknown_types_are_told_before_any_task(spark, schema):
+    with pytest.raises(ValueError, match="is no type"):
+        toolcalls.link_tool_calls(spark.createDataFrame([], _CALLS), spark.createDataFrame([], _RESULTS), {"t": schema})
+
+
+def test_calls_are_joined_by_hash(spark, monkeypatch):
+    """The results are cut into hash tables of bounded size, whatever the statistics say."""
+    monkeypatch.setattr(toolcalls, "JOIN_BYTES", 1000)
+    calls = spark.createDataFrame([(k, "a", 1, "t", "{}", None) for k in range(300)], _CALLS)
+    results = spark.createDataFrame([(k, "a", 2, "x" * 40) for k in range(100, 400)], _RESULTS)
+    linked = toolcalls.link_tool_calls(calls, results, {"t": {}})
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [conv_id" in plan and "hashpartitioning(conv_id" in plan and ", 12)" in plan
+    assert sorted((r.conv_id, r.status) for r in linked.collect()) == [(k, "no_result" if k < 100 else "linked" if k < 300 else "no_call") for k in range(400)]
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    rows = [*[(5, f"ein text der oft da ist {k % 3}", "de") for k in range(1000)], *[(k, f"un autre texte {k}", "fr") for k in range(60)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sample(docs, F.lit(True))
+    assert sorted(got["de"]) == [f"ein text der oft da ist {k}" for k in range(3)] and len(got["fr"]) == len(set(got["fr"])) == 24
+    assert language.identify(docs, got).count() == 1060

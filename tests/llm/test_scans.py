@@ -161,6 +161,25 @@ def test_packing(spark, ids, partition_items):
     assert packing.pack_documents(frame(spark, []), default_tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_exchanges_close_gaps(spark, seed):
+    """With the parameters of the query: partitions with a gap alone, none when their documents have met."""
+    random = np.random.default_rng(seed)
+    sizes = np.concatenate([random.integers(180, 400, 700), random.integers(500, 860, 150), [1024] * 5])
+    items = spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes)], "doc_id long, length long")
+    packed = packing.pack(items, 1024)
+    rows, told = packed.collect(), packing.certificate(packed, 1024).first()
+    assert sorted((r.doc_id, r.length) for r in rows) == [(k, n) for k, n in enumerate(sizes.tolist())]
+    assert told.bound == packing.lower_bound(sizes, 1024) and told.sequences == len({r.sequence_id for r in rows}) == told.bound + told.gap
+    first = {(r.partition_bins, r.partition_bound) for r in rows if r.round == 0}
+    assert any(bins > bound for bins, bound in first) and len({r.round for r in rows}) > 1
+    # fewer than the partitions of the first round needed each by itself
+    assert told.gap < sum(bins - bound for bins, bound in first) + len(first)
+    _, _, fill = packing.best_fit_decreasing(sizes, 1024)
+    assert told.sequences <= len(fill) + 1
+    assert packing.certificate(packed.limit(0), 1024).first().sequences == 0
+
+
 def test_bounds_never_pass_the_optimum():
     random = np.random.default_rng(5)
     for _ in range(200):
