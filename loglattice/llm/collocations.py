@@ -43,7 +43,7 @@ _LETTERS = bytes.maketrans(_MARKS + bytes(range(65, 91)), b"." * len(_MARKS) + b
 
 _ENCODED = "lang string, own int, n long, words binary, ids binary"
 _COUNTED = "lang string, phrase binary, f long"
-_SENT = "group long, lang string, words binary, columns array<binary>"
+_SENT = "group long, lang string, words binary, columns binary"
 _PHRASES = "lang string, phrase string, words int, f long"
 
 #: For each language and length the prefixes that are extended.
@@ -178,15 +178,20 @@ def _send(hot: Hot, placed: dict[tuple[str, bytes], int], hashed: int, max_words
             _place(group, suffixes, lengths, stretch.words, [p for w in stretch.words for p in by_word.get((lang, w), ())])
             order = np.argsort(group, kind="stable")
             edges = np.flatnonzero(np.diff(group[order], prepend=-1))
+            mark, new = np.zeros(len(stretch.words), bool), np.zeros(len(stretch.words), np.int32)
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
                 at = order[a:b]
-                used, inverse = np.unique(np.concatenate([s[at] for s in suffixes]), return_inverse=True)
-                if used[0]:
-                    used, inverse = np.append(0, used), inverse + 1
-                columns = [*inverse.astype("<i4").reshape(max_words, -1), lengths[at].astype("<i4"), counts[at].astype("<i4")]
+                own = [c[at] for c in suffixes]
+                mark[0] = True
+                for c in own:
+                    mark[c] = True
+                used = np.flatnonzero(mark)
+                mark[used] = False
+                new[used] = np.arange(len(used))
+                columns = np.stack([*[new[c] for c in own], lengths[at], counts[at]]).astype("<i4")
                 words = b" ".join([stretch.words[w] for w in used[1:].tolist()])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([group[at[0]]], pa.int64()), pa.array([lang]), pa.array([words], pa.binary()), pa.array([[pack_array(np.ascontiguousarray(c)) for c in columns]], pa.list_(pa.binary()))],
+                    [pa.array([group[at[0]]], pa.int64()), pa.array([lang]), pa.array([words], pa.binary()), pa.array([pack_array(columns.ravel())], pa.binary())],
                     ["group", "lang", "words", "columns"],
                 )
 
@@ -248,7 +253,7 @@ def _subtrees(max_words: int, min_count: int) -> Callable[[pa.Table], pa.Table]:
 
     def subtrees(part: pa.Table) -> pa.Table:
         found: list[tuple] = []
-        messages: dict[str, list[tuple[bytes, list[bytes]]]] = {}
+        messages: dict[str, list[tuple[bytes, bytes]]] = {}
         for lang, words, columns in zip(*(part.column(c).to_pylist() for c in ("lang", "words", "columns")), strict=True):
             messages.setdefault(lang, []).append((words, columns))
         for lang, own in messages.items():
@@ -256,7 +261,7 @@ def _subtrees(max_words: int, min_count: int) -> Callable[[pa.Table], pa.Table]:
             parts = []
             for words, packed in own:
                 local = np.array([0, *[number.setdefault(w, len(number)) for w in words.split()]], np.int32)
-                columns = [unpack_array(c, "<i4") for c in packed]
+                columns = unpack_array(packed, "<i4").reshape(max_words + 2, -1)
                 parts.append([*[local[c] for c in columns[:max_words]], *columns[max_words:]])
             *suffixes, lengths, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort(_keys(suffixes, len(number)))
