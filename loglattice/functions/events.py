@@ -79,14 +79,35 @@ def _json_pairs(line: Column) -> Column:
     fields = F.map_entries(F.get(whole, F.lit(0)))
 
     def text_of(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        plain = v.try_cast("string") if hasattr(v, "try_cast") else v.cast("string")
-        # numbers in plain decimal notation without trailing zeros
-        number = F.regexp_replace(F.format_string("%.17f", v.try_cast("double")), r"\.?0+\z", "")
-        return F.when(F.is_variant_null(v) | (kind == "VOID"), F.lit(None)).when(kind == "DOUBLE", number).otherwise(plain)
+        kind, plain = F.schema_of_variant(v), v.try_cast("string")
+        # of a fraction with more digits than a double has, a double's digits count
+        fraction = kind.startswith("DECIMAL") & (F.length(plain) > 16) & plain.contains(".")
+        return F.when(F.is_variant_null(v) | (kind == "VOID"), F.lit(None)).when((kind == "DOUBLE") | fraction, plain_number(v.try_cast("double"))).otherwise(plain)
 
     pairs = F.transform(fields, lambda e: F.struct(e["key"].alias("key"), text_of(e["value"]).alias("value")))
-    return F.when(F.size(whole) == 1, pairs)
+    # a number that no double can hold makes the line something else
+    beyond = F.exists(fields, lambda e: (F.schema_of_variant(e["value"]) == "DOUBLE") & (F.abs(e["value"].try_cast("double")) == float("inf")))
+    return F.when((F.size(whole) == 1) & ~beyond, pairs)
+
+
+def plain_number(x: Column) -> Column:
+    """The shortest decimal that is this double, without an exponent."""
+
+    def written(x: Column) -> Column:
+        # the fewest digits that are read as the same number
+        tries = F.array(*[F.format_string(f"%.{n}e", x) for n in range(17)])
+        return _bound(F.get(F.filter(tries, lambda t: t.cast("double") == x), F.lit(0)), placed)
+
+    def placed(text: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(text, "^-?([0-9.]+)e", 1), "[.]", "")
+        power = F.regexp_extract(text, "e([+-][0-9]+)", 1).cast("int")
+        zeros, size = F.repeat(F.lit("0"), F.abs(power - F.length(digits) + 1)), F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        inner = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
+        plain = F.when(power < 0, small).when(size <= power + 1, F.concat(digits, zeros)).otherwise(inner)
+        return F.when(text.startswith("-"), F.concat(F.lit("-"), plain)).otherwise(plain)
+
+    return _bound(x, written)
 
 
 def _assignment_pairs(line: Column) -> Column:

@@ -665,11 +665,20 @@ def o08_init_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.join(store.read_patterns(spark, path).agg(F.count("*").alias("n_patterns")))
 
 
-@query("o21_json_values", "SELECT event_id, concat(event_id, '.5') AS half, concat(event_id + 1, '000') AS big, 'false' AS flag, '1.0' AS quoted, concat('[', event_id, ',\"x\"]') AS list FROM events")
+# Of every event a number of each kind, and the plain digits that it has; exponents from -324 to 300.
+_TINY, _HUGE = "event_id % 300 + 1", "event_id % 290 + 10"
+
+
+@query("o21_json_values", f"""
+    SELECT event_id, concat(event_id, '.5') AS half, concat(event_id + 1, '000') AS big, 'false' AS flag, '1.0' AS quoted, concat('[', event_id, ',"x"]') AS list,
+        concat('-0.', repeat('0', CAST({_TINY} - 1 AS INTEGER)), 125 + event_id % 5 * 2) AS tiny, concat(12 + event_id % 7 * 10, '3', repeat('0', CAST({_HUGE} - 2 AS INTEGER))) AS huge,
+        concat('0.', repeat('0', 323), '5') AS least, concat('1', repeat('0', 300)) AS most, concat('2', repeat('0', 23)) AS rounded, '0.12345678901234568' AS fraction FROM events
+""")
 def o21_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = """concat('{"half":', event_id, '.50,"big":', event_id + 1, 'e3,"flag":false,"quoted":"1.0","list":[', event_id, ', "x"]}')"""
+    line = f"""concat('{{"half":', event_id, '.50,"big":', event_id + 1, 'e3,"flag":false,"quoted":"1.0","list":[', event_id, ', "x"],"tiny":-', 125 + event_id % 5 * 2, 'e-', {_TINY} + 2,
+        ',"huge":', (12 + event_id % 7 * 10) * 10 + 3, 'e', {_HUGE} - 2, ',"least":5e-324,"most":1e300,"rounded":2e23,"fraction":0.12345678901234567890123}}')"""
     parsed = events.parse_events(_from_events(spark, sf_dir, line))
-    return parsed.select("event_id", *[F.col("attrs")[k].alias(k) for k in ("half", "big", "flag", "quoted", "list")])
+    return parsed.select("event_id", *[F.col("attrs")[k].alias(k) for k in ("half", "big", "flag", "quoted", "list", "tiny", "huge", "least", "most", "rounded", "fraction")])
 
 
 @query("o22_assignments", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'logfmt' WHEN 1 THEN 'key_value' ELSE 'plain_text' END AS source_format, CASE WHEN event_id % 3 < 2 THEN CAST(event_id AS VARCHAR) END AS k, CASE WHEN event_id % 3 = 0 THEN concat('a \"', event_type) END AS q FROM events")

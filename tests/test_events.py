@@ -1,8 +1,11 @@
+import random
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from loglattice.functions import events
+from loglattice.functions.events import parse_events, plain_number
 
 CASES = [
     ('{"ts":"2024-01-05T10:00:00Z","level":"ERROR","f":1.0,"e":1e3,"q":"1.0","b":true,"x":null,"o":{"b":1,"a":[1,2]},"a":1,"a":2}', "json", "2024-01-05 10:00:00",
@@ -73,3 +76,18 @@ def test_columns_of_the_same_names(spark):
         got = events.ingest_lines(df, parser)
         assert len(set(got.columns)) == len(got.columns)
         assert (got.first().ts, got.first().source_format, got.first().labels) == (None, "old", {} if parser is None else {"n": "24"})
+
+
+def test_numbers_in_plain_decimals(spark):
+    random.seed(3)
+    numbers = [0.0, 1e-20, 1.5e-18, 5e-324, 2.2250738585072014e-308, 1e300, 1.7976931348623157e308, 2e23, 1e23, 9007199254740993.0, 0.1, -2.5e-7, 123456.789, 1e15, 1e16, 1e21]
+    numbers += [random.choice([-1, 1]) * random.random() * 10.0 ** random.randint(-300, 300) for _ in range(300)]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(numbers)], "k int, x double").select("k", plain_number(F.col("x")).alias("text")).collect()
+    for r in got:
+        assert r.text == (format(Decimal(repr(numbers[r.k])), "f").removesuffix(".0") if numbers[r.k] else "0"), numbers[r.k]
+
+
+def test_numbers_beyond_doubles(spark):
+    lines = ['{"n":1e400,"a":"b"}', '{"n":1e-400}', '{"n":123456789012345678901234567890}', '{"n":-7}']
+    got = [(r.source_format, r.attrs.get("n")) for r in parse_events(spark.createDataFrame([(x,) for x in lines], "content string")).collect()]
+    assert got == [("plain_text", None), ("json", "0"), ("json", "123456789012345678901234567890"), ("json", "-7")]
