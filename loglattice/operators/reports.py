@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loglattice.sources import versions
+
 # Fixed value: what makes an error.
 ERROR_PATTERN = "(?i)(error|warn|fatal|panic|exception|failed|timeout)"
 ORDER = ("file_name", "start_line")
@@ -148,15 +150,20 @@ def report_lines(matched: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def write_reports(matched: DataFrame, labelled: DataFrame, path: str, workspace: str) -> None:
     """Report texts, one folder for each (report, dir_name), in place of those of an earlier run of the workspace. A long
-    report is cut into several files, in the order of their names: rows are ranged by their place, not by report."""
+    report is cut into several files, in the order of their names: rows are ranged by their place, not by report.
+    The new reports take the place of the old ones at once, when they are whole."""
     order = ["report", "dir_name", *_FILE_ORDER]
-    rows = report_lines(matched, labelled).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.select("report", "dir_name", "value").write.mode("overwrite").partitionBy("report", "dir_name").text(f"{path}/workspace={workspace}")
+
+    def write(last: str | None, staging: str) -> None:
+        rows = report_lines(matched, labelled).repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.select("report", "dir_name", "value").write.partitionBy("report", "dir_name").text(staging)
+
+    versions.commit(matched.sparkSession, f"{path}/workspace={workspace}", write, keep=1)
 
 
 def read_reports(spark: SparkSession, path: str, workspace: str) -> DataFrame:
     """The lines of written reports: report, dir_name, file (in the order of a report's files), place (in a file), value."""
-    back = spark.read.text(f"{path}/workspace={workspace}")
+    back = spark.read.text(versions.latest(spark, f"{path}/workspace={workspace}"))
     return back.select("report", "dir_name", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"), "value")
 
 

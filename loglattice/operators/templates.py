@@ -40,18 +40,61 @@ def shapes(df: DataFrame, depth: int = 30, delimiters: str = "|=,") -> DataFrame
     return _by_path(_with_path(df, depth, delimiters))
 
 
-def _by_path(tokens: DataFrame) -> DataFrame:
+def _by_path(tokens: DataFrame, lines: Column | None = None) -> DataFrame:
+    """Rows of one n and path as one shape; `lines` is how many lines a row stands for."""
+    lines = F.lit(1) if lines is None else lines
     # place 0 stands for the line itself; else only places that can differ within a shape: wildcards of the path
     # and what is beyond it
     open_at = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: (i == 0) | (i > F.size("path")) | (F.get("path", i - 1) == WILDCARD))
-    opened = tokens.select("n", "path", F.explode(F.transform(open_at, lambda i: F.struct(i.alias("at"), F.get("tokens", i - 1).alias("token")))).alias("x"))
-    same = opened.groupBy("n", "path", "x.at").agg(F.min("x.token").alias("low"), F.max("x.token").alias("high"), F.count("*").alias("lines"))
+    opened = tokens.select("n", "path", lines.cast("long").alias("lines"), F.explode(F.transform(open_at, lambda i: F.struct(i.alias("at"), F.get("tokens", i - 1).alias("token")))).alias("x"))
+    same = opened.groupBy("n", "path", "x.at").agg(F.min("x.token").alias("low"), F.max("x.token").alias("high"), F.sum("lines").alias("lines"))
     spot = F.struct("at", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILDCARD).alias("token"))
     filled = same.groupBy("n", "path").agg(F.max(F.when(F.col("at") == 0, F.col("lines"))).alias("count"), F.map_from_entries(F.collect_list(F.when(F.col("at") > 0, spot))).alias("spots"))
     template = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.coalesce(F.element_at("spots", i), F.get("path", i - 1)))
     return filled.select("n", "path", template.alias("tokens"), "count")
 
 
+SHAPES = "n int, path array<string>, tokens array<string>, count long"
+
+
+def line_shapes(df: DataFrame, delimiters: str = "|=,") -> DataFrame:
+    """The finest shapes of lines (content): all tokens but the last are the path. Every other shape is made of whole ones
+    of these, so they are all that is ever needed of lines that were read."""
+    return _by_path(_with_path(df, 1 << 30, delimiters))
+
+
+def merge_shapes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The shapes of the lines of both: counts are added, places that differ are wildcards. The order and the cut of the
+    lines make no difference."""
+    both = one.unionByName(two)
+    return _by_path(both, F.col("count"))
+
+
+def _at_depth(fine: DataFrame, depth: int) -> DataFrame:
+    """The shapes of a depth from the finest ones."""
+    return _by_path(fine.withColumn("path", F.slice("path", F.lit(1), _depth(depth, F.col("n")))), F.col("count"))
+
+
+def discover_from_shapes(
+    fine: DataFrame, sim_th: float = 0.4, depth: int = 30, absorb: bool = True, min_count: int = 2, max_children: int = 100
+) -> DataFrame:
+    """The templates that discover_templates finds in the lines that `fine` (line_shapes, merged) is made of."""
+    found = materialise(_at_depth(fine, depth))
+    kept = []
+    while True:
+        low = materialise(found.where(_unlike(sim_th) & (F.size("path") < F.col("n") - 1)).select("n", "path"))
+        if low.isEmpty():
+            break
+        kept.append(found.join(low, ["n", "path"], "left_anti").select(*found.columns))
+        cut = fine.withColumn("fine", F.col("path")).withColumn("path", F.slice("path", F.lit(1), _depth(depth, F.col("n"))))
+        fine = materialise(cut.join(low, ["n", "path"], "left_semi").select("n", F.col("fine").alias("path"), "tokens", "count"))
+        depth *= 2
+        found = materialise(_at_depth(fine, depth))
+    for part in kept:
+        found = found.unionByName(part)
+    return _templates(_narrowed(found, max_children), sim_th, absorb, min_count)
+
+
 def _unlike(sim_th: float) -> Column:
     return F.size(F.filter("tokens", lambda t: t != WILDCARD)) < sim_th * F.col("n")
 
@@ -129,7 +172,10 @@ def discover_templates(
 ) -> DataFrame:
     """Templates of lines (content): pattern_id (a hash of the template), raw_pattern, tokens, n, count, low_similarity.
     Those of fewer than min_count lines are left out; min_count 1 keeps all."""
-    found = _narrowed(_told_apart(df.select("content"), sim_th, depth, delimiters), max_children)
+    return _templates(_narrowed(_told_apart(df.select("content"), sim_th, depth, delimiters), max_children), sim_th, absorb, min_count)
+
+
+def _templates(found: DataFrame, sim_th: float, absorb: bool, min_count: int) -> DataFrame:
     found = found.groupBy("n", "tokens").agg(F.sum("count").alias("count"))
     if absorb:
         found = _absorbed(found, sim_th)

@@ -25,6 +25,7 @@ from loglattice.sources import store
 from loglattice.sources.logs import list_inputs, read_fixtures, read_ground_truth, read_logs
 from loglattice.sources.tail import tail_logs
 from loglattice.streaming.multiline import stream_merge_multiline
+from loglattice.streaming.templates import feed_stream
 
 _LINE = """
     CASE event_id % 5
@@ -408,6 +409,20 @@ def o32_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pattern_id", "raw_pattern", F.col("n").cast("long").alias("n"), "count")
 
 
+@query("o32_feed", _SQL_TOKENS + " SELECT pattern_id, raw_pattern, n, count FROM templates")
+def o32_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines fed in three parts, the last one as micro-batches of a stream: the templates of all of them."""
+    path = f"{shared_dir(spark)}/shapes-{uuid.uuid4().hex}"
+    lines, third = materialise(event_lines(spark, sf_dir).select("line_no", "content")), F.col("line_no") % 3
+    for part in (0, 1):
+        store.feed_lines(spark, path, lines.where(third == part))
+    lines.where(third == 2).repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    feed_stream(stream, path, f"{path}/state", availableNow=True).awaitTermination()
+    found = templates.discover_from_shapes(store.read_shapes(spark, path), absorb=False)
+    return found.select("pattern_id", "raw_pattern", F.col("n").cast("long").alias("n"), "count")
+
+
 @query("o32_discover_absorbed", _SQL_TOKENS + """,
     s AS (SELECT n, raw_pattern, c, string_split(raw_pattern, ' ') AS x FROM found),
     pairs AS (SELECT a.n, a.raw_pattern, b.raw_pattern AS wide, len(list_filter(b.x, lambda z: z <> '<*>')) AS shared FROM s a JOIN s b ON a.n = b.n AND a.raw_pattern <> b.raw_pattern

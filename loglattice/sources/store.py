@@ -1,15 +1,20 @@
 """The stored tables: log entries (append) and patterns (upsert), as Parquet under one folder.
 
 Entries are stored by day, and their pattern is a column too, so a search reads the days it asks for and the scan
-filters by pattern. The patterns are kept in versions, patterns/v0, v1 and so on; the last one that was written to its end counts, so an
-upsert that is broken off leaves the version before it in place."""
+filters by pattern. Patterns, the next free id and the shapes of lines fed to template discovery are kept in versions
+(see versions.py): an upsert that is broken off leaves the version before it, and writers at once lose nothing."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loglattice.operators import templates
+from loglattice.sources import versions
+
 ENTRIES = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("line_number", T.LongType()),
@@ -24,27 +29,20 @@ PATTERN_COLUMNS = ("pattern_id", "pattern_type", "raw_pattern", "semantic_id", "
 PATTERNS = T.StructType([T.StructField(c, T.StringType()) for c in PATTERN_COLUMNS])
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The whole versions of the patterns, in order."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/patterns")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [x.getPath() for x in files.listStatus(folder)]
-    whole = [x.getName()[1:] for x in found if files.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return sorted(int(v) for v in whole if v.isdigit())
-
-
 def _patterns(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PATTERNS).parquet(f"{path}/patterns/v{_versions(spark, path)[-1]}")
+    return spark.read.schema(PATTERNS).parquet(versions.latest(spark, f"{path}/patterns"))
 
 
 def init_tables(spark: SparkSession, path: str) -> None:
     """Makes both tables where they are missing; what is there stays."""
-    spark.createDataFrame([], ENTRIES).write.mode("append").parquet(f"{path}/log_entries")
-    if not _versions(spark, path):
-        spark.createDataFrame([], PATTERNS).write.mode("overwrite").parquet(f"{path}/patterns/v0")
+    if not versions.exists(spark, f"{path}/log_entries"):
+        spark.createDataFrame([], ENTRIES).write.mode("append").parquet(f"{path}/log_entries")
+
+    def empty(last: str | None, staging: str) -> None:
+        if last is None:
+            spark.createDataFrame([], PATTERNS).write.parquet(staging)
+
+    versions.commit(spark, f"{path}/patterns", empty)
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -61,15 +59,31 @@ def with_ids(rows: DataFrame, first: int) -> DataFrame:
     return held.join(starts, "__part").withColumn("id", F.col("__mid") - F.col("low") + F.col("before") + first).drop("__part", "__mid", "low", "before")
 
 
+def _reserved(spark: SparkSession, path: str, count: int) -> int:
+    """The first of `count` ids that no other writer gets."""
+    first = 0
+
+    def take(last: str | None, staging: str) -> str:
+        nonlocal first
+        first = int(versions.note_of(spark, last)) if last else (read_entries(spark, path).agg(F.max("id")).first()[0] or 0) + 1
+        return str(first + count)
+
+    versions.commit(spark, f"{path}/ids", take)
+    return first
+
+
 def append_logs(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Appends entries (line_number, end_line_number, timestamp, raw, labels), one or many; ids go on from the greatest.
-    `rows` must give the same rows each time it is read, as a table does."""
-    highest = read_entries(spark, path).agg(F.max("id")).first()[0] or 0
+    """Appends entries (line_number, end_line_number, timestamp, raw, labels), one or many. Their ids are reserved first, as
+    one range, and follow those reserved before; an append that fails leaves a gap. `rows` must give the same rows each
+    time it is read, as a table does."""
+    first = _reserved(spark, path, rows.count())
     labels = F.coalesce("labels", F.create_map().cast("map<string,string>"))
-    named = with_ids(rows, highest + 1).select(*[labels.alias("labels") if f.name == "labels" else F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRIES])
+    named = with_ids(rows, first).select(*[labels.alias("labels") if f.name == "labels" else F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRIES])
     stored = named.withColumn("pattern", F.col("labels")["pattern"]).withColumn("day", F.to_date("timestamp"))
-    # each file holds few days and patterns
-    stored.repartitionByRange("day", "pattern", "id").write.mode("append").partitionBy("day").parquet(f"{path}/log_entries")
+    # each file holds few days and patterns; jobs that write into one folder would clear each other's files
+    staging = f"{path}/log_entries/_staging-{uuid.uuid4().hex}"
+    stored.repartitionByRange("day", "pattern", "id").write.partitionBy("day").parquet(staging)
+    versions.move_files(spark, staging, f"{path}/log_entries")
 
 
 def upserted(patterns: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
@@ -80,13 +94,33 @@ def upserted(patterns: DataFrame, batch: DataFrame, order_col: str) -> DataFrame
 
 
 def upsert_patterns(spark: SparkSession, path: str, batch: DataFrame, order_col: str) -> None:
-    """Writes the merged table as the next version; all but the last two go."""
-    versions = _versions(spark, path)
-    upserted(_patterns(spark, path), batch, order_col).write.mode("overwrite").parquet(f"{path}/patterns/v{versions[-1] + 1}")
-    jvm = spark.sparkContext._jvm
-    for old in versions[:-1]:
-        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/patterns/v{old}")
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    """Writes the merged table as the next version. Where another writer was first, the batch goes over its version."""
+
+    def merge(last: str | None, staging: str) -> None:
+        upserted(spark.read.schema(PATTERNS).parquet(last), batch, order_col).write.parquet(staging)
+
+    versions.commit(spark, f"{path}/patterns", merge)
+
+
+def feed_lines(spark: SparkSession, path: str, lines: DataFrame, batch_id: int | None = None, delimiters: str = "|=,") -> None:
+    """Adds lines (content) to the shapes kept under `path`; only these lines are read. A micro-batch that is fed again
+    (`batch_id` not above the last one) changes nothing."""
+
+    def merge(last: str | None, staging: str) -> str | None:
+        before = versions.note_of(spark, last) if last else ""
+        if batch_id is not None and before and int(before) >= batch_id:
+            return None
+        fresh = templates.line_shapes(lines, delimiters)
+        merged = templates.merge_shapes(spark.read.schema(templates.SHAPES).parquet(last), fresh) if last else fresh
+        merged.write.parquet(staging)
+        return before if batch_id is None else str(batch_id)
+
+    versions.commit(spark, f"{path}/shapes", merge)
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """The shapes of all lines fed so far, for discover_from_shapes."""
+    return spark.read.schema(templates.SHAPES).parquet(versions.latest(spark, f"{path}/shapes"))
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
