@@ -7,13 +7,18 @@ their shapes are similar enough or all tokens are used. Where more than a bounde
 leading ones, that position is a wildcard. A shape that another one covers, by wildcards in place of literals,
 joins it if they share enough tokens.
 
-Matching turns "same number of tokens, each equal or a wildcard" into an equi join: templates with wildcards at
-the same positions share a mask, and a line matches one of them if its other tokens, as one key, are the
-template's.
+Matching looks lines up in an index of templates by a rare literal each. Beyond a bounded number of templates, and for
+shapes that cover others, "same number of tokens, each equal or a wildcard" is an equi join: templates with wildcards
+at the same positions share a mask, and a line matches one of them if its other tokens, as one key, are the template's.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,30 +188,87 @@ def _templates(found: DataFrame, sim_th: float, absorb: bool, min_count: int) ->
     return found.where(F.col("count") >= min_count).select(F.sha2(text, 256).alias("pattern_id"), text.alias("raw_pattern"), "tokens", "n", "count", _unlike(sim_th).alias("low_similarity"))
 
 
+#: Templates, and characters of them, that every task may hold; where there are more, lines and templates are joined.
+INDEX_TEMPLATES, INDEX_CHARS = 200_000, 32_000_000
+
+
+class TemplateIndex:
+    """Templates by the literal of theirs (position and token) that the fewest of their length have. A line looks its own
+    tokens up and compares what it finds, so its tries do not grow with the number of templates or of masks."""
+
+    def __init__(self, templates: list[tuple[list[str], Any]]):
+        """`templates` (tokens, what to give back) in the order in which they are preferred."""
+        seen = Counter((len(tokens), k, t) for tokens, _ in templates for k, t in enumerate(tokens) if t != WILDCARD)
+        self.anchored: dict[int, dict[int, dict[str, list]]] = {}
+        self.open: dict[int, list] = {}
+        for rank, (tokens, value) in enumerate(templates):
+            n, literals = len(tokens), [(k, t) for k, t in enumerate(tokens) if t != WILDCARD]
+            if not literals:
+                self.open.setdefault(n, []).append((rank, [], value))
+                continue
+            at, token = min(literals, key=lambda x: seen[n, *x])
+            self.anchored.setdefault(n, {}).setdefault(at, {}).setdefault(token, []).append((rank, literals, value))
+
+    def covering(self, tokens: list[str]) -> Iterator[tuple[int, Any]]:
+        """Rank and value of every template that covers the line, each anchor's in order."""
+        for at, held in self.anchored.get(len(tokens), {}).items():
+            for rank, literals, value in held.get(tokens[at], ()):
+                if all(tokens[k] == t for k, t in literals):
+                    yield rank, value
+        for rank, _, value in self.open.get(len(tokens), ()):
+            yield rank, value
+
+    def first(self, tokens: list[str]) -> Any:
+        return min(self.covering(tokens), default=(0, None), key=lambda x: x[0])[1]
+
+
 def match_templates(df: DataFrame, templates: DataFrame, keys: list[str], mode: str = "first", order_col: str | None = None, delimiters: str = "|=,") -> DataFrame:
     """Lines (content, and `keys` that name each line) with pattern_id and raw_pattern, null where none matches.
 
     mode "first": one template a line, the first by `order_col` of `templates`, or else the one with the most
-    literal tokens, ties by text. mode "all": a row for every template that matches; other lines are left out.
+    literal tokens, ties by text. mode "all": a row for every template that matches; other lines are left out, and of
+    their columns only `keys` and content come.
 
-    A line meets the masks of its number of tokens, which Spark broadcasts while they are few, and the templates by
-    an equi join; its tries are combined before they leave the task, so its text moves once."""
+    While templates are few enough for an index in every task (by a check of their number and size), lines are not
+    moved at all. Beyond that they are joined to the templates, by keys, masks and tokens."""
     tokens = F.split("raw_pattern", " ", -1)
-    ready = _keyed(templates.withColumn("tokens", tokens).withColumn("n", F.size("tokens")))
-    literals = F.size("tokens") - F.size("mask")
+    ready = templates.withColumn("tokens", tokens).withColumn("n", F.size("tokens"))
+    literals = F.size(F.filter("tokens", lambda t: t != WILDCARD))
     rank = F.struct(F.col(order_col).alias("rank"), "raw_pattern") if order_col else F.struct((-literals).alias("rank"), "raw_pattern")
-    chosen = ready.select("n", "tokens", "mask", "key", "pattern_id", "raw_pattern", rank.alias("rank"))
+    chosen = ready.select("n", "tokens", "pattern_id", "raw_pattern", rank.alias("rank"))
+    count, size = chosen.agg(F.count("*"), F.sum(F.length("raw_pattern"))).first()
+    if count > INDEX_TEMPLATES or (size or 0) > INDEX_CHARS:
+        return _matched_by_joins(df, _keyed(chosen), keys, mode, delimiters)
+    index = TemplateIndex([(r.tokens, (r.pattern_id, r.raw_pattern)) for r in chosen.orderBy("rank", "pattern_id").collect()])
+    shared = df.sparkSession.sparkContext.broadcast(index)
+    columns = [*keys, "content"] if mode == "all" else df.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    lines = df.select(row, template_tokens(F.col("content"), delimiters).alias("tokens"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            held = [t or [] for t in batch.column("tokens").to_pylist()]
+            rows = batch.column("row")
+            if mode == "all":
+                pairs = [(k, value) for k, t in enumerate(held) for _, value in index.covering(t)]
+                rows, found = rows.take(pa.array([k for k, _ in pairs], pa.int64())), [value for _, value in pairs]
+            else:
+                found = [index.first(t) or (None, None) for t in held]
+            yield pa.RecordBatch.from_arrays([rows, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["row", "pattern_id", "raw_pattern"])
+
+    matched = lines.mapInArrow(match, f"row {lines.schema['row'].dataType.simpleString()}, pattern_id string, raw_pattern string")
+    return matched.select("row.*", "pattern_id", "raw_pattern")
+
+
+def _matched_by_joins(df: DataFrame, chosen: DataFrame, keys: list[str], mode: str, delimiters: str) -> DataFrame:
+    """A line meets the masks of its number of tokens, and the templates by an equi join; its best try is found on keys
+    alone and then joined to the line."""
+    found = _covering(with_tokens(df.select(*keys, "content"), delimiters), chosen)
     if mode == "all":
-        found = _covering(with_tokens(df.select(*keys, "content"), delimiters), chosen)
         return found.select(*keys, "content", "pattern_id", "raw_pattern")
-    masks = chosen.groupBy("n").agg(F.collect_set("mask").alias("masks"))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    lines = df.select(*[F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keys)], row, template_tokens(F.col("content"), delimiters).alias("tokens"))
-    named = [f"__{i}" for i in range(len(keys))]
-    tried = lines.withColumn("n", F.size("tokens")).join(masks, "n", "left").select(*named, "row", "n", F.explode_outer(F.transform("masks", lambda m: F.struct(m.alias("mask"), _key(F.col("tokens"), m).alias("key")))).alias("try"))
-    found = tried.select(*named, "row", "n", "try.*").join(chosen.drop("tokens"), ["n", "mask", "key"], "left")
-    best = found.groupBy(*named).agg(F.first("row").alias("row"), F.min_by(F.struct("pattern_id", "raw_pattern"), "rank").alias("best"))
-    return best.select("row.*", "best.pattern_id", "best.raw_pattern")
+    best = found.groupBy(*keys).agg(F.min(F.struct("rank", "pattern_id", "raw_pattern")).alias("best"))
+    return df.join(best.select(*keys, "best.pattern_id", "best.raw_pattern"), keys, "left").select(*[F.col(f"`{c}`") for c in df.columns], "pattern_id", "raw_pattern")
 
 
 def with_labels(matched: DataFrame) -> DataFrame:
@@ -216,9 +278,12 @@ def with_labels(matched: DataFrame) -> DataFrame:
 
 
 def template_samples(df: DataFrame, templates: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """The first k lines, in the order of `keys`, of each template on its own: pattern_id, raw_pattern, rank, content."""
+    """The first k lines, in the order of `keys`, of each template on its own: pattern_id, raw_pattern, rank, content. Lines
+    are ranked by their keys, first within each task; only those that are left are joined to their texts."""
     rank = F.row_number().over(Window.partitionBy("pattern_id").orderBy(*keys))
-    return match_templates(df, templates, keys, mode="all").withColumn("rank", rank).where(F.col("rank") <= k)
+    named = match_templates(df, templates, keys, mode="all").select(*keys, "pattern_id", "raw_pattern")
+    chosen = named.withColumn("rank", rank).where(F.col("rank") <= k)
+    return df.select(*keys, "content").join(chosen, keys).select("pattern_id", "raw_pattern", "rank", "content")
 
 
 def template_quality(entries: DataFrame, templates: DataFrame) -> DataFrame:

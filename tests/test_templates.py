@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pytest
 from loglattice.operators import labels, reports, search, templates
 from loglattice.plans import workspace
 from loglattice.sources import logs, store
@@ -128,3 +132,52 @@ def test_stream_of_files(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("file_name", "line_no", "content").collect())
     assert got == [("a.log", 1, "2024-03-28 13:45:30 one"), ("a.log", 2, "  more"), ("a.log", 3, ""), ("a.log", 4, "2024-03-28 13:45:31 two  "), ("b.log", 1, "x")]
     assert got == sorted(tuple(r) for r in logs.read_logs(spark, str(tmp_path / "in")).collect())
+
+
+def _many(seed, n):
+    random.seed(seed)
+    words = [f"w{k}" for k in range(60)]
+    made = {" ".join(random.choice([templates.WILDCARD, random.choice(words)]) for _ in range(random.randint(1, 7))) for _ in range(n)}
+    texts = [" ".join(random.choice(words) for _ in range(random.randint(1, 8))) for _ in range(150)] + ["", "w1"]
+    return sorted(made), texts
+
+
+@pytest.mark.parametrize("by_joins", [False, True])
+@pytest.mark.parametrize("mode", ["first", "all"])
+def test_many_templates_by_brute_force(spark, monkeypatch, by_joins, mode):
+    if by_joins:
+        monkeypatch.setattr(templates, "INDEX_TEMPLATES", 0)
+    made, texts = _many(4, 900)
+    covers = lambda p, t: len(p) == len(t) and all(a in (templates.WILDCARD, b) for a, b in zip(p, t, strict=True))
+    want = Counter()
+    for k, text in enumerate(texts):
+        found = sorted((p for p in made if covers(p.split(" "), text.split(" "))), key=lambda p: (-sum(x != templates.WILDCARD for x in p.split(" ")), p))
+        want.update((k, p) for p in (found if mode == "all" else [found[0] if found else None]))
+    df = spark.createDataFrame([("f", k, x, 1) for k, x in enumerate(texts)], "file_name string, start_line long, content string, rank int").repartition(3)
+    given = spark.createDataFrame([(f"id {p}", p) for p in made], "pattern_id string, raw_pattern string")
+    matched = templates.match_templates(df, given, workspace.KEYS, mode=mode)
+    assert Counter((r.start_line, r.raw_pattern) for r in matched.collect()) == want
+    if mode == "first":
+        assert matched.columns == [*df.columns, "pattern_id", "raw_pattern"]
+        samples = templates.template_samples(df, given, workspace.KEYS, k=2).collect()
+        of = {}
+        for k, text in enumerate(texts):
+            for p in made:
+                if covers(p.split(" "), text.split(" ")):
+                    of.setdefault(p, []).append((text, len(of.get(p, [])) + 1))
+        assert sorted((r.raw_pattern, r.content, r["rank"]) for r in samples) == sorted((p, *x) for p, held in of.items() for x in held[:2])
+
+
+def test_lines_are_not_moved_to_be_matched(spark):
+    df = lines(spark, TEXTS)
+    matched = templates.match_templates(df, templates.discover_templates(df), workspace.KEYS)
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "MapInArrow" in plan
+
+
+def test_tries_do_not_grow_with_templates():
+    """10,000 templates: a line compares few of them."""
+    made = [["job", f"k{k}", templates.WILDCARD, "in", f"zone{k % 7}"] for k in range(10_000)]
+    index = templates.TemplateIndex([(t, k) for k, t in enumerate(made)])
+    assert [len(held) for held in index.anchored[5].values()] == [10_000] and all(len(x) == 1 for x in index.anchored[5][1].values())
+    assert index.first(["job", "k77", "x", "in", "zone0"]) == 77 and index.first(["job", "k77", "x", "in", "zone1"]) is None
