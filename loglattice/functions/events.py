@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,3 +246,68 @@ def _outcome(parser: Callable[[str], dict | None], raw: str) -> dict:
     except Exception as e:  # whatever a user's parser raises, the line is kept
         return nothing | {"parse_error": f"{type(e).__name__}: {e}"}
     return nothing | {k: v for k, v in got.items() if k in ("ts", "attrs", "inferred", "labels") and v is not None}
+
+
+_OUTCOME_FIELDS = {
+    "ts": pa.timestamp("us", tz="UTC"), "attrs": pa.map_(pa.string(), pa.string()), "inferred": pa.struct([("pattern", pa.string()), ("entity", pa.string())]), "labels": pa.map_(pa.string(), pa.string()),
+}
+
+
+def ingest_batches(df: DataFrame, parser: Callable[[pa.Array], dict[str, pa.Array]]) -> DataFrame:
+    """ingest_lines with a parser for Arrow batches: it gets an array of lines and returns arrays of ts, attrs, inferred or
+    labels (any of them), one value a line. If it raises, the batch is halved, until only the lines that it
+    can't parse are left; these have the error as parse_error and nothing else."""
+    kept = [c for c in df.columns if c not in ("ts", "text", "attrs", "inferred", "labels", "parse_error")]
+    rows = df.select(*[F.col(f"`{c}`") for c in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, size, got, error in _parsed_parts(parser, batch.column("content"), 0, batch.num_rows):
+                part = batch.slice(begin, size)
+                none = {"attrs": pa.array([[]] * size, _OUTCOME_FIELDS["attrs"]), "inferred": pa.array([{}] * size, _OUTCOME_FIELDS["inferred"]), "labels": pa.array([[]] * size, _OUTCOME_FIELDS["labels"])}
+                columns = [_filled(got.get(name), none.get(name, pa.nulls(size, kind)), kind) for name, kind in _OUTCOME_FIELDS.items()]
+                out = [*part.columns, columns[0], part.column("content"), *columns[1:], pa.array([error] * size, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, [*kept, "ts", "text", "attrs", "inferred", "labels", "parse_error"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    out = rows.mapInArrow(run, f"{schema}, {OUTCOME}")
+    return out.withColumn("line_number", F.col("line_no")).withColumn("end_line_number", F.col("line_no")).withColumn("raw", F.col("content"))
+
+
+def _filled(given: pa.Array | None, default: pa.Array, kind: pa.DataType) -> pa.Array:
+    """What a parser gave, with the default where it gave null."""
+    if given is None:
+        return default
+    given = given.cast(kind)
+    if not given.null_count or default.null_count:
+        return given
+    return pa.concat_arrays([given, default]).take(pa.array([k if ok else len(given) + k for k, ok in enumerate(given.is_valid().to_pylist())], pa.int64()))
+
+
+def _parsed_parts(parser: Callable[[pa.Array], dict[str, pa.Array]], lines: pa.Array, begin: int, size: int) -> Iterator[tuple[int, int, dict[str, pa.Array], str | None]]:
+    if not size:
+        return
+    try:
+        got = parser(lines.slice(begin, size)) or {}
+        if wrong := [name for name, x in got.items() if name not in _OUTCOME_FIELDS or len(x) != size]:
+            raise ValueError(f"{wrong[0]} is no result for {size} lines")
+        yield begin, size, {name: x.cast(_OUTCOME_FIELDS[name]) for name, x in got.items()}, None
+    except Exception as e:  # whatever a user's parser raises, every line is kept
+        if size == 1:
+            yield begin, 1, {}, f"{type(e).__name__}: {e}"
+            return
+        half = size // 2
+        yield from _parsed_parts(parser, lines, begin, half)
+        yield from _parsed_parts(parser, lines, begin + half, size - half)
+
+
+def register_line_parser(spark: SparkSession, name: str, parser: Callable[[str], dict | None]) -> None:
+    """Makes a parser of single lines a table function for SQL: `name`(line) gives one row (ts, text, attrs, inferred,
+    labels, parse_error), also for lines that the parser raises on; used with LATERAL over a table of lines."""
+
+    class Parse:
+        def eval(self, line: str):  # noqa: ANN202
+            got = _outcome(parser, line)
+            yield tuple(got[k] for k in ("ts", "text", "attrs", "inferred", "labels", "parse_error"))
+
+    spark.udtf.register(name, F.udtf(Parse, returnType=OUTCOME))

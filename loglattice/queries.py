@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -745,3 +746,26 @@ def o29_own_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = events.ingest_lines(event_lines(spark, sf_dir).drop("ts"), head, native=True)
     return got.select("event_id", "raw", F.col("attrs")["head"].alias("head"))
+
+
+@query("o29_batch_parser", _SQL_LINES + " SELECT event_id, content AS raw, CASE WHEN event_id % 7 > 0 THEN upper(event_type) END AS kind, CASE WHEN event_id % 7 = 0 THEN 'ValueError: no' END AS parse_error FROM lines")
+def o29_batch_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parser for Arrow batches that raises on some lines: only these have errors."""
+    lines = event_lines(spark, sf_dir).select("event_id", "line_no", F.concat(F.col("event_id").cast("string"), F.lit("\t"), "content").alias("content"))
+    got = events.ingest_batches(lines, _kinds)
+    return got.select("event_id", F.regexp_replace("raw", "^[0-9]+\t", "").alias("raw"), F.col("attrs")["kind"].alias("kind"), "parse_error")
+
+
+def _kinds(lines: pa.Array) -> dict[str, pa.Array]:
+    if any(int(x.split("\t")[0]) % 7 == 0 for x in lines.to_pylist()):
+        raise ValueError("no")
+    kind = pc.struct_field(pc.extract_regex(lines, "(?P<kind>view|click|purchase|signup|error)"), "kind")
+    return {"attrs": pa.array([[("kind", k.upper())] for k in kind.to_pylist()], pa.map_(pa.string(), pa.string()))}
+
+
+@query("o29_table_function", _SQL_LINES + " SELECT event_id, content AS raw, CASE WHEN event_id % 7 = 0 THEN 'ValueError: no' END AS parse_error, CASE WHEN event_id % 7 = 1 THEN 'x' END AS label FROM lines")
+def o29_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser as a table function in SQL."""
+    events.register_line_parser(spark, "parse_seventh", _seventh)
+    event_lines(spark, sf_dir).select("event_id", F.concat(F.col("event_id").cast("string"), F.lit("\t"), "content").alias("content")).createOrReplaceTempView("lines_to_parse")
+    return spark.sql("SELECT event_id, regexp_replace(p.text, '^[0-9]+\t', '') AS raw, p.parse_error, p.labels['k'] AS label FROM lines_to_parse, LATERAL parse_seventh(content) AS p")

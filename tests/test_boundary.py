@@ -2,25 +2,28 @@
 
 import random
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import boundary
 
-NEW = [
-    "2025-11-02 07:01:59 WARN disk nearly full",
-    "2025-11-02T07:01:59.004211Z queue drained",
-    "Nov 02 07:01:59 node7 cron[88]: done",
-    "02/Nov/2025:07:01:59 +0100 PUT /v2/things",
-    "2025/11/02 07:01:59 [notice] reload",
-    "took 3 s from 2025-11-02 07:01:59 on",
-    ", PM:, PM:, PM:, PM:",
-]
-OLD = [
-    "\tat org.sample.Tool.run(Tool.scala:7)", "Caused by: an empty reply", '  File "job.py", line 9, in main', "    total = add(left, right)", "goroutine 5 [select]:", "main.serve(0xc0004)", "\t/srv/main.go:12 +0x3f", "",
-    "2025-11-02 WARN x", "251102 070159 9 WARN", "07:01:59.250 WARN late", "am pm am pm", "may may", "T' T'",
-]
+_WHEN = datetime(2025, 11, 2, 7, 1, 59, 4211)
+#: Notations of one time, with text after them, one with text before it, and a stretch of known pairs without any digit.
+NEW = [_WHEN.strftime(n) + tail for n, tail in (("%Y-%m-%d %H:%M:%S", ""), ("%Y-%m-%dT%H:%M:%S.%fZ", " x"), ("%b %d %H:%M:%S", " node"), ("%d/%b/%Y:%H:%M:%S", " +0100"), ("%Y/%m/%d %H:%M:%S", " [x]"))]
+NEW += [f"took 3 s from {_WHEN:%Y-%m-%d %H:%M:%S} on", ", PM:, PM:, PM:, PM:"]
+
+
+def _continued(seed: int) -> str:
+    """A line of letters and marks, indented or not: nothing in it is part of a date."""
+    random.seed(seed)
+    words = ["".join(random.choices("bcdfghk", k=random.randint(1, 9))) + random.choice(["", "", ".", ":", "(", ")", '"', "->", "[", "]"]) for _ in range(random.randint(0, 9))]
+    return random.choice(["", "\t", "  ", "    "]) + random.choice([" ", "", "/"]).join(words)
+
+
+#: Such lines, and dates and times that are too short, too loose or no dates at all.
+OLD = [*map(_continued, range(40)), f"{_WHEN:%Y-%m-%d} WARN x", f"{_WHEN:%y%m%d %H%M%S} 9 WARN", f"{_WHEN:%H:%M:%S}.250 WARN late", "am pm am pm", "may may", "T' T'"]
 
 
 def plain_classes(line: str) -> list[str]:

@@ -2,6 +2,8 @@ import random
 from datetime import datetime
 from decimal import Decimal
 
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 from loglattice.functions import events
@@ -91,3 +93,25 @@ def test_numbers_beyond_doubles(spark):
     lines = ['{"n":1e400,"a":"b"}', '{"n":1e-400}', '{"n":123456789012345678901234567890}', '{"n":-7}']
     got = [(r.source_format, r.attrs.get("n")) for r in parse_events(spark.createDataFrame([(x,) for x in lines], "content string")).collect()]
     assert got == [("plain_text", None), ("json", "0"), ("json", "123456789012345678901234567890"), ("json", "-7")]
+
+
+def _batches(lines):
+    texts = lines.to_pylist()
+    if "bad" in texts:
+        raise ValueError(f"no {len(texts)}")
+    return {"labels": pa.array([[("k", t)] if t.strip() == t else None for t in texts], pa.map_(pa.string(), pa.string()))}
+
+
+def test_a_batch_parser_loses_no_line(spark):
+    held = [" edge ", "bad", *[f"good {k}" for k in range(30)], "bad", None]
+    df = spark.createDataFrame([(k, x, "old", "kept") for k, x in enumerate(held)], "line_no long, content string, ts string, extra string").coalesce(1)
+    rows = events.ingest_batches(df.where("content is not null"), _batches).orderBy("line_no").collect()
+    assert [r.raw for r in rows] == held[:-1] and {r.extra for r in rows} == {"kept"} and {r.ts for r in rows} == {None}
+    assert [r.parse_error for r in rows if r.raw == "bad"] == ["ValueError: no 1"] * 2 and not any(r.parse_error for r in rows if r.raw != "bad")
+    assert rows[0].labels == {} and rows[5].labels == {"k": "good 3"} and rows[1].attrs == {}
+
+
+def test_a_parser_as_a_table_function(spark):
+    events.register_line_parser(spark, "parse_test", _parser)
+    got = spark.sql("SELECT p.* FROM VALUES ('bad'), ('good') AS t(x), LATERAL parse_test(x) AS p ORDER BY p.text").collect()
+    assert [(r.text, r.labels, r.parse_error) for r in got] == [("bad", {}, "ValueError: no"), ("good", {"k": "good"}, None)]
