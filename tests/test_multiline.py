@@ -57,6 +57,20 @@ def test_merge_equals_a_loop(spark, monkeypatch):
     check(spark, 120, 3)
 
 
+@pytest.mark.parametrize("cap", [0, 7, 60, 300])
+def test_long_entries_in_small_blocks(spark, monkeypatch, cap):
+    """Blocks of 100 bytes, buckets of 7 lines: chains of pieces cross many of both, and some lines are longer than blocks."""
+    monkeypatch.setattr(multiline, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(multiline, "BUCKET_LINES", 7)
+    random.seed(cap)
+    found = {name: [STAMP, *("y" * random.choice([0, 0, 1, 3, 9, 30, 31, 700 if k == 40 else 2]) for k in range(n))] for name, n in (("a", 400), ("b", 57), ("c", 0))}
+    got: dict[str, list] = {name: [] for name in found}
+    for r in multiline.merge_multiline(frame(spark, found), max_entry_bytes=cap).collect():
+        got[r.file_name].append((r.start_line, r.end_line, r.content))
+    for name, lines in found.items():
+        assert sorted(got[name]) == sequential(lines, cap), name
+
+
 def test_cap_equal_and_one_over(spark):
     lines = {"f": [STAMP, "a" * 10, "b"]}
     cap = len(STAMP) + 11
