@@ -25,13 +25,14 @@ earliest holder of each such window is in a block that the stretch meets, and wh
 
 Defined results: null texts count as having no words and stay null; repeated rows of one doc_id never
 duplicate each other; a null doc_id counts as larger than all others; other columns are carried along
-unread in the struct `row`; an empty table gives no rows; very long texts are a block of their own.
+unread in the struct `row`; an empty table gives no rows; very long texts are a block of their own, parsed in time
+proportional to their words and the logarithm of the block.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import compress
 
@@ -54,6 +55,8 @@ _WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8")])
 _EARLIER = np.dtype([("step", "<u4"), ("doc", "<i8"), ("block", "<i8")])
 _SPAN = np.dtype([("row", "<i4"), ("start", "<i4"), ("words", "<i4"), ("doc", "<i8"), ("pos", "<i4")])
 _ANCHORS, _FIRSTS, _WANTED, _SPANS = range(4)
+#: Places in the order of suffixes with one least doc.
+_FEW, _MANY = 32, 1024
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -361,6 +364,8 @@ class ReferenceIndex:
         owner = np.repeat(np.arange(len(docs)), sizes)[order]
         self.order, self.owner, self.doc_at = order.tolist(), owner.tolist(), np.array(docs, np.int64)[owner].tolist()
         self.letters = letters.astype(">u4").tobytes()
+        #: The least doc of each few places in the order, and of each many.
+        self.low = {size: np.minimum.reduceat(np.array(self.doc_at), np.arange(0, len(order), size)).tolist() for size in (_FEW, _MANY)}
 
     def coded(self, stretch: bytes) -> bytes:
         missing = len(self.number)
@@ -369,18 +374,55 @@ class ReferenceIndex:
 
     def longest(self, coded: bytes, at: int, below: int) -> tuple[int, int]:
         """The most words from `at` on that a document under `below` holds, and where in the order it does. In the order
-        of suffixes its neighbours share the most with it: the nearest of such documents on either side are compared."""
-        probe = coded[4 * at :]
-        size, letters, order, docs = len(probe), self.letters, self.order, self.doc_at
-        here = bisect_left(order, probe, key=lambda p: letters[4 * p : 4 * p + size])
+        of suffixes its neighbours share the most with it: the nearest of such documents on either side are compared. The
+        place is sought with a few words first, then with twice as many among those that have these."""
+        letters, order = self.letters, self.order
+        low, high, words = 0, len(order), 16
+        while True:
+            probe = coded[4 * at : 4 * (at + words)]
+            size = len(probe)
+            key = lambda p: letters[4 * p : 4 * p + size]  # noqa: B023, E731
+            low = bisect_left(order, probe, low, high, key=key)
+            if size < 4 * words:
+                break
+            high = bisect_right(order, probe, low, high, key=key)
+            if low == high:
+                break
+            words *= 2
         best, where = 0, -1
-        for k, step, stop in ((here, 1, len(order)), (here - 1, -1, -1)):
-            while k != stop and docs[k] >= below:
-                k += step
-            if k != stop and (n := _common(probe, letters[4 * order[k] : 4 * order[k] + size])) > best:
+        for k in (self._ahead(low, below), self._behind(low - 1, below)):
+            if k >= 0 and (n := _common(coded, at, letters, order[k])) > best:
                 best, where = n, k
         return best, where
 
+    def _ahead(self, k: int, below: int) -> int:
+        """The first place from k on with a doc under `below`, or -1."""
+        docs, few, many = self.doc_at, self.low[_FEW], self.low[_MANY]
+        while k < len(docs):
+            if not k % _MANY and many[k // _MANY] >= below:
+                k += _MANY
+            elif not k % _FEW and few[k // _FEW] >= below:
+                k += _FEW
+            elif docs[k] < below:
+                return k
+            else:
+                k += 1
+        return -1
+
+    def _behind(self, k: int, below: int) -> int:
+        """The last place up to k with a doc under `below`, or -1."""
+        docs, few, many = self.doc_at, self.low[_FEW], self.low[_MANY]
+        while k >= 0:
+            if not (k + 1) % _MANY and many[k // _MANY] >= below:
+                k -= _MANY
+            elif not (k + 1) % _FEW and few[k // _FEW] >= below:
+                k -= _FEW
+            elif docs[k] < below:
+                return k
+            else:
+                k -= 1
+        return -1
+
     def factors(self, stretch: bytes, below: int, min_words: int) -> list[tuple[int, int, int, int]]:
         """start, words, doc and pos of all factors of the stretch of `min_words` words or more."""
         coded = self.coded(stretch)
@@ -403,13 +445,17 @@ class ReferenceIndex:
         return found
 
 
-def _common(one: bytes, two: bytes) -> int:
-    """How many letters of four bytes both begin with."""
-    if one == two:
-        return len(one) // 4
-    n = min(len(one), len(two)) // 4
-    differ = np.frombuffer(one, "<u4", n) != np.frombuffer(two, "<u4", n)
-    return int(differ.argmax()) if differ.any() else n
+def _common(one: bytes, a: int, two: bytes, b: int) -> int:
+    """How many letters of four bytes both have in common from their a-th and b-th on; twice as many are compared each time."""
+    found, step = 0, 16
+    while True:
+        x, y = one[4 * (a + found) : 4 * (a + found + step)], two[4 * (b + found) : 4 * (b + found + step)]
+        if x != y or len(x) < 4 * step:
+            n = min(len(x), len(y)) // 4
+            differ = np.frombuffer(x, "<u4", n) != np.frombuffer(y, "<u4", n)
+            return found + (int(differ.argmax()) if differ.any() else n)
+        found += step
+        step *= 2
 
 
 def _factor(min_words: int) -> Callable[[pa.Table], pa.Table]:
