@@ -22,6 +22,7 @@ from loglattice.operators import labels, multiline, reports, search, templates
 from loglattice.plans.stages import materialise, shared_dir, spread
 from loglattice.plans.workspace import KEYS, Workspace, build_workspace
 from loglattice.sources import store
+from loglattice.sources.line_index import grep_indexed, write_indexed
 from loglattice.sources.logs import list_inputs, read_fixtures, read_ground_truth, read_logs
 from loglattice.sources.tail import tail_logs
 from loglattice.streaming.multiline import stream_merge_multiline
@@ -633,6 +634,14 @@ def o58_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep_logs(event_lines(spark, sf_dir), "ERROR.*click|timeout").select("file_name", "line_no", "content")
 
 
+@query("o58_indexed_grep", _SQL_LINES + r" SELECT file_name, line_no, content FROM lines WHERE regexp_matches(content, '(?i)user 1[0-9] (did|saw) (click|view).*(timeout|\[warning\])')")
+def o58_indexed_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines stored in small blocks with their trigrams, and searched by these."""
+    path = f"{shared_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    write_indexed(event_lines(spark, sf_dir), path, block_bytes=1 << 17)
+    return grep_indexed(spark, path, r"(?i)user 1[0-9] (did|saw) (click|view).*(timeout|\[warning\])")
+
+
 @query("o11_template_results", _SQL_TOKENS + " SELECT 'events' AS dataset, 'drain' AS test_path, CAST(sum(count) OVER () AS BIGINT) AS total_entries, count(*) OVER () AS template_count, row_number() OVER (ORDER BY count DESC, pattern_id) AS place, pattern_id, raw_pattern AS pattern, count FROM templates")
 def o11_template_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result file written and read back: its totals, and its templates in their order."""

@@ -1,6 +1,7 @@
 """Versions, writers at once, writers that die, and shapes fed in parts."""
 
 import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loglattice.operators import reports, templates
 from loglattice.plans import workspace
-from loglattice.sources import store, versions
+from loglattice.sources import line_index, store, versions
 from loglattice.streaming.templates import feed_stream
 
 ROW = "line_number long, end_line_number long, timestamp timestamp, raw string, labels map<string,string>"
@@ -108,3 +109,32 @@ def test_a_stream_is_fed_from_its_checkpoint(spark, tmp_path):
         stream = spark.readStream.schema("content string").parquet(f"{tmp_path}/in")
         feed_stream(stream, f"{tmp_path}/kept", f"{tmp_path}/state", availableNow=True).awaitTermination()
     assert store.read_shapes(spark, f"{tmp_path}/kept").agg(F.sum("count")).first()[0] == 200
+
+
+def test_required_texts():
+    known = line_index.required_texts
+    assert known("ERROR.*click|timeout") == [{"ERROR", "click"}, {"timeout"}]
+    assert known("(?i)a(bb|cd)+d") == [{"a", "bb", "d"}, {"a", "cd", "d"}] and known("ab|ac") == [{"a"}]
+    assert known("x(abc)?y[0-9]{2}z") == [{"x", "y", "z"}] and known("(?:foo){2,}bar") == [{"foo", "bar"}]
+    for unknown in (".*", "[a-z]+", r"\p{L}+", r"\Qa.b\E", "(?x) a b c", r"\0101", "a|.", "("):
+        assert set() in known(unknown) or known(unknown) == [set()]
+    assert len(known("(a|b)" * 20)) <= 64
+
+
+@pytest.mark.parametrize("pattern", ["needle [0-9]+", "(?i)NEEDLE|rare thing", "w1.*w2", "é[a-z]?x", "nothing at all", "w[0-9]", ""])
+def test_search_by_trigrams_equals_a_scan(spark, tmp_path, pattern):
+    random.seed(1)
+    texts = [" ".join(f"w{random.randint(0, 30)}" for _ in range(6)) for _ in range(600)]
+    texts[77] += " needle 12"
+    texts[400], texts[401], texts[402] = "a Rare Thing", None, "éx"
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(texts)], "file_name string, line_no int, content string")
+    path = str(tmp_path / "index")
+    line_index.write_indexed(lines, path, block_bytes=1000)
+    want = sorted(r.line_no for r in lines.where(F.col("content").rlike(pattern)).collect())
+    assert sorted(r.line_no for r in line_index.grep_indexed(spark, path, pattern).collect()) == want
+    blocks, stored = line_index.candidate_blocks(spark, path, pattern), spark.read.parquet(f"{path}/lines")
+    if pattern in ("needle [0-9]+", "(?i)NEEDLE|rare thing", "nothing at all"):
+        holding = {r.block for r in stored.where(F.col("content").rlike(pattern)).collect()}
+        assert set(blocks) == holding and stored.select("block").distinct().count() > len(blocks) + 8
+        plan = line_index.grep_indexed(spark, path, pattern)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*block", plan) or not blocks
