@@ -12,25 +12,27 @@ from loglattice.functions.events import EVENT_SCHEMA, validate_events
 def read_logs(spark: SparkSession, path: str, trim_trailing_blank: bool = True) -> DataFrame:
     """Lines (file_name, line_no, content) of a file or of the files in a folder, numbered from 1 in each file.
 
-    Every split numbers its own lines; the counts of a file's earlier splits, a small table, are added. Both readings
+    Every split numbers its own lines; the counts of a file's earlier splits, a small table, are added, and the last line
+    of a file that is not blank comes from the same table. The text is read for that table and for the lines; both readings
     see the same splits because nothing stands between them and the scan. Blank lines at the end of a file go."""
     text = spark.read.option("lineSep", "\n").text(path)
     lines = text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value"
     )
-    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = lines.join(starts, ["file", "block"]).select("file_name", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_no"), F.regexp_replace("value", "\r\\z", "").alias("content"))
-    if not trim_trailing_blank:
-        return numbered
-    last = numbered.where(F.col("content").rlike(r"(?U)\S")).groupBy("file_name").agg(F.max("line_no").alias("last"))
-    return numbered.join(last, "file_name").where(F.col("line_no") <= F.col("last")).drop("last")
+    filled = F.col("value").rlike(r"(?U)\S")
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max(F.when(filled, F.col("id"))).alias("filled"))
+    of_file = Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("n").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("before", before).withColumn("last", F.max(F.col("filled") - F.col("first") + F.col("before") + 1).over(Window.partitionBy("file")))
+    line_no = (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_no")
+    numbered = lines.join(starts.select("file", "block", "first", "before", "last"), ["file", "block"]).select("file_name", line_no, F.regexp_replace("value", "\r\\z", "").alias("content"), "last")
+    return (numbered.where(F.col("line_no") <= F.col("last")) if trim_trailing_blank else numbered).drop("last")
 
 
 def stream_logs(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """A stream of lines (file_name, line_no, content) of the files that come into a folder, numbered from 1 in each file.
-    A file is one record here, so this is for files that are rotated while they are small; it is read once, whole."""
+    A file is one record here, so this is for files that are rotated while they are small; it is read once, whole.
+    Files that grow are for tail.tail_logs."""
     files = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
     text = F.regexp_replace("value", r"(?U)\n\s*\z", "")
     lines = files.where(text.rlike(r"(?U)\S")).select(F.col("_metadata.file_name").alias("file_name"), F.posexplode(F.split(text, "\n", -1)).alias("at", "content"))
