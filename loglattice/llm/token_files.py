@@ -17,7 +17,8 @@ Planes above the highest set bit or byte are left out. Files are written by Spar
 executor leaves no half file behind.
 
 Defined results: null texts count as empty and have the end id alone; an empty table gives no rows; very long texts
-run on over as many blocks as they fill; ties of doc_id are ordered by text; a null doc_id comes first; other columns are not read.
+run on over as many blocks as they fill; ties of doc_id are ordered by text, and equal rows
+by their places in the input, so that they may fill several shards; a null doc_id comes first; other columns are not read.
 """
 
 from __future__ import annotations
@@ -137,7 +138,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     order = F.xxhash64(F.coalesce("text", F.lit("")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(math.ceil(total / shard_bytes), docs.sparkSession.sparkContext.defaultParallelism)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id", order).sortWithinPartitions("doc_id", order)
+    # by their places equal rows can be parted, too
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    ranged = placed.repartitionByRange(shards, "doc_id", order, "place").sortWithinPartitions("doc_id", order, "place").drop("place")
     ranged.mapInArrow(blocks, _SCHEMA).write.option("compression", "none").option("parquet.block.size", 1 << 30).parquet(path)
 
 

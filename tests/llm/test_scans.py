@@ -140,6 +140,15 @@ def test_files_read_back(spark, tmp_path, ids, block_ids):
     assert token_files.read_token_files(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_equal_rows_fill_several_shards(spark, tmp_path, ids):
+    docs = spark.createDataFrame([(7, "the same text again")] * 300 + [(None, "x")] * 3, "doc_id long, text string").repartition(3)
+    token_files.write_token_files(docs, str(tmp_path / "files"), default_tokenizer(), shard_bytes=600)
+    assert spark.read.parquet(str(tmp_path / "files")).select("shard").distinct().count() > 3
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_token_files(spark, str(tmp_path / "files")).collect())
+    one, other = len(ids("x")) + 1, len(ids("the same text again")) + 1
+    assert got == [*((k * one, None, one) for k in range(3)), *((3 * one + k * other, 7, other) for k in range(300))]
+
+
 @pytest.mark.parametrize("partition_items", [5, 100_000])
 def test_packing(spark, ids, partition_items):
     rows = texts()
