@@ -532,6 +532,17 @@ def o42_top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.query_logs(_stored(spark, sf_dir)[0], limit=100).select("id", "line_number", "raw")
 
 
+@query("o42_top_stored", "SELECT event_id + 1 AS line_number, concat('user ', user_id, ' did ', event_type) AS raw FROM events WHERE event_type = 'view' AND event_id % 10 <> 9 ORDER BY event_id LIMIT 100")
+def o42_top_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines of a pattern from a store that was filled in four parts, of which few files are opened."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    entries = _stored(spark, sf_dir)[0].withColumn("line_number", F.col("id")).withColumn("end_line_number", F.col("id"))
+    store.init_tables(spark, path)
+    for part in range(4):
+        store.append_logs(spark, path, entries.where(F.expr(f"(id div 500) % 4 = {part}")).drop("id"))
+    return store.top_entries(spark, path, 100, pattern="user <*> did view").select("line_number", "raw")
+
+
 @query("o43_pattern_summaries", _SQL_STORED + " SELECT pattern_id, pattern_type, raw_pattern, coalesce(semantic_id, '') AS semantic_id, coalesce(description, '') AS description, count(*) AS count FROM entries e JOIN patterns p USING (pattern_id) GROUP BY ALL".replace("SELECT pattern_id, pattern_type", "SELECT p.pattern_id, p.pattern_type").replace("USING (pattern_id)", "ON e.pattern_id = p.pattern_id"))
 def o43_pattern_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.pattern_summaries(*_stored(spark, sf_dir))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglattice.operators import templates
+from loglattice.plans.stages import materialise
 from loglattice.sources import versions
 
 ENTRIES = T.StructType([
@@ -25,6 +26,7 @@ ENTRIES = T.StructType([
 ])
 #: Worked out from the entry, for searches: what its label `pattern` is, and the day (the folder it is in).
 _SEARCHED = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("day", T.DateType())])
+BOUNDS = T.StructType([T.StructField("file", T.StringType()), T.StructField("day", T.DateType()), T.StructField("pattern", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("low", "high", "n"))])
 PATTERN_COLUMNS = ("pattern_id", "pattern_type", "raw_pattern", "semantic_id", "description")
 PATTERNS = T.StructType([T.StructField(c, T.StringType()) for c in PATTERN_COLUMNS])
 
@@ -83,8 +85,48 @@ def append_logs(spark: SparkSession, path: str, rows: DataFrame) -> None:
     # each file holds few days and patterns; jobs that write into one folder would clear each other's files
     staging = f"{path}/log_entries/_staging-{uuid.uuid4().hex}"
     stored.repartitionByRange("day", "pattern", "id").write.partitionBy("day").parquet(staging)
+    # which lines and patterns each file holds, for searches that want the first lines only; files without it are read
+    added = spark.read.schema(T.StructType(ENTRIES.fields + _SEARCHED.fields)).parquet(staging)
+    bounds = added.groupBy(F.col("_metadata.file_name").alias("file"), "day", "pattern").agg(F.min("line_number").alias("low"), F.max("line_number").alias("high"), F.count("*").alias("n"))
+    bounds = materialise(bounds)
     versions.move_files(spark, staging, f"{path}/log_entries")
 
+    def add(last: str | None, staged: str) -> None:
+        (spark.read.schema(BOUNDS).parquet(last).unionByName(bounds) if last else bounds).write.parquet(staged)
+
+    versions.commit(spark, f"{path}/bounds", add)
+
+
+def top_entries(spark: SparkSession, path: str, limit: int, pattern: str | None = None, from_day: str | None = None, to_day: str | None = None) -> DataFrame:
+    """The first `limit` stored entries by line_number, then id, of a pattern and of days (both ends belong), if given.
+
+    Only files that can hold one of them are opened: when groups of a file's lines with their greatest line number up to
+    some line have `limit` lines together, files that begin after that line have none of the first."""
+    wanted = F.lit(True)
+    for bound, keep in ((pattern, F.col("pattern") == pattern), (from_day, F.col("day") >= F.lit(from_day).cast("date")), (to_day, F.col("day") <= F.lit(to_day).cast("date"))):
+        wanted = wanted & keep if bound is not None else wanted
+    stored = read_entries(spark, path)
+    ordered = lambda df: df.where(wanted).orderBy("line_number", "id").limit(limit)
+    last = versions.latest(spark, f"{path}/bounds")
+    if last is None:
+        return ordered(stored)
+    bounds = spark.read.schema(BOUNDS).parquet(last)
+    groups = bounds.where(wanted)
+    # each group has a line at least, so `limit` groups are enough
+    highs, held, reach = groups.orderBy("high").limit(limit).select("high", "n").collect(), 0, None
+    for high, n in sorted(map(tuple, highs)):
+        held += n
+        if held >= limit:
+            reach = high
+            break
+    if reach is None:
+        return ordered(stored)
+    beyond = {r.file for r in bounds.select("file").distinct().join(groups.where(F.col("low") <= reach).select("file").distinct(), "file", "left_anti").collect()}
+    files = [f for f in stored.inputFiles() if f.rsplit("/", 1)[1] not in beyond]
+    if not files:
+        return ordered(stored)
+    return ordered(spark.read.schema(stored.schema).option("basePath", f"{path}/log_entries").parquet(*files))
+
 
 def upserted(patterns: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Patterns with those of the batch over them; of a pattern's rows in the batch the last by `order_col` counts."""

@@ -138,3 +138,20 @@ def test_search_by_trigrams_equals_a_scan(spark, tmp_path, pattern):
         assert set(blocks) == holding and stored.select("block").distinct().count() > len(blocks) + 8
         plan = line_index.grep_indexed(spark, path, pattern)._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"PartitionFilters: \[[^]]*block", plan) or not blocks
+
+
+@pytest.mark.parametrize(("limit", "pattern", "days"), [(5, None, {}), (7, "p1", {}), (12, None, {"from_day": "2024-01-02", "to_day": "2024-01-03"}), (1000, "p2", {}), (3, "none", {})])
+def test_first_lines_open_few_files(spark, tmp_path, limit, pattern, days):
+    path = f"file://{tmp_path}"
+    store.init_tables(spark, path)
+    for part in range(5):
+        rows = spark.range(part * 40, part * 40 + 40).select(
+            F.col("id").alias("line_number"), F.col("id").alias("end_line_number"), F.expr("timestamp '2024-01-01 10:00:00' + make_interval(0, 0, 0, cast(id % 4 as int))").alias("timestamp"),
+            F.concat(F.lit("raw "), "id").alias("raw"), F.create_map(F.lit("pattern"), F.concat(F.lit("p"), F.col("id") % 3)).alias("labels"),
+        )
+        store.append_logs(spark, path, rows)
+    got = store.top_entries(spark, path, limit, pattern, **days)
+    want = [k for k in range(200) if (pattern is None or pattern == f"p{k % 3}") and (not days or k % 4 in (1, 2))][:limit]
+    assert [r.line_number for r in got.collect()] == want
+    files, stored = got.inputFiles(), store.read_entries(spark, path).inputFiles()
+    assert limit == 1000 or pattern == "none" or len(files) < len(stored) / 2
