@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Texts are lower-cased, everything but letters and digits becomes a space, and byte n-grams of several
-lengths, hashed into `2^bits` features, count once for a document. Over the training rows, feature f has the
+lengths, hashed into `2^bits` features, count once for a document (a letter outside ASCII is two to four bytes, so some
+n-grams begin or end within one). Over the training rows, feature f has the
 log ratio r_f of its smoothed share of the counts under label 1 and under label 0; features that few rows have
 get none. A logistic regression with an L2 penalty is fitted on the vectors of r_f, each divided by a power
 of its number of features so that long texts don't drown in chance. Margins of rows that took part in no fit (three folds)
