@@ -11,9 +11,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglattice.plans.stages import materialise, shared_dir
+from loglattice.plans.stages import materialise, shared_dir, step
 
-__all__ = ["BATCH_ROWS", "SLICE_BYTES", "crc_bucket", "limit_batches", "materialise", "pack_array", "shared_dir", "table", "text_slices", "unpack_array", "utf8"]
+__all__ = ["BATCH_ROWS", "SLICE_BYTES", "crc_bucket", "limit_batches", "materialise", "pack_array", "shared_dir", "step", "table", "text_slices", "unpack_array", "utf8"]
 
 #: Text bytes that a Python worker holds in its own arrays at a time; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20

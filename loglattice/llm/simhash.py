@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import limit_batches, materialise, text_slices, utf8
@@ -264,12 +264,18 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _total(hashes: np.ndarray) -> int:
-    return int(hashes.sum(dtype=np.uint64).astype(np.int64))
+def _total(hashes: np.ndarray) -> bytes:
+    """128 bits that tell a sorted set of hashes from all others."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _node(hashes: np.ndarray) -> int:
+    """The first half of these, as a signed number: sets of one doc_id and size are told apart by it."""
+    return int.from_bytes(_total(hashes)[:8], "big", signed=True)
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Of each row, from its different shingles: fingerprint, parities, number and sum (equal for equal sets) and minima."""
+    """Of each row, from its different shingles: fingerprint, parities, number and digest (equal for equal sets) and minima."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -282,11 +288,11 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 totals.append(_total(different))
                 minima.append(_minima(different))
             fp = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
-            columns = [fp, pa.array(parities, pa.binary()), pa.array(totals, pa.int64()), pa.array(sizes, pa.int32()), pa.array(minima, pa.list_(pa.int64()))]
+            columns = [fp, pa.array(parities, pa.binary()), pa.array(totals, pa.binary()), pa.array(sizes, pa.int32()), pa.array(minima, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "fp", "parities", "total", "n", "minima"])
 
     limit_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, parities binary, total long, n int, minima array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, fp long, parities binary, total binary, n int, minima array<long>")
 
 
 _GROUP = ["part", "key", "low", "high"]
@@ -402,7 +408,7 @@ def _verified(radius: int, similarity: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _slices(batches, _GROUP):
             docs, prints = table.column("doc_id").to_numpy(), table.column("fp").to_numpy()
-            sets = [np.frombuffer(s, np.uint32) for s in table.column("shingles").to_pylist()]
+            sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
             held = _Sets(sets)
             roots = _forest_of_similar(held, close_pairs(prints, prints, radius), similarity, np.arange(len(docs)))
             kinds, sizes = np.unique(roots, return_counts=True)
@@ -463,7 +469,34 @@ def _forest_of_similar(held: _Sets, pairs: Iterator[tuple[np.ndarray, np.ndarray
     return root
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, tile: int = 16_384, tile_bytes: int = 32 << 20) -> DataFrame:
+def _prefix_keys(docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, part and key (a shingle), so that every pair of `nodes` at the similarity has a row of the same key each.
+
+    Prefix filtering: in one order of all shingles, the first n - ceil(similarity * n) + 1 of two such sets have one in
+    common. Shingles that few nodes hold come first. Those of one node alone meet nobody, but take up places: a node
+    with enough of them has no partner and no row."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            found = [np.unique(shingle_hashes(t, words).astype(np.uint64)) for t in utf8(batch.column("text"))]
+            own = [len(x) == n and _total(x) == total for x, n, total in zip(found, batch.column("n").to_pylist(), batch.column("total").to_pylist(), strict=True)]
+            for doc, x, mine in zip(batch.column("doc_id").to_pylist(), found, own, strict=True):
+                for at in range(0, len(x) if mine else 0, 100_000):
+                    part = x[at : at + 100_000].view(np.int64)
+                    columns = [np.full(len(part), doc), np.full(len(part), _node(x)), np.full(len(part), len(x), np.int32), part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "node", "n", "key"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.where("n > 0").select("doc_id", "total", "n"), "doc_id")
+    shingles = materialise(texts.mapInArrow(scan, "doc_id long, node long, n int, key long"))
+    # repeated rows repeat their shingles, and one doc_id may have several sets: each id counts once
+    held = shingles.groupBy("key").agg(F.count_distinct("doc_id").alias("holders")).where("holders > 1")
+    shared = shingles.distinct().join(held, "key")
+    of_doc = Window.partitionBy("doc_id", "node", "n")
+    ranked = shared.withColumn("place", F.row_number().over(of_doc.orderBy("holders", "key")) + F.col("n") - F.count("*").over(of_doc))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).select("doc_id", F.lit(_MINIMA).alias("part"), "key").distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 18, tile: int = 16_384, tile_bytes: int = 32 << 20, exact: bool = False) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable) of each row of `docs` with a doc_id, where documents are
     linked whose sets of shingles of `words` words have at least this Jaccard similarity.
 
@@ -472,10 +505,27 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     agrees (all eight miss a pair at 0.8 once in 390,000 times); the sets themselves decide all
     pairs there whose ends are not joined already: first those whose fingerprints, compared bit-sliced, are within
     `radius` bits, then all that sizes and parities allow (a bound that no pair at the similarity fails). Sets are
-    built only for documents that have such a partner. Large buckets are cut by rows, then by bytes."""
+    built only for documents that have such a partner. Large buckets are cut by rows, then by bytes.
+
+    With `exact` no pair is missed: documents also meet by prefixes of their sets, in those buckets that hold more than
+    one of the groups found so far. Every shingle is then shuffled twice, some three to four times the bytes of the texts."""
     found = materialise(_sketches(docs, words).where("doc_id is not null"))
     nodes = materialise(found.groupBy("total", "n").agg(F.min("doc_id").alias("doc_id"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("parities", "doc_id").alias("parities"), F.min_by("minima", "doc_id").alias("minima")))
-    keyed = nodes.where("n > 0").select("doc_id", "parities", "n", F.posexplode("minima").alias("part", "key"))
+    edges = _similar_pairs(docs, nodes, nodes.where("n > 0").select("doc_id", "parities", "n", F.posexplode("minima").alias("part", "key")), words, similarity, radius, tile, tile_bytes)
+    joined = connected_components(edges)
+    if exact:
+        groups = nodes.select("doc_id").distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+        keys = materialise(_prefix_keys(docs, nodes, words, similarity).join(groups, "doc_id"))
+        mixed = keys.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+        keyed = keys.join(mixed, "key").join(nodes.where("n > 0").select("doc_id", "parities", "n"), "doc_id").select("doc_id", "parities", "n", "part", "key")
+        more = _similar_pairs(docs, nodes, keyed, words, similarity, radius, tile, tile_bytes)
+        joined = connected_components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    grouped = nodes.join(joined, nodes.doc_id == joined.node, "left").select("total", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    return found.select("doc_id", "total", "n").join(grouped, ["total", "n"]).select("doc_id", "component_id")
+
+
+def _similar_pairs(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, words: int, similarity: float, radius: int, tile: int, tile_bytes: int) -> DataFrame:
+    """Edges (a, b) that join all pairs of nodes at the similarity that meet in a bucket (part, key) of `keyed`."""
     near = _in_groups(keyed, ["parities", "n"], F.expr("octet_length(parities) div 64"), tile).mapInArrow(_alive(similarity), "part int, key long, doc_id long")
     near = materialise(near.distinct())
     chosen = near.select("doc_id").distinct()
@@ -485,22 +535,19 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
             found = [np.unique(shingle_hashes(t, words).astype(np.uint64)) for t in utf8(batch.column("text"))]
             # of the rows of a doc_id those whose set it is
             own = [len(x) == n and _total(x) == total for x, n, total in zip(found, batch.column("n").to_pylist(), batch.column("total").to_pylist(), strict=True)]
-            sets = pa.array([np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in found], pa.binary())
+            sets = pa.array([x.tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], [*kept, "shingles"]).filter(pa.array(own, pa.bool_()))
 
     kept = ["doc_id", "fp", "parities", "total", "n"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(*kept).join(chosen, "doc_id"), "doc_id").select(*kept, "text")
-    sets = texts.mapInArrow(shingles, "doc_id long, fp long, parities binary, total long, n int, shingles binary")
+    sets = texts.mapInArrow(shingles, "doc_id long, fp long, parities binary, total binary, n int, shingles binary")
     sets = materialise(sets.dropDuplicates(["doc_id", "total", "n"]).drop("total", "n"))
-    edges = _in_groups(near.join(sets, "doc_id"), ["fp", "parities", "shingles"], F.octet_length("shingles") + F.octet_length("parities"), tile_bytes).mapInArrow(_verified(radius, similarity), "a long, b long")
-    joined = connected_components(edges)
-    grouped = nodes.join(joined, nodes.doc_id == joined.node, "left").select("total", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    return found.select("doc_id", "total", "n").join(grouped, ["total", "n"]).select("doc_id", "component_id")
+    return _in_groups(near.join(sets, "doc_id"), ["fp", "parities", "shingles"], F.octet_length("shingles") + F.octet_length("parities"), tile_bytes).mapInArrow(_verified(radius, similarity), "a long, b long")
 
 
-def remove_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def remove_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, exact: bool = False) -> DataFrame:
     """`docs` with one document of each group of near-duplicates: that with the smallest doc_id. Texts
     without words (null, empty, white space) are one group. Rows without a doc_id stay; rows that repeat a doc_id stay or
     go together."""
-    gone = near_duplicate_groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = near_duplicate_groups(docs, words, similarity, exact=exact).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone"), "left_anti").select(*docs.columns)

@@ -109,8 +109,8 @@ def test_minima_are_independent(shared):
     assert missed.all(axis=1).sum() <= 1
 
 
-@pytest.mark.parametrize("tile", [16_384, 4])
-def test_near_duplicates_by_brute_force(spark, tile):
+@pytest.mark.parametrize(("tile", "exact"), [(16_384, False), (4, False), (16_384, True)])
+def test_near_duplicates_by_brute_force(spark, tile, exact):
     random.seed(8)
     rows = [r for r in texts() if r[0] is not None]
     for family in range(4):
@@ -129,7 +129,7 @@ def test_near_duplicates_by_brute_force(spark, tile):
     smallest = {}
     for k, g in group.items():
         smallest[g] = min(smallest.get(g, math.inf), rows[k][0])
-    got = simhash.near_duplicate_groups(frame(spark, rows), tile=tile, tile_bytes=32 << 20 if tile > 4 else 3000).collect()
+    got = simhash.near_duplicate_groups(frame(spark, rows), tile=tile, tile_bytes=32 << 20 if tile > 4 else 3000, exact=exact).collect()
     assert sorted(tuple(r) for r in got) == sorted((rows[k][0], smallest[group[k]]) for k in sets)
     kept = simhash.remove_near_duplicates(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
@@ -149,6 +149,22 @@ def test_near_duplicates_far_apart_in_bits(spark):
     assert got == {d: d - d % 10 for d, _ in rows}
 
 
+def test_exact_groups_without_a_common_minimum(spark, monkeypatch):
+    """Minima that never agree leave every pair to the prefixes."""
+    rows = [(d, t) for d, t in texts() if d is not None]
+    for k in range(30):
+        base = words(40 + 7 * k, 300 + k, 10**6).split()
+        cut = len(base) // 12
+        rows += [(100 + 10 * k, " ".join(base)), (101 + 10 * k, " ".join(base[cut:])), (102 + 10 * k, " ".join(base[: len(base) // 2]))]
+    want = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert sum(want[100 + 10 * k] == want[101 + 10 * k] for k in range(30)) == 30
+    keyed = simhash._similar_pairs
+    monkeypatch.setattr(simhash, "_similar_pairs", lambda docs, nodes, keys, *rest: keyed(docs, nodes, keys.where(F.col("part") == simhash._MINIMA), *rest))
+    missed = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert missed[101] == 101
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows), exact=True).collect()} == want
+
+
 def test_no_similar_pair_is_ruled_out():
     random = np.random.default_rng(12)
     sets = []
@@ -167,13 +183,14 @@ def test_no_similar_pair_is_ruled_out():
         assert len(got) < 0.2 * len(sets) ** 2 and (mine is None or all(a % 3 == 0 for a, _ in got))
 
 
-def test_rows_of_one_id_with_different_texts(spark):
+@pytest.mark.parametrize("exact", [False, True])
+def test_rows_of_one_id_with_different_texts(spark, exact):
     one, two = words(150, 71), words(150, 72)
     near = lambda t: t.replace(t.split()[70], "changed", 1)
     rows = [(1, one), (1, two), (2, near(one)), (3, near(two)), (4, words(150, 73)), (5, None), (6, " "), (1, one)]
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(frame(spark, rows), exact=exact).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
-    kept = sorted(r.doc_id for r in simhash.remove_near_duplicates(frame(spark, rows)).collect())
+    kept = sorted(r.doc_id for r in simhash.remove_near_duplicates(frame(spark, rows), exact=exact).collect())
     assert kept == [1, 1, 1, 4, 5]
 
 
