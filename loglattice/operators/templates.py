@@ -45,15 +45,39 @@ def shapes(df: DataFrame, depth: int = 30, delimiters: str = "|=,") -> DataFrame
     return _by_path(_with_path(df, depth, delimiters))
 
 
+#: Bytes of a token in one number (see _numbers).
+_NUMBER_BYTES = 7
+
+
+def _numbers(token: Column) -> Column:
+    """A token as numbers of 7 bytes each, with a 1 before them and with fewer in the last one: (part, number). Tokens are
+    equal if their numbers are, and of two that differ some number of a part that both have does."""
+    digits = 2 * _NUMBER_BYTES
+    number = lambda k: F.conv(F.concat(F.lit("1"), F.substring(F.hex(token), k * digits + 1, F.lit(digits))), 16, 10).cast("long")
+    parts = F.sequence(F.lit(0), F.coalesce(F.floor(F.octet_length(token) / _NUMBER_BYTES).cast("int"), F.lit(0)))
+    return F.transform(parts, lambda k: F.struct(k.alias("part"), number(k).alias("number")))
+
+
+def _token(numbers: Column) -> Column:
+    """The token of its numbers, in the order of their parts."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.substring(F.hex(x), 2, 2 * _NUMBER_BYTES)), "")).cast("string")
+
+
 def _by_path(tokens: DataFrame, lines: Column | None = None) -> DataFrame:
-    """Rows of one n and path as one shape; `lines` is how many lines a row stands for."""
+    """Rows of one n and path as one shape; `lines` is how many lines a row stands for.
+
+    Tokens are compared as numbers: sums and bounds of numbers are kept in a hash table of what shapes there are, while
+    bounds of strings would have every task sort all tokens of its lines."""
     lines = F.lit(1) if lines is None else lines
     # place 0 stands for the line itself; else only places that can differ within a shape: wildcards of the path
     # and what is beyond it
     open_at = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: (i == 0) | (i > F.size("path")) | (F.get("path", i - 1) == WILDCARD))
-    opened = tokens.select("n", "path", lines.cast("long").alias("lines"), F.explode(F.transform(open_at, lambda i: F.struct(i.alias("at"), F.get("tokens", i - 1).alias("token")))).alias("x"))
-    same = opened.groupBy("n", "path", "x.at").agg(F.min("x.token").alias("low"), F.max("x.token").alias("high"), F.sum("lines").alias("lines"))
-    spot = F.struct("at", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILDCARD).alias("token"))
+    placed = F.flatten(F.transform(open_at, lambda i: F.transform(_numbers(F.get("tokens", i - 1)), lambda x: F.struct(i.alias("at"), x["part"].alias("part"), x["number"].alias("number")))))
+    opened = tokens.select("n", "path", lines.cast("long").alias("lines"), F.explode(placed).alias("x"))
+    parts = opened.groupBy("n", "path", "x.at", "x.part").agg(F.min("x.number").alias("low"), F.max("x.number").alias("high"), F.sum("lines").alias("lines"))
+    numbers = F.transform(F.array_sort(F.collect_list(F.struct("part", "low"))), lambda x: x["low"])
+    same = parts.groupBy("n", "path", "at").agg(F.bool_and(F.coalesce(F.col("low") == F.col("high"), F.lit(False))).alias("same"), numbers.alias("numbers"), F.max("lines").alias("lines"))
+    spot = F.struct("at", F.when(F.col("same"), _token(F.col("numbers"))).otherwise(WILDCARD).alias("token"))
     filled = same.groupBy("n", "path").agg(F.max(F.when(F.col("at") == 0, F.col("lines"))).alias("count"), F.map_from_entries(F.collect_list(F.when(F.col("at") > 0, spot))).alias("spots"))
     template = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.coalesce(F.element_at("spots", i), F.get("path", i - 1)))
     return filled.select("n", "path", template.alias("tokens"), "count")

@@ -181,3 +181,25 @@ def test_tries_do_not_grow_with_templates():
     index = templates.TemplateIndex([(t, k) for k, t in enumerate(made)])
     assert [len(held) for held in index.anchored[5].values()] == [10_000] and all(len(x) == 1 for x in index.anchored[5][1].values())
     assert index.first(["job", "k77", "x", "in", "zone0"]) == 77 and index.first(["job", "k77", "x", "in", "zone1"]) is None
+
+
+def test_no_task_sorts_the_tokens_of_its_lines(spark):
+    """Shapes are kept in hash tables, whose size is that of the shapes, whatever the lines."""
+    df = lines(spark, TEXTS)
+    for found in (templates.shapes(df), templates.line_shapes(df), templates.merge_shapes(templates.line_shapes(df), templates.line_shapes(df))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_shapes_of_odd_tokens(spark):
+    """Tokens that are empty, that begin others, of zero bytes, of more bytes than letters and of many numbers."""
+    random.seed(11)
+    odd = ["", "1", "\x00", "\x001", "1\x00", "abcdef1", "abcdef12", "abcdefg", "x1" * 7, "x1" * 7 + "y", "é1éé", "日本語1", "<*>", "7" * 700, "7" * 699 + "8"]
+    texts = ["w" + "".join(f" {random.choice(odd)}" for _ in range(random.randint(1, 4))) + " z" for _ in range(800)] + [None, ""]
+    want: dict[tuple, list] = {}
+    for text in filter(None, texts):
+        tokens = text.split(" ")
+        held = want.setdefault((len(tokens), tuple("<*>" if any(c.isdigit() for c in t) else t for t in tokens[:-1])), [tokens, 0])
+        held[0], held[1] = [a if a == b else "<*>" for a, b in zip(held[0], tokens, strict=True)], held[1] + 1
+    got = {(r.n, tuple(r.path)): [r.tokens, r["count"]] for r in templates.shapes(lines(spark, texts).repartition(3)).collect()}
+    assert got.pop((1, ())) == [[""], 1] and got == want
