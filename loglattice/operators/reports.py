@@ -23,8 +23,10 @@ def _known(matched: DataFrame, labelled: DataFrame) -> DataFrame:
 def pattern_stats(matched: DataFrame, labelled: DataFrame) -> DataFrame:
     """Every labelled pattern with count, first_file, first_line, last_file, last_line, the most frequent first; patterns
     without entries have count 0."""
-    place = F.struct(*ORDER)
-    stats = matched.where("pattern_id is not null").groupBy("pattern_id").agg(F.count("*").alias("count"), F.min(place).alias("first"), F.max(place).alias("last"))
+    # numbers by file first, in hash tables: bounds of names would have every task sort all of its lines
+    by_file = matched.where("pattern_id is not null").groupBy("pattern_id", "file_name").agg(F.count("*").alias("count"), F.min("start_line").alias("low"), F.max("start_line").alias("high"))
+    place = lambda line: F.struct("file_name", F.col(line).alias("start_line"))
+    stats = by_file.groupBy("pattern_id").agg(F.sum("count").alias("count"), F.min(place("low")).alias("first"), F.max(place("high")).alias("last"))
     joined = labelled.select("pattern_id", "raw_pattern", "semantic_id", "description", "dir_name").join(stats, "pattern_id", "left")
     return joined.select(
         "pattern_id", "semantic_id", "dir_name", "raw_pattern", "description", F.coalesce("count", F.lit(0)).alias("count"),

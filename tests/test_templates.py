@@ -203,3 +203,12 @@ def test_shapes_of_odd_tokens(spark):
         held[0], held[1] = [a if a == b else "<*>" for a, b in zip(held[0], tokens, strict=True)], held[1] + 1
     got = {(r.n, tuple(r.path)): [r.tokens, r["count"]] for r in templates.shapes(lines(spark, texts).repartition(3)).collect()}
     assert got.pop((1, ())) == [[""], 1] and got == want
+
+
+def test_statistics_over_files(spark):
+    """The first and last line of a pattern are by file, then by line."""
+    rows = [("p", "b", 1), ("p", "a", 30), ("p", "b", 9), ("p", "a", 4), ("q", "c", 2)]
+    matched = spark.createDataFrame([(*r, "x") for r in rows], "pattern_id string, file_name string, start_line long, content string").repartition(2)
+    labelled = spark.createDataFrame([(p, p, p, p, p) for p in "pqr"], "pattern_id string, raw_pattern string, semantic_id string, description string, dir_name string")
+    got = {r.pattern_id: (r["count"], r.first_file, r.first_line, r.last_file, r.last_line) for r in reports.pattern_stats(matched, labelled).collect()}
+    assert got == {"p": (4, "a", 4, "b", 9), "q": (1, "c", 2, "c", 2), "r": (0, None, None, None, None)}
