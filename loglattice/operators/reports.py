@@ -6,9 +6,10 @@ raw_pattern, semantic_id, description, dir_name). Entries are ordered by (file_n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.operators.templates import first_lines
 from loglattice.sources import versions
 
 # Fixed value: what makes an error.
@@ -36,8 +37,7 @@ def pattern_stats(matched: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def pattern_samples(matched: DataFrame, labelled: DataFrame, k: int = 20) -> DataFrame:
     """The first k entries of each pattern: pattern_id, rank, file_name, start_line, content."""
-    rank = F.row_number().over(Window.partitionBy("pattern_id").orderBy(*ORDER))
-    return _known(matched, labelled).withColumn("rank", rank).where(F.col("rank") <= k).select("pattern_id", "rank", *ORDER, "content")
+    return first_lines(_known(matched, labelled), list(ORDER), k).select("pattern_id", "rank", *ORDER, "content")
 
 
 def line_refs(matched: DataFrame, labelled: DataFrame) -> DataFrame:

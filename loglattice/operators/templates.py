@@ -301,6 +301,30 @@ def with_labels(matched: DataFrame) -> DataFrame:
     return matched.withColumn("labels", F.when(F.col("pattern_id").isNotNull(), found).otherwise(F.create_map().cast("map<string,string>")))
 
 
+#: Lines of a file that are counted as one before the first lines of a template are chosen.
+FIRST_LINES = 100_000
+
+
+def first_lines(named: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The first k lines of each pattern_id with their rank; `keys` order the lines, the last one is a line number.
+
+    Lines are counted by stretches of FIRST_LINES, in hash tables. Only lines of the stretches that hold a template's
+    first k are ranked, so no task sorts all lines that it reads. `named` is read twice. The stretches are a table, of which
+    the size is known, so that lines are not moved to meet them while they are few."""
+    *names, line = keys
+    held = named.withColumn("__stretch", F.expr(f"`{line}` div {FIRST_LINES}"))
+    counts = held.groupBy("pattern_id", *names, "__stretch").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("pattern_id").orderBy(*names, "__stretch")
+    # a stretch has a line at least
+    few = counts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = materialise(few.withColumn("before", before).where(F.col("before") < k).select("pattern_id", *names, "__stretch")).alias("chosen")
+    same = [F.col(f"held.{c}").eqNullSafe(F.col(f"chosen.{c}")) for c in ("pattern_id", *names, "__stretch")]
+    near = held.alias("held").join(chosen, same, "left_semi").drop("__stretch")
+    rank = F.row_number().over(Window.partitionBy("pattern_id").orderBy(*keys))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def template_samples(df: DataFrame, templates: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     """The first k lines, in the order of `keys`, of each template on its own: pattern_id, raw_pattern, rank, content. Lines
     are ranked by their keys, first within each task; only those that are left are joined to their texts."""

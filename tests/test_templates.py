@@ -1,9 +1,11 @@
+import itertools
 import random
 from collections import Counter
 
 import pytest
 from loglattice.operators import labels, reports, search, templates
 from loglattice.plans import workspace
+from loglattice.plans.stages import materialise
 from loglattice.sources import logs, store
 from pyspark.sql import functions as F
 
@@ -205,6 +207,43 @@ def test_shapes_of_odd_tokens(spark):
     assert got.pop((1, ())) == [[""], 1] and got == want
 
 
+def _sorts(df) -> list[bool]:
+    """Of each sort in a plan whether what it sorts are groups or chosen lines, and not all that was read."""
+    plan = [(len(x) - len(x.lstrip(" :+-")), x.lstrip(" :+-")) for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    found = []
+    for k, (depth, node) in enumerate(plan):
+        if node.startswith("Sort"):
+            below = [x for at, x in itertools.takewhile(lambda x: x[0] > depth, plan[k + 1 :])]
+            found.append(any(x.startswith("HashAggregate") or "LeftSemi" in x for x in below))
+    return found
+
+
+def test_no_task_sorts_its_lines_for_the_first_and_last(spark):
+    """Statistics and samples sort groups and chosen lines only."""
+    given = spark.createDataFrame([("p1", "user <*> in"), ("p2", "user bob in")], "pattern_id string, raw_pattern string")
+    df = lines(spark, ["user bob in", "user eve in"])
+    matched = materialise(templates.match_templates(df, given, workspace.KEYS))
+    labelled = materialise(labels.apply_labels(given.withColumn("count", F.lit(1)), labels.default_labels(given)))
+    sorts = _sorts(reports.pattern_stats(matched, labelled)), _sorts(reports.pattern_samples(matched, labelled))
+    assert all(sorts) and all(map(all, sorts))
+
+
+@pytest.mark.parametrize(("stretch", "k"), [(1, 3), (4, 1), (4, 7), (1000, 5)])
+def test_first_lines(spark, monkeypatch, stretch, k):
+    """Against all lines in order: stretches with fewer than k lines of a pattern, several files, gaps, one without a name."""
+    monkeypatch.setattr(templates, "FIRST_LINES", stretch)
+    random.seed(stretch + k)
+    rows = [(random.choice("abcd"), random.choice(["f", "g", None]), line, f"x{line}") for line in random.sample(range(100), 60)]
+    rows += [("rare", "g", 99, "last"), (None, "f", 100, "none"), (None, "f", 7, "none")]
+    got = templates.first_lines(spark.createDataFrame(rows, "pattern_id string, file_name string, start_line long, content string").repartition(3), workspace.KEYS, k).collect()
+    want = {}
+    for pattern, name, line, content in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2])):
+        held = want.setdefault(pattern, [])
+        if len(held) < k:
+            held.append((name, line, content, len(held) + 1))
+    assert {p: sorted(((r.file_name, r.start_line, r.content, r["rank"]) for r in got if r.pattern_id == p), key=lambda x: x[3]) for p in {r.pattern_id for r in got}} == want
+
+
 def test_statistics_over_files(spark):
     """The first and last line of a pattern are by file, then by line."""
     rows = [("p", "b", 1), ("p", "a", 30), ("p", "b", 9), ("p", "a", 4), ("q", "c", 2)]
