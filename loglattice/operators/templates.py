@@ -326,12 +326,10 @@ def first_lines(named: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def template_samples(df: DataFrame, templates: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """The first k lines, in the order of `keys`, of each template on its own: pattern_id, raw_pattern, rank, content. Lines
-    are ranked by their keys, first within each task; only those that are left are joined to their texts."""
-    rank = F.row_number().over(Window.partitionBy("pattern_id").orderBy(*keys))
-    named = match_templates(df, templates, keys, mode="all").select(*keys, "pattern_id", "raw_pattern")
-    chosen = named.withColumn("rank", rank).where(F.col("rank") <= k)
-    return df.select(*keys, "content").join(chosen, keys).select("pattern_id", "raw_pattern", "rank", "content")
+    """The first k lines, in the order of `keys` (the last one a line number), of each template on its own: pattern_id,
+    raw_pattern, rank, content. Lines are chosen by their keys; only those that are left are joined to their texts."""
+    named = materialise(match_templates(df, templates, keys, mode="all").select(*keys, "pattern_id", "raw_pattern"))
+    return df.select(*keys, "content").join(materialise(first_lines(named, keys, k)), keys).select("pattern_id", "raw_pattern", "rank", "content")
 
 
 def template_quality(entries: DataFrame, templates: DataFrame) -> DataFrame:

@@ -226,6 +226,8 @@ def test_no_task_sorts_its_lines_for_the_first_and_last(spark):
     labelled = materialise(labels.apply_labels(given.withColumn("count", F.lit(1)), labels.default_labels(given)))
     sorts = _sorts(reports.pattern_stats(matched, labelled)), _sorts(reports.pattern_samples(matched, labelled))
     assert all(sorts) and all(map(all, sorts))
+    # the lines are chosen by then
+    assert not _sorts(templates.template_samples(materialise(df), given, workspace.KEYS))
 
 
 @pytest.mark.parametrize(("stretch", "k"), [(1, 3), (4, 1), (4, 7), (1000, 5)])
