@@ -14,7 +14,9 @@ def executed(spark) -> dict[int, str]:
     return {found.apply(k).executionId(): found.apply(k).physicalPlanDescription() for k in range(found.size())}
 
 
-@pytest.mark.parametrize("name", ["o33_frequent_templates", "o34_match", "o35_labelled_rows", "o39_apply_labels", "o46_line_refs", "o49_unmatched"])
+@pytest.mark.parametrize(
+    "name", ["o33_frequent_templates", "o34_match", "o35_labelled_rows", "o39_apply_labels", "o46_line_refs", "o49_unmatched", "o50_summary"]
+)
 def test_no_step_of_a_query_sorts_the_tokens_of_its_lines(spark, name):
     """A task that sorts tokens to group them holds memory by its lines; hash tables hold it by the groups. Steps that take
     lines apart have a Generate; others group templates."""
