@@ -15,7 +15,7 @@ def executed(spark) -> dict[int, str]:
 
 
 @pytest.mark.parametrize(
-    "name", ["o33_frequent_templates", "o34_match", "o35_labelled_rows", "o39_apply_labels", "o46_line_refs", "o49_unmatched", "o50_summary"]
+    "name", ["o33_frequent_templates", "o34_match", "o35_labelled_rows", "o39_apply_labels", "o46_line_refs", "o49_unmatched", "o50_summary", "o52_unmatched_errors"]
 )
 def test_no_step_of_a_query_sorts_the_tokens_of_its_lines(spark, name):
     """A task that sorts tokens to group them holds memory by its lines; hash tables hold it by the groups. Steps that take
